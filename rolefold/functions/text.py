@@ -9,10 +9,11 @@ WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
     "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-SPACE_CLASS = (
-    r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SPACE_RANGES = (
+    r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+SPACE_CLASS = f"[{SPACE_RANGES}]"
 # Word characters in the Unicode sense. Java's own ``\b`` would also count combining marks.
 WORD_CLASS = r"[\p{L}\p{N}_]"
 NO_WORD_BEFORE = rf"(?<!{WORD_CLASS})"
@@ -106,8 +107,7 @@ def email(col: Column) -> Column:
 
 def keyword_slug(col: Column, suffix: str = "") -> Column:
     """Search-page slug; two portals append ``-jobs``."""
-    kept = F.regexp_replace(col, rf"[^a-zA-Z0-9-\x{{9}}-\x{{d}}\x{{1c}}-\x{{20}}\x{{85}}\x{{a0}}\x{{1680}}"
-                                 r"\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]", "")
+    kept = F.regexp_replace(col, f"[^a-zA-Z0-9{SPACE_RANGES}-]", "")
     slug = F.regexp_replace(F.lower(strip(kept)), rf"(?:{SPACE_CLASS}|-)+", "-")
     return F.concat(slug, F.lit(suffix)) if suffix else slug
 
