@@ -62,7 +62,7 @@ SELECT doc_id, array_to_string(skills, ', ') AS skills, len(skills) AS n FROM (
   SELECT doc_id, {s_skills('folded', SKILL_LEXICON)} AS skills FROM (SELECT doc_id, {s_fold('text')} AS folded FROM documents))""")
 def skill_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = with_skills(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "skills", SKILL_LEXICON)
-    return found.select("doc_id", F.array_join("skills", ", ").alias("skills"), F.size("skills").alias("n"))
+    return found.select("doc_id", F.array_join("skills", ", ").alias("skills"), F.size("skills").cast("bigint").alias("n"))
 
 
 @query(f"""
@@ -75,7 +75,7 @@ def skill_coverage_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     covered = skill_coverage(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", profile)
     score, reasoning = skill_score(F.col("required"), F.col("matched"))
     return covered.filter(F.size("required") > 0).select(
-        "doc_id", F.size("matched").alias("n_matched"), F.size("required").alias("n_required"),
+        "doc_id", F.size("matched").cast("bigint").alias("n_matched"), F.size("required").cast("bigint").alias("n_required"),
         score.alias("score"), reasoning.alias("reasoning"))
 
 
@@ -85,7 +85,8 @@ SELECT doc_id, n_tokens, n_matched, {_TOKEN_SCORE} AS score, {_TOKEN_REASON} AS
 def token_coverage_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     profile = resume_profile(table(spark, sf_dir, "benchmark"), lexicon=PROSE_LEXICON)
     covered = token_coverage(table(spark, sf_dir, "documents"), "doc_id", "text", profile)
-    return covered.select("doc_id", "n_tokens", "n_matched", "score", "reasoning")
+    return covered.select("doc_id", F.col("n_tokens").cast("bigint").alias("n_tokens"),
+                          F.col("n_matched").cast("bigint").alias("n_matched"), "score", "reasoning")
 
 
 @query(f"""

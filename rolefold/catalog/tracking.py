@@ -245,7 +245,7 @@ _ENTRY = f"""SELECT application_id, event_id, row_number() OVER w AS seq, stage,
   FROM {_MOVES} WINDOW w AS (PARTITION BY application_id ORDER BY ts, event_id)"""
 
 
-@query(f"""SELECT application_id, CAST(seq AS INTEGER) AS seq, stage, previous_stage, note FROM ({_ENTRY})""")
+@query(f"""SELECT application_id, seq, stage, previous_stage, note FROM ({_ENTRY})""")
 def stage_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries_of(_log(spark, sf_dir)).select("application_id", "seq", "stage", "previous_stage", "note")
 

@@ -17,7 +17,7 @@ def top_n(df: DataFrame, group: list, order: list, n: int, rank: str | None = No
     name = rank or "__rank"
     position = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     limited = df.withColumn(name, position).filter(F.col(name) <= n)
-    return limited if rank else limited.drop(name)
+    return limited.withColumn(rank, F.col(rank).cast("bigint")) if rank else limited.drop(name)
 
 
 def listing_key(platform: str = "platform", job_id: str = "job_id_on_platform") -> list[Column]:

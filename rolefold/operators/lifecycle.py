@@ -147,7 +147,7 @@ def history_json(entries: DataFrame, chunk: int = HISTORY_CHUNK) -> DataFrame:
     ).alias("entry"))
     part = F.floor((F.col("seq") - 1) / chunk).alias("chunk")
     return entries.groupBy("application_id", part).agg(F.sort_array(F.collect_list(item)).alias("items")).select(
-        "application_id", "chunk", F.size("items").alias("n_entries"),
+        "application_id", "chunk", F.size("items").cast("bigint").alias("n_entries"),
         F.to_json(F.transform("items", lambda x: x["entry"])).alias("history"))
 
 

@@ -99,7 +99,7 @@ def rank_within(
 ) -> DataFrame:
     """1-based position inside each group."""
     if groups_fit(df, keys, group_limit):
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
 
     placed = _blocks(df, keys, order, block_rows)
     w = Window.partitionBy("__block").orderBy("__pos")
@@ -128,7 +128,7 @@ def rank_within(
     carry = opened.filter("__continues").select("__block", F.col("__head").alias("__carry_key"), "__open")
     joined = inner.join(carry, "__block", "left")
     start = F.when(F.struct(*keys).eqNullSafe(F.col("__carry_key")), F.col("__open")).otherwise(F.col("__start"))
-    return joined.withColumn(out, (F.col("__pos") - start + 1).cast("int")).select(*df.columns, out)
+    return joined.withColumn(out, F.col("__pos") - start + 1).select(*df.columns, out)
 
 
 def fill_forward(

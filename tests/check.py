@@ -36,12 +36,19 @@ def rows_of(names: list[str], rows) -> tuple[list[str], list[tuple]]:
     return [names[i] for i in order], sorted(tuple(plain(r[i]) for i in order) for r in rows)
 
 
+SAME_TYPE = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "boolean": "BOOLEAN", "double": "DOUBLE"}
+
+
 def compare(spark, con, sf_dir: str, fn, sql: str) -> str | None:
     """None when equal, else a description of the first difference."""
     df = fn(spark, sf_dir)
     ours = rows_of(df.columns, [tuple(r) for r in df.collect()])
     cur = con.execute(sql)
     theirs = rows_of([d[0] for d in cur.description], cur.fetchall())
+    types = {d[0]: str(d[1]) for d in cur.description}
+    odd = [f"{n}: {t} vs {types.get(n)}" for n, t in df.dtypes if SAME_TYPE.get(t) != types.get(n)]
+    if odd and ours[0] == theirs[0]:
+        return f"types {odd}"
     if ours[0] != theirs[0]:
         return f"columns {ours[0]} vs {theirs[0]}"
     if ours[1] == theirs[1]:
