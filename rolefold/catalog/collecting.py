@@ -27,7 +27,7 @@ CONTRACT = ("job_id_on_platform, platform, title, company, location, url, descri
 
 def _raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as raw listings without an id: source, first line, language, whole text."""
-    return table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents", heavy=True).select(
         "doc_id", F.col("source").alias("platform"),
         F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
         F.col("lang").alias("remote_level"), F.col("text").alias("description"),
@@ -92,7 +92,7 @@ def platform_options(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT page_id, {s_html_text('html')} AS text FROM pages")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", html_to_text(F.col("html")).alias("text"))
+    return table(spark, sf_dir, "pages", heavy=True).select("page_id", html_to_text(F.col("html")).alias("text"))
 
 
 @query(rf"""
@@ -110,7 +110,7 @@ SELECT page_id, CAST(pos AS INTEGER) AS pos, url, text FROM kept
 QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY pos) = 1""")
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     anchors = F.regexp_extract_all("html", F.lit(r"(?i)<a\s[^>]*>[^<]*</a>"), F.lit(0))
-    links = table(spark, sf_dir, "pages").select(
+    links = table(spark, sf_dir, "pages", heavy=True).select(
         "page_id", F.regexp_extract("url", "^(https?://[^/]+)", 1).alias("site"),
         F.posexplode(anchors).alias("pos", "a")).withColumn("href", attribute(F.col("a"), "href"))
     full = F.when(F.startswith("href", F.lit("/")), F.concat("site", "href")).otherwise(F.col("href"))
@@ -143,7 +143,7 @@ _ARTICLE = "regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>',
 @query(f"SELECT page_id, {s_html_text(_ARTICLE)} AS text FROM pages")
 def page_detail_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     containers = [("div", "description__text"), ("article", None), ("body", None)]
-    return table(spark, sf_dir, "pages").select(
+    return table(spark, sf_dir, "pages", heavy=True).select(
         "page_id", detail_text(F.col("html"), containers, limit=None).alias("text"))
 
 
@@ -249,7 +249,7 @@ SELECT doc_id AS payload_id, 2 AS pos, 'Himalayas' AS platform,
 FROM documents""")
 def nested_feed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One payload per document, with two items that are no objects around the real one."""
-    key, docs = F.col("doc_id"), table(spark, sf_dir, "documents")
+    key, docs = F.col("doc_id"), table(spark, sf_dir, "documents", heavy=True)
     item = F.to_json(F.struct(
         F.concat("lang", F.lit(" Role")).alias("title"), F.col("source").alias("companyName"),
         F.col("source").alias("companySlug"),
@@ -289,7 +289,7 @@ def flat_feed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_custkey") % 2 == 1, " EU ").alias("candidate_required_location"),
         F.when(F.col("o_custkey") % 3 == 0, " $1k ").alias("salary"), F.col("o_totalprice").alias("salary_min"),
         F.lit("<b>Ships</b> &amp; <i>tracks</i>").alias("description")))
-    payloads = table(spark, sf_dir, "orders").select(
+    payloads = table(spark, sf_dir, "orders", heavy=True).select(
         key.alias("payload_id"), F.concat(F.lit('{"jobs":['), item, F.lit("]}")).alias("body"))
     kept = flat_feed(payloads, ["1-URGENT", "2-high", " 3-medium", "4-NOT"])
     return kept.select(
@@ -313,7 +313,7 @@ SELECT doc_id AS page_id, 0 AS pos, CAST(4000000 + doc_id AS VARCHAR) AS job_id_
        CASE WHEN doc_id % 3 = 0 THEN '2026-08-29' ELSE '3 days ago' END AS date_posted, 'python, sql' AS skills
 FROM documents WHERE {_CARD_TITLE} <> ''""")
 def guest_card_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _first_line(table(spark, sf_dir, "documents"))
+    docs = _first_line(table(spark, sf_dir, "documents", heavy=True))
     html = F.concat(
         F.lit('<ul class="results"><li class="x"><div class="base-card">\n<h3 class="a base-search-card__title">\n'),
         html_escape(F.col("line")), F.lit('</h3><h4 class="base-search-card__subtitle"><a href="#"> '), "source",
@@ -355,7 +355,7 @@ def tuple_card_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit('<ul class="tags-gt"><li>'), "p_type", F.lit("</li><li> </li><li>"), F.col("p_size").cast("string"),
             F.lit("</li></ul>"))).otherwise(""),
         F.lit('</div><div class="cust-job-tuple"><a class="title">No link</a></div></section>'))
-    pages = table(spark, sf_dir, "part").select(key.alias("page_id"), html.alias("html"))
+    pages = table(spark, sf_dir, "part", heavy=True).select(key.alias("page_id"), html.alias("html"))
     return tuple_cards(pages, ["forge"]).drop("platform", "salary_range", "skills_required")
 
 
@@ -419,7 +419,7 @@ SELECT doc_id, source AS platform, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id AS
 FROM documents""")
 def raw_json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw objects with numbers, booleans, nulls and empty containers where text is expected."""
-    docs, key = table(spark, sf_dir, "documents"), F.col("doc_id")
+    docs, key = table(spark, sf_dir, "documents", heavy=True), F.col("doc_id")
     item = F.concat(
         F.lit('{"platform":"'), "source", F.lit('","title":'), F.when(key % 3 == 0, "0").otherwise("false"),
         F.lit(',"company":" '), "lang", F.lit(' ","url":{},"job_id_on_platform":'),

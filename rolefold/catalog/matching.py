@@ -61,7 +61,7 @@ _BAND = ("CASE WHEN score IS NULL THEN 'Unevaluated' WHEN score >= 80 THEN 'high
 SELECT doc_id, array_to_string(skills, ', ') AS skills, len(skills) AS n FROM (
   SELECT doc_id, {s_skills('folded', SKILL_LEXICON)} AS skills FROM (SELECT doc_id, {s_fold('text')} AS folded FROM documents))""")
 def skill_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = with_skills(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "skills", SKILL_LEXICON)
+    found = with_skills(table(spark, sf_dir, "documents", heavy=True).select("doc_id", "text"), "text", "skills", SKILL_LEXICON)
     return found.select("doc_id", F.array_join("skills", ", ").alias("skills"), F.size("skills").cast("bigint").alias("n"))
 
 
@@ -72,7 +72,7 @@ SELECT doc_id, len(matched) AS n_matched, len(required) AS n_required,
 FROM hits WHERE len(required) > 0""")
 def skill_coverage_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     profile = resume_profile(table(spark, sf_dir, "benchmark"), lexicon=PROSE_LEXICON)
-    covered = skill_coverage(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", profile)
+    covered = skill_coverage(table(spark, sf_dir, "documents", heavy=True).select("doc_id", "text"), "text", profile)
     score, reasoning = skill_score(F.col("required"), F.col("matched"))
     return covered.filter(F.size("required") > 0).select(
         "doc_id", F.size("matched").cast("bigint").alias("n_matched"), F.size("required").cast("bigint").alias("n_required"),
@@ -84,7 +84,7 @@ WITH {_TOKEN_CTE}
 SELECT doc_id, n_tokens, n_matched, {_TOKEN_SCORE} AS score, {_TOKEN_REASON} AS reasoning FROM cover""")
 def token_coverage_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     profile = resume_profile(table(spark, sf_dir, "benchmark"), lexicon=PROSE_LEXICON)
-    covered = token_coverage(table(spark, sf_dir, "documents"), "doc_id", "text", profile)
+    covered = token_coverage(table(spark, sf_dir, "documents", heavy=True), "doc_id", "text", profile)
     return covered.select("doc_id", F.col("n_tokens").cast("bigint").alias("n_tokens"),
                           F.col("n_matched").cast("bigint").alias("n_matched"), "score", "reasoning")
 
@@ -100,7 +100,7 @@ SELECT doc_id, score, reasoning, {_BAND} AS band FROM (
   FROM hits h JOIN cover c ON h.doc_id = c.doc_id)""")
 def score_router_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     profile = resume_profile(table(spark, sf_dir, "benchmark"), lexicon=PROSE_LEXICON)
-    return score_listings(table(spark, sf_dir, "documents"), "doc_id", "text", profile)
+    return score_listings(table(spark, sf_dir, "documents", heavy=True), "doc_id", "text", profile)
 
 
 _PAIR_SKILLS = s_skills("lf", SKILL_LEXICON)
@@ -119,7 +119,7 @@ SELECT listing_id, resume_id,
   CASE WHEN len(required) > 0 THEN {_SKILL_REASON} ELSE {_TOKEN_REASON} END AS reasoning FROM m""")
 def assigned_pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every listing scored against the one résumé assigned to it."""
-    listings = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("listing_id"), "text")
+    listings = table(spark, sf_dir, "documents", heavy=True).select(F.col("doc_id").alias("listing_id"), "text")
     resumes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("resume_id"), "text")
     how_many = resumes.agg(F.count(F.lit(1))).scalar()
     pairs = listings.select("listing_id", F.pmod("listing_id", how_many).alias("resume_id"))
@@ -180,7 +180,7 @@ _LINES = f"""
 
 @query(f"WITH {_LINES} SELECT doc_id, name, body FROM last_ones")
 def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents", heavy=True).select(
         "doc_id", F.inline(sections(F.col("text"), PROSE_HEADERS)).alias("name", "body"))
 
 
@@ -194,7 +194,7 @@ FROM last_ones GROUP BY doc_id""")
 def section_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.resume_text import pick_section
 
-    named = table(spark, sf_dir, "documents").select(
+    named = table(spark, sf_dir, "documents", heavy=True).select(
         "doc_id", F.map_from_entries(sections(F.col("text"), PROSE_HEADERS)).alias("s")).filter(F.size("s") > 0)
     return named.select("doc_id", pick_section(F.col("s"), _PICK).alias("body"))
 
@@ -224,7 +224,7 @@ SELECT doc_id, CAST(entry AS INTEGER) AS entry,
   coalesce(string_agg(bullet, ' / ' ORDER BY k) FILTER (NOT is_head AND NOT is_role AND bullet <> ''), '') AS bullets
 FROM cells GROUP BY doc_id, entry""")
 def experience_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(experience_entries(F.col("text"))).alias("n", "e"))
+    parsed = table(spark, sf_dir, "documents", heavy=True).select("doc_id", F.posexplode(experience_entries(F.col("text"))).alias("n", "e"))
     return parsed.select(
         "doc_id", (F.col("n") + 1).alias("entry"), "e.company", "e.role", "e.dates", "e.location",
         F.array_join("e.bullets", " / ").alias("bullets"))
@@ -239,7 +239,7 @@ WITH lines AS (SELECT doc_id, {s_strip('l')} AS line, i FROM (
 SELECT doc_id, count(*) AS n, string_agg(part, ' / ' ORDER BY i, j) AS items FROM kept
 WHERE part <> '' AND length(part) < 50 GROUP BY doc_id""")
 def skill_item_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "documents").select("doc_id", skill_items(F.col("text")).alias("items"))
+    items = table(spark, sf_dir, "documents", heavy=True).select("doc_id", skill_items(F.col("text")).alias("items"))
     return items.filter(F.size("items") > 0).select(
         "doc_id", F.size("items").cast("bigint").alias("n"), F.array_join("items", " / ").alias("items"))
 
@@ -255,7 +255,7 @@ SELECT conv_id, turn,
   {_BODY} AS summary, role || ' / tooling' AS skills FROM conversations""")
 def structured_resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns laid out as plain-text résumés and read back."""
-    turns = table(spark, sf_dir, "conversations").withColumn("layout", F.concat(
+    turns = table(spark, sf_dir, "conversations", heavy=True).withColumn("layout", F.concat(
         "text", F.concat(F.lit(" x"), F.col("turn").cast("string"), F.lit("@mail.example.org, more")),
         F.lit("\nSummary:\n"), "text", F.lit("\n\nSKILLS\n• "), "role", F.lit(", ; tooling\n")))
     parsed = structure_resumes(turns, "layout")
@@ -274,9 +274,9 @@ SELECT conv_id AS resume_id, turn AS pos, text, CAST(overlap AS INTEGER) AS over
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY overlap DESC, turn) AS rank FROM scored) WHERE rank <= 5""")
 def top_bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation as bullets, picked for the listing with the conversation's number."""
-    bullets = table(spark, sf_dir, "conversations").select(
+    bullets = table(spark, sf_dir, "conversations", heavy=True).select(
         F.col("conv_id").alias("resume_id"), F.col("turn").alias("pos"), "text")
-    listings = table(spark, sf_dir, "documents").select(
+    listings = table(spark, sf_dir, "documents", heavy=True).select(
         F.col("doc_id").alias("resume_id"), distinct_tokens(F.col("text")).alias("words"))
     return pick_bullets(bullets, listings, ["resume_id"])
 
@@ -291,7 +291,7 @@ k AS (SELECT doc_id, list_filter({_OFFER}, lambda s: contains(low, lower(s)) OR
 SELECT doc_id, array_to_string(CASE WHEN len(kept) > 0 THEN kept ELSE {_OFFER} END, ', ') AS skills FROM k""")
 def tailor_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     offer = F.array(*[F.lit(s) for s in ["Rest API", "La", "thekla", "Qqq", "Der Plan"]])
-    docs = table(spark, sf_dir, "documents").withColumn("words", distinct_tokens(F.col("text")))
+    docs = table(spark, sf_dir, "documents", heavy=True).withColumn("words", distinct_tokens(F.col("text")))
     return docs.select("doc_id", F.array_join(
         relevant_skills(offer, F.col("text"), F.col("words")), ", ").alias("skills"))
 
@@ -301,7 +301,7 @@ def _resume_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.split("text", "\n")
     job = F.struct(F.col("role").alias("company"), F.concat(F.lit("Turn "), F.col("turn").cast("string")).alias("role"),
                    F.lit("2024").alias("dates"), F.lit("").alias("location"), lines.alias("bullets"))
-    return table(spark, sf_dir, "conversations").select(
+    return table(spark, sf_dir, "conversations", heavy=True).select(
         "conv_id", "turn", F.concat(F.lit("P & Q "), F.col("conv_id").cast("string")).alias("name"), F.lit("a@b.org").alias("email"),
         F.lit("555").alias("phone"), F.lit("").alias("summary"), F.array(job).alias("experience"),
         F.array(F.lit("C<D"), F.col("role")).alias("skills"), F.lit("").alias("education"))
@@ -351,7 +351,7 @@ WITH {_BULLET_RANK}
 SELECT conv_id, turn, {_s_page("bullets", _SUMMARY, "CASE WHEN len(kept) > 0 THEN kept ELSE ['C<D', role] END")} AS html FROM fit""")
 def tailored_resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn's résumé tailored to the listing numbered like its conversation, then rendered."""
-    listings = table(spark, sf_dir, "documents").select(
+    listings = table(spark, sf_dir, "documents", heavy=True).select(
         F.col("doc_id").alias("conv_id"), F.col("source").alias("employer"), F.col("text").alias("description"))
     rows = _resume_rows(spark, sf_dir).join(listings, "conv_id").withColumn("wanted", F.col("skills")[1])
     made = tailor(rows, "wanted", "employer", "description")

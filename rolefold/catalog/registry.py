@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.rows import spread
 from ..functions.text import HTML_ENTITIES, SPACE_RANGES, WHITESPACE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,8 +26,9 @@ def query(sql: str | None = None):
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+    scan = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(scan) if heavy else scan
 
 
 # -- oracle SQL ------------------------------------------------------------------------------

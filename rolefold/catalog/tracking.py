@@ -349,7 +349,7 @@ UNION ALL SELECT id, source, job_id, true FROM new""")
 def upsert_is_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents are stored first; then all of them arrive."""
     store = ListingStore(spark, run_dir(spark, "upsert"))
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", heavy=True)
     labels = table(spark, sf_dir, "labels").select("doc_id")
 
     def batch(df: DataFrame) -> DataFrame:
@@ -375,7 +375,7 @@ SELECT count(*) AS total_scraped, count(*) AS newly_stored, count(*) AS evaluate
   count(*) FILTER (n > 0 AND floor(hit / n * 100) >= 70) AS ready, 'success' AS status, 1 AS n_errors FROM m""")
 def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A complete run over a landed feed, with a second source that fails."""
-    docs, key = table(spark, sf_dir, "documents"), F.col("doc_id")
+    docs, key = table(spark, sf_dir, "documents", heavy=True), F.col("doc_id")
     item = F.to_json(F.struct(
         F.concat("lang", F.lit(" Role")).alias("title"), F.col("source").alias("companyName"),
         F.concat(F.lit("<p>"), "text", F.lit("</p>")).alias("description"),

@@ -11,6 +11,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .rows import settle
 from .text import NO_WORD_AFTER, NO_WORD_BEFORE, SPACE_CLASS, WORD_CLASS, WORD_PATTERN, fold_case
 
 # Skill names and their patterns, in reporting order.
@@ -144,4 +145,4 @@ def with_skills(df: DataFrame, text: str, out: str, lexicon: Lexicon = SKILL_LEX
         return F.contains(F.col(folded), F.lit(literal)) & test if literal else test
 
     found = F.array_compact(F.array(*[F.when(hit(n, p), F.lit(n)) for n, p in lexicon]))
-    return df.withColumn(out, found).drop(folded, words)
+    return settle(df, {out: found}, [c for c in df.columns if c not in (folded, words)])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # The characters a Unicode-aware strip removes and ``\s`` matches.
@@ -79,10 +82,6 @@ def html_to_text(col: Column, decode_entities: bool = True) -> Column:
 
 def html_to_text_full(col: Column) -> Column:
     """Same, with the complete HTML entity table (Arrow batches instead of JVM code)."""
-    import html
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decode(values: pd.Series) -> pd.Series:
         return values.map(html.unescape, na_action="ignore")

@@ -77,11 +77,6 @@ def skill_coverage(listings: DataFrame, text: str, profile: ResumeProfile) -> Da
     return found.withColumn("matched", F.array_intersect("required", profile.skill_list()))
 
 
-def count_up_to(df: DataFrame, limit: int) -> int:
-    """Row count, not looking further than one past ``limit``."""
-    return df.limit(limit + 1).count()
-
-
 def match_tokens(
     df: DataFrame, key: str, tokens: str, vocabulary: DataFrame,
     inline_limit: int = INLINE_TOKENS, broadcast_limit: int = BROADCAST_TOKENS,
@@ -92,7 +87,7 @@ def match_tokens(
     broadcast of the vocabulary, or by a shuffled join in which frequent tokens are spread over
     several tasks.
     """
-    size = count_up_to(vocabulary, broadcast_limit)
+    size = vocabulary.count()
     if size <= inline_limit:
         listed = F.coalesce(vocabulary.agg(F.collect_set("token")).scalar(), F.array().cast("array<string>"))
         both = df.withColumn("__both", F.array_intersect(tokens, listed))

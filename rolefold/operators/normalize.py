@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..functions.rows import settle
 from ..functions.text import blank_to_null, hash_key, strip
 from ..functions.values import NOT_SPECIFIED
 from ..schemas import CONTRACT_FIELDS
@@ -91,7 +92,7 @@ def raw_from_json(df: DataFrame, body: str = "body") -> DataFrame:
     Zero, false, empty lists and empty objects count as missing, as they do in the source data's
     own language. Other non-text values keep their JSON text.
     """
-    parsed = df.withColumn("__v", F.try_parse_json(body)).filter(
+    parsed = settle(df, {"__v": F.try_parse_json(body)}).filter(
         F.startswith(F.schema_of_variant("__v"), F.lit("OBJECT")))
 
     def field(name: str) -> Column:

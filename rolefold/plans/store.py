@@ -20,7 +20,6 @@ from ..schemas import EVENTS, LISTINGS, SCORES
 from ..session import materialise
 
 TABLES = {"listings": LISTINGS, "scores": SCORES, "events": EVENTS}
-PARTITIONED = {"listings": ["platform_key"]}
 
 
 class ListingStore:
@@ -53,10 +52,7 @@ class ListingStore:
         shaped = rows.select(*[
             (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in schema.fields])
-        writer = shaped.write.mode("append")
-        if table in PARTITIONED:
-            writer = writer.partitionBy(*PARTITIONED[table])
-        writer.parquet(self._path(table, version))
+        shaped.write.mode("append").parquet(self._path(table, version))
 
     def _switch(self, tables: dict[str, DataFrame]) -> None:
         following = self.version() + 1
@@ -79,14 +75,16 @@ class ListingStore:
             normalize_listings(batch), order or ["job_id_on_platform", "title"])), "batch")
         stored = self.read("listings").select("id", "platform_key", "job_id_on_platform")
         keys = ["platform_key", "job_id_on_platform"]
-        fresh = unique.join(stored, keys, "left_anti")
-        last = self.read("listings").agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        # One read of the new rows gives them their ids and is what gets stored.
-        numbered = materialise(with_position(fresh, keys).withColumn("id", F.col("pos") + 1 + F.lit(last)), "new")
-        known = materialise(unique.join(stored, keys).select("id", *keys), "known")
-        self.append("listings", numbered.withColumns({"scraped_at": now, "created_at": now}))
-        return known.withColumn("is_new", F.lit(False)).unionByName(
-            numbered.select("id", *keys).withColumn("is_new", F.lit(True)))
+        arrived = unique.select(*keys)
+        known = materialise(arrived.join(stored, keys).select("id", *keys), "known")
+        last = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        # Only the keys are sorted to get their numbers; the listings themselves are joined to them.
+        fresh = with_position(arrived.join(stored, keys, "left_anti"), keys)
+        fresh = materialise(fresh.select((F.col("pos") + 1 + F.lit(last)).alias("id"), *keys), "new")
+        # Sorted within each file, so that a scan for one platform skips row groups.
+        rows = unique.join(fresh, keys).sortWithinPartitions(*keys)
+        self.append("listings", rows.withColumns({"scraped_at": now, "created_at": now}))
+        return known.withColumn("is_new", F.lit(False)).unionByName(fresh.withColumn("is_new", F.lit(True)))
 
     def apply_scores(self, scores: DataFrame, now: Column) -> None:
         """``job_id, match_score, match_reasoning[, evaluation_details]``; the latest one counts."""

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.rows import settle
 from ..functions.text import blank_to_null, strip, strip_tags, unescape, url_id
 from ..functions.values import NOT_SPECIFIED
 from ..operators.dedup import first_per_page
@@ -63,8 +64,10 @@ def _finish(df: DataFrame, portal: str, limit: int | None) -> DataFrame:
         "date_posted", "skills", F.col("skills").alias("skills_required"))
 
 
-def _cards(pages: DataFrame, cards: Column) -> DataFrame:
-    return pages.select("page_id", F.posexplode(cards).alias("pos", "card"))
+def _read(pages: DataFrame, cards: Column, fields: list[Column]) -> DataFrame:
+    """Cut out the cards and read the fields of each card once."""
+    cut = pages.select("page_id", F.posexplode(cards).alias("pos", "card"))
+    return cut.select("page_id", "pos", F.inline(F.array(F.struct(*fields))))
 
 
 def guest_cards(
@@ -82,8 +85,7 @@ def guest_cards(
     link = F.coalesce(open_tag(card, "a", "base-card__full-link"),
                       F.regexp_extract(card, r'(?is)<a\b[^>]*href\s*=\s*"[^"]*/jobs/view/[^"]*"[^>]*>', 0))
     when_tag = open_tag(card, "time")
-    rows = _cards(pages, cards).select(
-        "page_id", "pos",
+    rows = _read(pages, cards, [
         joined_text(F.coalesce(inner(card, "h3", "base-search-card__title"),
                                inner(card, r"[a-z0-9]+", "base-card__title"), F.lit(""))).alias("title"),
         joined_text(F.coalesce(inner(card, "h4", "base-search-card__subtitle"),
@@ -94,10 +96,10 @@ def guest_cards(
             blank_to_null(attribute(when_tag, "datetime")), joined_text(inner(card, "time")))).alias("date_posted"),
         F.coalesce(joined_text(inner(card, "span", "job-search-card__salary-info")), F.lit(NOT_SPECIFIED))
         .alias("salary"),
-    ).filter((F.col("title") != "") & (F.col("company") != "") & (F.col("url") != ""))
+    ]).filter((F.col("title") != "") & (F.col("company") != "") & (F.col("url") != ""))
     if details is not None:
         landed = details.select("url", detail_text(F.col("html"), limit=description_limit).alias("detail"))
-        rows = rows.join(landed.dropDuplicates(["url"]), "url", "left")
+        rows = rows.join(landed.groupBy("url").agg(F.max("detail").alias("detail")), "url", "left")
     else:
         rows = rows.withColumn("detail", F.lit(None).cast("string"))
     template = F.format_string("%s at %s in %s. Remote opportunities available.", "title", "company", "location")
@@ -127,8 +129,7 @@ def tuple_cards(
                     lambda t: t != "")
     title_tag = open_tag(card, "a", "title")
     own_id = attribute(F.regexp_extract(card, r"(?is)^<[^>]*>", 0), "data-job-id")
-    rows = _cards(pages, pieces_from(F.col("html"), starts)).select(
-        "page_id", "pos",
+    rows = _read(pages, pieces_from(F.col("html"), starts), [
         F.coalesce(field("a", "title"), F.lit("")).alias("title"),
         F.coalesce(attribute(title_tag, "href"), F.lit("")).alias("url"),
         F.coalesce(field("a", "comp-name", "subTitle"), F.lit("Naukri Recruiter")).alias("company"),
@@ -137,7 +138,7 @@ def tuple_cards(
         F.coalesce(field("span", "loc-wrap", "locWdth"), F.lit("India")).alias("location"),
         F.coalesce(field("div|span", "job-desc", "row6"), F.lit("")).alias("snippet"),
         F.array_join(tags, ", ").alias("tags"), own_id.alias("own_id"),
-    ).filter((F.col("title") != "") & (F.col("url") != ""))
+    ]).filter((F.col("title") != "") & (F.col("url") != ""))
     template = F.format_string(
         "%s at %s.\nLocation: %s\nExperience: %s\nSalary: %s\nDescription: %s\nSkills: %s",
         "title", "company", "location", "experience", "salary", "snippet", "tags")
@@ -193,10 +194,10 @@ def link_cards(
 
     heading = F.regexp_extract(
         card, r'(?is)(?:<p\b[^>]*>|<([a-z0-9]+)\b[^>]*data-testid\s*=\s*"job_title"[^>]*>)(.*?)</(?:p|\1)\s*>', 2)
-    rows = _cards(pages, links).select(
-        "page_id", "pos", attribute(card, "href").alias("href"), shown_text(heading).alias("heading"),
+    rows = _read(pages, links, [
+        attribute(card, "href").alias("href"), shown_text(heading).alias("heading"),
         all_texts("p").alias("paragraphs"), all_texts("span").alias("spans"),
-    ).filter(F.col("href") != "")
+    ]).filter(F.col("href") != "")
 
     def of_kind(kind: str) -> Column:
         return F.filter("spans", lambda s: classify_span(s) == kind)
@@ -243,7 +244,7 @@ def anchor_cards(
     # The first link to a URL decides, even when it is dropped for its text afterwards.
     first = first_per_page(anchors, "page_id", "url", ["section_no", "anchor_no"])
     salary = F.regexp_extract(F.array_join("lines", "\n"), r"(\$[0-9]+k?\s*[-\x{2013}\x{2014}]\s*\$[0-9]+k?)", 1)
-    rows = first.withColumn("title", shown_text(F.col("card"))).filter(
+    rows = settle(first, {"title": shown_text(F.col("card"))}).filter(
         (F.col("title") != "") & (F.length("title") <= 100)
     ).select(
         "page_id", (F.shiftleft(F.col("section_no").cast("bigint"), 32) + F.col("anchor_no")).alias("pos"),

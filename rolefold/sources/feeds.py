@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.rows import settle
 from ..functions.text import (
-    blank_to_null, contains_any, html_to_text, last_segment, strip, title_slug,
+    blank_to_null, contains_any, html_to_text, last_segment, split_keywords, strip, title_slug,
 )
 from ..functions.values import (
     date_before_t, date_from_epoch, date_prefix, salary_in_dollars, salary_with_currency,
@@ -55,6 +56,19 @@ def _listing_columns(description_limit: int | None) -> list:
     ]
 
 
+def _mapped(payloads: DataFrame, columns: list[Column]) -> DataFrame:
+    """Read the fields of every item once, whatever is filtered or derived from them later."""
+    return feed_items(payloads).select("payload_id", "pos", F.inline(F.array(F.struct(*columns))))
+
+
+def _matching(mapped: DataFrame, fields: list[str], keywords) -> DataFrame:
+    """Items in which any keyword occurs; each item's text is put together once."""
+    if not split_keywords(keywords):
+        return mapped
+    hay = settle(mapped, {"__hay": F.lower(F.concat_ws(" ", *fields))})
+    return hay.filter(contains_any(F.col("__hay"), keywords)).drop("__hay")
+
+
 def nested_feed(
     payloads: DataFrame, keywords=None, platform: str = "Himalayas",
     description_limit: int | None = DESCRIPTION_LIMIT,
@@ -66,8 +80,8 @@ def nested_feed(
     places = _get("locationRestrictions", "array<string>")
     guid = blank_to_null(strip(_get("guid")))
     numeric_date = _kind("pubDate").rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-    mapped = feed_items(payloads).select(
-        "payload_id", "pos", F.lit(platform).alias("platform"),
+    mapped = _mapped(payloads, [
+        F.lit(platform).alias("platform"),
         last_segment(guid).alias("job_id_on_platform"),
         title.alias("title"), _text("companyName").alias("company"),
         html_to_text(_get("description")).alias("description"),
@@ -80,9 +94,8 @@ def nested_feed(
         F.when(F.size(places) > 0, F.array_join(places, ", ")).otherwise(F.lit(ANYWHERE)).alias("location"),
         F.when(numeric_date, date_from_epoch(_get("pubDate", "double")))
         .otherwise(date_prefix(_get("pubDate"))).alias("date_posted"),
-    )
-    haystack = F.lower(F.concat_ws(" ", "title", "company", "description", "tags"))
-    return mapped.filter(contains_any(haystack, keywords)).select(*_listing_columns(description_limit))
+    ])
+    return _matching(mapped, ["title", "company", "description", "tags"], keywords).select(*_listing_columns(description_limit))
 
 
 def flat_feed(
@@ -92,8 +105,8 @@ def flat_feed(
     """Feed with snake-case fields, a tag list and ISO dates."""
     number = _get("id")
     tags = F.when(F.startswith(_kind("tags"), F.lit("ARRAY")), F.array_join(_get("tags", "array<string>"), ", "))
-    mapped = feed_items(payloads).select(
-        "payload_id", "pos", F.lit(platform).alias("platform"),
+    mapped = _mapped(payloads, [
+        F.lit(platform).alias("platform"),
         F.when(~number.isin("", "0"), number).alias("job_id_on_platform"),
         _text("title").alias("title"), _text("company_name").alias("company"),
         _text("category").alias("category"),
@@ -104,6 +117,5 @@ def flat_feed(
         F.coalesce(tags, _text("tags")).alias("tags"),
         F.coalesce(blank_to_null(_get("candidate_required_location")), F.lit(ANYWHERE)).alias("location"),
         date_before_t(_get("publication_date")).alias("date_posted"),
-    )
-    haystack = F.lower(F.concat_ws(" ", "title", "company", "tags", "category", "description"))
-    return mapped.filter(contains_any(haystack, keywords)).select(*_listing_columns(description_limit))
+    ])
+    return _matching(mapped, ["title", "company", "tags", "category", "description"], keywords).select(*_listing_columns(description_limit))
