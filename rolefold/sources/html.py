@@ -43,12 +43,14 @@ def balanced_inner(html: Column, tag: str, *classes: str) -> Column:
     after = F.regexp_replace(html, f"(?is)^.*?{start}", "")
 
     def cut(pieces: Column) -> Column:
-        # Every piece but the first begins with an opening or closing tag.
-        step = lambda p: F.when(F.lower(F.substring(p, 1, 2)) == "</", -1).otherwise(1)
+        # The first piece may be plain text, every other one begins with a tag.
+        def step(piece: Column) -> Column:
+            return F.when(piece.rlike(rf"(?i)^</{tag}\s*>"), -1).when(piece.rlike(rf"(?i)^<{tag}\b"), 1).otherwise(0)
+
         state = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("kept"), F.lit(False).alias("closed"))
 
         def advance(acc: Column, piece: Column) -> Column:
-            depth = F.when(acc["kept"] == 0, acc["depth"]).otherwise(acc["depth"] + step(piece))
+            depth = acc["depth"] + step(piece)
             closed = acc["closed"] | (depth < 0)
             return F.struct(depth.alias("depth"), F.when(closed, acc["kept"]).otherwise(acc["kept"] + 1).alias("kept"),
                             closed.alias("closed"))

@@ -10,15 +10,15 @@ from ..schemas import RESUME
 
 def read_text_resumes(spark: SparkSession, path: str) -> DataFrame:
     """One résumé per text file; undecodable bytes become replacement characters."""
-    files = spark.read.format("binaryFile").load(path)
-    texts = files.select(F.col("path").alias("resume_id"), F.expr("decode(content, 'UTF-8')").alias("raw_text"))
+    texts = spark.read.text(path, wholetext=True).select(
+        F.input_file_name().alias("resume_id"), F.make_valid_utf8("value").alias("raw_text"))
     return structure_resumes(texts, "raw_text").select(*RESUME.fieldNames(), "raw_text")
 
 
 def read_json_resumes(spark: SparkSession, path: str) -> DataFrame:
     """One résumé object per JSON file; a defective file gives a row of nulls."""
     files = spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("resume_id"), F.col("value").alias("raw_text"))
+        F.input_file_name().alias("resume_id"), F.make_valid_utf8("value").alias("raw_text"))
     return json_resumes(files)
 
 
