@@ -26,18 +26,23 @@ class ResumeProfile:
 
     skills: DataFrame
     tokens: DataFrame
+    text_present: DataFrame  # one row, one boolean
     lexicon: Lexicon
 
     def skill_list(self) -> Column:
         """The skills as a one-row subquery; never longer than the lexicon."""
         return F.coalesce(self.skills.agg(F.collect_set("skill")).scalar(), F.array().cast("array<string>"))
 
+    def has_text(self) -> Column:
+        return F.coalesce(self.text_present.scalar(), F.lit(False))
+
 
 def resume_profile(passages: DataFrame, text: str = "text", lexicon: Lexicon = SKILL_LEXICON) -> ResumeProfile:
     """Profile of a résumé given as any number of text rows; each row is read on its own."""
     skills = with_skills(passages.select(text), text, "found", lexicon).select(F.explode("found").alias("skill"))
     words = passages.select(F.explode(distinct_tokens(F.col(text))).alias("token"))
-    return ResumeProfile(skills.distinct(), words.distinct(), lexicon)
+    present = passages.agg(F.max(strip(F.col(text)) != ""))
+    return ResumeProfile(skills.distinct(), words.distinct(), present, lexicon)
 
 
 def share(matched: Column, total: Column) -> Column:
@@ -120,8 +125,7 @@ def score_listings(listings: DataFrame, key: str, text: str, profile: ResumeProf
 
     Returns ``key, score, reasoning, band``.
     """
-    empty_resume = profile.tokens.isEmpty() and profile.skills.isEmpty()
-    blank = F.lit(empty_resume) | (strip(F.coalesce(F.col(text), F.lit(""))) == "")
+    blank = ~profile.has_text() | (strip(F.coalesce(F.col(text), F.lit(""))) == "")
     routed = skill_coverage(listings.select(key, text), text, profile)
     by_skill, skill_reason = skill_score(F.col("required"), F.col("matched"))
     direct = blank | (F.size("required") > 0)

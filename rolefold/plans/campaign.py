@@ -10,16 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.lexicon import SKILL_LEXICON, Lexicon
 from ..functions.text import split_keywords
 from ..operators.coverage import resume_profile, score_listings
-from ..operators.lifecycle import created_events, without_application
+from ..operators.lifecycle import created_events
 from ..operators.ordering import with_position
 from ..operators.tailoring import rendered, tailor
 from ..schemas import RESUME, RUN_METRICS
 from ..session import materialise
+from ..sources.resumes import resolve_resume
 from ..sources.registry import collect_listings
-from .queues import candidate_queue, pending_queue
+from .queues import candidate_queue, good_matches, pending_queue, waiting_for_score
 from .store import ListingStore
 
-DEFAULT_RESUME_TEXT = "Software and Data Engineer with AI automation experience."  # fixed value
 DEFAULT_KEYWORDS = "Software Engineer, Data Engineer"  # fixed value
 PIPELINE_NOTE = "Auto-tailored by pipeline"  # fixed value
 RESUME_FIELDS = [f for f in RESUME.fieldNames() if f != "resume_id"]
@@ -36,7 +36,10 @@ def evaluate_pending(
     store: ListingStore, resume: DataFrame, now: Column, limit: int | None = 100, lexicon: Lexicon = SKILL_LEXICON,
 ) -> int:
     """Score the pending queue against one résumé; returns how many listings were scored."""
-    queue = materialise(pending_queue(store.listings(), store.applications(), limit), "pending")
+    listings, applications = store.listings(), store.applications()
+    # Without a limit the order does not matter, so nothing is sorted.
+    queue = (waiting_for_score(listings, applications) if limit is None
+             else pending_queue(listings, applications, limit))
     profile = resume_profile(resume_text(resume), lexicon=lexicon)
     scores = materialise(score_listings(queue, "id", "description", profile), "scores")
     store.apply_scores(scores.select(
@@ -48,26 +51,28 @@ def tailor_candidates(
     store: ListingStore, resume: DataFrame, now: Column, min_score: int = 70, limit: int | None = 50,
 ) -> int:
     """Create a ready application with a tailored résumé for each candidate listing."""
-    queue = candidate_queue(store.listings(), store.applications(), min_score, limit)
+    listings, applications = store.listings(), store.applications()
+    queue = (good_matches(listings, applications, min_score) if limit is None
+             else candidate_queue(listings, applications, min_score, limit))
+    # Ids are given to the bare keys; the wide rows are made and written in a single pass.
+    numbered = with_position(queue.select("id"), [F.col("id")])
     # The single résumé row becomes a literal of the plan; no join is involved.
     fields = [c for c in resume.columns if c in RESUME_FIELDS]
     one = resume.select(F.struct(*fields)).scalar()
-    shaped = queue.select("id", "title", "company", "description", one.alias("r")).select(
-        F.col("id").alias("job_id"), "title", "company", "description", "r.*")
+    first = store.next_event_id()
+    shaped = queue.join(numbered, "id").select(
+        F.col("id").alias("job_id"), (F.col("pos") + first).alias("event_id"), "title", "company", "description",
+        one.alias("r")).select("job_id", "event_id", "title", "company", "description", "r.*")
     shaped = shaped.withColumns({
-        f.name: F.coalesce(F.col(f.name), F.array().cast(f.dataType)) if f.name in fields else F.lit(None).cast(f.dataType)
-        for f in RESUME.fields if f.name in ("experience", "skills")
-    } | {f.name: F.lit(None).cast(f.dataType) for f in RESUME.fields if f.name in RESUME_FIELDS and f.name not in fields
-         and f.name not in ("experience", "skills")})
+        f.name: F.coalesce(F.col(f.name) if f.name in fields else F.lit(None), F.array()).cast(f.dataType)
+        if f.dataType.typeName() == "array" else (F.col(f.name) if f.name in fields else F.lit(None)).cast(f.dataType)
+        for f in RESUME.fields if f.name in RESUME_FIELDS})
     made = tailor(shaped)
     done = made.select(
-        "job_id", F.to_json(F.struct(*RESUME_FIELDS)).alias("resume_json"), rendered(made).alias("resume_html"),
+        "job_id", "event_id", F.col("event_id").alias("application_id"),
+        F.to_json(F.struct(*RESUME_FIELDS)).alias("resume_json"), rendered(made).alias("resume_html"),
         F.lit(PIPELINE_NOTE).alias("notes"))
-    fresh = with_position(without_application(done, store.read("events")), [F.col("job_id")])
-    first = store.next_event_id()
-    numbered = materialise(fresh.withColumns({
-        "event_id": F.col("pos") + first, "application_id": F.col("pos") + first}), "created")
-    store.append_events(created_events(numbered, now))
+    store.append_events(created_events(done, now))
     return numbered.count()
 
 
@@ -87,7 +92,7 @@ def run_campaign(
 ) -> DataFrame:
     """One row of run metrics. A failing source is listed under ``errors``; the run goes on."""
     if resume is None:
-        resume = spark.createDataFrame([(DEFAULT_RESUME_TEXT,)], "raw_text string")
+        resume = resolve_resume(spark)
     wanted = split_keywords(keywords or DEFAULT_KEYWORDS)
     found, errors = collect_listings(landed, spark, wanted, limit_per_source, enabled_sources)
     found = materialise(found, "collected")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.resume_text import structure_resumes
@@ -29,3 +31,27 @@ def json_resumes(df: DataFrame, text: str = "raw_text") -> DataFrame:
     return parsed.select(
         "resume_id", *[F.col(f"__r.{c}").alias(c) for c in RESUME.fieldNames() if c != "resume_id"],
         F.col(text).alias("raw_text"))
+
+
+DEFAULT_RESUME_TEXT = "Software and Data Engineer with AI automation experience."  # fixed value
+
+
+def resolve_resume(
+    spark: SparkSession, resume: dict | str | None = None, text: str | None = None, base: DataFrame | None = None,
+) -> DataFrame:
+    """The one résumé of a run, as a single row: an object, JSON or raw text, the stored one, or a default."""
+    if isinstance(resume, str) and resume:
+        try:
+            resume = json.loads(resume)
+        except ValueError:
+            resume = {"raw_text": resume}
+    if isinstance(resume, dict) and resume:
+        if set(resume) == {"raw_text"}:
+            return spark.createDataFrame([(resume["raw_text"],)], "raw_text string")
+        one = spark.createDataFrame([("given", json.dumps(resume))], "resume_id string, raw_text string")
+        return json_resumes(one).drop("resume_id")
+    if text:
+        return spark.createDataFrame([(text,)], "raw_text string")
+    if base is not None and not base.isEmpty():
+        return base
+    return spark.createDataFrame([(DEFAULT_RESUME_TEXT,)], "raw_text string")

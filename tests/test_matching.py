@@ -58,6 +58,10 @@ def test_empty_resume_scores_nothing(spark):
     assert scored(spark, LISTINGS[:3], "  ") == [(0, "No content provided to evaluate.")] * 3
 
 
+def test_resume_without_words_is_still_a_resume(spark):
+    assert scored(spark, LISTINGS, "12 34 !") == [expected_score(x, "12 34 !") for x in LISTINGS]
+
+
 WORDS = ["python", "latte", "art", "the", "Rust", "coffee", "x", "été", "guards", "role", "go", "sql", "data science", "café"]
 
 

@@ -6,14 +6,16 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from rolefold.__main__ import main
 from rolefold.operators.lifecycle import stage_events
 from rolefold.plans.board import stage_counts
 from rolefold.plans.campaign import run_campaign
 from rolefold.plans.queues import pending_queue
 from rolefold.plans.store import ListingStore
+from rolefold.plans.tracker import Tracker
 from rolefold.schemas import RESUME
 from rolefold.session import run_dir, shared_dir
-from rolefold.sources.resumes import json_resumes, read_text_resumes
+from rolefold.sources.resumes import json_resumes, read_text_resumes, resolve_resume
 from rolefold.streaming.ingest import append_events, ingest_once, live_board, read_ingested, stream_files
 
 NOW = F.lit("2026-09-01 00:00:00").cast("timestamp")
@@ -94,6 +96,19 @@ def test_run_and_rerun(spark, store):
     assert {r["stage"]: r["n"] for r in stage_counts(spark, store.applications()).collect()}["Applied"] == 1
 
 
+def test_command_line(spark):
+    base = run_dir(spark, "cli")
+    body = json.dumps({"jobs": [{"id": 5, "title": "Python Dev", "description": "python"}]})
+    spark.createDataFrame([(body,)], "value string").coalesce(1).write.text(f"{base}/landed/Remotive")
+    html = '<div class="tuple"><a class="title" href="/python-1234567">Python</a></div>'
+    spark.createDataFrame([(1, "u", html)], "page_id bigint, url string, html string").write.parquet(f"{base}/landed/Naukri")
+    spark.createDataFrame([("Ada\nSkills\npython",)], "value string").coalesce(1).write.text(f"{base}/resume")
+    args = ["--root", f"{base}/store", "--landed", f"{base}/landed", "--keywords", "python", "--resume-path", f"{base}/resume"]
+    row = main(args)
+    assert (row["total_scraped"], row["newly_stored"], row["evaluated"], row["ready"], row["errors"]) == (2, 2, 2, 2, [])
+    assert main([*args, "--sources", "Remotive"])["total_scraped"] == 1
+
+
 def test_threshold(spark, store):
     landed = {"Remotive": feed(spark, {"id": 1, "title": "x", "description": "Python and Rust"})}
     resume = spark.createDataFrame([("python",)], "raw_text string")
@@ -101,6 +116,55 @@ def test_threshold(spark, store):
     assert run_campaign(spark, store, landed, NOW, resume, ["x"], min_score=50).first()["ready"] == 1
 
 
+def test_tracker(spark, store):
+    tracker = Tracker(store)
+    store.upsert_listings(batch(spark, [("A", "1", "one"), ("A", "2", "two"), ("B", "3", "three")]), NOW)
+    jobs = spark.createDataFrame([(1, "first"), (2, None)], "job_id bigint, notes string")
+    made = {r["job_id"]: r["application_id"] for r in tracker.create(jobs, NOW).collect()}
+    again = tracker.create(spark.createDataFrame([(2,), (3,)], "job_id bigint"), NOW, "Applied").collect()
+    assert {r["job_id"]: r["is_new"] for r in again} == {2: False, 3: True}
+    later = NOW + F.expr("interval 1 day")
+    moves = spark.createDataFrame([(made[1], "Applied", None), (999, "Offer", None)], "application_id bigint, stage string, note string")
+    assert [r[0] for r in tracker.move(moves, later).collect()] == [999]
+    notes = spark.createDataFrame([(made[1], "n", "2026-10-01"), (998, "x", None)], "application_id bigint, notes string, follow_up_date string")
+    assert [r[0] for r in tracker.annotate(notes, later + F.expr("interval 1 hour")).collect()] == [998]
+    assert tracker.mark_applied(spark.createDataFrame([(made[2],)], "application_id bigint"), later).count() == 0
+    assert {r["stage"]: r["n"] for r in tracker.stage_counts().collect() if r["n"]} == {"Applied": 3}
+    assert [r["stage"] for r in tracker.timeline(made[1]).collect()] == ["Ready to Apply", "Applied", "Applied"]
+    row = tracker.applications().filter(F.col("id") == made[1]).first()
+    assert (row["notes"], str(row["follow_up_date"]), row["status"]) == ("n", "2026-10-01 00:00:00", "Applied")
+    assert tracker.table().count() == tracker.board().count() == 3 and tracker.ready().count() == 0
+    assert tracker.pending().count() == tracker.candidates().count() == 0 and tracker.listings().count() == 3
+    assert all(r["is_applied"] for r in tracker.applied_flags().collect())
+    assert tracker.history().filter(F.col("application_id") == made[1]).count() == 2
+    assert {r["status"] for r in store.listings().collect()} == {"applied"}
+
+
+def test_older_files_without_newer_columns_read_as_null(spark, store):
+    spark.createDataFrame([(7, "P", "k", "p")], "id bigint, platform string, job_id_on_platform string, platform_key string").write.parquet(
+        f"{store.root}/v000000/listings")
+    (row,) = store.read("listings").collect()
+    assert row["id"] == 7 and row["salary_range"] is None
+    store.upsert_listings(batch(spark, [("P", "k", "t"), ("P", "l", "t")]), NOW)
+    assert store.read("listings").count() == 2
+
+
+def test_resume_choice(spark):
+    texts = [resolve_resume(spark, *args).first().asDict() for args in (
+        ({"name": "Ada", "skills": ["Go"]},), ('{"name": "Bob"}',), ("plain words",), (None, "free text"), (None, None))]
+    assert (texts[0]["name"], texts[0]["skills"], texts[1]["name"]) == ("Ada", ["Go"], "Bob")
+    assert [t["raw_text"] for t in texts[2:4]] == ["plain words", "free text"] and "Data Engineer" in texts[4]["raw_text"]
+    base = spark.createDataFrame([("stored",)], "raw_text string")
+    assert resolve_resume(spark, base=base).first()["raw_text"] == "stored"
+
+
+def test_undecodable_resume_bytes_are_replaced(spark):
+    base = run_dir(spark, "bytes")
+    spark.sql("select x'416461FF0A536B696C6C730A476F' as value").selectExpr("cast(value as string) value").coalesce(1).write.text(base)
+    (row,) = read_text_resumes(spark, base).collect()
+    assert row["name"] == "Ada\ufffd" and row["skills"] == ["Go"]
+
+
 def test_streamed_ingest_stores_each_key_once(spark):
     base = run_dir(spark, "stream")
     rows = [[(1, "a"), (2, "b"), (3, "a")], [(4, "b"), (5, "c")], [(6, "a")]]
