@@ -13,7 +13,7 @@ import argparse
 from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession, functions as F
 
-from .functions.text import split_keywords
+from .functions.text import keyword_terms
 from .plans.campaign import run_campaign
 from .plans.store import ListingStore
 from .session import build_session
@@ -56,7 +56,7 @@ def main(argv: list[str] | None = None) -> dict:
         resume = read(spark, args.resume_path).drop("resume_id")
     metrics = run_campaign(
         spark, ListingStore(spark, args.root), landed_sources(spark, args.landed), F.current_timestamp(), resume,
-        split_keywords(args.keywords), args.min_score, args.limit_per_source,
+        keyword_terms(args.keywords), args.min_score, args.limit_per_source,
         [s.strip() for s in args.sources.split(",")] if args.sources else None)
     row = metrics.first().asDict()
     for name in ("total_scraped", "newly_stored", "evaluated", "ready", "errors"):

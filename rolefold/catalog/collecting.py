@@ -398,7 +398,9 @@ FROM (
   UNION ALL
   SELECT s_suppkey, CAST(50000 + s_suppkey AS VARCHAR), 'Engineer ' || s_nationkey, s_name,
          'https://wellfound.com/jobs/' || (50000 + s_suppkey) || '-engineer',
-         CASE WHEN s_suppkey % 2 = 0 THEN '$' || (100 + s_nationkey) || 'k – $200k' ELSE 'Not specified' END FROM supplier)""")
+         CASE WHEN s_suppkey % 2 = 0 THEN '$' || (100 + s_nationkey) || 'k – $200k' ELSE 'Not specified' END FROM supplier
+  UNION ALL
+  SELECT s_suppkey, '66666', 'Footer job', 'Startup Employer', 'https://wellfound.com/jobs/66666-x', 'Not specified' FROM supplier)""")
 def anchor_card_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("s_suppkey")
     link = F.concat(F.lit('<a href="/jobs/'), (key + 50_000).cast("string"), F.lit('-engineer">'))
@@ -407,7 +409,7 @@ def anchor_card_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('<div class="styles_result__a"><h2>'), "s_name", F.lit("</h2><div>Hiring</div>"),
         link, F.lit("Engineer "), F.col("s_nationkey").cast("string"), F.lit("</a>"),
         F.when(key % 2 == 0, F.concat(F.lit("<p>$"), (F.col("s_nationkey") + 100).cast("string"), F.lit("k – $200k</p>"))).otherwise(""),
-        link, F.lit("Again</a>"), F.lit('<a href="/jobs/7"></a></div>'))
+        link, F.lit("Again</a>"), F.lit('<a href="/jobs/7"></a></div><footer><div><a href="/jobs/66666-x">Footer job</a></div></footer>'))
     pages = table(spark, sf_dir, "supplier").select(key.alias("page_id"), html.alias("html"))
     return anchor_cards(pages, ["ml"]).drop("platform", "salary_range", "skills_required", "pos")
 

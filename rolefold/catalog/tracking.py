@@ -156,6 +156,7 @@ def filter_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT app_id, title, replace(replace(replace(replace(company, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS company,
   platform, 'Remote' AS location, 'Not specified' AS salary, coalesce(status, 'Ready to Apply') AS stage,
   CASE WHEN match_score IS NULL THEN 'Unevaluated' WHEN match_score >= 80 THEN 'high' WHEN match_score >= 60 THEN 'mid' ELSE 'low' END AS band,
+  coalesce('Match: ' || match_score || '%', 'Unevaluated') AS score_label,
   'Applied: ' || strftime(updated_at, '%Y-%m-%d') AS date_badge, CASE WHEN starts_with(url, 'http') THEN url END AS link FROM {_JOINED}""")
 def display_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     apps = boards.applications_with_listings(_order_apps(spark, sf_dir), _customers(spark, sf_dir)).withColumns({

@@ -47,6 +47,10 @@ def is_past_ready(status: Column) -> Column:
     return ~F.lower(strip(F.coalesce(status, F.lit("")))).isin("ready to apply", "ready")
 
 
+def score_label(score: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("Match: "), score.cast("string"), F.lit("%")), F.lit("Unevaluated"))
+
+
 def score_band(score: Column) -> Column:
     return (
         F.when(score.isNull(), F.lit("Unevaluated"))

@@ -153,12 +153,17 @@ def contains_any(haystack: Column, needles: list[str]) -> Column:
     return found
 
 
-def split_keywords(keywords: str | list[str] | None) -> list[str]:
-    """Lower-cased, trimmed keywords from a list or a comma string; blanks dropped."""
+def keyword_terms(keywords: str | list[str] | None) -> list[str]:
+    """Trimmed keywords from a list or a comma string; blanks dropped."""
     if not keywords:
         return []
     parts = keywords.split(",") if isinstance(keywords, str) else keywords
-    return [p.strip().lower() for p in parts if p.strip()]
+    return [p.strip() for p in parts if p.strip()]
+
+
+def split_keywords(keywords: str | list[str] | None) -> list[str]:
+    """The same in lower case, for matching."""
+    return [k.lower() for k in keyword_terms(keywords)]
 
 
 def keyword_list(col: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.stages import READY
 from ..functions.text import blank_to_null
 from ..functions.values import tolerant_timestamp
-from .ordering import fill_forward, lag_within, rank_within
+from .ordering import GroupOrder
 
 ORDER = ["created_at", "event_id"]
 HISTORY_CHUNK = 1000
@@ -113,8 +113,8 @@ def audit_trail(events: DataFrame, **limits: int) -> DataFrame:
     keyed = events.select(
         "event_id", "application_id", "kind", "note", "created_at",
         F.when(F.col("kind").isin("created", "stage"), F.col("stage")).alias("moved_to"))
-    filled = fill_forward(keyed, ["application_id"], [F.col(c) for c in ORDER], {"moved_to": "stage"}, **limits)
-    traced = lag_within(filled, ["application_id"], [F.col(c) for c in ORDER], {"stage": "old_stage"}, **limits)
+    traced = GroupOrder(keyed, ["application_id"], [F.col(c) for c in ORDER], **limits).fill(
+        {"moved_to": "stage"}).lag({"stage": "old_stage"}).result()
     default = F.when(F.col("kind") == "created", F.lit("Application initialized")).otherwise(
         F.concat(F.lit("Transitioned from "), F.col("old_stage"), F.lit(" to "), F.col("stage")))
     return traced.select(
@@ -126,9 +126,8 @@ def history_entries(events: DataFrame, **limits: int) -> DataFrame:
     """Stage history, one row per entry: ``application_id, seq, stage, previous_stage, timestamp, note``."""
     moves = events.filter(F.col("kind").isin("created", "stage")).select(
         "event_id", "application_id", "kind", "stage", "note", "created_at")
-    order = [F.col(c) for c in ORDER]
-    traced = lag_within(moves, ["application_id"], order, {"stage": "previous_stage"}, **limits)
-    numbered = rank_within(traced, ["application_id"], order, "seq", **limits)
+    numbered = GroupOrder(moves, ["application_id"], [F.col(c) for c in ORDER], **limits).lag(
+        {"stage": "previous_stage"}).rank("seq").result()
     default = F.when(F.col("kind") == "created", F.lit("Application created")).otherwise(
         F.concat(F.lit("Stage transitioned to "), F.col("stage")))
     return numbered.select(

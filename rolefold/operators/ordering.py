@@ -45,118 +45,119 @@ def with_position(df: DataFrame, order: list, out: str = "pos") -> DataFrame:
     )
 
 
-def _blocks(df: DataFrame, keys: list[str], order: list, block_rows: int) -> DataFrame:
-    placed = with_position(df, [*[F.col(k) for k in keys], *order], "__pos")
-    return placed.withColumn("__block", F.floor(F.col("__pos") / block_rows))
-
-
-def _carry_in(edges: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """The last row of each block, addressed to the block after it."""
-    return edges.select((F.col("__block") + 1).alias("__block"),
-                        *[F.col(c).alias(f"__carry_{c}") for c in [*keys, *values]])
-
-
-def lag_within(
-    df: DataFrame, keys: list[str], order: list, values: dict[str, str],
-    group_limit: int = GROUP_LIMIT, block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """Previous row's value inside each group: ``values`` maps input column to output column."""
-    if groups_fit(df, keys, group_limit):
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumns({out: F.lag(src).over(w) for src, out in values.items()})
-
-    placed = _blocks(df, keys, order, block_rows)
-    w = Window.partitionBy("__block").orderBy("__pos")
-    inner = placed.withColumns({
-        **{f"__prev_{k}": F.lag(k).over(w) for k in keys},
-        **{out: F.lag(src).over(w) for src, out in values.items()},
-        "__first": F.row_number().over(w) == 1,
-    })
-    last_rows = placed.groupBy("__block").agg(
-        F.max_by(F.struct(*keys, *values), "__pos").alias("__edge")).select("__block", "__edge.*")
-    carry = _carry_in(last_rows, keys, list(values))
-    joined = inner.join(carry, "__block", "left")
-    same = _same(keys, "__prev_")
-    same_carry = _same(keys, "__carry_")
-    outs = {
-        out: F.when(~F.col("__first") & same, F.col(out)).when(
-            F.col("__first") & same_carry, F.col(f"__carry_{src}"))
-        for src, out in values.items()
-    }
-    return joined.withColumns(outs).select(*df.columns, *values.values())
-
-
-def _same(keys: list[str], prefix: str) -> Column:
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(prefix + k))
-    return same
-
-
-def rank_within(
-    df: DataFrame, keys: list[str], order: list, out: str,
-    group_limit: int = GROUP_LIMIT, block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """1-based position inside each group."""
-    if groups_fit(df, keys, group_limit):
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
-
-    placed = _blocks(df, keys, order, block_rows)
-    w = Window.partitionBy("__block").orderBy("__pos")
-    run = Window.partitionBy("__block", *keys)
-    inner = placed.withColumn("__start", F.min("__pos").over(run))
-    # A run that starts a block may have begun earlier: look up where, one row per block and key edge.
-    starts = placed.groupBy("__block", *keys).agg(F.min("__pos").alias("__run_start"))
-    heads = starts.groupBy("__block").agg(
-        F.min_by(F.struct(*keys), "__run_start").alias("__head"),
-        F.max_by(F.struct(*keys, "__run_start"), "__run_start").alias("__tail"),
-        F.count(F.lit(1)).alias("__runs"))
-    back = Window.orderBy("__block")
-    tail_key = F.struct(*[F.col(f"__tail.{k}") for k in keys])
-    linked = heads.select(
-        "__block", "__head", tail_key.alias("__tail_key"), F.col("__tail.__run_start").alias("__tail_start"),
-        "__runs",
-        F.lag(tail_key).over(back).alias("__prev_key"))
-    continues = F.col("__head").eqNullSafe(F.col("__prev_key"))
-    # Where the tail run of each block really began: its own start, unless the block is one
-    # run that continues the block before; then the latest genuine start.
-    genuine = linked.withColumns({
-        "__continues": F.coalesce(continues, F.lit(False)),
-    }).withColumn("__genuine", F.when(~(F.col("__continues") & (F.col("__runs") == 1)), F.col("__tail_start")))
-    opened = genuine.withColumn("__open", F.last("__genuine", ignorenulls=True).over(
-        back.rowsBetween(Window.unboundedPreceding, -1)))
-    carry = opened.filter("__continues").select("__block", F.col("__head").alias("__carry_key"), "__open")
-    joined = inner.join(carry, "__block", "left")
-    start = F.when(F.struct(*keys).eqNullSafe(F.col("__carry_key")), F.col("__open")).otherwise(F.col("__start"))
-    return joined.withColumn(out, F.col("__pos") - start + 1).select(*df.columns, out)
-
-
-def fill_forward(
-    df: DataFrame, keys: list[str], order: list, values: dict[str, str],
-    group_limit: int = GROUP_LIMIT, block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """Latest non-null value up to and including each row, inside its group."""
-    if groups_fit(df, keys, group_limit):
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({out: F.last(src, ignorenulls=True).over(w) for src, out in values.items()})
-
-    placed = _blocks(df, keys, order, block_rows)
-    upto = Window.partitionBy("__block", *keys).orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
-    inner = placed.withColumns({out: F.last(src, ignorenulls=True).over(upto) for src, out in values.items()})
-    # Per block: the keys of its last row and the last non-null values of that key's run.
-    edge = placed.groupBy("__block", *keys).agg(
-        F.max("__pos").alias("__end"),
-        *[F.max_by(src, F.when(F.col(src).isNotNull(), F.col("__pos"))).alias(src) for src in values])
-    last_run = edge.groupBy("__block").agg(
-        F.max_by(F.struct(*keys, *values), "__end").alias("__edge")).select("__block", "__edge.*")
-    # The key's run may span several blocks: carry non-null values along, within the same key.
-    along = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, 0)
-    carry = last_run.select(
-        (F.col("__block") + 1).alias("__block"),
-        *[F.col(k).alias(f"__carry_{k}") for k in keys],
-        *[F.last(src, ignorenulls=True).over(along).alias(f"__carry_{src}") for src in values])
-    joined = inner.join(carry, "__block", "left")
-    same = _same(keys, "__carry_")
-    return joined.withColumns({
-        out: F.coalesce(F.col(out), F.when(same, F.col(f"__carry_{src}"))) for src, out in values.items()
-    }).select(*df.columns, *values.values())
+class GroupOrder:
+    r"""Rows in a total order inside groups; operators can be chained on one ordering.
+
+    >>> GroupOrder(events, ["application_id"], [F.col("created_at"), F.col("event_id")]) \
+    ...     .lag({"stage": "previous_stage"}).rank("seq").result()
+    """
+
+    def __init__(self, df: DataFrame, keys: list[str], order: list, group_limit: int = GROUP_LIMIT,
+                 block_rows: int = BLOCK_ROWS):
+        self.keys = keys
+        self.small = groups_fit(df, keys, group_limit)
+        if self.small:
+            self.rows, self.window = df, Window.partitionBy(*keys).orderBy(*order)
+        else:
+            placed = with_position(df, [*[F.col(k) for k in keys], *order], "__pos")
+            self.rows = placed.withColumn("__block", F.floor(F.col("__pos") / block_rows))
+            self.window = Window.partitionBy("__block").orderBy("__pos")
+
+    def result(self) -> DataFrame:
+        return self.rows.drop("__pos", "__block")
+
+    def _keep(self, rows: DataFrame, added: list[str]) -> GroupOrder:
+        self.rows = rows.select(*[c for c in self.rows.columns if c not in added], *added)
+        return self
+
+    def _same_keys(self, prefix: str) -> Column:
+        same = F.lit(True)
+        for k in self.keys:
+            same = same & F.col(k).eqNullSafe(F.col(prefix + k))
+        return same
+
+    def _carry_from(self, edges: DataFrame, values: dict[str, Column]) -> DataFrame:
+        """One row per block, addressed to the block after it."""
+        return edges.select((F.col("__block") + 1).alias("__block"),
+                            *[F.col(k).alias(f"__carry_{k}") for k in self.keys],
+                            *[c.alias(f"__carry_{v}") for v, c in values.items()])
+
+    def lag(self, values: dict[str, str]) -> GroupOrder:
+        """The previous row's value inside the group: input column → output column."""
+        if self.small:
+            self.rows = self.rows.withColumns({out: F.lag(src).over(self.window) for src, out in values.items()})
+            return self
+        last_rows = self.rows.groupBy("__block").agg(
+            F.max_by(F.struct(*self.keys, *values), "__pos").alias("__edge")).select("__block", "__edge.*")
+        carry = self._carry_from(last_rows, {src: F.col(src) for src in values})
+        inner = self.rows.withColumns({
+            **{f"__prev_{k}": F.lag(k).over(self.window) for k in self.keys},
+            **{out: F.lag(src).over(self.window) for src, out in values.items()},
+            "__first": F.row_number().over(self.window) == 1,
+        }).join(carry, "__block", "left")
+        first = F.col("__first")
+        return self._keep(inner.withColumns({
+            out: F.when(~first & self._same_keys("__prev_"), F.col(out)).when(
+                first & self._same_keys("__carry_"), F.col(f"__carry_{src}"))
+            for src, out in values.items()
+        }), list(values.values()))
+
+    def fill(self, values: dict[str, str]) -> GroupOrder:
+        """The latest non-null value up to and including each row."""
+        if self.small:
+            upto = self.window.rowsBetween(Window.unboundedPreceding, 0)
+            self.rows = self.rows.withColumns({
+                out: F.last(src, ignorenulls=True).over(upto) for src, out in values.items()})
+            return self
+        # Per block: the keys of its last row and the last non-null values of that key's run.
+        edge = self.rows.groupBy("__block", *self.keys).agg(
+            F.max("__pos").alias("__end"),
+            *[F.max_by(src, F.when(F.col(src).isNotNull(), F.col("__pos"))).alias(src) for src in values])
+        last_run = edge.groupBy("__block").agg(
+            F.max_by(F.struct(*self.keys, *values), "__end").alias("__edge")).select("__block", "__edge.*")
+        # A key's run may span several blocks: its values are handed on from block to block.
+        along = Window.partitionBy(*self.keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, 0)
+        carry = self._carry_from(last_run, {src: F.last(src, ignorenulls=True).over(along) for src in values})
+        upto = Window.partitionBy("__block", *self.keys).orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
+        inner = self.rows.withColumns({
+            out: F.last(src, ignorenulls=True).over(upto) for src, out in values.items()}).join(carry, "__block", "left")
+        return self._keep(inner.withColumns({
+            out: F.coalesce(F.col(out), F.when(self._same_keys("__carry_"), F.col(f"__carry_{src}")))
+            for src, out in values.items()
+        }), list(values.values()))
+
+    def rank(self, out: str) -> GroupOrder:
+        """1-based position inside the group."""
+        if self.small:
+            self.rows = self.rows.withColumn(out, F.row_number().over(self.window).cast("bigint"))
+            return self
+        keys = F.struct(*self.keys)
+        starts = self.rows.groupBy("__block", *self.keys).agg(F.min("__pos").alias("__start"))
+        heads = starts.groupBy("__block").agg(
+            F.min_by(keys, "__start").alias("__head"), F.max_by(keys, "__start").alias("__tail"),
+            F.max("__start").alias("__tail_start"), F.count(F.lit(1)).alias("__runs"))
+        # One row per block from here on. A block whose head continues the tail before it looks up
+        # where that run began; a block that is all one such run passes the beginning on.
+        back = Window.orderBy("__block")
+        linked = heads.withColumn("__continues", F.coalesce(
+            F.col("__head").eqNullSafe(F.lag("__tail").over(back)), F.lit(False)) & (F.col("__block") > 0))
+        began = F.when(~(F.col("__continues") & (F.col("__runs") == 1)), F.col("__tail_start"))
+        carry = linked.withColumn("__began", began).withColumn("__open", F.last("__began", ignorenulls=True).over(
+            back.rowsBetween(Window.unboundedPreceding, -1))).filter("__continues").select(
+            "__block", F.col("__head").alias("__carry_key"), "__open")
+        inner = self.rows.withColumn(
+            "__start", F.min("__pos").over(Window.partitionBy("__block", *self.keys))).join(carry, "__block", "left")
+        start = F.when(keys.eqNullSafe(F.col("__carry_key")), F.col("__open")).otherwise(F.col("__start"))
+        return self._keep(inner.withColumn(out, F.col("__pos") - start + 1), [out])
+
+
+def lag_within(df: DataFrame, keys: list[str], order: list, values: dict[str, str], *limits: int, **named: int) -> DataFrame:
+    return GroupOrder(df, keys, order, *limits, **named).lag(values).result()
+
+
+def rank_within(df: DataFrame, keys: list[str], order: list, out: str, *limits: int, **named: int) -> DataFrame:
+    return GroupOrder(df, keys, order, *limits, **named).rank(out).result()
+
+
+def fill_forward(df: DataFrame, keys: list[str], order: list, values: dict[str, str], *limits: int, **named: int) -> DataFrame:
+    return GroupOrder(df, keys, order, *limits, **named).fill(values).result()

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.stages import READY, STAGES, canonical_stage, is_past_ready, is_ready
-from ..functions.stages import score_band
+from ..functions.stages import READY, STAGES, canonical_stage, is_past_ready, is_ready, score_band, score_label
 from ..functions.text import blank_to_null, html_escape
 from ..operators.ordering import rank_within
 from ..functions.values import NOT_SPECIFIED
@@ -55,10 +54,12 @@ def board(applications: DataFrame, listings: DataFrame, **limits: int) -> DataFr
     Rows, not a list per stage: a column may hold any number of cards.
     """
     cards = applications_with_listings(applications, listings).withColumn(
-        "app_status", canonical_stage(F.col("app_status"))).withColumn("__recent", _recent())
-    ranked = rank_within(cards, ["app_status"], [F.col("__recent").desc_nulls_last(), F.col("app_id").desc()],
+        "app_status", canonical_stage(F.col("app_status")))
+    # There are six stages only: what is sorted per stage are three narrow columns, not the cards.
+    narrow = cards.select("app_id", "app_status", _recent().alias("__recent"))
+    ranked = rank_within(narrow, ["app_status"], [F.col("__recent").desc_nulls_last(), F.col("app_id").desc()],
                          "position", **limits)
-    return ranked.drop("__recent")
+    return cards.join(ranked.select("app_id", "position"), "app_id")
 
 
 def stage_counts(spark: SparkSession, statuses: DataFrame, status: str = "status") -> DataFrame:
@@ -89,7 +90,7 @@ def display_cards(apps: DataFrame) -> DataFrame:
         "app_id", shown("title", "Position").alias("title"), shown("company", "Company").alias("company"),
         shown("platform", "Direct").alias("platform"), shown("location", "Remote").alias("location"),
         shown("salary_range", NOT_SPECIFIED).alias("salary"), stage.alias("stage"),
-        score_band(F.col("match_score")).alias("band"),
+        score_band(F.col("match_score")).alias("band"), score_label(F.col("match_score")).alias("score_label"),
         F.coalesce(interview, applied).alias("date_badge"),
         F.when(F.startswith("url", F.lit("http")), F.col("url")).alias("link"))
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.lexicon import SKILL_LEXICON, Lexicon
-from ..functions.text import split_keywords
+from ..functions.text import keyword_terms
 from ..operators.coverage import resume_profile, score_listings
 from ..operators.lifecycle import created_events
 from ..operators.ordering import with_position
@@ -93,7 +93,7 @@ def run_campaign(
     """One row of run metrics. A failing source is listed under ``errors``; the run goes on."""
     if resume is None:
         resume = resolve_resume(spark)
-    wanted = split_keywords(keywords or DEFAULT_KEYWORDS)
+    wanted = keyword_terms(keywords or DEFAULT_KEYWORDS)
     found, errors = collect_listings(landed, spark, wanted, limit_per_source, enabled_sources)
     found = materialise(found, "collected")
     stored = store.upsert_listings(found.drop("pos", "unit", "source_no"), now)

@@ -72,7 +72,7 @@ class ListingStore:
         A stored listing is left as it is. Doing the same batch twice changes nothing.
         """
         unique = materialise(stored_form(first_wins(
-            normalize_listings(batch), order or ["job_id_on_platform", "title"])), "batch")
+            normalize_listings(batch, description_limit=None), order or ["job_id_on_platform", "title"])), "batch")
         stored = self.read("listings").select("id", "platform_key", "job_id_on_platform")
         keys = ["platform_key", "job_id_on_platform"]
         arrived = unique.select(*keys)

@@ -230,12 +230,23 @@ def anchor_cards(
 ) -> DataFrame:
     """Listing links inside company blocks; company and salary come from the block's text."""
     block = r'<div\b[^>]*class\s*=\s*"[^"]*styles_result[^"]*"|<[a-z0-9]+\b[^>]*data-test\s*=\s*"StartupResult"'
-    sections = F.split(F.col("html"), f"(?is)(?={block})")
+    pieces = F.split(F.col("html"), f"(?is)(?={block})")
     anchor = r'(?is)(<a\b[^>]*href\s*=\s*"[^"]*/jobs/[^"]*"[^>]*>.*?)</a\s*>'
+    piece = F.col("piece")
+    # A piece begins with a block and may go on behind its end; what lies there has no company.
+    inside = F.when(piece.rlike(f"(?is)^(?:{block})"), F.coalesce(
+        F.when(piece.rlike(r"(?i)^<div\b"), balanced_inner(piece, "div")), piece))
+    tag_length = F.length(F.regexp_extract(piece, "(?s)^<[^>]*>", 0))
+    behind = F.when(inside.isNull(), piece).otherwise(
+        F.substr(piece, F.when(piece.rlike(r"(?i)^<div\b"), tag_length).otherwise(0) + F.length(inside) + 1))
+    sections = settle(
+        pages.select("page_id", F.posexplode(pieces).alias("piece_no", "piece")),
+        {"inside": inside, "behind": behind}, ["page_id", "piece_no"],
+    ).select("page_id", "piece_no", F.posexplode(F.array("inside", "behind")).alias("part_no", "section"))
     anchors = (
-        pages.select("page_id", F.posexplode(sections).alias("section_no", "section"))
-        .withColumn("lines", F.when(F.col("section").rlike(f"(?is)^(?:{block})"), shown_lines(F.col("section"))))
-        .select("page_id", "section_no", "lines",
+        sections.filter(F.col("section").isNotNull())
+        .withColumn("lines", F.when(F.col("part_no") == 0, shown_lines(F.col("section"))))
+        .select("page_id", (F.col("piece_no") * 2 + F.col("part_no")).alias("section_no"), "lines",
                 F.posexplode(F.regexp_extract_all("section", F.lit(anchor), F.lit(1))).alias("anchor_no", "card"))
         .withColumn("href", attribute(F.col("card"), "href"))
         .filter(usable_link(F.col("href")))
