@@ -10,11 +10,12 @@ from ..functions.text import (
 from ..functions.values import date_before_t, date_from_epoch, date_prefix, salary_in_dollars, salary_with_currency
 from ..operators.dedup import first_per_page, first_wins, top_n
 from ..operators.filters import distinct_platforms
-from ..operators.normalize import normalize_listings, raw_from_json
+from ..operators.normalize import normalize_listings, quarantine_json, raw_from_json
 from ..sources.cards import (
     anchor_cards, detail_text, guest_cards, link_cards, tuple_cards, usable_link, without_query,
 )
 from ..sources.feeds import flat_feed, nested_feed
+from ..sources.registry import collect_listings
 from ..sources.html import attribute, inner, joined_text, shown_text
 from ..session import run_dir
 from ..streaming.ingest import ingest_once, read_ingested, stream_files
@@ -248,7 +249,13 @@ SELECT doc_id AS payload_id, 2 AS pos, 'Himalayas' AS platform,
        'data work, ' || lang AS skills, strftime(to_timestamp(86400 * (doc_id + 1)) AT TIME ZONE 'UTC', '%Y-%m-%d') AS date_posted
 FROM documents""")
 def nested_feed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One payload per document, with two items that are no objects around the real one."""
+    return nested_feed(_nested_payloads(spark, sf_dir), description_limit=None).select(
+        "payload_id", "pos", "platform", "job_id_on_platform", "title", "company", "location", "description", "url",
+        "salary", "skills", "date_posted")
+
+
+def _nested_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One payload per document, with items that are no objects around the real one."""
     key, docs = F.col("doc_id"), table(spark, sf_dir, "documents", heavy=True)
     item = F.to_json(F.struct(
         F.concat("lang", F.lit(" Role")).alias("title"), F.col("source").alias("companyName"),
@@ -263,11 +270,8 @@ def nested_feed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("DE"), "lang"))
         .alias("locationRestrictions"),
         ((key + 1) * 86400).alias("pubDate")))
-    payloads = docs.select(key.alias("payload_id"), F.concat(
+    return docs.select(key.alias("payload_id"), F.concat(
         F.lit('{"jobs":["x",7,'), item, F.lit(",null]}")).alias("body"))
-    return nested_feed(payloads, description_limit=None).select(
-        "payload_id", "pos", "platform", "job_id_on_platform", "title", "company", "location", "description", "url",
-        "salary", "skills", "date_posted")
 
 
 @query("""
@@ -373,6 +377,10 @@ SELECT c_custkey AS page_id, 0 AS pos, CAST(10000 + c_custkey AS VARCHAR) AS job
          'Key skills: ' || skills || '.' AS description,
        '9 LPA' AS salary, '2 days ago' AS date_posted, skills FROM c""")
 def link_card_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_cards(_link_pages(spark, sf_dir), ["go", "sql"]).drop("platform", "salary_range", "skills_required")
+
+
+def _link_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     heading = (F.when(key % 3 == 0, F.concat("c_name", F.lit(" - Lead - "), "c_mktsegment"))
                .when(key % 3 == 1, F.concat("c_name", F.lit(" | Lead | "), "c_mktsegment")).otherwise(F.col("c_name")))
@@ -384,8 +392,7 @@ def link_card_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 4 != 0, F.concat(F.lit("<span>"), "c_mktsegment", F.lit("</span><span>Rust</span><span> Rust </span>")))
         .otherwise(""),
         F.lit("<span>A fragment that is much too long for a skill</span></a></div>"))
-    pages = table(spark, sf_dir, "customer").select(key.alias("page_id"), html.alias("html"))
-    return link_cards(pages, ["go", "sql"]).drop("platform", "salary_range", "skills_required")
+    return table(spark, sf_dir, "customer").select(key.alias("page_id"), html.alias("html"))
 
 
 @query("""
@@ -402,6 +409,10 @@ FROM (
   UNION ALL
   SELECT s_suppkey, '66666', 'Footer job', 'Startup Employer', 'https://wellfound.com/jobs/66666-x', 'Not specified' FROM supplier)""")
 def anchor_card_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchor_cards(_anchor_pages(spark, sf_dir), ["ml"]).drop("platform", "salary_range", "skills_required", "pos")
+
+
+def _anchor_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("s_suppkey")
     link = F.concat(F.lit('<a href="/jobs/'), (key + 50_000).cast("string"), F.lit('-engineer">'))
     html = F.concat(
@@ -410,8 +421,7 @@ def anchor_card_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         link, F.lit("Engineer "), F.col("s_nationkey").cast("string"), F.lit("</a>"),
         F.when(key % 2 == 0, F.concat(F.lit("<p>$"), (F.col("s_nationkey") + 100).cast("string"), F.lit("k – $200k</p>"))).otherwise(""),
         link, F.lit("Again</a>"), F.lit('<a href="/jobs/7"></a></div><footer><div><a href="/jobs/66666-x">Footer job</a></div></footer>'))
-    pages = table(spark, sf_dir, "supplier").select(key.alias("page_id"), html.alias("html"))
-    return anchor_cards(pages, ["ml"]).drop("platform", "salary_range", "skills_required", "pos")
+    return table(spark, sf_dir, "supplier").select(key.alias("page_id"), html.alias("html"))
 
 
 @query("""
@@ -433,6 +443,30 @@ def raw_json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "platform", "job_id_on_platform", "title", "company", "skills_required")
 
 
+@query("""
+SELECT doc_id, CASE kind WHEN 0 THEN '[1,2]' WHEN 1 THEN '"' || lang || '"' WHEN 2 THEN '{broken' ELSE 'null' END AS body
+FROM documents, (SELECT unnest([0, 1, 2, 3]) AS kind)""")
+def quarantined_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the raw reader leaves out."""
+    docs = table(spark, sf_dir, "documents")
+    bodies = F.array(F.lit("[1,2]"), F.concat(F.lit('"'), "lang", F.lit('"')), F.lit("{broken"), F.lit("null"),
+                     F.concat(F.lit('{"title":"'), "lang", F.lit('"}')))
+    return quarantine_json(docs.select("doc_id", F.explode(bodies).alias("body")))
+
+
+@query("""
+SELECT 'Himalayas' AS platform, count(*) AS n, count(*) AS n_keys FROM documents
+UNION ALL SELECT 'Hirist', count(*), count(*) FROM customer
+UNION ALL SELECT 'Wellfound', count(*) + 2, count(*) + 2 FROM supplier""")
+def collected_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three sources read, normalised, merged and deduplicated; repeated links collapse to one listing."""
+    landed = {"Himalayas": _nested_payloads(spark, sf_dir), "Hirist": _link_pages(spark, sf_dir),
+              "Wellfound": _anchor_pages(spark, sf_dir), "Remotive": _nested_payloads(spark, sf_dir)}
+    found, _errors = collect_listings(landed, spark, None, None, ["Himalayas", "Hirist", "Wellfound", "Unknown"])
+    return found.groupBy("platform").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("job_id_on_platform").alias("n_keys"))
+
+
 @query("""SELECT sha256(text) AS text_key, min(doc_id) AS doc_id FROM documents GROUP BY 1""")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incremental ingest of the documents file; a text already stored is not stored again."""

@@ -16,8 +16,11 @@ from ..operators.coverage import (
     NO_KEYWORDS, NO_MATCHES, parse_replies, prompt_text, resume_profile, score_listings, score_pairs, skill_coverage,
     skill_score, token_coverage,
 )
-from ..operators.resume_text import experience_entries, sections, skill_items, structure_resumes
-from ..operators.tailoring import relevant_skills, render_resume, tailor, top_bullets as pick_bullets
+from ..operators.resume_text import (
+    experience_entries, person_name, pick_section, sections, skill_items, structure_resumes,
+)
+from ..operators.tailoring import STYLE, relevant_skills, render_resume, tailor, top_bullets as pick_bullets
+from ..sources.resumes import json_resumes
 from .registry import SPACE_RE, query, s_fold, s_list, s_pattern, s_skills, s_strip, s_tokens, table
 
 # Words of the test prose stand in for skills, so that scores spread.
@@ -192,8 +195,6 @@ WITH {_LINES}
 SELECT doc_id, coalesce({', '.join(f"max(nullif(body, '')) FILTER (name = '{n}')" for n in _PICK)}) AS body
 FROM last_ones GROUP BY doc_id""")
 def section_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.resume_text import pick_section
-
     named = table(spark, sf_dir, "documents", heavy=True).select(
         "doc_id", F.map_from_entries(sections(F.col("text"), PROSE_HEADERS)).alias("s")).filter(F.size("s") > 0)
     return named.select("doc_id", pick_section(F.col("s"), _PICK).alias("body"))
@@ -260,8 +261,6 @@ def structured_resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("\nSummary:\n"), "text", F.lit("\n\nSKILLS\n• "), "role", F.lit(", ; tooling\n")))
     parsed = structure_resumes(turns, "layout")
     # The preamble's last line carries the address, so a name is only looked for in the text itself.
-    from ..operators.resume_text import person_name
-
     return parsed.select("conv_id", "turn", person_name(F.col("text")).alias("first_line"), "email", "summary",
                          F.array_join("skills", " / ").alias("skills"))
 
@@ -312,8 +311,6 @@ def _s_escape(x: str) -> str:
 
 
 def _s_page(bullets: str, summary: str, skills: str) -> str:
-    from ..operators.tailoring import STYLE
-
     items = (f"array_to_string(list_transform({bullets}, lambda b: '    <li>' || {_s_escape('b')} || '</li>' || chr(10)), '')")
     tags = f"array_to_string(list_transform({skills}, lambda s: '<span class=\"skill\">' || {_s_escape('s')} || '</span>'), '')"
     n = "chr(10)"
@@ -372,3 +369,22 @@ def safe_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         "c_custkey", score.alias("score"), score_band(score).alias("band"), whole_number(text, "string").alias("from_text"))
 
 
+
+
+@query("""
+SELECT conv_id, turn, 'N' || conv_id AS name, role || ' / x' AS skills, 'Acme' AS company,
+       array_to_string(string_split(text, chr(10)), ' / ') AS bullets FROM conversations WHERE turn % 3 <> 2
+UNION ALL SELECT conv_id, turn, NULL, NULL, NULL, NULL FROM conversations WHERE turn % 3 = 2""")
+def json_resume_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Résumé objects in JSON, bare, wrapped or broken."""
+    turn = F.col("turn")
+    body = F.to_json(F.struct(
+        F.concat(F.lit("N"), F.col("conv_id").cast("string")).alias("name"), F.array("role", F.lit("x")).alias("skills"),
+        F.array(F.struct(F.lit("Acme").alias("company"), F.split("text", "\n").alias("bullets"))).alias("experience")))
+    text = (F.when(turn % 3 == 0, body).when(turn % 3 == 1, F.concat(F.lit('{"format":"json","data":'), body, F.lit("}")))
+            .otherwise(F.concat(F.lit("{"), body)))
+    rows = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("resume_id"), text.alias("raw_text"))
+    parsed = json_resumes(rows)
+    job = F.get("experience", F.lit(0))
+    return parsed.select("resume_id.conv_id", "resume_id.turn", "name", F.array_join("skills", " / ").alias("skills"),
+                         job["company"].alias("company"), F.array_join(job["bullets"], " / ").alias("bullets"))

@@ -15,10 +15,12 @@ from ..operators.lifecycle import (
     audit_trail as trail, created_events, current_state as fold, history_entries as entries_of, history_json as as_json,
     notes_events,
 )
+from ..operators.ordering import rank_within, with_position
 from ..operators.purge import is_deprecated, orphans, purge_cascade as purge
 from ..plans import board as boards, queues
 from ..plans.campaign import run_campaign
 from ..plans.store import ListingStore
+from ..plans.tracker import Tracker
 from ..session import run_dir
 from ..sources.feeds import NESTED_SITE
 from ..streaming.ingest import append_events, live_board, stream_files
@@ -59,8 +61,6 @@ FROM {_LISTINGS} l WHERE status = 'scraped' AND match_score IS NULL
   AND NOT EXISTS (SELECT 1 FROM {_APPS} a WHERE a.job_id = l.id)""")
 def pending_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole queue with its order made visible as a place number."""
-    from ..operators.ordering import rank_within
-
     waiting = queues.pending_queue(_listings(spark, sf_dir), _label_apps(spark, sf_dir), limit=None)
     placed = rank_within(waiting.withColumn("all", F.lit(1)), ["all"],
                          [queues.recency().desc_nulls_last(), F.col("id").desc()], "place")
@@ -191,6 +191,30 @@ def stage_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("app_id"), job_status(stage).alias("job_status"), next_stage(stage).alias("following"))
 
 
+@query(f"""
+SELECT app_id, row_number() OVER (ORDER BY updated_at DESC, app_id DESC) AS newest,
+  row_number() OVER (ORDER BY coalesce(match_score, 0) DESC, app_id DESC) AS by_score,
+  row_number() OVER (ORDER BY lower(company), app_id DESC) AS by_company,
+  row_number() OVER (ORDER BY lower(title), app_id DESC) AS by_title,
+  row_number() OVER (ORDER BY coalesce(status, ''), app_id DESC) AS by_stage FROM {_JOINED}""")
+def application_sorts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every application under each of the five sort choices."""
+    apps = boards.applications_with_listings(_order_apps(spark, sf_dir), _customers(spark, sf_dir)).select(
+        "app_id", "app_updated_at", "app_created_at", "match_score", "company", "title", "app_status", F.lit(1).alias("all"))
+    for by, name in [("Newest First", "newest"), ("Match Score (High to Low)", "by_score"), ("Company (A-Z)", "by_company"),
+                     ("Title (A-Z)", "by_title"), ("Stage", "by_stage")]:
+        apps = rank_within(apps, ["all"], filters.application_order(by), name)
+    return apps.select("app_id", "newest", "by_score", "by_company", "by_title", "by_stage")
+
+
+@query(f"""
+SELECT id, row_number() OVER (ORDER BY coalesce(scraped_at, created_at) DESC, id DESC) AS place FROM {_LISTINGS}""")
+def listings_by_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    newest = _listings(spark, sf_dir).select("id", queues.recency().alias("at"))
+    placed = with_position(newest, [F.col("at").desc_nulls_last(), F.col("id").desc()])
+    return placed.select("id", (F.col("pos") + 1).alias("place"))
+
+
 # -- lifecycle log ---------------------------------------------------------------------------
 
 _LOG = """(SELECT event_id, user_id AS application_id, CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'notes' ELSE 'stage' END AS kind,
@@ -362,6 +386,55 @@ def upsert_is_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.upsert_listings(batch(docs), now)
 
 
+_KEYED = f"""(SELECT source, substr(sha256(lower(source || ':untitled position:' || lang || ':' || doc_id)), 1, 16) AS job_id,
+    doc_id, n_chars FROM documents)"""
+
+
+def _stored_documents(spark: SparkSession, sf_dir: str) -> tuple[ListingStore, DataFrame]:
+    """A store holding every document, and the listing id of each document."""
+    store = ListingStore(spark, run_dir(spark, "documents"))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("source").alias("platform"), F.col("lang").alias("company"), F.col("doc_id").cast("string").alias("url"))
+    store.upsert_listings(docs.drop("doc_id"), F.lit("2026-01-01 00:00:00").cast("timestamp"))
+    return store, store.read("listings").select("id", F.col("url").cast("bigint").alias("doc_id"))
+
+
+@query(f"""
+SELECT source AS platform_key, job_id AS job_id_on_platform, CASE WHEN l.doc_id IS NULL THEN NULL WHEN toxic = 1 THEN 5
+    ELSE quality * 100 END AS match_score, CASE WHEN l.doc_id IS NULL THEN 'scraped' ELSE 'evaluated' END AS status
+FROM {_KEYED} d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
+def stored_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as scores; toxic documents are scored a second time, and the later score counts."""
+    store, ids = _stored_documents(spark, sf_dir)
+    labels = table(spark, sf_dir, "labels").join(ids, "doc_id").select(
+        F.col("id").alias("job_id"), (F.col("quality") * 100).alias("match_score"), F.lit("label").alias("match_reasoning"), "toxic")
+    now = F.lit("2026-01-02 00:00:00").cast("timestamp")
+    store.apply_scores(labels.drop("toxic"), now)
+    store.apply_scores(labels.filter("toxic = 1").drop("toxic").withColumn("match_score", F.lit(5)), now + F.expr("interval 1 hour"))
+    return store.listings().select("platform_key", "job_id_on_platform", "match_score", "status")
+
+
+@query("""
+SELECT doc_id, CASE WHEN toxic = 1 THEN 'Rejected' WHEN quality = 1 THEN 'Applied' ELSE 'Ready to Apply' END AS status,
+  'doc ' || doc_id AS notes, CAST(1 + CASE WHEN toxic = 1 OR quality = 1 THEN 1 ELSE 0 END AS BIGINT) AS n_history FROM labels""")
+def tracked_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An application per labelled document, created twice to no effect, then moved on by its labels."""
+    store, ids = _stored_documents(spark, sf_dir)
+    tracker = Tracker(store)
+    now = F.lit("2026-01-02 00:00:00").cast("timestamp")
+    jobs = table(spark, sf_dir, "labels").join(ids, "doc_id").select(
+        F.col("id").alias("job_id"), "doc_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("notes"), "quality", "toxic")
+    tracker.create(jobs.select("job_id", "notes"), now)
+    made = tracker.create(jobs.select("job_id", F.lit("again").alias("notes")), now)
+    stage = F.when(F.col("toxic") == 1, "Rejected").when(F.col("quality") == 1, "Applied")
+    moves = jobs.join(made, "job_id").select("application_id", stage.alias("stage")).filter(F.col("stage").isNotNull())
+    tracker.move(moves, now + F.expr("interval 1 day"))
+    depth = tracker.history().groupBy("application_id").agg(F.max("seq").alias("n_history"))
+    state = tracker.applications().select(F.col("id").alias("application_id"), "job_id", "status", "notes")
+    return state.join(depth, "application_id").join(jobs.select("job_id", "doc_id"), "job_id").select(
+        "doc_id", "status", "notes", "n_history")
+
+
 _RUN_RESUME = "The rest of la que."
 _OFFERED = s_skills(s_fold(f"'{_RUN_RESUME}'"), PROSE_LEXICON)
 

@@ -53,8 +53,8 @@ def _lower(name: str) -> Column:
     return F.lower(F.coalesce(F.col(name), F.lit("")))
 
 
-def sort_applications(apps: DataFrame, by: str) -> DataFrame:
-    """The table's sort choices; an unknown one leaves the rows as they are."""
+def application_order(by: str) -> list[Column] | None:
+    """Sort expressions of one of the table's choices, ties by newest id; None if there is no such choice."""
     recent = F.coalesce("app_updated_at", "app_created_at")
     orders = {
         "Newest First": recent.desc_nulls_last(),
@@ -63,7 +63,13 @@ def sort_applications(apps: DataFrame, by: str) -> DataFrame:
         "Title (A-Z)": _lower("title").asc(),
         "Stage": F.coalesce("app_status", F.lit("")).asc(),
     }
-    return apps.orderBy(orders[by], F.col("app_id").desc()) if by in orders else apps
+    return [orders[by], F.col("app_id").desc()] if by in orders else None
+
+
+def sort_applications(apps: DataFrame, by: str) -> DataFrame:
+    """An unknown choice leaves the rows as they are."""
+    order = application_order(by)
+    return apps.orderBy(*order) if order else apps
 
 
 def distinct_platforms(df: DataFrame) -> DataFrame:

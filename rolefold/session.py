@@ -25,6 +25,15 @@ def build_session(app_name: str = "rolefold", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shuffle_conf(input_bytes: int, bytes_per_partition: int = 256 << 20) -> dict[str, str]:
+    """Initial shuffle partitions for an input of this size; adaptive execution merges what is small."""
+    partitions = max(200, -(-input_bytes // bytes_per_partition))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(bytes_per_partition),
+    }
+
+
 def apply_session_conf(spark: SparkSession) -> SparkSession:
     """Set the runtime-changeable defaults on a session somebody else built."""
     for key, value in SESSION_CONF.items():
