@@ -10,10 +10,9 @@ from ..functions.lexicon import SKILL_LEXICON, STOP_WORDS, Lexicon, with_skills
 from ..functions.stages import score_band
 from ..functions.text import blank_to_null, distinct_tokens, strip
 from ..functions.values import whole_number
+from ..session import limit
 
-INLINE_TOKENS = 2_000      # a vocabulary up to this size travels inside the row expression
-BROADCAST_TOKENS = 500_000  # up to this size it is broadcast, beyond it the join is shuffled and salted
-SALTS = 32
+SALTS = 32  # tasks over which a frequent token is spread when the vocabulary is joined by shuffle
 
 NO_CONTENT = "No content provided to evaluate."
 NO_KEYWORDS = "No recognizable skill keywords found in job description."
@@ -84,7 +83,7 @@ def skill_coverage(listings: DataFrame, text: str, profile: ResumeProfile) -> Da
 
 def match_tokens(
     df: DataFrame, key: str, tokens: str, vocabulary: DataFrame,
-    inline_limit: int = INLINE_TOKENS, broadcast_limit: int = BROADCAST_TOKENS,
+    inline_limit: int | None = None, broadcast_limit: int | None = None,
 ) -> DataFrame:
     """Reduce a token array column to ``n_matched`` and ``found`` (sorted), given a vocabulary.
 
@@ -92,15 +91,19 @@ def match_tokens(
     broadcast of the vocabulary, or by a shuffled join in which frequent tokens are spread over
     several tasks.
     """
-    size = vocabulary.count()
-    if size <= inline_limit:
+    spark = df.sparkSession
+    inline_limit = limit(spark, "inlineTokens") if inline_limit is None else inline_limit
+    broadcast_limit = limit(spark, "broadcastTokens") if broadcast_limit is None else broadcast_limit
+    size, n_bytes = vocabulary.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("token")), F.lit(0))).first()
+    fits = n_bytes <= limit(spark, "broadcastBytes")
+    if fits and size <= inline_limit:
         listed = F.coalesce(vocabulary.agg(F.collect_set("token")).scalar(), F.array().cast("array<string>"))
         both = df.withColumn("__both", F.array_intersect(tokens, listed))
         return both.withColumns({"n_matched": F.size("__both"), "found": F.sort_array("__both")}).drop("__both", tokens)
 
     kept = [c for c in df.columns if c != tokens]
     exploded = df.select(*kept, F.explode_outer(tokens).alias("token"))
-    if size <= broadcast_limit:
+    if fits and size <= broadcast_limit:
         joined = exploded.join(F.broadcast(vocabulary.withColumn("hit", F.lit(True))), "token", "left")
     else:
         salted = vocabulary.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))

@@ -10,16 +10,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import materialise
+from ..session import limit, materialise
 
-GROUP_LIMIT = 1_000_000   # rows one task may sort for a single group
-BLOCK_ROWS = 1_000_000    # rows per block of the large-group path
 
-
-def groups_fit(df: DataFrame, keys: list[str], limit: int = GROUP_LIMIT) -> bool:
-    """Is the largest group at most ``limit`` rows? Counts are combined before the shuffle."""
+def groups_fit(df: DataFrame, keys: list[str], rows: int | None = None) -> bool:
+    """Is the largest group at most ``rows`` rows? Counts are combined before the shuffle."""
     largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return (largest or 0) <= limit
+    return (largest or 0) <= (limit(df.sparkSession, "groupRows") if rows is None else rows)
 
 
 def with_position(df: DataFrame, order: list, out: str = "pos") -> DataFrame:
@@ -52,9 +49,10 @@ class GroupOrder:
     ...     .lag({"stage": "previous_stage"}).rank("seq").result()
     """
 
-    def __init__(self, df: DataFrame, keys: list[str], order: list, group_limit: int = GROUP_LIMIT,
-                 block_rows: int = BLOCK_ROWS):
+    def __init__(self, df: DataFrame, keys: list[str], order: list, group_limit: int | None = None,
+                 block_rows: int | None = None):
         self.keys = keys
+        block_rows = block_rows or limit(df.sparkSession, "blockRows")
         self.small = groups_fit(df, keys, group_limit)
         if self.small:
             self.rows, self.window = df, Window.partitionBy(*keys).orderBy(*order)

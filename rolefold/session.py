@@ -18,6 +18,21 @@ SESSION_CONF = {
 }
 
 
+# Limits of the paths that keep something in one task or send it to all of them; beyond a limit
+# another path takes over. Each can be set on the session under ``spark.rolefold.<name>``.
+LIMITS = {
+    "groupRows": 1_000_000,        # rows of one group that a single task may sort
+    "blockRows": 1_000_000,        # rows per block of the path for larger groups
+    "inlineTokens": 1_000,         # vocabulary size that travels inside the row expression
+    "broadcastTokens": 500_000,    # vocabulary size that is broadcast
+    "broadcastBytes": 64 << 20,    # and its size in bytes
+}
+
+
+def limit(spark: SparkSession, name: str) -> int:
+    return int(spark.conf.get(f"spark.rolefold.{name}", str(LIMITS[name])))
+
+
 def build_session(app_name: str = "rolefold", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     for key, value in {**SESSION_CONF, **conf}.items():
