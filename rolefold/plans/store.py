@@ -7,6 +7,8 @@ path that is being read is never overwritten.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
@@ -19,6 +21,7 @@ from ..operators.purge import DEPRECATED_PLATFORMS, is_deprecated, purge_cascade
 from ..schemas import EVENTS, LISTINGS, SCORES
 from ..session import materialise
 
+VERSIONS = "version int, folder string"
 TABLES = {"listings": LISTINGS, "scores": SCORES, "events": EVENTS}
 
 
@@ -28,15 +31,17 @@ class ListingStore:
 
     # -- snapshots -------------------------------------------------------------------------
 
-    def version(self) -> int:
+    def snapshot(self) -> tuple[int, str]:
+        """Number and folder of the current snapshot."""
         try:
-            found = self.spark.read.schema("version int").parquet(f"{self.root}/versions").agg(F.max("version")).first()[0]
+            named = self.spark.read.schema(VERSIONS).parquet(f"{self.root}/versions")
+            found = named.agg(F.max("version"), F.max_by("folder", "version")).first()
         except AnalysisException:
-            found = None
-        return found or 0
+            found = (None, None)
+        return found if found[0] is not None else (0, "v000000")
 
-    def _path(self, table: str, version: int | None = None) -> str:
-        return f"{self.root}/v{self.version() if version is None else version:06d}/{table}"
+    def _path(self, table: str, folder: str | None = None) -> str:
+        return f"{self.root}/{folder or self.snapshot()[1]}/{table}"
 
     def read(self, table: str) -> DataFrame:
         """Rows of a table; columns missing from older files read as null."""
@@ -47,18 +52,23 @@ class ListingStore:
             return self.spark.createDataFrame([], schema)
         return found.select(*schema.fieldNames())
 
-    def append(self, table: str, rows: DataFrame, version: int | None = None) -> None:
+    def append(self, table: str, rows: DataFrame, folder: str | None = None) -> None:
         schema = TABLES[table]
         shaped = rows.select(*[
             (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in schema.fields])
-        shaped.write.mode("append").parquet(self._path(table, version))
+        shaped.write.mode("append").parquet(self._path(table, folder))
 
     def _switch(self, tables: dict[str, DataFrame]) -> None:
-        following = self.version() + 1
+        """Write a new snapshot under a name of its own, then make it the current one.
+
+        What a failed attempt leaves behind is never named current and never added to.
+        """
+        number = self.snapshot()[0] + 1
+        folder = f"v{number:06d}-{uuid.uuid4().hex}"
         for name, rows in tables.items():
-            self.append(name, rows, following)
-        self.spark.createDataFrame([(following,)], "version int").write.mode("append").parquet(f"{self.root}/versions")
+            self.append(name, rows, folder)
+        self.spark.createDataFrame([(number, folder)], VERSIONS).write.mode("append").parquet(f"{self.root}/versions")
 
     def reset(self) -> None:
         """Empty tables in a new snapshot; ids start at 1 again."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.errors import AnalysisException
 
 from ..operators.dedup import top_n
@@ -16,33 +16,35 @@ def stream_files(spark: SparkSession, directory: str, schema, pattern: str = "*.
     return reader.parquet(directory)
 
 
-def _stored(spark: SparkSession, path: str, schema) -> DataFrame:
+def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows of all batches, with the number of the batch that stored them."""
+    full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(full).parquet(path)
     except AnalysisException:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], full)
 
 
-def ingest_once(stream: DataFrame, keys: list[str], order: list, target: str, checkpoint: str) -> None:
-    """Append each key's first row; later rows with a stored key are dropped.
+def merge_batch(batch: DataFrame, batch_id: int, keys: list[str], order: list, target: str) -> None:
+    """Store each key's first row of a batch unless an earlier batch has the key.
 
-    Every micro-batch writes its own folder and overwrites it when it is replayed, which makes the
-    result exactly-once. The known keys are the table itself, so no state grows in memory.
+    A batch writes its own folder and overwrites it when it is replayed, so replaying changes nothing.
     """
-    spark = stream.sparkSession
+    earlier = _stored(batch.sparkSession, target, batch.schema).filter(F.col("batch") < batch_id).select(*keys)
+    fresh = top_n(batch, keys, order, 1).join(earlier, keys, "left_anti")
+    fresh.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        known = _stored(spark, f"{target}/batch=*", batch.schema).withColumn("__file", F.input_file_name())
-        earlier = known.filter(~F.col("__file").contains(f"/batch={batch_id}/")).select(*keys)
-        fresh = top_n(batch, keys, order, 1).join(earlier, keys, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True).start().awaitTermination()
+def ingest_once(stream: DataFrame, keys: list[str], order: list, target: str, checkpoint: str) -> None:
+    """Take in what has arrived since the last call. The known keys are the table itself, so no state
+    grows in memory."""
+    stream.writeStream.foreachBatch(
+        lambda batch, batch_id: merge_batch(batch, batch_id, keys, order, target)
+    ).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def read_ingested(spark: SparkSession, target: str, schema) -> DataFrame:
-    return _stored(spark, f"{target}/batch=*", schema)
+def read_ingested(spark: SparkSession, target: str, schema: T.StructType) -> DataFrame:
+    return _stored(spark, target, schema).drop("batch")
 
 
 def append_events(stream: DataFrame, target: str, checkpoint: str) -> None:

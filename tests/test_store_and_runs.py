@@ -4,7 +4,7 @@ import json
 import time
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from rolefold.__main__ import main
 from rolefold.operators.lifecycle import stage_events
@@ -16,7 +16,7 @@ from rolefold.plans.tracker import Tracker
 from rolefold.schemas import RESUME
 from rolefold.session import run_dir, shared_dir
 from rolefold.sources.resumes import json_resumes, read_text_resumes, resolve_resume
-from rolefold.streaming.ingest import append_events, ingest_once, live_board, read_ingested, stream_files
+from rolefold.streaming.ingest import append_events, ingest_once, live_board, merge_batch, read_ingested, stream_files
 
 NOW = F.lit("2026-09-01 00:00:00").cast("timestamp")
 
@@ -165,6 +165,27 @@ def test_undecodable_resume_bytes_are_replaced(spark):
     assert row["name"] == "Ada\ufffd" and row["skills"] == ["Go"]
 
 
+SCHEMA = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("k", T.StringType())])
+
+
+def test_replayed_batch_changes_nothing(spark):
+    target = run_dir(spark, "replay")
+    first, second = (spark.createDataFrame(rows, SCHEMA) for rows in ([(1, "a"), (2, "b")], [(3, "b"), (4, "c"), (5, "c")]))
+    for batch, number in ((first, 0), (second, 1), (second, 1), (first, 0), (second, 1)):
+        merge_batch(batch, number, ["k"], ["n"], target)
+        if number == 1:
+            assert sorted(tuple(r) for r in read_ingested(spark, target, SCHEMA).collect()) == [(1, "a"), (2, "b"), (4, "c")]
+
+
+def test_leftovers_of_a_failed_purge_are_ignored(spark, store):
+    store.upsert_listings(batch(spark, [("A", "1", "t"), ("RemoteOK", "1", "t")]), NOW)
+    store.append("listings", store.read("listings"), "v000001-of-a-run-that-died")
+    assert store.read("listings").count() == 2
+    assert store.purge() == 1
+    assert [r["platform"] for r in store.read("listings").collect()] == ["A"]
+    assert store.snapshot()[0] == 1
+
+
 def test_streamed_ingest_stores_each_key_once(spark):
     base = run_dir(spark, "stream")
     rows = [[(1, "a"), (2, "b"), (3, "a")], [(4, "b"), (5, "c")], [(6, "a")]]
@@ -174,7 +195,7 @@ def test_streamed_ingest_stores_each_key_once(spark):
     def run():
         stream = stream_files(spark, f"{base}/in", "n int, k string", per_trigger=1)
         ingest_once(stream, ["k"], ["n"], f"{base}/out", f"{base}/progress")
-        return sorted(r["k"] for r in read_ingested(spark, f"{base}/out", "n int, k string").collect())
+        return sorted(r["k"] for r in read_ingested(spark, f"{base}/out", SCHEMA).collect())
 
     assert run() == ["a", "b", "c"]
     assert run() == ["a", "b", "c"]  # nothing new arrived
