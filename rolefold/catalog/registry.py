@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.entities import HTML_ENTITIES
 from ..functions.rows import spread
-from ..functions.text import HTML_ENTITIES, SPACE_RANGES, WHITESPACE
+from ..functions.text import SPACE_RANGES, WHITESPACE
 
 Query = Callable[[SparkSession, str], DataFrame]
 

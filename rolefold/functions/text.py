@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import html
-
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from .entities import unescape
+
 # The characters a Unicode-aware strip removes and ``\s`` matches.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
@@ -24,14 +23,6 @@ NO_WORD_AFTER = rf"(?!{WORD_CLASS})"
 TOKEN_PATTERN = rf"{NO_WORD_BEFORE}[a-z]{{3,}}+{NO_WORD_AFTER}"
 WORD_PATTERN = rf"{WORD_CLASS}++"
 
-# Entities decoded without leaving the JVM; '&amp;' comes last so
-# that '&amp;lt;' becomes '&lt;', as a single decoding pass gives.
-HTML_ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
-    ("&apos;", "'"), ("&nbsp;", "\xa0"), ("&copy;", "\xa9"), ("&middot;", "\xb7"),
-    ("&amp;", "&"),
-]
-
 BULLET_MARKERS = r"^[-\x{2022}*\x{b7}]+"
 EMAIL_PATTERN = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+"
 
@@ -64,12 +55,6 @@ def distinct_tokens(col: Column) -> Column:
     return F.array_distinct(tokens(col))
 
 
-def unescape(col: Column) -> Column:
-    for entity, char in HTML_ENTITIES:
-        col = F.replace(col, F.lit(entity), F.lit(char))
-    return col
-
-
 def strip_tags(col: Column) -> Column:
     return collapse_spaces(F.regexp_replace(col, "<[^>]+>", " "))
 
@@ -80,15 +65,6 @@ def html_to_text(col: Column, decode_entities: bool = True) -> Column:
     return strip_tags(unescape(col) if decode_entities else col)
 
 
-def html_to_text_full(col: Column) -> Column:
-    """Same, with the complete HTML entity table (Arrow batches instead of JVM code)."""
-    @F.pandas_udf("string")
-    def decode(values: pd.Series) -> pd.Series:
-        return values.map(html.unescape, na_action="ignore")
-
-    return strip_tags(F.coalesce(decode(col), F.lit("")))
-
-
 def html_escape(col: Column) -> Column:
     # The five characters with a meaning in HTML, '&' first.
     for char, entity in [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")]:

@@ -7,8 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.rows import let
 from ..functions.text import blank_to_null, email, strip, strip_bullet
-from ..sources.html import let
 
 # Lines that open a section.
 SECTION_HEADERS = [

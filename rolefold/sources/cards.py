@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.entities import unescape
 from ..functions.rows import settle
-from ..functions.text import blank_to_null, strip, strip_tags, unescape, url_id
+from ..functions.text import blank_to_null, strip, strip_tags, url_id
 from ..functions.values import NOT_SPECIFIED
 from ..operators.dedup import first_per_page
 from ..operators.normalize import DESCRIPTION_LIMIT

@@ -4,12 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..functions.text import blank_to_null, collapse_spaces, strip, unescape
-
-
-def let(value: Column, body) -> Column:
-    """Bind an expression once and use it several times inside one row."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+from ..functions.entities import unescape
+from ..functions.rows import let
+from ..functions.text import blank_to_null, collapse_spaces, strip
 
 
 def class_attr(*names: str) -> str:

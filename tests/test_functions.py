@@ -1,11 +1,13 @@
 """Scalar expressions against the values they must give, and against plain Python."""
 
 import html
+import html.entities
 import re
 
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from rolefold.functions.entities import unescape
 from rolefold.functions import stages, text, values as nums
 from rolefold.functions.lexicon import SKILL_LEXICON, word_forms, with_skills
 from rolefold.functions.rows import settle
@@ -51,10 +53,16 @@ def test_html_text(values):
         "Python dev & architect.", "Experience with \"React\" 'Node' & Python.", "gone kept", "a b c", "&lt;", "", ""]
 
 
-def test_full_entity_table_option(values):
-    rows = ["caf&eacute; &hellip; &#8364;", "<i>x</i> &amp; y", None]
-    expected = [re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", html.unescape(r or ""))).strip() for r in rows]
-    assert values(rows, text.html_to_text_full(X)) == expected
+@FEW
+@given(st.lists(st.lists(st.one_of(
+    st.sampled_from(["&eacute;", "&hellip", "&notit;", "&not", "&amp;", "&amp", "&lt;", "&AMP;x", "&nbsp;", "&bogus;", "&", "&;", "&#", "&#;", "&#x;",
+                     "&#x2019;", "&#8364", "&#128;", "&#159;", "&#129;", "&#0;", "&#xD800;", "&#1114112;", "&#99999999999999999999;", "&#x1F680;", "&#11;",
+                     "&#65534;", "&NotEqualTilde;", "&copy2;", "&apos;", "#", ";", "a", " ", "&#13;", "&#x10FFFF;"]),
+    st.integers(0, 0x110010).map(lambda n: f"&#{n};"), st.integers(0, 0x3000).map(lambda n: f"&#x{n:x}"),
+    st.sampled_from(sorted(html.entities.html5)).map(lambda n: "&" + n)), max_size=8).map("".join), min_size=1, max_size=25))
+def test_unescape_equals_python(values, rows):
+    for raw, got in zip(rows, values(rows, unescape(X))):
+        assert got == html.unescape(raw), raw
 
 
 def test_slugs(values):
