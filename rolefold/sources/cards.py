@@ -79,8 +79,8 @@ def guest_cards(
 
     ``details`` may hold landed detail pages ``(url, html)``; their text replaces the template.
     """
-    items = pieces_from(F.col("html"), r"<li\b")
-    blocks = pieces_from(F.col("html"), opening("div", "base-card"))
+    items = pieces_from(F.col("html"), r"<li\b", "li")
+    blocks = pieces_from(F.col("html"), opening("div", "base-card"), "div")
     cards = F.when(F.size(items) > 0, items).otherwise(blocks)
     card = F.col("card")
     link = F.coalesce(open_tag(card, "a", "base-card__full-link"),
@@ -130,7 +130,7 @@ def tuple_cards(
                     lambda t: t != "")
     title_tag = open_tag(card, "a", "title")
     own_id = attribute(F.regexp_extract(card, r"(?is)^<[^>]*>", 0), "data-job-id")
-    rows = _read(pages, pieces_from(F.col("html"), starts), [
+    rows = _read(pages, pieces_from(F.col("html"), starts, "div", "article"), [
         F.coalesce(field("a", "title"), F.lit("")).alias("title"),
         F.coalesce(attribute(title_tag, "href"), F.lit("")).alias("url"),
         F.coalesce(field("a", "comp-name", "subTitle"), F.lit("Naukri Recruiter")).alias("company"),

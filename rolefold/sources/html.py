@@ -59,9 +59,20 @@ def balanced_inner(html: Column, tag: str, *classes: str) -> Column:
     return F.when(html.rlike(f"(?is){start}"), let(pieces, cut))
 
 
-def pieces_from(html: Column, start: str) -> Column:
-    """The text from each match of ``start`` up to the next one; what precedes the first is dropped."""
-    return F.filter(F.split(html, f"(?is)(?={start})"), lambda p: p.rlike(f"(?is)^{start}"))
+def pieces_from(html: Column, start: str, *tags: str) -> Column:
+    """The elements whose opening tag matches ``start``, each up to its end or to the next match.
+
+    ``tags`` are the tag names that ``start`` may match.
+    """
+    def own(piece: Column) -> Column:
+        head = F.regexp_extract(piece, "(?s)^<[^>]*>", 0)
+        cut = piece
+        for tag in tags:
+            cut = F.when(piece.rlike(rf"(?i)^<{tag}\b"), F.concat(head, balanced_inner(piece, tag))).otherwise(cut)
+        return cut
+
+    found = F.filter(F.split(html, f"(?is)(?={start})"), lambda p: p.rlike(f"(?is)^(?:{start})"))
+    return F.transform(found, own)
 
 
 def joined_text(fragment: Column) -> Column:

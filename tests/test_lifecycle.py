@@ -1,4 +1,4 @@
-"""Event log, derived state, boards, filters and queues on the reference inputs."""
+"""Event log, derived state, boards, filters and queues on small known inputs."""
 
 import json
 import random

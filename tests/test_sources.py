@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from rolefold.session import run_dir
-from rolefold.sources.cards import detail_text, guest_cards, split_heading
+from rolefold.sources.cards import detail_text, guest_cards, split_heading, tuple_cards
 from rolefold.sources.feeds import flat_feed, nested_feed
 from rolefold.sources.html import balanced_inner, joined_text
 from rolefold.sources.registry import SOURCES, chosen_sources, collect_listings, read_payloads, source_listings
@@ -93,6 +93,18 @@ def test_guest_card(spark):
     assert row["description"] == "Senior Distributed Systems Lead at Apex Dynamics in Remote, Worldwide. Remote opportunities available."
 
 
+def test_text_behind_a_card_does_not_belong_to_it(spark):
+    bare = CARD.replace('<span class="job-search-card__salary-info">$180,000 - $230,000</span>', "")
+    (row,) = guest_cards(page(spark, bare + '<p><span class="job-search-card__salary-info">$1</span></p>')).collect()
+    assert row["salary"] == "Not specified"
+    html = ('<div class="srp-jobtuple-wrapper" data-job-id="W"><div class="x"><a class="title" href="/a-123456">A</a></div></div>'
+            '<span class="sal-wrap">9 Lacs</span><article class="jobTuple"><a class="title" href="/b-1234567?x=1">B</a><span class="sal-wrap"> 5 Lacs </span>'
+            '</article><div class="tuple"><a class="title" href="">no link</a></div>')
+    rows = tuple_cards(page(spark, html), ["go"]).orderBy("pos").collect()
+    assert [(r["job_id_on_platform"], r["title"], r["salary"], r["company"], r["location"]) for r in rows] == [
+        ("W", "A", "Not specified", "Naukri Recruiter", "India"), ("1234567", "B", "5 Lacs", "Naukri Recruiter", "India")]
+
+
 def test_cards_without_required_fields_are_dropped(spark):
     html = '<li><h3 class="base-search-card__title">T</h3></li>' + CARD.replace("Apex Dynamics", " ")
     assert guest_cards(page(spark, html)).count() == 0
