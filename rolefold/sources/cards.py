@@ -15,8 +15,8 @@ from ..functions.values import NOT_SPECIFIED
 from ..operators.dedup import first_per_page
 from ..operators.normalize import DESCRIPTION_LIMIT
 from .html import (
-    attribute, balanced_inner, class_attr, inner, joined_text, open_tag, opening, pieces_from, shown_lines,
-    shown_text,
+    attribute, balanced_inner, class_attr, inner, joined_text, open_tag, opening, pieces_from, raw_attribute,
+    shown_lines, shown_text,
 )
 
 # Site prefixes for relative links.
@@ -65,10 +65,28 @@ def _finish(df: DataFrame, portal: str, limit: int | None) -> DataFrame:
         "date_posted", "skills", F.col("skills").alias("skills_required"))
 
 
-def _read(pages: DataFrame, cards: Column, fields: list[Column]) -> DataFrame:
-    """Cut out the cards and read the fields of each card once."""
+def _read(
+    pages: DataFrame, cards: Column, texts: dict[str, Column], attributes: dict[str, Column], as_text,
+    lists: dict[str, Column] | None = None,
+) -> DataFrame:
+    """Cut out the cards and read the fields of each card once.
+
+    All texts of a card go through one expression, and so do its attributes: decoding is a large
+    expression, and one per field would make plans slow to analyse.
+    """
     cut = pages.select("page_id", F.posexplode(cards).alias("pos", "card"))
-    return cut.select("page_id", "pos", F.inline(F.array(F.struct(*fields))))
+    read = cut.select("page_id", "pos", F.inline(F.array(F.struct(
+        F.transform(F.array(*texts.values()), as_text).alias("__texts"),
+        F.transform(F.array(*attributes.values()), unescape).alias("__attributes"),
+        *[F.filter(F.transform(c, as_text), lambda t: t != "").alias(n) for n, c in (lists or {}).items()]))))
+    return read.select(
+        "page_id", "pos", *(lists or {}),
+        *[F.col("__texts")[i].alias(n) for i, n in enumerate(texts)],
+        *[F.col("__attributes")[i].alias(n) for i, n in enumerate(attributes)])
+
+
+def _or(name: str, default: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(default)).alias(name)
 
 
 def guest_cards(
@@ -85,19 +103,17 @@ def guest_cards(
     card = F.col("card")
     link = F.coalesce(open_tag(card, "a", "base-card__full-link"),
                       F.regexp_extract(card, r'(?is)<a\b[^>]*href\s*=\s*"[^"]*/jobs/view/[^"]*"[^>]*>', 0))
-    when_tag = open_tag(card, "time")
-    rows = _read(pages, cards, [
-        joined_text(F.coalesce(inner(card, "h3", "base-search-card__title"),
-                               inner(card, r"[a-z0-9]+", "base-card__title"), F.lit(""))).alias("title"),
-        joined_text(F.coalesce(inner(card, "h4", "base-search-card__subtitle"),
-                               inner(card, r"[a-z0-9]+", "base-card__subtitle"), F.lit(""))).alias("company"),
-        without_query(attribute(link, "href")).alias("url"),
-        F.coalesce(joined_text(inner(card, "span", "job-search-card__location")), F.lit("Remote")).alias("location"),
-        F.when(when_tag.isNotNull(), F.coalesce(
-            blank_to_null(attribute(when_tag, "datetime")), joined_text(inner(card, "time")))).alias("date_posted"),
-        F.coalesce(joined_text(inner(card, "span", "job-search-card__salary-info")), F.lit(NOT_SPECIFIED))
-        .alias("salary"),
-    ]).filter((F.col("title") != "") & (F.col("company") != "") & (F.col("url") != ""))
+    rows = _read(pages, cards, {
+        "title": F.coalesce(inner(card, "h3", "base-search-card__title"), inner(card, r"[a-z0-9]+", "base-card__title"), F.lit("")),
+        "company": F.coalesce(
+            inner(card, "h4", "base-search-card__subtitle"), inner(card, r"[a-z0-9]+", "base-card__subtitle"), F.lit("")),
+        "location": inner(card, "span", "job-search-card__location"),
+        "salary": inner(card, "span", "job-search-card__salary-info"),
+        "when": inner(card, "time"),
+    }, {"href": raw_attribute(link, "href"), "day": raw_attribute(open_tag(card, "time"), "datetime")}, joined_text).select(
+        "page_id", "pos", "title", "company", without_query(F.col("href")).alias("url"), _or("location", "Remote"),
+        _or("salary", NOT_SPECIFIED), F.coalesce(blank_to_null(F.col("day")), F.col("when")).alias("date_posted"),
+    ).filter((F.col("title") != "") & (F.col("company") != "") & (F.col("url") != ""))
     if details is not None:
         landed = details.select("url", detail_text(F.col("html"), limit=description_limit).alias("detail"))
         rows = rows.join(landed.groupBy("url").agg(F.max("detail").alias("detail")), "url", "left")
@@ -120,26 +136,22 @@ def tuple_cards(
               rf"|<article\b[^>]*{class_attr('jobTuple')}")
     card = F.col("card")
 
-    def field(tag: str, *classes: str) -> Column:
-        return shown_text(inner(card, tag, *classes))
-
     tag_list = F.coalesce(inner(card, "ul", "tags-gt", "tag-li"), F.lit(""))
     list_items = F.regexp_extract_all(tag_list, F.lit(r"(?is)<li\b[^>]*>(.*?)</li\s*>"), F.lit(1))
     dotted = F.regexp_extract_all(card, F.lit(rf"(?is){opening('li', 'dot-gt')}(.*?)</li\s*>"), F.lit(1))
-    tags = F.filter(F.transform(F.when(F.size(list_items) > 0, list_items).otherwise(dotted), shown_text),
-                    lambda t: t != "")
-    title_tag = open_tag(card, "a", "title")
-    own_id = attribute(F.regexp_extract(card, r"(?is)^<[^>]*>", 0), "data-job-id")
-    rows = _read(pages, pieces_from(F.col("html"), starts, "div", "article"), [
-        F.coalesce(field("a", "title"), F.lit("")).alias("title"),
-        F.coalesce(attribute(title_tag, "href"), F.lit("")).alias("url"),
-        F.coalesce(field("a", "comp-name", "subTitle"), F.lit("Naukri Recruiter")).alias("company"),
-        F.coalesce(field("span", "expwdth", "exp-wrap"), F.lit("")).alias("experience"),
-        F.coalesce(field("span", "sal-wrap", "ni-job-tuple-icon-srp-rupee"), F.lit(NOT_SPECIFIED)).alias("salary"),
-        F.coalesce(field("span", "loc-wrap", "locWdth"), F.lit("India")).alias("location"),
-        F.coalesce(field("div|span", "job-desc", "row6"), F.lit("")).alias("snippet"),
-        F.array_join(tags, ", ").alias("tags"), own_id.alias("own_id"),
-    ]).filter((F.col("title") != "") & (F.col("url") != ""))
+    rows = _read(pages, pieces_from(F.col("html"), starts, "div", "article"), {
+        "title": inner(card, "a", "title"), "company": inner(card, "a", "comp-name", "subTitle"),
+        "experience": inner(card, "span", "expwdth", "exp-wrap"),
+        "salary": inner(card, "span", "sal-wrap", "ni-job-tuple-icon-srp-rupee"),
+        "location": inner(card, "span", "loc-wrap", "locWdth"), "snippet": inner(card, "div|span", "job-desc", "row6"),
+    }, {
+        "url": raw_attribute(open_tag(card, "a", "title"), "href"),
+        "own_id": raw_attribute(F.regexp_extract(card, r"(?is)^<[^>]*>", 0), "data-job-id"),
+    }, shown_text, {"tag_items": F.when(F.size(list_items) > 0, list_items).otherwise(dotted)}).select(
+        "page_id", "pos", _or("title", ""), _or("url", ""), _or("company", "Naukri Recruiter"), _or("experience", ""),
+        _or("salary", NOT_SPECIFIED), _or("location", "India"), _or("snippet", ""), "own_id",
+        F.array_join("tag_items", ", ").alias("tags"),
+    ).filter((F.col("title") != "") & (F.col("url") != ""))
     template = F.format_string(
         "%s at %s.\nLocation: %s\nExperience: %s\nSalary: %s\nDescription: %s\nSkills: %s",
         "title", "company", "location", "experience", "salary", "snippet", "tags")
@@ -189,16 +201,14 @@ def link_cards(
         F.col("html"), F.lit(r'(?is)(<a\b[^>]*href\s*=\s*"[^"]*/j/[^"]*"[^>]*>.*?)</a\s*>'), F.lit(1))
     card = F.col("card")
 
-    def all_texts(tag: str) -> Column:
-        found = F.regexp_extract_all(card, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"), F.lit(1))
-        return F.filter(F.transform(found, shown_text), lambda t: t != "")
+    def all_of(tag: str) -> Column:
+        return F.regexp_extract_all(card, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"), F.lit(1))
 
     heading = F.regexp_extract(
         card, r'(?is)(?:<p\b[^>]*>|<([a-z0-9]+)\b[^>]*data-testid\s*=\s*"job_title"[^>]*>)(.*?)</(?:p|\1)\s*>', 2)
-    rows = _read(pages, links, [
-        attribute(card, "href").alias("href"), shown_text(heading).alias("heading"),
-        all_texts("p").alias("paragraphs"), all_texts("span").alias("spans"),
-    ]).filter(F.col("href") != "")
+    rows = _read(
+        pages, links, {"heading": heading}, {"href": raw_attribute(card, "href")}, shown_text,
+        {"paragraphs": all_of("p"), "spans": all_of("span")}).filter(F.col("href") != "")
 
     def of_kind(kind: str) -> Column:
         return F.filter("spans", lambda s: classify_span(s) == kind)

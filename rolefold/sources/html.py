@@ -30,8 +30,12 @@ def open_tag(html: Column, tag: str, *classes: str) -> Column:
     return blank_to_null(F.regexp_extract(html, f"(?is){opening(tag, *classes)}", 0))
 
 
+def raw_attribute(tag_text: Column, name: str) -> Column:
+    return F.regexp_extract(tag_text, rf'(?is)\s{name}\s*=\s*"([^"]*)"', 1)
+
+
 def attribute(tag_text: Column, name: str) -> Column:
-    return unescape(F.regexp_extract(tag_text, rf'(?is)\s{name}\s*=\s*"([^"]*)"', 1))
+    return unescape(raw_attribute(tag_text, name))
 
 
 def balanced_inner(html: Column, tag: str, *classes: str) -> Column:
