@@ -22,10 +22,11 @@ def settle(df: DataFrame, columns: dict[str, Column], keep: list[str] | None = N
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """Distribute a scan that has fewer partitions than the cluster has cores.
+    """Distribute a scan that has clearly fewer partitions than the cluster has cores.
 
-    Heavy per-row work on one small file would otherwise run in a single task. A large table
-    arrives in more partitions than that and is returned as it is, without a shuffle.
+    Heavy per-row work on one small file would otherwise run in a single task. Spark cuts scans
+    into at least as many pieces as there are cores once they exceed 4 MB per core, so only tables
+    below that size are ever shuffled here; anything larger is returned as it is.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() <= cores - max(1, cores // 8) else scan
