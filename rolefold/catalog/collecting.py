@@ -22,8 +22,6 @@ from ..streaming.ingest import ingest_once, read_ingested, stream_files
 from .registry import query, s_collapse, s_html_text, s_strip, s_unescape, table
 
 FIRST_LINE = "split_part(text, chr(10), 1)"
-CONTRACT = ("job_id_on_platform, platform, title, company, location, url, description, salary, date_posted, "
-            "skills, salary_range, remote_level, skills_required")
 
 
 def _raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
