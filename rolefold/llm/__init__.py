@@ -1 +1,10 @@
-"""Operators that prepare training text. Nothing else in the library imports this package."""
+"""Operators that prepare training text. Nothing else in the library imports this package.
+
+Functions that run in tasks are sent to the executors by value, which therefore need not have the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -78,7 +78,9 @@ def _words_until(end: Column, length: Column, start: Column, size: Column) -> Co
 
 def mix_sources(docs: DataFrame, seed: int = 17, shards: int = 16, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
                 id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
-    """Rows (doc_id, size, source_size, target, taken, taken_by_shard), one per row of ``docs``; ``keep`` names columns to add.
+    """Rows (doc_id, size, source_size, target, taken, taken_by_shard), one per row of ``docs``.
+
+    With ``keep``, the rows have these columns of ``docs`` instead, and mix_size and mix_taken.
 
     ``taken`` counts the words that the mixture takes from a document, repeats included. Null and empty texts have size 0
     and give nothing; null sources are one source. Sources without words have target 0. Rows that repeat are taken like others; rows
@@ -104,7 +106,8 @@ def mix_sources(docs: DataFrame, seed: int = 17, shards: int = 16, weights: tupl
     ends = F.transform("ends", lambda q: F.when(F.col("source_size") == 0, F.lit(0)).otherwise(
         _words_until(q * F.col("block"), F.col("source_size"), F.col("start"), F.col("size"))).cast("long"))
     placed = placed.withColumn("start", start).withColumn("until_shard", ends)
-    return placed.select(
-        "doc_id", "size", "source_size", "target", F.element_at("until_shard", -1).alias("taken"),
-        F.transform("until_shard", lambda x, i: x - F.when(i == 0, F.lit(0)).otherwise(F.get("until_shard", i - 1))).alias("taken_by_shard"),
-        *[F.col(f"kept_{c}").alias(c) for c in keep or []])
+    taken = F.element_at("until_shard", -1)
+    by_shard = F.transform("until_shard", lambda x, i: x - F.when(i == 0, F.lit(0)).otherwise(F.get("until_shard", i - 1)))
+    if keep is not None:
+        return placed.select(F.col("size").alias("mix_size"), taken.alias("mix_taken"), *[F.col(f"kept_{c}").alias(c) for c in keep])
+    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), by_shard.alias("taken_by_shard"))

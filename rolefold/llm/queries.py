@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
 from .mixing import mix_sources
+from .near_dup import near_duplicates
+from .quality import judge
 from .sharding import shard_documents
+from .site_lines import BLOCK_TAGS, drop_site_lines, host, page_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +30,42 @@ def op1_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    cleaned = drop_site_lines(pages, host(F.col("url")), page_lines(F.col("html")))
+    return cleaned.select(
+        "page_id", host(F.col("url")).alias("host"), F.size("all_lines").cast("long").alias("n_lines"), "n_dropped",
+        F.array_join("kept_lines", "\n").alias("kept_text"))
+
+
+# Dialect of the SQL: ranges are spelled out, and the pattern of blanks holds for trimming as well.
+ORACLES["op7_site_lines"] = r"""
+WITH page AS (
+  SELECT row_number() OVER () AS k, page_id, nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '') AS host,
+    list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
+      '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '', 'g'), '""" + BLOCK_TAGS + r"""', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10)),
+      lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') AS lines
+  FROM pages),
+line AS (SELECT k, host, unnest(list_distinct(lines)) AS line FROM page WHERE host IS NOT NULL),
+bad AS (
+  SELECT l.host, list(l.line) AS lines
+  FROM (SELECT host, line, count(*) AS n FROM line GROUP BY ALL HAVING count(*) >= 4) l
+  JOIN (SELECT host, count(*) AS n FROM page GROUP BY host) t ON l.host = t.host AND l.n > 0.1 * t.n
+  GROUP BY l.host),
+kept AS (SELECT page_id, page.host, page.lines, list_filter(page.lines, lambda x: NOT coalesce(list_contains(bad.lines, x), false)) AS kept
+  FROM page LEFT JOIN bad ON page.host = bad.host)
+SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped, array_to_string(kept, chr(10)) AS kept_text FROM kept
+"""
+
+
+@query
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
