@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from rolefold.llm.bpe import build_lexicon, encode_documents, read_spec
 from rolefold.llm.common import GAPS
 from rolefold.llm.mixing import mix_sources
 from rolefold.llm.near_dup import drop_near_duplicates
@@ -34,12 +36,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture takes it, rounded to whole documents; documents without words are not taken."""
-    mixed = mix_sources(docs, keep=docs.columns)
-    copies = F.when(F.col("mix_size") > 0, F.floor((F.col("mix_taken") + F.col("mix_size") / 2) / F.col("mix_size"))).otherwise(0)
-    return mixed.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(True), copies.cast("int")))).select(*docs.columns)
+    copies = F.when(F.col("size") > 0, F.floor((F.col("taken") + F.col("size") / 2) / F.col("size"))).otherwise(0)
+    mixed = mix_sources(docs, whole_rows=True)
+    return mixed.select("row", F.explode(F.array_repeat(F.lit(True), copies.cast("int")))).select("row.*")
 
 
-STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mix", mix)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document that is left, and their number."""
+    spec = read_spec(public_tokenizers.path("word_bpe_49k.json"))
+    encoded = encode_documents(docs, spec, build_lexicon(docs, spec))
+    return encoded.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mix", mix), ("encode", encode)]
 ORACLE_SQL = None
 
 

@@ -77,10 +77,10 @@ def _words_until(end: Column, length: Column, start: Column, size: Column) -> Co
 
 
 def mix_sources(docs: DataFrame, seed: int = 17, shards: int = 16, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
-                id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
+                id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", whole_rows: bool = False) -> DataFrame:
     """Rows (doc_id, size, source_size, target, taken, taken_by_shard), one per row of ``docs``.
 
-    With ``keep``, the rows have these columns of ``docs`` instead, and mix_size and mix_taken.
+    With ``whole_rows``, rows are (size, taken, row) instead, with all columns of ``docs`` in ``row``.
 
     ``taken`` counts the words that the mixture takes from a document, repeats included. Null and empty texts have size 0
     and give nothing; null sources are one source. Sources without words have target 0. Rows that repeat are taken like others; rows
@@ -89,7 +89,7 @@ def mix_sources(docs: DataFrame, seed: int = 17, shards: int = 16, weights: tupl
     of the smallest target, whichever is less, and at least one word.
     """
     order = F.xxhash64(F.lit(seed), F.col(id_col), F.octet_length(text_col))
-    kept = [F.col(c).alias(f"kept_{c}") for c in keep or []]
+    kept = [F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if whole_rows else []
     rows = materialise(docs.select(
         F.col(id_col).alias("doc_id"), source_key(F.col(source_col)).alias("key"), n_words(F.col(text_col)).alias("size"),
         order.alias("place"), *kept,
@@ -108,6 +108,6 @@ def mix_sources(docs: DataFrame, seed: int = 17, shards: int = 16, weights: tupl
     placed = placed.withColumn("start", start).withColumn("until_shard", ends)
     taken = F.element_at("until_shard", -1)
     by_shard = F.transform("until_shard", lambda x, i: x - F.when(i == 0, F.lit(0)).otherwise(F.get("until_shard", i - 1)))
-    if keep is not None:
-        return placed.select(F.col("size").alias("mix_size"), taken.alias("mix_taken"), *[F.col(f"kept_{c}").alias(c) for c in keep])
+    if whole_rows:
+        return placed.select("size", taken.alias("taken"), "row")
     return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), by_shard.alias("taken_by_shard"))

@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .bpe import encoded_digests
 from .common import table
+from .credentials import scan_secrets
 from .mixing import mix_sources
 from .near_dup import near_duplicates
 from .quality import judge
+from .run_index import drop_repeated_bytes
+from .sentence_spans import drop_repeated_spans
 from .sharding import shard_documents
 from .site_lines import BLOCK_TAGS, drop_site_lines, host, page_lines
+from .vector_search import top_products
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +75,28 @@ SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::B
 @query
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op3_credential_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_spans(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_segment_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op9_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_bytes(table(spark, sf_dir, "documents"))
