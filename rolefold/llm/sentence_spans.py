@@ -1,8 +1,8 @@
 """Substring dedup by sliding spans of sentences.
 
-From each sentence on, the shortest run of at least two consecutive sentences with at least ``LEAST_WORDS`` words is hashed. A run that
-occurs anywhere before, in a document with a smaller id or earlier in the same one, is a repetition; the sentences
-it covers are removed.
+The shortest run of at least two consecutive sentences with at least ``LEAST_WORDS`` words is hashed from each sentence on, and that up to
+each sentence; so the runs inside a passage cover it from end to end. A run that occurs anywhere before, in a document with
+a smaller id or earlier in the same one, is a repetition; the sentences it covers are removed.
 """
 
 from __future__ import annotations
@@ -34,9 +34,10 @@ def span_runs(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     hashes = np.array([xxhash.xxh3_64_intdigest(b" ".join(parts[i])) for i in real], np.uint64)
     total = np.concatenate([[0], np.cumsum(n_words[real])])
     at = np.arange(len(real))
-    last = np.maximum(np.searchsorted(total, total[:-1] + LEAST_WORDS), at + LEAST_SENTENCES)
-    keep = last <= len(real)
-    at, last = at[keep], last[keep]
+    until = np.maximum(np.searchsorted(total, total[:-1] + LEAST_WORDS), at + LEAST_SENTENCES)
+    since = np.minimum(np.searchsorted(total, total[1:] - LEAST_WORDS, "right") - 1, at + 1 - LEAST_SENTENCES)
+    both = np.unique(np.concatenate([(at * (len(real) + 1) + until)[until <= len(real)], (since * (len(real) + 1) + at + 1)[since >= 0]]))
+    at, last = both // (len(real) + 1), both % (len(real) + 1)
     with np.errstate(over="ignore"):
         powers = np.cumprod(np.full(len(real), _FACTOR, np.uint64))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers, dtype=np.uint64)])
