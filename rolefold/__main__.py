@@ -44,7 +44,9 @@ def main(argv: list[str] | None = None) -> dict:
     parser.add_argument("--landed", required=True, help="folder with one sub-folder per source")
     parser.add_argument("--keywords", help="comma-separated search terms")
     parser.add_argument("--min-score", type=int, default=70)
-    parser.add_argument("--limit-per-source", type=int, default=10)
+    parser.add_argument("--limit-per-source", type=int, help="first listings of each source only")
+    parser.add_argument("--evaluate-limit", type=int, help="score so many listings at most")
+    parser.add_argument("--tailor-limit", type=int, help="tailor so many applications at most")
     parser.add_argument("--sources", help="comma-separated source names; all when left out")
     parser.add_argument("--resume-path", help="résumé as a JSON or text file")
     args = parser.parse_args(argv)
@@ -57,7 +59,7 @@ def main(argv: list[str] | None = None) -> dict:
     metrics = run_campaign(
         spark, ListingStore(spark, args.root), landed_sources(spark, args.landed), F.current_timestamp(), resume,
         keyword_terms(args.keywords), args.min_score, args.limit_per_source,
-        [s.strip() for s in args.sources.split(",")] if args.sources else None)
+        [s.strip() for s in args.sources.split(",")] if args.sources else None, args.evaluate_limit, args.tailor_limit)
     row = metrics.first().asDict()
     for name in ("total_scraped", "newly_stored", "evaluated", "ready", "errors"):
         print(f"{name}: {row[name]}")

@@ -14,7 +14,7 @@ from ..operators.normalize import normalize_listings, quarantine_json, raw_from_
 from ..sources.cards import (
     anchor_cards, detail_text, guest_cards, link_cards, tuple_cards, usable_link, without_query,
 )
-from ..sources.feeds import flat_feed, nested_feed
+from ..sources.feeds import feed_quarantine as quarantined_feed, flat_feed, nested_feed
 from ..sources.registry import collect_listings
 from ..sources.html import attribute, inner, joined_text, shown_text
 from ..session import run_dir
@@ -41,7 +41,7 @@ _TITLE = f"coalesce(nullif({s_strip(FIRST_LINE)}, ''), 'Untitled Position')"
 @query(f"""
 SELECT doc_id, substr(sha256(lower(source || ':' || {_TITLE} || ':unknown company:')), 1, 16) AS job_id_on_platform,
        source AS platform, {_TITLE} AS title, 'Unknown Company' AS company, lang AS location, '' AS url,
-       substr({s_strip('text')}, 1, 3000) AS description,
+       {s_strip('text')} AS description,
        CASE WHEN n_chars > 500 THEN n_chars || ' USD' END AS salary, CAST(NULL AS VARCHAR) AS date_posted,
        lang || ', ' || source AS skills,
        CASE WHEN n_chars > 500 THEN n_chars || ' USD' ELSE 'Not specified' END AS salary_range,
@@ -452,6 +452,17 @@ def quarantined_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quarantine_json(docs.select("doc_id", F.explode(bodies).alias("body")))
 
 
+@query("""
+SELECT doc_id AS payload_id, pos, CASE WHEN pos IS NULL THEN 'no list of jobs can be read' WHEN pos = 0 THEN 'not an object' ELSE 'cannot be read' END AS reason
+FROM (SELECT doc_id, unnest(CASE doc_id % 4 WHEN 0 THEN [0, 1] WHEN 3 THEN [] ELSE [NULL] END)::INTEGER AS pos FROM documents)""")
+def feed_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies and items that give no listing, each with its place and reason."""
+    kind, item = F.col("doc_id") % 4, F.to_json(F.struct(F.col("text").alias("description")))
+    body = (F.when(kind == 0, F.concat(F.lit('{"jobs":[1,"x",'), item, F.lit("]}"))).when(kind == 1, '{"jobs":5}')
+            .when(kind == 2, F.concat(F.lit('{"jobs":['), item)).otherwise(F.concat(F.lit('{"jobs":['), item, F.lit("]}"))))
+    return quarantined_feed(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("payload_id"), body.alias("body")))
+
+
 @query("""
 SELECT 'Himalayas' AS platform, count(*) AS n, count(*) AS n_keys FROM documents
 UNION ALL SELECT 'Hirist', count(*), count(*) FROM customer
@@ -469,7 +480,7 @@ def collected_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incremental ingest of the documents file; a text already stored is not stored again."""
     schema = table(spark, sf_dir, "documents").schema
-    stream = stream_files(spark, sf_dir, schema, "documents.parquet").select(
+    stream = stream_files(spark, f"{sf_dir.rstrip('/')}/documents.parquet", schema).select(
         F.sha2("text", 256).alias("text_key"), "doc_id")
     target = run_dir(spark, "stream-dedup")
     ingest_once(stream, ["text_key"], ["doc_id"], f"{target}/rows", f"{target}/progress")

@@ -150,8 +150,8 @@ def reply_parse_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, item_id, 'Rate.' || chr(10) || chr(10) || 'Listing:' || chr(10) || substr(d.text, 1, 3000) || chr(10) || chr(10) ||
-       'Résumé:' || chr(10) || substr(b.text, 1, 3000) AS prompt
+SELECT doc_id, item_id, 'Rate.' || chr(10) || chr(10) || 'Listing:' || chr(10) || d.text || chr(10) || chr(10) ||
+       'Résumé:' || chr(10) || b.text AS prompt
 FROM documents d, (SELECT count(*) AS n FROM benchmark) c JOIN benchmark b ON d.doc_id % c.n = b.item_id""")
 def prompt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     resumes = table(spark, sf_dir, "benchmark").withColumnRenamed("text", "resume")

@@ -65,18 +65,31 @@ def _named(run: Column) -> Column:
     return F.coalesce(F.try_element_at(_table(html5), run), *begun, F.concat(F.lit("&"), run))
 
 
-def _decode_piece(piece: Column) -> Column:
-    def decoded(run: Column) -> Column:
-        value = F.when(F.startswith(run, F.lit("#")), _numeric(run)).otherwise(_named(run))
-        return F.when(run == "", piece).otherwise(F.concat(value, F.substr(piece, F.length(run) + 2)))
-
-    return let(F.regexp_extract(piece, REFERENCE, 1), decoded)
+def _value(run: Column) -> Column:
+    """Character of a reference without its '&'; the empty text for a piece without one."""
+    return F.when(run == "", "").when(F.startswith(run, F.lit("#")), _numeric(run)).otherwise(_named(run))
 
 
 def unescape(col: Column) -> Column:
-    """Decode all references once. Texts with only the usual ones take plain replacements."""
-    plain = col
+    """Decode all references once. Texts with only the usual ones take plain replacements, those without any nothing."""
+    return let(col, _unescape)
+
+
+def _unescape(text: Column) -> Column:
+    plain = text
     for entity, char in HTML_ENTITIES:
         plain = F.replace(plain, F.lit(entity), F.lit(char))
-    pieces = F.transform(F.split(col, "(?=&)"), _decode_piece)
-    return F.when(col.rlike(OTHER_REFERENCE), F.array_join(pieces, "")).otherwise(plain)
+    return F.when(~F.contains(text, F.lit("&")), text).when(text.rlike(OTHER_REFERENCE), _decode_all(text)).otherwise(plain)
+
+
+def _decode_all(text: Column) -> Column:
+    """Each distinct piece that begins with a reference is decoded once, whatever number of them a text has."""
+    pieces = F.split(text, "(?=&)")
+    run = F.transform(pieces, lambda p: F.regexp_extract(p, REFERENCE, 1))
+
+    def joined(runs: Column) -> Column:
+        distinct = F.array_distinct(runs)
+        return let(F.map_from_arrays(distinct, F.transform(distinct, _value)), lambda values: F.array_join(
+            F.zip_with(pieces, runs, lambda p, r: F.when(r == "", p).otherwise(F.concat(F.try_element_at(values, r), F.substr(p, F.length(r) + 2)))), ""))
+
+    return let(run, joined)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .entities import unescape
+from .rows import let
 
 # The characters a Unicode-aware strip removes and ``\s`` matches.
 WHITESPACE = (
@@ -38,7 +39,8 @@ def blank_to_null(col: Column) -> Column:
 
 
 def collapse_spaces(col: Column) -> Column:
-    return strip(F.regexp_replace(col, SPACE_CLASS + "+", " "))
+    """One blank for each run of whitespace; single blanks, by far the most, are not touched."""
+    return strip(F.regexp_replace(col, f"{SPACE_CLASS}{{2,}}|[{SPACE_RANGES}&&[^ ]]", " "))
 
 
 def fold_case(col: Column) -> Column:
@@ -56,7 +58,8 @@ def distinct_tokens(col: Column) -> Column:
 
 
 def strip_tags(col: Column) -> Column:
-    return collapse_spaces(F.regexp_replace(col, "<[^>]+>", " "))
+    return collapse_spaces(let(col, lambda text: F.when(
+        F.contains(text, F.lit("<")), F.regexp_replace(text, "<[^>]+>", " ")).otherwise(text)))
 
 
 def html_to_text(col: Column, decode_entities: bool = True) -> Column:

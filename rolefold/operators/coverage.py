@@ -10,9 +10,6 @@ from ..functions.lexicon import SKILL_LEXICON, STOP_WORDS, Lexicon, with_skills
 from ..functions.stages import score_band
 from ..functions.text import blank_to_null, distinct_tokens, strip
 from ..functions.values import whole_number
-from ..session import limit
-
-SALTS = 32  # tasks over which a frequent token is spread when the vocabulary is joined by shuffle
 
 NO_CONTENT = "No content provided to evaluate."
 NO_KEYWORDS = "No recognizable skill keywords found in job description."
@@ -81,49 +78,30 @@ def skill_coverage(listings: DataFrame, text: str, profile: ResumeProfile) -> Da
     return found.withColumn("matched", F.array_intersect("required", profile.skill_list()))
 
 
-def match_tokens(
-    df: DataFrame, key: str, tokens: str, vocabulary: DataFrame,
-    inline_limit: int | None = None, broadcast_limit: int | None = None,
-) -> DataFrame:
-    """Reduce a token array column to ``n_matched`` and ``found`` (sorted), given a vocabulary.
+def match_tokens(df: DataFrame, key: str, tokens: str, vocabulary: DataFrame) -> DataFrame:
+    """Reduce a token array column to ``n_matched`` and ``found`` (sorted), given a vocabulary of distinct tokens.
 
-    ``key`` must identify the rows. The vocabulary's size decides how: inside the row, by a
-    broadcast of the vocabulary, or by a shuffled join in which frequent tokens are spread over
-    several tasks.
+    A listing's tokens are distinct, so rows equal in ``key`` and all other columns are one row. Spark chooses the join by the
+    vocabulary's size, and splits a frequent token's rows where adaptive execution finds skew.
     """
-    spark = df.sparkSession
-    inline_limit = limit(spark, "inlineTokens") if inline_limit is None else inline_limit
-    broadcast_limit = limit(spark, "broadcastTokens") if broadcast_limit is None else broadcast_limit
-    size, n_bytes = vocabulary.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("token")), F.lit(0))).first()
-    fits = n_bytes <= limit(spark, "broadcastBytes")
-    if fits and size <= inline_limit:
-        listed = F.coalesce(vocabulary.agg(F.collect_set("token")).scalar(), F.array().cast("array<string>"))
-        both = df.withColumn("__both", F.array_intersect(tokens, listed))
-        return both.withColumns({"n_matched": F.size("__both"), "found": F.sort_array("__both")}).drop("__both", tokens)
-
     kept = [c for c in df.columns if c != tokens]
     exploded = df.select(*kept, F.explode_outer(tokens).alias("token"))
-    if fits and size <= broadcast_limit:
-        joined = exploded.join(F.broadcast(vocabulary.withColumn("hit", F.lit(True))), "token", "left")
-    else:
-        salted = vocabulary.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-        joined = exploded.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(
-            salted.withColumn("hit", F.lit(True)), ["token", "salt"], "left")
+    joined = exploded.join(vocabulary.withColumn("hit", F.lit(True)), "token", "left")
     return joined.groupBy(*kept).agg(
-        F.sort_array(F.collect_list(F.when(F.col("hit"), F.col("token")))).alias("found")
+        F.sort_array(F.collect_set(F.when(F.col("hit"), F.col("token")))).alias("found")
     ).withColumn("n_matched", F.size("found"))
 
 
-def token_coverage(listings: DataFrame, key: str, text: str, profile: ResumeProfile, **limits: int) -> DataFrame:
+def token_coverage(listings: DataFrame, key: str, text: str, profile: ResumeProfile) -> DataFrame:
     """Columns ``key, n_tokens, n_matched, found, score, reasoning`` of the token fallback alone."""
     listed = listings.select(key, required_tokens(F.col(text)).alias("__tokens"))
     listed = listed.withColumn("n_tokens", F.size("__tokens"))
-    counted = match_tokens(listed, key, "__tokens", profile.tokens, **limits)
+    counted = match_tokens(listed, key, "__tokens", profile.tokens)
     score, reasoning = token_score(F.col("n_matched"), F.col("n_tokens"), F.col("found"))
     return counted.withColumns({"score": score, "reasoning": reasoning})
 
 
-def score_listings(listings: DataFrame, key: str, text: str, profile: ResumeProfile, **limits: int) -> DataFrame:
+def score_listings(listings: DataFrame, key: str, text: str, profile: ResumeProfile) -> DataFrame:
     """Route every listing: blank text, skill coverage if it names a skill, else token coverage.
 
     Returns ``key, score, reasoning, band``.
@@ -138,7 +116,7 @@ def score_listings(listings: DataFrame, key: str, text: str, profile: ResumeProf
         F.when(blank, F.lit(NO_CONTENT)).when(F.size("required") > 0, skill_reason).alias("__reason"),
         F.when(~direct, required_tokens(F.col(text))).alias("__tokens"),
     ).withColumn("n_tokens", F.when(F.col("__tokens").isNotNull(), F.size("__tokens")).otherwise(0))
-    counted = match_tokens(routed, key, "__tokens", profile.tokens, **limits)
+    counted = match_tokens(routed, key, "__tokens", profile.tokens)
     score, reasoning = token_score(F.coalesce("n_matched", F.lit(0)), F.col("n_tokens"), F.col("found"))
     return counted.select(
         key, F.coalesce("__score", score).alias("score"), F.coalesce("__reason", reasoning).alias("reasoning"),
@@ -196,12 +174,12 @@ INSTRUCTION = (
 
 
 def prompt_text(
-    listing: Column, resume: Column, instruction: str = INSTRUCTION, listing_limit: int = 3000,
-    resume_limit: int = 3000,
+    listing: Column, resume: Column, instruction: str = INSTRUCTION, window: int | None = None,
 ) -> Column:
-    """Batch input for an external scorer; both texts are cut to the scorer's window."""
-    return F.concat(
-        F.lit(instruction + "\n\nListing:\n"), F.substring(listing, 1, listing_limit),
-        F.lit("\n\nRésumé:\n"), F.substring(resume, 1, resume_limit))
+    """Batch input for an external scorer; a scorer that reads ``window`` characters only gets that much of each text."""
+    def shown(text: Column) -> Column:
+        return text if window is None else F.substring(text, 1, window)
+
+    return F.concat(F.lit(instruction + "\n\nListing:\n"), shown(listing), F.lit("\n\nRésumé:\n"), shown(resume))
 
 

@@ -9,8 +9,6 @@ from ..functions.text import blank_to_null, hash_key, strip
 from ..functions.values import NOT_SPECIFIED
 from ..schemas import CONTRACT_FIELDS
 
-DESCRIPTION_LIMIT = 3000  # fixed value of the contract
-
 
 def _text(df: DataFrame, name: str) -> Column:
     if name not in df.columns:
@@ -40,7 +38,7 @@ def _required(value: Column, default: str) -> Column:
 def normalize_listings(
     df: DataFrame,
     default_platform: str = "Unknown",
-    description_limit: int | None = DESCRIPTION_LIMIT,
+    description_limit: int | None = None,
     company_first_key: bool = False,
 ) -> DataFrame:
     """Map raw listing columns onto the contract; other columns pass through.

@@ -13,7 +13,6 @@ from ..functions.rows import settle
 from ..functions.text import blank_to_null, strip, strip_tags, url_id
 from ..functions.values import NOT_SPECIFIED
 from ..operators.dedup import first_per_page
-from ..operators.normalize import DESCRIPTION_LIMIT
 from .html import (
     attribute, balanced_inner, class_attr, inner, joined_text, open_tag, opening, pieces_from, raw_attribute,
     shown_lines, shown_text,
@@ -46,7 +45,7 @@ def usable_link(href: Column) -> Column:
     return (href != "") & ~F.contains(href, F.lit("/signup")) & ~F.contains(href, F.lit("/login"))
 
 
-def detail_text(html: Column, containers=DETAIL_CONTAINERS, limit: int | None = DESCRIPTION_LIMIT) -> Column:
+def detail_text(html: Column, containers=DETAIL_CONTAINERS, limit: int | None = None) -> Column:
     """Text of the first container present on a detail page."""
     fragment = F.coalesce(*[balanced_inner(html, tag, *([cls] if cls else [])) for tag, cls in containers])
     text = strip_tags(unescape(F.regexp_replace(fragment, "<[^>]+>", " ")))
@@ -91,7 +90,7 @@ def _or(name: str, default: str) -> Column:
 
 def guest_cards(
     pages: DataFrame, keywords=None, details: DataFrame | None = None, portal: str = "LinkedIn",
-    description_limit: int | None = DESCRIPTION_LIMIT,
+    description_limit: int | None = None,
 ) -> DataFrame:
     """List items, or base-card blocks on pages without list items.
 
@@ -129,7 +128,7 @@ def guest_cards(
 
 
 def tuple_cards(
-    pages: DataFrame, keywords=None, portal: str = "Naukri", description_limit: int | None = DESCRIPTION_LIMIT,
+    pages: DataFrame, keywords=None, portal: str = "Naukri", description_limit: int | None = None,
 ) -> DataFrame:
     """Cards with one element per field and a tag list."""
     starts = (rf"<div\b[^>]*{class_attr('srp-jobtuple-wrapper', 'cust-job-tuple', 'tuple')}"
@@ -194,7 +193,7 @@ def classify_span(text: Column) -> Column:
 
 
 def link_cards(
-    pages: DataFrame, keywords=None, portal: str = "Hirist", description_limit: int | None = DESCRIPTION_LIMIT,
+    pages: DataFrame, keywords=None, portal: str = "Hirist", description_limit: int | None = None,
 ) -> DataFrame:
     """Cards that are one link each, with a heading, paragraphs and loose spans."""
     links = F.regexp_extract_all(
@@ -237,7 +236,7 @@ def link_cards(
 
 
 def anchor_cards(
-    pages: DataFrame, keywords=None, portal: str = "Wellfound", description_limit: int | None = DESCRIPTION_LIMIT,
+    pages: DataFrame, keywords=None, portal: str = "Wellfound", description_limit: int | None = None,
 ) -> DataFrame:
     """Listing links inside company blocks; company and salary come from the block's text."""
     block = r'<div\b[^>]*class\s*=\s*"[^"]*styles_result[^"]*"|<[a-z0-9]+\b[^>]*data-test\s*=\s*"StartupResult"'

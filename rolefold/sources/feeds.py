@@ -15,17 +15,42 @@ from ..functions.text import (
 from ..functions.values import (
     date_before_t, date_from_epoch, date_prefix, salary_in_dollars, salary_with_currency,
 )
-from ..operators.normalize import DESCRIPTION_LIMIT
 
 ANYWHERE = "Remote / Worldwide"
 NESTED_SITE = "https://himalayas.app"  # fixed value: prefix of derived listing URLs
 
 
+ENVELOPE = "jobs array<string>, __bad string"
+ENVELOPE_OPTIONS = {"columnNameOfCorruptRecord": "__bad", "maxStringLen": str(2**31 - 1), "maxNestingDepth": "10000"}
+
+
+def _envelopes(payloads: DataFrame) -> DataFrame:
+    """The texts of each body's items; the body itself is never one JSON value in memory, so it may be of any size."""
+    read = payloads.select("payload_id", "body", F.from_json("body", ENVELOPE, ENVELOPE_OPTIONS).alias("__read"))
+    return read.select("payload_id", "body", F.when(F.col("__read.__bad").isNull(), F.col("__read.jobs")).alias("jobs"))
+
+
+def _is_object() -> Column:
+    return F.coalesce(F.startswith(F.schema_of_variant("item"), F.lit("OBJECT")), F.lit(False))
+
+
+def _parsed_items(payloads: DataFrame) -> DataFrame:
+    items = _envelopes(payloads).select("payload_id", F.posexplode("jobs").alias("pos", "text"))
+    return items.withColumn("item", F.try_parse_json("text"))
+
+
 def feed_items(payloads: DataFrame) -> DataFrame:
     """One row per object in the ``jobs`` array, in feed order."""
-    jobs = F.try_variant_get(F.try_parse_json("body"), "$.jobs", "array<variant>")
-    return payloads.select("payload_id", F.posexplode(jobs).alias("pos", "item")).filter(
-        F.startswith(F.schema_of_variant("item"), F.lit("OBJECT")))
+    return _parsed_items(payloads).filter(_is_object()).drop("text")
+
+
+def feed_quarantine(payloads: DataFrame) -> DataFrame:
+    """What ``feed_items`` leaves out: ``payload_id, pos, reason``, without ``pos`` for a whole body."""
+    bodies = _envelopes(payloads).filter(F.col("jobs").isNull()).select(
+        "payload_id", F.lit(None).cast("int").alias("pos"), F.lit("no list of jobs can be read").alias("reason"))
+    items = _parsed_items(payloads).filter(~_is_object()).select(
+        "payload_id", "pos", F.when(F.col("item").isNull(), F.lit("cannot be read")).otherwise(F.lit("not an object")).alias("reason"))
+    return bodies.unionByName(items)
 
 
 def _get(path: str, kind: str = "string") -> Column:
@@ -71,7 +96,7 @@ def _matching(mapped: DataFrame, fields: list[str], keywords) -> DataFrame:
 
 def nested_feed(
     payloads: DataFrame, keywords=None, platform: str = "Himalayas",
-    description_limit: int | None = DESCRIPTION_LIMIT,
+    description_limit: int | None = None,
 ) -> DataFrame:
     """Feed with camel-case fields, category and location lists and epoch dates."""
     title, slug = _text("title"), blank_to_null(_get("companySlug"))
@@ -100,7 +125,7 @@ def nested_feed(
 
 def flat_feed(
     payloads: DataFrame, keywords=None, platform: str = "Remotive",
-    description_limit: int | None = DESCRIPTION_LIMIT,
+    description_limit: int | None = None,
 ) -> DataFrame:
     """Feed with snake-case fields, a tag list and ISO dates."""
     number = _get("id")

@@ -67,7 +67,7 @@ def collect_listings(
     landed: dict[str, DataFrame | Callable[[], DataFrame]],
     spark: SparkSession,
     keywords=None,
-    limit_per_source: int | None = 10,
+    limit_per_source: int | None = None,
     enabled: list[str] | None = None,
     sources: dict[str, Reader] = SOURCES,
 ) -> tuple[DataFrame, list[str]]:

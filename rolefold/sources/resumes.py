@@ -36,6 +36,19 @@ def json_resumes(df: DataFrame, text: str = "raw_text") -> DataFrame:
 DEFAULT_RESUME_TEXT = "Software and Data Engineer with AI automation experience."  # fixed value
 
 
+def with_structure(resumes: DataFrame) -> DataFrame:
+    """Résumés that are only text, as the structured columns beside that text; others as they are."""
+    if set(resumes.columns) & set(RESUME.fieldNames()) - {"resume_id"} or "raw_text" not in resumes.columns:
+        return resumes
+    keyed = resumes if "resume_id" in resumes.columns else resumes.withColumn("resume_id", F.lit("given"))
+    structured = structure_resumes(keyed, "raw_text").select(*RESUME.fieldNames(), "raw_text")
+    return structured if "resume_id" in resumes.columns else structured.drop("resume_id")
+
+
+def _from_text(spark: SparkSession, text: str) -> DataFrame:
+    return with_structure(spark.createDataFrame([(text,)], "raw_text string"))
+
+
 def resolve_resume(
     spark: SparkSession, resume: dict | str | None = None, text: str | None = None, base: DataFrame | None = None,
 ) -> DataFrame:
@@ -47,11 +60,11 @@ def resolve_resume(
             resume = {"raw_text": resume}
     if isinstance(resume, dict) and resume:
         if set(resume) == {"raw_text"}:
-            return spark.createDataFrame([(resume["raw_text"],)], "raw_text string")
+            return _from_text(spark, resume["raw_text"])
         one = spark.createDataFrame([("given", json.dumps(resume))], "resume_id string, raw_text string")
         return json_resumes(one).drop("resume_id")
     if text:
-        return spark.createDataFrame([(text,)], "raw_text string")
+        return _from_text(spark, text)
     if base is not None and not base.isEmpty():
         return base
-    return spark.createDataFrame([(DEFAULT_RESUME_TEXT,)], "raw_text string")
+    return _from_text(spark, DEFAULT_RESUME_TEXT)

@@ -42,16 +42,14 @@ LISTINGS = [
 ]
 
 
-def scored(spark, listings, resume, **limits):
+def scored(spark, listings, resume):
     df = spark.createDataFrame(list(enumerate(listings)), "id int, text string")
     profile = resume_profile(spark.createDataFrame([(resume,)], "text string"))
-    return [(r["score"], r["reasoning"]) for r in score_listings(df, "id", "text", profile, **limits).orderBy("id").collect()]
+    return [(r["score"], r["reasoning"]) for r in score_listings(df, "id", "text", profile).orderBy("id").collect()]
 
 
-@pytest.mark.parametrize("limits", [{}, {"inline_limit": 0}, {"inline_limit": 0, "broadcast_limit": 0}],
-                         ids=["inline", "broadcast", "salted shuffle"])
-def test_score_routing(spark, limits):
-    assert scored(spark, LISTINGS, RESUME_TEXT, **limits) == [expected_score(x, RESUME_TEXT) for x in LISTINGS]
+def test_score_routing(spark):
+    assert scored(spark, LISTINGS, RESUME_TEXT) == [expected_score(x, RESUME_TEXT) for x in LISTINGS]
 
 
 def test_empty_resume_scores_nothing(spark):
@@ -106,9 +104,11 @@ def test_reply_parsing(spark):
     assert got == cases
 
 
-def test_prompt_holds_both_windows(values):
-    (text,) = values([("L" * 4000, "R" * 5000)], prompt_text(F.col("a"), F.col("b"), resume_limit=4000), schema="a string, b string")
-    assert text.count("L" * 3000) == 1 and "L" * 3001 not in text and text.endswith("R" * 4000)
+def test_prompt_holds_both_texts(values):
+    (text,) = values([("L" * 4000, "R" * 5000)], prompt_text(F.col("a"), F.col("b"), window=3000), schema="a string, b string")
+    assert text.count("L" * 3000) == 1 and "L" * 3001 not in text and text.endswith("\n" + "R" * 3000)
+    (text,) = values([("L" * 4000, "R" * 5000)], prompt_text(F.col("a"), F.col("b")), schema="a string, b string")
+    assert text.count("L" * 4000) == 1 and text.endswith("\n" + "R" * 5000)
 
 
 # -- résumé text ----------------------------------------------------------------------------

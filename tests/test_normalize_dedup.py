@@ -31,12 +31,12 @@ def test_nulls_blanks_and_long_text(spark):
     (row,) = norm(spark, [{"platform": None, "company": "   ", "description": "A" * 5000, "date_posted": "  2026-08-30  ",
                            "skills": ["Python", None, 123, "DuckDB"], "location": None, "remote_level": "EU"}])
     assert (row["company"], len(row["description"]), row["date_posted"], row["skills"], row["location"]) == (
-        "Unknown Company", 3000, "2026-08-30", "Python, 123, DuckDB", "EU")
+        "Unknown Company", 5000, "2026-08-30", "Python, 123, DuckDB", "EU")
 
 
-def test_whole_description_on_request(spark):
-    (row,) = norm(spark, [{"description": "A" * 5000}], description_limit=None)
-    assert len(row["description"]) == 5000
+def test_description_limit_on_request(spark):
+    (row,) = norm(spark, [{"description": "A" * 5000}], description_limit=3000)
+    assert len(row["description"]) == 3000
 
 
 def test_blank_platform_is_unknown_not_the_default(spark):

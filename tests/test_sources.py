@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from rolefold.session import run_dir
 from rolefold.sources.cards import detail_text, guest_cards, split_heading, tuple_cards
-from rolefold.sources.feeds import flat_feed, nested_feed
+from rolefold.functions.text import html_to_text
+from rolefold.sources.feeds import feed_quarantine, flat_feed, nested_feed
 from rolefold.sources.html import balanced_inner, joined_text
 from rolefold.sources.registry import SOURCES, chosen_sources, collect_listings, read_payloads, source_listings
 from rolefold.operators.filters import complete_card
@@ -62,12 +63,35 @@ def test_bad_payloads_and_items_give_no_rows(spark):
         assert [r["title"] for r in read(feed(payloads(spark, *bodies)))] == ["ok"]
 
 
-def test_whole_description_is_searched_before_the_cut(spark):
+def test_whole_description_is_searched_and_kept(spark):
     body = {"jobs": [{"title": "t", "description": "x" * 4000 + " needle"}]}
     (row,) = read(nested_feed(payloads(spark, body), ["needle"]))
+    assert len(row["description"]) == 4007
+    (row,) = read(nested_feed(payloads(spark, body), ["needle"], description_limit=3000))
     assert len(row["description"]) == 3000
 
 
+def test_large_bodies_give_all_items_and_bad_ones_a_reason(spark):
+    items = F.transform(F.sequence(F.lit(1), F.lit(1400)), lambda i: F.to_json(F.struct(
+        i.alias("id"), F.lit("t").alias("title"), F.repeat(F.lit("x"), 100_000).alias("description"))))
+    large = spark.range(1).select(F.lit("large").alias("payload_id"), F.concat(
+        F.lit('{"jobs":['), F.array_join(items, ","), F.lit("]}")).alias("body"))
+    assert flat_feed(large).count() == 1400 and feed_quarantine(large).count() == 0
+    bad = spark.createDataFrame([("a", '{"jobs":[{"title":"ok"},7,null,"text"]}'), ("b", '{"jobs":'), ("c", "[]"), ("d", None), ("e", '{"jobs":{}}')],
+                                "payload_id string, body string")
+    found = sorted((r["payload_id"], -1 if r["pos"] is None else r["pos"], r["reason"]) for r in feed_quarantine(bad).collect())
+    none = "no list of jobs can be read"
+    assert found == [("a", 1, "not an object"), ("a", 2, "cannot be read"), ("a", 3, "cannot be read"), ("b", -1, none), ("c", -1, none), ("d", -1, none),
+                     ("e", -1, none)]
+    assert [r["title"] for r in read(flat_feed(bad))] == ["ok"]
+
+
+def test_many_references(values):
+    import html
+    text = "&eacute;&amp;&#233;&notit; &NotEqualTilde;&#x80;&bogus;& " * 300 + "<b>end</b>"
+    assert values([text], html_to_text(F.col("x"))) == [" ".join(html.unescape(text).replace("<b>", " ").replace("</b>", " ").split())]
+
+
 def page(spark, html):
     return spark.createDataFrame([(1, "u", html)], "page_id bigint, url string, html string")
 
