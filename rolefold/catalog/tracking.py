@@ -15,7 +15,7 @@ from ..operators.lifecycle import (
     audit_trail as trail, created_events, current_state as fold, history_entries as entries_of, history_json as as_json,
     notes_events,
 )
-from ..operators.ordering import rank_within, with_position
+from ..operators.ordering import with_position
 from ..operators.purge import is_deprecated, orphans, purge_cascade as purge
 from ..plans import board as boards, queues
 from ..plans.campaign import run_campaign
@@ -62,9 +62,8 @@ FROM {_LISTINGS} l WHERE status = 'scraped' AND match_score IS NULL
 def pending_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole queue with its order made visible as a place number."""
     waiting = queues.pending_queue(_listings(spark, sf_dir), _label_apps(spark, sf_dir), limit=None)
-    placed = rank_within(waiting.withColumn("all", F.lit(1)), ["all"],
-                         [queues.recency().desc_nulls_last(), F.col("id").desc()], "place")
-    return placed.select("id", "platform", "place")
+    placed = with_position(waiting.select("id", "platform", queues.recency().alias("at")), [F.col("at").desc_nulls_last(), F.col("id").desc()])
+    return placed.select("id", "platform", (F.col("pos") + 1).alias("place"))
 
 
 @query(f"""
@@ -128,16 +127,22 @@ def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("url"))
 
 
-@query(f"SELECT app_id, job_id, status AS app_status, strftime(updated_at, '%Y-%m-%d') AS updated, platform, match_score FROM {_JOINED}")
+@query(f"""SELECT app_id, job_id, status AS app_status, strftime(updated_at, '%Y-%m-%d') AS updated, platform, match_score,
+  row_number() OVER (ORDER BY updated_at DESC NULLS LAST, app_id DESC) AS place FROM {_JOINED}""")
 def applications_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = boards.applications_table(_order_apps(spark, sf_dir), _customers(spark, sf_dir))
-    return rows.select("app_id", "job_id", "app_status", F.date_format("app_updated_at", "yyyy-MM-dd").alias("updated"),
-                       "platform", "match_score")
+    placed = with_position(rows, [F.coalesce("app_updated_at", "app_created_at").desc_nulls_last(), F.col("app_id").desc()])
+    return placed.select("app_id", "job_id", "app_status", F.date_format("app_updated_at", "yyyy-MM-dd").alias("updated"),
+                         "platform", "match_score", (F.col("pos") + 1).alias("place"))
 
 
-@query(f"""SELECT app_id, job_id, match_score FROM {_JOINED} WHERE lower(status) IN ('ready', 'ready to apply')""")
+@query(f"""SELECT app_id, job_id, match_score, row_number() OVER (ORDER BY match_score DESC NULLS LAST, updated_at DESC NULLS LAST, app_id DESC) AS place
+FROM {_JOINED} WHERE lower(status) IN ('ready', 'ready to apply')""")
 def ready_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boards.ready_list(_order_apps(spark, sf_dir), _customers(spark, sf_dir)).select("app_id", "job_id", "match_score")
+    rows = boards.ready_list(_order_apps(spark, sf_dir), _customers(spark, sf_dir))
+    placed = with_position(rows, [F.col("match_score").desc_nulls_last(), F.coalesce("app_updated_at", "app_created_at").desc_nulls_last(),
+                                  F.col("app_id").desc()])
+    return placed.select("app_id", "job_id", "match_score", (F.col("pos") + 1).alias("place"))
 
 
 @query(f"""
@@ -200,10 +205,10 @@ SELECT app_id, row_number() OVER (ORDER BY updated_at DESC, app_id DESC) AS newe
 def application_sorts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every application under each of the five sort choices."""
     apps = boards.applications_with_listings(_order_apps(spark, sf_dir), _customers(spark, sf_dir)).select(
-        "app_id", "app_updated_at", "app_created_at", "match_score", "company", "title", "app_status", F.lit(1).alias("all"))
+        "app_id", "app_updated_at", "app_created_at", "match_score", "company", "title", "app_status")
     for by, name in [("Newest First", "newest"), ("Match Score (High to Low)", "by_score"), ("Company (A-Z)", "by_company"),
                      ("Title (A-Z)", "by_title"), ("Stage", "by_stage")]:
-        apps = rank_within(apps, ["all"], filters.application_order(by), name)
+        apps = with_position(apps, filters.application_order(by), "place").withColumn(name, F.col("place") + 1).drop("place")
     return apps.select("app_id", "newest", "by_score", "by_company", "by_title", "by_stage")
 
 
@@ -379,7 +384,7 @@ def upsert_is_new(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def batch(df: DataFrame) -> DataFrame:
         return df.select(F.col("source").alias("platform"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
-                         F.col("lang").alias("company"))
+                         F.col("lang").alias("company"), F.col("doc_id").alias("arrival"))
 
     now = F.lit("2026-01-01 00:00:00").cast("timestamp")
     store.upsert_listings(batch(docs.join(labels, "doc_id", "left_semi")), now)
@@ -435,6 +440,79 @@ def tracked_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "status", "notes", "n_history")
 
 
+@query("""
+SELECT source AS platform_key, lang AS job_id_on_platform, coalesce(nullif(trim(split_part(text, chr(10), 1)), ''), 'Untitled Position') AS title, text AS description
+FROM documents QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY (doc_id * 7919) % 10007, doc_id DESC) = 1""")
+def upsert_first_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole listings of which many share a key; the first to arrive stays, whatever it says."""
+    store = ListingStore(spark, run_dir(spark, "arrivals"))
+    rows = table(spark, sf_dir, "documents").select(
+        F.col("source").alias("platform"), F.col("lang").alias("job_id_on_platform"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
+        F.col("text").alias("description"), ((F.col("doc_id") * 7919) % 10007).alias("turn"), (-F.col("doc_id")).alias("within"))
+    store.upsert_listings(rows, F.lit("2026-01-01 00:00:00").cast("timestamp"), ["turn", "within"])
+    return store.read("listings").select("platform_key", "job_id_on_platform", "title", "description")
+
+
+def _users_store(spark: SparkSession, sf_dir: str) -> tuple[Tracker, DataFrame]:
+    """An application for each user, and the users' events with its id."""
+    tracker = Tracker(ListingStore(spark, run_dir(spark, "users")))
+    events = table(spark, sf_dir, "events")
+    made = tracker.create(events.select(F.col("user_id").alias("job_id")).distinct(), F.lit("2000-01-01 00:00:00").cast("timestamp"))
+    return tracker, events.withColumnRenamed("user_id", "job_id").join(made.select("job_id", "application_id"), "job_id")
+
+
+@query("""
+SELECT user_id AS job_id, coalesce(arg_max(event_type, event_id) FILTER (event_type <> 'error'), 'Ready to Apply') AS status,
+  CAST(1 + count(*) FILTER (event_type <> 'error') AS BIGINT) AS n_history FROM events GROUP BY 1""")
+def batched_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All moves of all applications as one table of requests; the last by ordinal counts."""
+    tracker, events = _users_store(spark, sf_dir)
+    moves = events.where("event_type <> 'error'").select("application_id", F.col("event_type").alias("stage"), F.col("event_id").alias("ordinal"))
+    tracker.move(moves, F.lit("2026-01-02 00:00:00").cast("timestamp"))
+    depth = tracker.history().groupBy("application_id").agg(F.max("seq").alias("n_history"))
+    state = tracker.applications().select(F.col("id").alias("application_id"), "job_id", "status")
+    return state.join(depth, "application_id").select("job_id", "status", "n_history")
+
+
+@query("""SELECT user_id AS job_id, arg_max(props, (ts, event_id)) AS notes FROM events GROUP BY 1""")
+def batched_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All notes as one table of requests, ordered by their own times, then by ordinal."""
+    tracker, events = _users_store(spark, sf_dir)
+    tracker.annotate(events.select("application_id", F.col("props").alias("notes"), F.col("ts").alias("created_at"), F.col("event_id").alias("ordinal")),
+                     F.lit("2030-01-01 00:00:00").cast("timestamp"))
+    return tracker.applications().select("job_id", "notes")
+
+
+@query(f"""
+SELECT source AS platform_key, job_id AS job_id_on_platform, CAST(quality * 50 AS INTEGER) AS match_score,
+  CASE WHEN l.doc_id % 3 = 0 THEN 'because ' || l.doc_id WHEN l.doc_id % 3 = 1 THEN '{{"quality":' || quality || '}}' ELSE 'plain ' || l.doc_id END AS match_reasoning
+FROM {_KEYED} d JOIN labels l ON l.doc_id = d.doc_id""")
+def score_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores whose details are objects, with and without a reasoning, or text; each is given twice in one call, and the later one counts."""
+    store, ids = _stored_documents(spark, sf_dir)
+    key = F.col("doc_id").cast("string")
+    details = (F.when(F.col("doc_id") % 3 == 0, F.to_json(F.struct(F.concat(F.lit("because "), key).alias("reasoning"), "quality")))
+               .when(F.col("doc_id") % 3 == 1, F.to_json(F.struct("quality"))).otherwise(F.concat(F.lit("plain "), key)))
+    scores = table(spark, sf_dir, "labels").join(ids, "doc_id").select(
+        F.col("id").alias("job_id"), details.alias("evaluation_details"), "quality", F.explode(F.array(F.lit(2), F.lit(1))).alias("ordinal"))
+    store.apply_scores(scores.withColumn("match_score", F.when(F.col("ordinal") == 2, F.col("quality") * 50).otherwise(100)).drop("quality"),
+                       F.lit("2026-01-02 00:00:00").cast("timestamp"))
+    return store.listings().where("status = 'evaluated'").select("platform_key", "job_id_on_platform", "match_score", "match_reasoning")
+
+
+@query("""SELECT 0 AS n_before, count(*) AS n_after, min(1) AS first_id, count(*) AS last_id FROM documents""")
+def reset_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reset leaves empty tables, and ids begin again."""
+    store, _ = _stored_documents(spark, sf_dir)
+    store.reset()
+    before = store.read("listings").agg(F.count(F.lit(1)).cast("int").alias("n_before"))
+    emptied = before.first()["n_before"]
+    docs = table(spark, sf_dir, "documents").select(F.lit("p").alias("platform"), F.col("doc_id").cast("string").alias("job_id_on_platform"))
+    store.upsert_listings(docs, F.lit("2026-01-01 00:00:00").cast("timestamp"))
+    return store.read("listings").agg(F.lit(emptied).alias("n_before"), F.count(F.lit(1)).alias("n_after"), F.min("id").cast("int").alias("first_id"),
+                                      F.max("id").alias("last_id"))
+
+
 _RUN_RESUME = "The rest of la que."
 _OFFERED = s_skills(s_fold(f"'{_RUN_RESUME}'"), PROSE_LEXICON)
 
@@ -443,7 +521,7 @@ _OFFERED = s_skills(s_fold(f"'{_RUN_RESUME}'"), PROSE_LEXICON)
 WITH k AS (SELECT DISTINCT ON (key) * FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'item-' || doc_id ELSE
     substr(sha256(lower('himalayas:' || lang || ' role:' || source || ':https://host/' || doc_id)), 1, 16) END AS key,
     {_TEXT_ONE_LINE} AS body FROM documents)),
-s AS (SELECT doc_id, body, {s_skills('folded', PROSE_LEXICON)} AS required FROM (SELECT *, {s_fold('substr(body, 1, 3000)')} AS folded FROM k)),
+s AS (SELECT doc_id, body, {s_skills('folded', PROSE_LEXICON)} AS required FROM (SELECT *, {s_fold('body')} AS folded FROM k)),
 m AS (SELECT len(required) AS n, len(list_filter(required, lambda x: list_contains({_OFFERED}, x))) AS hit FROM s)
 SELECT count(*) AS total_scraped, count(*) AS newly_stored, count(*) AS evaluated,
   count(*) FILTER (n > 0 AND floor(hit / n * 100) >= 70) AS ready, 'success' AS status, 1 AS n_errors FROM m""")
@@ -472,7 +550,7 @@ def stream_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events streamed into the log; applications per current stage."""
     schema = table(spark, sf_dir, "events").schema
     target = run_dir(spark, "stream-board")
-    stream = stream_files(spark, sf_dir, schema, "events.parquet").select("event_id", "ts", "user_id", "event_type")
+    stream = stream_files(spark, f"{sf_dir.rstrip('/')}/events.parquet", schema).select("event_id", "ts", "user_id", "event_type")
     append_events(stream, f"{target}/log", f"{target}/progress")
     log = spark.read.schema(stream.schema).parquet(f"{target}/log")
     return live_board(log, "user_id", "event_type", ["ts", "event_id"])

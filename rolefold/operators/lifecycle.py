@@ -107,12 +107,12 @@ def latest_rows(df: DataFrame, keys: list[str], order: list[str], values: list[s
         F.max_by(F.struct(*values), F.struct(*order)).alias("__last")).select(*keys, "__last.*")
 
 
-def audit_trail(events: DataFrame, **limits: int) -> DataFrame:
+def audit_trail(events: DataFrame, block_rows: int | None = None) -> DataFrame:
     """``id, application_id, stage, note, created_at`` with default notes filled in."""
     keyed = events.select(
         "event_id", "application_id", "kind", "note", "created_at",
         F.when(F.col("kind").isin("created", "stage"), F.col("stage")).alias("moved_to"))
-    traced = GroupOrder(keyed, ["application_id"], [F.col(c) for c in ORDER], **limits).fill(
+    traced = GroupOrder(keyed, ["application_id"], [F.col(c) for c in ORDER], block_rows).fill(
         {"moved_to": "stage"}).lag({"stage": "old_stage"}).result()
     default = F.when(F.col("kind") == "created", F.lit("Application initialized")).otherwise(
         F.concat(F.lit("Transitioned from "), F.col("old_stage"), F.lit(" to "), F.col("stage")))
@@ -121,11 +121,11 @@ def audit_trail(events: DataFrame, **limits: int) -> DataFrame:
         F.coalesce(blank_to_null(F.col("note")), default).alias("note"), "created_at")
 
 
-def history_entries(events: DataFrame, **limits: int) -> DataFrame:
+def history_entries(events: DataFrame, block_rows: int | None = None) -> DataFrame:
     """Stage history, one row per entry: ``application_id, seq, stage, previous_stage, timestamp, note``."""
     moves = events.filter(F.col("kind").isin("created", "stage")).select(
         "event_id", "application_id", "kind", "stage", "note", "created_at")
-    numbered = GroupOrder(moves, ["application_id"], [F.col(c) for c in ORDER], **limits).lag(
+    numbered = GroupOrder(moves, ["application_id"], [F.col(c) for c in ORDER], block_rows).lag(
         {"stage": "previous_stage"}).rank("seq").result()
     default = F.when(F.col("kind") == "created", F.lit("Application created")).otherwise(
         F.concat(F.lit("Stage transitioned to "), F.col("stage")))

@@ -1,22 +1,17 @@
 """Order-dependent operators that stay balanced when one group is very large.
 
-A window over a group runs in one task. That is fine while every group is known to be small, and
-``groups_fit`` checks exactly that. Beyond the limit the same results come from a global sort:
-``with_position`` numbers all rows, fixed-size blocks of consecutive rows take the place of the
-groups, and only one row per block crosses block borders.
+A window over a group runs in one task, however large the group is. Here ``with_position`` numbers all
+rows by one distributed sort, fixed-size blocks of consecutive rows take the place of the
+groups, and only one row per block crosses block borders. There is no other path for small groups.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import limit, materialise
+from ..session import materialise
 
-
-def groups_fit(df: DataFrame, keys: list[str], rows: int | None = None) -> bool:
-    """Is the largest group at most ``rows`` rows? Counts are combined before the shuffle."""
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return (largest or 0) <= (limit(df.sparkSession, "groupRows") if rows is None else rows)
+BLOCK_ROWS = 1_000_000    # rows per block, unless the session sets spark.rolefold.blockRows
 
 
 def with_position(df: DataFrame, order: list, out: str = "pos") -> DataFrame:
@@ -49,17 +44,12 @@ class GroupOrder:
     ...     .lag({"stage": "previous_stage"}).rank("seq").result()
     """
 
-    def __init__(self, df: DataFrame, keys: list[str], order: list, group_limit: int | None = None,
-                 block_rows: int | None = None):
+    def __init__(self, df: DataFrame, keys: list[str], order: list, block_rows: int | None = None):
         self.keys = keys
-        block_rows = block_rows or limit(df.sparkSession, "blockRows")
-        self.small = groups_fit(df, keys, group_limit)
-        if self.small:
-            self.rows, self.window = df, Window.partitionBy(*keys).orderBy(*order)
-        else:
-            placed = with_position(df, [*[F.col(k) for k in keys], *order], "__pos")
-            self.rows = placed.withColumn("__block", F.floor(F.col("__pos") / block_rows))
-            self.window = Window.partitionBy("__block").orderBy("__pos")
+        block_rows = block_rows or int(df.sparkSession.conf.get("spark.rolefold.blockRows", str(BLOCK_ROWS)))
+        placed = with_position(df, [*[F.col(k) for k in keys], *order], "__pos")
+        self.rows = placed.withColumn("__block", F.floor(F.col("__pos") / block_rows))
+        self.window = Window.partitionBy("__block").orderBy("__pos")
 
     def result(self) -> DataFrame:
         return self.rows.drop("__pos", "__block")
@@ -82,9 +72,6 @@ class GroupOrder:
 
     def lag(self, values: dict[str, str]) -> GroupOrder:
         """The previous row's value inside the group: input column → output column."""
-        if self.small:
-            self.rows = self.rows.withColumns({out: F.lag(src).over(self.window) for src, out in values.items()})
-            return self
         last_rows = self.rows.groupBy("__block").agg(
             F.max_by(F.struct(*self.keys, *values), "__pos").alias("__edge")).select("__block", "__edge.*")
         carry = self._carry_from(last_rows, {src: F.col(src) for src in values})
@@ -102,11 +89,6 @@ class GroupOrder:
 
     def fill(self, values: dict[str, str]) -> GroupOrder:
         """The latest non-null value up to and including each row."""
-        if self.small:
-            upto = self.window.rowsBetween(Window.unboundedPreceding, 0)
-            self.rows = self.rows.withColumns({
-                out: F.last(src, ignorenulls=True).over(upto) for src, out in values.items()})
-            return self
         # Per block: the keys of its last row and the last non-null values of that key's run.
         edge = self.rows.groupBy("__block", *self.keys).agg(
             F.max("__pos").alias("__end"),
@@ -126,9 +108,6 @@ class GroupOrder:
 
     def rank(self, out: str) -> GroupOrder:
         """1-based position inside the group."""
-        if self.small:
-            self.rows = self.rows.withColumn(out, F.row_number().over(self.window).cast("bigint"))
-            return self
         keys = F.struct(*self.keys)
         starts = self.rows.groupBy("__block", *self.keys).agg(F.min("__pos").alias("__start"))
         heads = starts.groupBy("__block").agg(
@@ -149,13 +128,13 @@ class GroupOrder:
         return self._keep(inner.withColumn(out, F.col("__pos") - start + 1), [out])
 
 
-def lag_within(df: DataFrame, keys: list[str], order: list, values: dict[str, str], *limits: int, **named: int) -> DataFrame:
-    return GroupOrder(df, keys, order, *limits, **named).lag(values).result()
+def lag_within(df: DataFrame, keys: list[str], order: list, values: dict[str, str], block_rows: int | None = None) -> DataFrame:
+    return GroupOrder(df, keys, order, block_rows).lag(values).result()
 
 
-def rank_within(df: DataFrame, keys: list[str], order: list, out: str, *limits: int, **named: int) -> DataFrame:
-    return GroupOrder(df, keys, order, *limits, **named).rank(out).result()
+def rank_within(df: DataFrame, keys: list[str], order: list, out: str, block_rows: int | None = None) -> DataFrame:
+    return GroupOrder(df, keys, order, block_rows).rank(out).result()
 
 
-def fill_forward(df: DataFrame, keys: list[str], order: list, values: dict[str, str], *limits: int, **named: int) -> DataFrame:
-    return GroupOrder(df, keys, order, *limits, **named).fill(values).result()
+def fill_forward(df: DataFrame, keys: list[str], order: list, values: dict[str, str], block_rows: int | None = None) -> DataFrame:
+    return GroupOrder(df, keys, order, block_rows).fill(values).result()

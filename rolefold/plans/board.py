@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.stages import READY, STAGES, canonical_stage, is_past_ready, is_ready, score_band, score_label
 from ..functions.text import blank_to_null, html_escape
-from ..operators.ordering import rank_within
+from ..operators.ordering import with_position
 from ..functions.values import NOT_SPECIFIED
 
 APPLICATION_COLUMNS = [
@@ -48,18 +48,19 @@ def ready_list(applications: DataFrame, listings: DataFrame) -> DataFrame:
         F.col("match_score").desc_nulls_last(), _recent().desc_nulls_last(), F.col("app_id").desc())
 
 
-def board(applications: DataFrame, listings: DataFrame, **limits: int) -> DataFrame:
+def board(applications: DataFrame, listings: DataFrame) -> DataFrame:
     """Board cards: canonical stage and newest-first position in its column.
 
-    Rows, not a list per stage: a column may hold any number of cards.
+    Rows, not a list per stage: a column may hold any number of cards. Narrow rows are sorted once by stage and recency; a position
+    is a place in that order less the first place of the stage, of which there are six. Cards are joined to their positions.
     """
-    cards = applications_with_listings(applications, listings).withColumn(
-        "app_status", canonical_stage(F.col("app_status")))
-    # There are six stages only: what is sorted per stage are three narrow columns, not the cards.
-    narrow = cards.select("app_id", "app_status", _recent().alias("__recent"))
-    ranked = rank_within(narrow, ["app_status"], [F.col("__recent").desc_nulls_last(), F.col("app_id").desc()],
-                         "position", **limits)
-    return cards.join(ranked.select("app_id", "position"), "app_id")
+    stage = canonical_stage(F.col("status")).alias("app_status")
+    narrow = applications.join(listings.select(F.col("id").alias("job_id")), "job_id", "left_semi").select(
+        F.col("id").alias("app_id"), stage, F.coalesce("updated_at", "created_at").alias("__recent"))
+    placed = with_position(narrow, ["app_status", F.col("__recent").desc_nulls_last(), F.col("app_id").desc()])
+    firsts = placed.groupBy("app_status").agg(F.min("pos").alias("first"))
+    positions = placed.join(F.broadcast(firsts), "app_status").select("app_id", "app_status", (F.col("pos") - F.col("first") + 1).alias("position"))
+    return applications_with_listings(applications, listings).drop("app_status").join(positions, "app_id")
 
 
 def stage_counts(spark: SparkSession, statuses: DataFrame, status: str = "status") -> DataFrame:
@@ -71,10 +72,8 @@ def stage_counts(spark: SparkSession, statuses: DataFrame, status: str = "status
 
 def applied_flags(listings: DataFrame, applications: DataFrame) -> DataFrame:
     """For every listing: is there an application past the ready stage?"""
-    known = applications.select(F.col("job_id").alias("id"), F.col("status").alias("__status"), F.lit(True).alias("__has"))
-    return listings.join(known, "id", "left").withColumn(
-        "is_applied", F.coalesce(F.col("__has"), F.lit(False)) & is_past_ready(F.col("__status"))
-    ).drop("__status", "__has")
+    known = applications.groupBy(F.col("job_id").alias("id")).agg(F.bool_or(is_past_ready(F.col("status"))).alias("__past"))
+    return listings.join(known, "id", "left").withColumn("is_applied", F.coalesce("__past", F.lit(False))).drop("__past")
 
 
 def display_cards(apps: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from ..operators.ordering import with_position
 from ..operators.tailoring import rendered, tailor
 from ..schemas import RESUME, RUN_METRICS
 from ..session import materialise
-from ..sources.resumes import resolve_resume
+from ..sources.resumes import resolve_resume, with_structure
 from ..sources.registry import collect_listings
 from .queues import candidate_queue, good_matches, pending_queue, waiting_for_score
 from .store import ListingStore
@@ -33,7 +33,7 @@ def resume_text(resumes: DataFrame) -> DataFrame:
 
 
 def evaluate_pending(
-    store: ListingStore, resume: DataFrame, now: Column, limit: int | None = 100, lexicon: Lexicon = SKILL_LEXICON,
+    store: ListingStore, resume: DataFrame, now: Column, limit: int | None = None, lexicon: Lexicon = SKILL_LEXICON,
 ) -> int:
     """Score the pending queue against one résumé; returns how many listings were scored."""
     listings, applications = store.listings(), store.applications()
@@ -48,7 +48,7 @@ def evaluate_pending(
 
 
 def tailor_candidates(
-    store: ListingStore, resume: DataFrame, now: Column, min_score: int = 70, limit: int | None = 50,
+    store: ListingStore, resume: DataFrame, now: Column, min_score: int = 70, limit: int | None = None,
 ) -> int:
     """Create a ready application with a tailored résumé for each candidate listing."""
     listings, applications = store.listings(), store.applications()
@@ -57,7 +57,7 @@ def tailor_candidates(
     # Ids are given to the bare keys; the wide rows are made and written in a single pass.
     numbered = with_position(queue.select("id"), [F.col("id")])
     # The single résumé row becomes a literal of the plan; no join is involved.
-    fields = [c for c in resume.columns if c in RESUME_FIELDS]
+    fields = [c for c in resume.columns if c in [*RESUME_FIELDS, "raw_text"]]
     one = resume.select(F.struct(*fields)).scalar()
     first = store.next_event_id()
     shaped = queue.join(numbered, "id").select(
@@ -70,7 +70,7 @@ def tailor_candidates(
     made = tailor(shaped)
     done = made.select(
         "job_id", "event_id", F.col("event_id").alias("application_id"),
-        F.to_json(F.struct(*RESUME_FIELDS)).alias("resume_json"), rendered(made).alias("resume_html"),
+        F.to_json(F.struct(*RESUME_FIELDS, *[c for c in fields if c == "raw_text"])).alias("resume_json"), rendered(made).alias("resume_html"),
         F.lit(PIPELINE_NOTE).alias("notes"))
     store.append_events(created_events(done, now))
     return numbered.count()
@@ -84,19 +84,18 @@ def run_campaign(
     resume: DataFrame | None = None,
     keywords: list[str] | str | None = None,
     min_score: int = 70,
-    limit_per_source: int | None = 10,
+    limit_per_source: int | None = None,
     enabled_sources: list[str] | None = None,
-    evaluate_limit: int | None = 100,
-    tailor_limit: int | None = 50,
+    evaluate_limit: int | None = None,
+    tailor_limit: int | None = None,
     lexicon: Lexicon = SKILL_LEXICON,
 ) -> DataFrame:
     """One row of run metrics. A failing source is listed under ``errors``; the run goes on."""
-    if resume is None:
-        resume = resolve_resume(spark)
+    resume = resolve_resume(spark) if resume is None else with_structure(resume)
     wanted = keyword_terms(keywords or DEFAULT_KEYWORDS)
     found, errors = collect_listings(landed, spark, wanted, limit_per_source, enabled_sources)
     found = materialise(found, "collected")
-    stored = store.upsert_listings(found.drop("pos", "unit", "source_no"), now)
+    stored = store.upsert_listings(found, now, ["source_no", "unit", "pos"])
     new = stored.filter("is_new").count()
     evaluated = evaluate_pending(store, resume, now, evaluate_limit, lexicon)
     ready = tailor_candidates(store, resume, now, min_score, tailor_limit)

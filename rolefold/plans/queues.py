@@ -31,13 +31,13 @@ def _first(df: DataFrame, order: list, limit: int | None) -> DataFrame:
     return ordered.limit(limit) if limit is not None else ordered
 
 
-def pending_queue(listings: DataFrame, applications: DataFrame, limit: int | None = 50) -> DataFrame:
+def pending_queue(listings: DataFrame, applications: DataFrame, limit: int | None = None) -> DataFrame:
     """What waits for a score, newest first."""
     return _first(waiting_for_score(listings, applications), [recency().desc_nulls_last(), F.col("id").desc()], limit)
 
 
 def candidate_queue(
-    listings: DataFrame, applications: DataFrame, min_score: int = 70, limit: int | None = 50,
+    listings: DataFrame, applications: DataFrame, min_score: int = 70, limit: int | None = None,
 ) -> DataFrame:
     """Good matches, best first, then newest."""
     order = [F.col("match_score").desc(), recency().desc_nulls_last(), F.col("id").desc()]

@@ -10,21 +10,27 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.errors import AnalysisException
-
 from ..functions.stages import job_status
+from ..functions.text import blank_to_null
 from ..operators.dedup import first_wins
 from ..operators.lifecycle import current_state, latest_rows
 from ..operators.normalize import normalize_listings, stored_form
 from ..operators.ordering import with_position
 from ..operators.purge import DEPRECATED_PLATFORMS, is_deprecated, purge_cascade
 from ..schemas import EVENTS, LISTINGS, SCORES
-from ..session import materialise
+from ..session import materialise, read_or_empty
 
 VERSIONS = "version int, folder string"
+ARRIVAL = "arrival"
 TABLES = {"listings": LISTINGS, "scores": SCORES, "events": EVENTS}
 
 
+def single_requests(rows: DataFrame, keys: list[str], order: str) -> None:
+    """Raise unless every key occurs once, as nothing tells which of several rows comes first."""
+    if not rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        raise ValueError(f"several rows for one {', '.join(keys)}: a column {order!r} must tell their order")
+
+
 class ListingStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -33,11 +39,8 @@ class ListingStore:
 
     def snapshot(self) -> tuple[int, str]:
         """Number and folder of the current snapshot."""
-        try:
-            named = self.spark.read.schema(VERSIONS).parquet(f"{self.root}/versions")
-            found = named.agg(F.max("version"), F.max_by("folder", "version")).first()
-        except AnalysisException:
-            found = (None, None)
+        named = read_or_empty(self.spark, f"{self.root}/versions", VERSIONS)
+        found = named.agg(F.max("version"), F.max_by("folder", "version")).first()
         return found if found[0] is not None else (0, "v000000")
 
     def _path(self, table: str, folder: str | None = None) -> str:
@@ -46,11 +49,7 @@ class ListingStore:
     def read(self, table: str) -> DataFrame:
         """Rows of a table; columns missing from older files read as null."""
         schema = TABLES[table]
-        try:
-            found = self.spark.read.schema(schema).parquet(self._path(table))
-        except AnalysisException:
-            return self.spark.createDataFrame([], schema)
-        return found.select(*schema.fieldNames())
+        return read_or_empty(self.spark, self._path(table), schema).select(*schema.fieldNames())
 
     def append(self, table: str, rows: DataFrame, folder: str | None = None) -> None:
         schema = TABLES[table]
@@ -76,30 +75,49 @@ class ListingStore:
 
     # -- listings --------------------------------------------------------------------------
 
-    def upsert_listings(self, batch: DataFrame, now: Column, order: list | None = None) -> DataFrame:
+    def upsert_listings(self, batch: DataFrame, now: Column, order: list[str] | None = None) -> DataFrame:
         """Insert what is not there yet; return ``id, platform_key, job_id_on_platform, is_new``.
 
-        A stored listing is left as it is. Doing the same batch twice changes nothing.
+        Of several arrivals with one key the first counts. ``order`` names the columns that tell the order of arrival, by default
+        ``arrival``; a batch without them must not repeat a key. A stored listing is left as it is. Doing the same batch twice changes nothing.
         """
-        unique = materialise(stored_form(first_wins(
-            normalize_listings(batch, description_limit=None), order or ["job_id_on_platform", "title"])), "batch")
-        stored = self.read("listings").select("id", "platform_key", "job_id_on_platform")
+        order = order or ([ARRIVAL] if ARRIVAL in batch.columns else [])
         keys = ["platform_key", "job_id_on_platform"]
-        arrived = unique.select(*keys)
-        known = materialise(arrived.join(stored, keys).select("id", *keys), "known")
+        normal = normalize_listings(batch)
+        unique = stored_form(first_wins(normal, order) if order else normal)
+        stored = self.read("listings").select("id", *keys)
+        # One join tells the known ones from the new ones.
+        unique = materialise(unique.drop("id").join(stored, keys, "left"), "batch")
+        known, fresh = unique.where("id is not null").select("id", *keys), unique.where("id is null").drop("id")
+        if not order:
+            single_requests(unique, keys, ARRIVAL)
         last = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         # Only the keys are sorted to get their numbers; the listings themselves are joined to them.
-        fresh = with_position(arrived.join(stored, keys, "left_anti"), keys)
-        fresh = materialise(fresh.select((F.col("pos") + 1 + F.lit(last)).alias("id"), *keys), "new")
+        numbered = with_position(fresh.select(*keys), keys).select((F.col("pos") + 1 + F.lit(last)).alias("id"), *keys)
         # Sorted within each file, so that a scan for one platform skips row groups.
-        rows = unique.join(fresh, keys).sortWithinPartitions(*keys)
+        rows = fresh.join(numbered, keys).sortWithinPartitions(*keys)
         self.append("listings", rows.withColumns({"scraped_at": now, "created_at": now}))
-        return known.withColumn("is_new", F.lit(False)).unionByName(fresh.withColumn("is_new", F.lit(True)))
+        return known.withColumn("is_new", F.lit(False)).unionByName(numbered.withColumn("is_new", F.lit(True)))
 
     def apply_scores(self, scores: DataFrame, now: Column) -> None:
-        """``job_id, match_score, match_reasoning[, evaluation_details]``; the latest one counts."""
-        details = F.col("evaluation_details" if "evaluation_details" in scores.columns else "match_reasoning")
-        self.append("scores", scores.withColumns({"evaluation_details": details, "scored_at": now}))
+        """``job_id, match_score[, match_reasoning][, evaluation_details][, ordinal]``; the latest one counts.
+
+        Calls follow each other, and scores of one call their ordinal; without it, a job has one score in a call. Details may be text, a struct or a
+        JSON object; without a reasoning, their ``reasoning`` is it, else the details as a whole.
+        """
+        names = scores.columns
+        details = F.col("evaluation_details" if "evaluation_details" in names else "match_reasoning")
+        if "evaluation_details" in names and scores.schema["evaluation_details"].dataType.typeName() in ("struct", "map"):
+            details = F.to_json(details)
+        told = blank_to_null(F.get_json_object(details, "$.reasoning"))
+        given = F.col("match_reasoning") if "match_reasoning" in names else F.lit(None).cast("string")
+        if "ordinal" not in names:
+            single_requests(scores, ["job_id"], "ordinal")
+        ordinal = F.col("ordinal").cast("long") if "ordinal" in names else F.lit(0).cast("long")
+        call = (self.read("scores").agg(F.max("call")).first()[0] or 0) + 1
+        self.append("scores", scores.select("job_id", "match_score", F.coalesce(given, told, details).alias("match_reasoning"),
+                                            details.alias("evaluation_details"), ordinal.alias("ordinal")).withColumns(
+            {"scored_at": now, "call": F.lit(call)}))
 
     def applications(self) -> DataFrame:
         return current_state(self.read("events")).withColumnRenamed("application_id", "id")
@@ -107,11 +125,13 @@ class ListingStore:
     def listings(self) -> DataFrame:
         """Listings with their latest score and with the status that follows from both logs."""
         base = self.read("listings")
-        scored = latest_rows(self.read("scores"), ["job_id"], ["scored_at", "match_score"],
+        scored = latest_rows(self.read("scores"), ["job_id"], ["scored_at", "call", "ordinal"],
                              ["match_score", "match_reasoning", "evaluation_details"])
         scored = scored.select(F.col("job_id").alias("id"), F.lit(True).alias("__scored"),
                                *[F.col(c).alias(f"__{c}") for c in ("match_score", "match_reasoning", "evaluation_details")])
-        staged = self.applications().select(F.col("job_id").alias("id"), job_status(F.col("status")).alias("__stage"))
+        # The log does not keep a job from having two applications; the newest one counts.
+        staged = self.applications().groupBy(F.col("job_id").alias("id")).agg(F.max_by("status", "id").alias("status")).select(
+            "id", job_status(F.col("status")).alias("__stage"))
         joined = base.join(scored, "id", "left").join(staged, "id", "left")
         is_scored = F.coalesce("__scored", F.lit(False))
         return joined.withColumns({

@@ -12,7 +12,7 @@ from ..operators.lifecycle import (
 from ..operators.ordering import with_position
 from ..session import materialise
 from . import board, queues
-from .store import ListingStore
+from .store import ListingStore, single_requests
 
 
 class Tracker:
@@ -24,6 +24,17 @@ class Tracker:
     def __init__(self, store: ListingStore):
         self.store, self.spark = store, store.spark
 
+    def _in_order(self, requests: DataFrame, columns: list[str], now: Column) -> DataFrame:
+        """Requests numbered in the order of ``created_at`` and ``ordinal``, as far as given, then of their applications."""
+        order = [c for c in ("created_at", "ordinal") if c in requests.columns]
+        if not order:
+            single_requests(requests, ["application_id"], "ordinal")
+        shaped = requests.select("application_id", *order, *[
+            (F.col(c) if c in requests.columns else F.lit(None).cast("string")).alias(c) for c in columns])
+        at = F.coalesce(F.col("created_at").cast("timestamp"), now) if "created_at" in order else now
+        shaped = shaped.withColumn("created_at", at)
+        return self._numbered(shaped, ["created_at", *[c for c in order if c == "ordinal"], "application_id"]).drop("ordinal")
+
     def _numbered(self, requests: DataFrame, order: list) -> DataFrame:
         return with_position(requests, order).withColumn("event_id", F.col("pos") + self.store.next_event_id()).drop("pos")
 
@@ -48,10 +59,11 @@ class Tracker:
         return result
 
     def move(self, requests: DataFrame, now: Column) -> DataFrame:
-        """``application_id, stage[, note]``; any stage name is accepted."""
-        shaped = requests.select("application_id", "stage", (
-            F.col("note") if "note" in requests.columns else F.lit(None).cast("string")).alias("note"))
-        numbered = self._numbered(shaped, [F.col("application_id"), F.col("stage")]).withColumn("created_at", now)
+        """``application_id, stage[, note][, created_at][, ordinal]``; any stage name is accepted.
+
+        Requests for one application follow each other by ``created_at``, then ``ordinal``; one of them must be given where there are several.
+        """
+        numbered = self._in_order(requests, ["stage", "note"], now)
         accepted, refused = stage_events(numbered, self.store.read("events"))
         self.store.append_events(accepted)
         return refused.select("application_id")
@@ -60,11 +72,8 @@ class Tracker:
         return self.move(application_ids.select("application_id", F.lit("Applied").alias("stage")), now)
 
     def annotate(self, requests: DataFrame, now: Column) -> DataFrame:
-        """``application_id, notes[, interview_date, follow_up_date, recruiter_info]``, fields by name."""
-        optional = ["notes", "interview_date", "follow_up_date", "recruiter_info"]
-        shaped = requests.select("application_id", *[
-            (F.col(c) if c in requests.columns else F.lit(None).cast("string")).alias(c) for c in optional])
-        numbered = self._numbered(shaped, [F.col("application_id"), F.col("notes")]).withColumn("created_at", now)
+        """``application_id, notes[, interview_date, follow_up_date, recruiter_info][, created_at][, ordinal]``, fields by name; order as in ``move``."""
+        numbered = self._in_order(requests, ["notes", "interview_date", "follow_up_date", "recruiter_info"], now)
         accepted, refused = notes_events(numbered, self.store.read("events"))
         self.store.append_events(accepted)
         return refused.select("application_id")
@@ -86,10 +95,10 @@ class Tracker:
     def ready(self) -> DataFrame:
         return board.ready_list(self.applications(), self.store.listings())
 
-    def pending(self, limit: int | None = 50) -> DataFrame:
+    def pending(self, limit: int | None = None) -> DataFrame:
         return queues.pending_queue(self.store.listings(), self.applications(), limit)
 
-    def candidates(self, min_score: int = 70, limit: int | None = 50) -> DataFrame:
+    def candidates(self, min_score: int = 70, limit: int | None = None) -> DataFrame:
         return queues.candidate_queue(self.store.listings(), self.applications(), min_score, limit)
 
     def listings(self, newest_first: bool = True) -> DataFrame:

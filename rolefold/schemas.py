@@ -32,6 +32,8 @@ SCORES = T.StructType([
     T.StructField("match_score", T.IntegerType()),
     *_strings("match_reasoning", "evaluation_details"),
     T.StructField("scored_at", T.TimestampType()),
+    T.StructField("call", T.LongType()),
+    T.StructField("ordinal", T.LongType()),
 ])
 
 # One append-only log: 'created', 'stage' and 'notes' events.

@@ -7,7 +7,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -19,21 +20,6 @@ SESSION_CONF = {
 }
 
 
-# Limits of the paths that keep something in one task or send it to all of them; beyond a limit
-# another path takes over. Each can be set on the session under ``spark.rolefold.<name>``.
-LIMITS = {
-    "groupRows": 1_000_000,        # rows of one group that a single task may sort
-    "blockRows": 1_000_000,        # rows per block of the path for larger groups
-    "inlineTokens": 1_000,         # vocabulary size that travels inside the row expression
-    "broadcastTokens": 500_000,    # vocabulary size that is broadcast
-    "broadcastBytes": 64 << 20,    # and its size in bytes
-}
-
-
-def limit(spark: SparkSession, name: str) -> int:
-    return int(spark.conf.get(f"spark.rolefold.{name}", str(LIMITS[name])))
-
-
 def build_session(app_name: str = "rolefold", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     for key, value in {**SESSION_CONF, **conf}.items():
@@ -73,6 +59,16 @@ def shared_dir(spark: SparkSession) -> str:
     return fallback
 
 
+def read_or_empty(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """A Parquet table, empty while its path does not exist. Any other fault is raised."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def run_dir(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that no other run uses."""
     return f"{shared_dir(spark).rstrip('/')}/rolefold/{name}-{uuid.uuid4().hex}"

@@ -3,26 +3,34 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.errors import AnalysisException
 
 from ..operators.dedup import top_n
 from ..operators.lifecycle import latest_rows
+from ..session import read_or_empty
 
 
-def stream_files(spark: SparkSession, directory: str, schema, pattern: str = "*.parquet", per_trigger: int | None = None):
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+def stream_files(spark: SparkSession, path: str, schema, per_trigger: int | None = None) -> DataFrame:
+    """Stream of a Parquet table: a folder of part files, to which more may come, or a single file.
+
+    A path that does not exist or holds no file is an error, not an empty stream.
+    """
+    files = spark.read.schema(schema).parquet(path).inputFiles()
+    if not files:
+        raise FileNotFoundError(f"no Parquet file under {path}")
+    reader = spark.readStream.schema(schema)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    if len(files) == 1 and files[0].rpartition("/")[2] == name:
+        # A stream reads folders; a file is the only one of that name in its folder.
+        reader, path = reader.option("pathGlobFilter", name), folder
     if per_trigger:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
-    return reader.parquet(directory)
+    return reader.parquet(path)
 
 
 def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Rows of all batches, with the number of the batch that stored them."""
     full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-    try:
-        return spark.read.schema(full).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], full)
+    return read_or_empty(spark, path, full)
 
 
 def merge_batch(batch: DataFrame, batch_id: int, keys: list[str], order: list, target: str) -> None:

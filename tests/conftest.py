@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -12,6 +13,7 @@ from rolefold.session import build_session  # noqa: E402
 SPARK = build_session("tests", **{
     "spark.master": "local[4]", "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
     "spark.driver.memory": "4g",
+    "spark.checkpoint.dir": tempfile.mkdtemp(prefix="run-"),
 })
 SPARK.sparkContext.setLogLevel("OFF")
 

@@ -1,5 +1,5 @@
 """The paths for large inputs, forced on small ones: no broadcast joins, every partition taken for skewed,
-no group and no vocabulary small enough for the short cut. Rows must stay the same."""
+blocks of a few rows. Rows must stay the same."""
 
 import os
 
@@ -17,10 +17,7 @@ FORCED = {
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16KB",
-    "spark.rolefold.groupRows": "0",
     "spark.rolefold.blockRows": "50",
-    "spark.rolefold.inlineTokens": "0",
-    "spark.rolefold.broadcastTokens": "0",
 }
 
 

@@ -105,7 +105,7 @@ def test_state_equals_sequential_replay_and_large_groups_agree(spark):
     rng.shuffle(moves)
     log, _, _ = make_log(spark, moves, apps=apps)
     assert {r["application_id"]: r["status"] for r in current_state(log.repartition(5)).collect()} == expected
-    large = {"group_limit": 0, "block_rows": 10}
+    large = {"block_rows": 10}
     for limits in ({}, large):
         got = {}
         for r in history_entries(log, **limits).orderBy("application_id", "seq").collect():
@@ -215,8 +215,6 @@ def test_board_reads(spark):
     listings = spark.createDataFrame([(11, "a", 50), (12, "b", None), (13, "c", 70), (14, "d", None)], "id bigint, title string, match_score int")
     cards = [(r["app_status"], r["app_id"], r["position"]) for r in board(apps, listings).orderBy("app_status", "position").collect()]
     assert cards == [("Applied", 3, 1), ("Offer", 2, 1), ("Ready to Apply", 4, 1), ("Ready to Apply", 1, 2)]
-    large = board(apps, listings, group_limit=0, block_rows=1).orderBy("app_status", "position")
-    assert [(r["app_status"], r["app_id"], r["position"]) for r in large.collect()] == cards
     assert [r["app_id"] for r in applications_table(apps, listings).collect()] == [4, 3, 2, 1]
     assert [r["app_id"] for r in ready_list(apps.withColumn("status", F.lit("READY")), listings).collect()] == [3, 1, 4, 2]
     assert [tuple(r) for r in stage_counts(spark, apps).orderBy("stage_no").collect()] == [

@@ -3,9 +3,9 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from rolefold.operators.ordering import fill_forward, groups_fit, lag_within, rank_within, with_position
+from rolefold.operators.ordering import fill_forward, lag_within, rank_within, with_position
 
 
 @pytest.fixture(scope="module")
@@ -20,17 +20,13 @@ def log(spark):
 
 
 ORDER = [F.col("t"), F.col("n")]
-LARGE = [{"group_limit": 0, "block_rows": size} for size in (1, 7, 64, 1000)]
+LARGE = [{"block_rows": size} for size in (1, 7, 64, 1000)]
 
 
 def rows(df):
     return sorted(repr(tuple(r)) for r in df.select(sorted(df.columns)).collect())
 
 
-def test_group_size_check(log):
-    assert groups_fit(log, ["k"], 400) and not groups_fit(log, ["k"], 100)
-
-
 def test_positions_are_consecutive(log):
     got = [r["pos"] for r in with_position(log, [F.col("k"), *ORDER]).orderBy("k", "t", "n").collect()]
     assert got == list(range(400))
@@ -39,21 +35,26 @@ def test_positions_are_consecutive(log):
 @pytest.mark.parametrize("limits", LARGE, ids=lambda x: str(x["block_rows"]))
 def test_lag(log, limits):
     values = {"v": "before", "n": "n_before"}
-    assert rows(lag_within(log, ["k"], ORDER, values, **limits)) == rows(lag_within(log, ["k"], ORDER, values))
+    plain = Window.partitionBy("k").orderBy(*ORDER)
+    expected = log.withColumns({out: F.lag(src).over(plain) for src, out in values.items()})
+    assert rows(lag_within(log, ["k"], ORDER, values, **limits)) == rows(expected)
 
 
 @pytest.mark.parametrize("limits", LARGE, ids=lambda x: str(x["block_rows"]))
 def test_rank(log, limits):
-    assert rows(rank_within(log, ["k"], ORDER, "r", **limits)) == rows(rank_within(log, ["k"], ORDER, "r"))
+    expected = log.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy(*ORDER)))
+    assert rows(rank_within(log, ["k"], ORDER, "r", **limits)) == rows(expected)
 
 
 @pytest.mark.parametrize("limits", LARGE, ids=lambda x: str(x["block_rows"]))
 def test_fill(log, limits):
-    assert rows(fill_forward(log, ["k"], ORDER, {"v": "now"}, **limits)) == rows(fill_forward(log, ["k"], ORDER, {"v": "now"}))
+    upto = Window.partitionBy("k").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    expected = log.withColumn("now", F.last("v", ignorenulls=True).over(upto))
+    assert rows(fill_forward(log, ["k"], ORDER, {"v": "now"}, **limits)) == rows(expected)
 
 
 def test_descending_order_and_null_keys(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), ("x", 3), ("x", 4), (None, 5)], "k string, t int")
     order = [F.col("t").desc_nulls_last()]
-    assert rows(rank_within(df, ["k"], order, "r", 0, 2)) == rows(rank_within(df, ["k"], order, "r"))
-    assert rows(lag_within(df, ["k"], order, {"t": "p"}, 0, 2)) == rows(lag_within(df, ["k"], order, {"t": "p"}))
+    assert rows(rank_within(df, ["k"], order, "r", 2)) == rows(rank_within(df, ["k"], order, "r"))
+    assert rows(lag_within(df, ["k"], order, {"t": "p"}, 2)) == rows(lag_within(df, ["k"], order, {"t": "p"}))
