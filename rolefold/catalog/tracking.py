@@ -517,15 +517,15 @@ _RUN_RESUME = "The rest of la que."
 _OFFERED = s_skills(s_fold(f"'{_RUN_RESUME}'"), PROSE_LEXICON)
 
 
-@query(f"""
-WITH k AS (SELECT DISTINCT ON (key) * FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'item-' || doc_id ELSE
+_RUN_CTE = f"""
+WITH k AS (SELECT DISTINCT ON (key) * FROM (SELECT doc_id, lang, source, CASE WHEN doc_id % 2 = 0 THEN 'item-' || doc_id ELSE
     substr(sha256(lower('himalayas:' || lang || ' role:' || source || ':https://host/' || doc_id)), 1, 16) END AS key,
     {_TEXT_ONE_LINE} AS body FROM documents)),
-s AS (SELECT doc_id, body, {s_skills('folded', PROSE_LEXICON)} AS required FROM (SELECT *, {s_fold('body')} AS folded FROM k)),
-m AS (SELECT len(required) AS n, len(list_filter(required, lambda x: list_contains({_OFFERED}, x))) AS hit FROM s)
-SELECT count(*) AS total_scraped, count(*) AS newly_stored, count(*) AS evaluated,
-  count(*) FILTER (n > 0 AND floor(hit / n * 100) >= 70) AS ready, 'success' AS status, 1 AS n_errors FROM m""")
-def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+s AS (SELECT *, {s_skills('folded', PROSE_LEXICON)} AS required FROM (SELECT *, {s_fold('body')} AS folded FROM k)),
+m AS (SELECT *, len(required) AS n, len(list_filter(required, lambda x: list_contains({_OFFERED}, x))) AS hit FROM s)"""
+
+
+def _campaign(spark: SparkSession, sf_dir: str) -> tuple[ListingStore, DataFrame]:
     """A complete run over a landed feed, with a second source that fails."""
     docs, key = table(spark, sf_dir, "documents", heavy=True), F.col("doc_id")
     item = F.to_json(F.struct(
@@ -538,11 +538,32 @@ def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = ListingStore(spark, run_dir(spark, "campaign"))
     metrics = run_campaign(
         spark, store, {"Himalayas": payloads, "Remotive": docs}, F.lit("2026-01-01 00:00:00").cast("timestamp"),
-        resume=spark.createDataFrame([(_RUN_RESUME,)], "raw_text string"), keywords="role", limit_per_source=None,
-        evaluate_limit=None, tailor_limit=None, lexicon=PROSE_LEXICON)
+        resume=spark.createDataFrame([(_RUN_RESUME,)], "raw_text string"), keywords="role", lexicon=PROSE_LEXICON)
+    return store, metrics
+
+
+@query(f"""{_RUN_CTE}
+SELECT count(*) AS total_scraped, count(*) AS newly_stored, count(*) AS evaluated,
+  count(*) FILTER (n > 0 AND floor(hit / n * 100) >= 70) AS ready, 'success' AS status, 1 AS n_errors FROM m""")
+def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, metrics = _campaign(spark, sf_dir)
     return metrics.select("total_scraped", "newly_stored", "evaluated", "ready", "status", F.size("errors").alias("n_errors"))
 
 
+@query(f"""{_RUN_CTE},
+r AS (SELECT key AS job_id_on_platform, 'Experienced professional seeking ' || lang || ' Role role at ' || source || '.' AS summary
+  FROM m WHERE n > 0 AND floor(hit / n * 100) >= 70)
+SELECT job_id_on_platform, 'Ready to Apply' AS status,
+  '{{"name":"{_RUN_RESUME}","summary":"' || summary || '","experience":[],"skills":[],"education":"","certifications":[],"raw_text":"{_RUN_RESUME}"}}'
+    AS resume_json, '<h1>{_RUN_RESUME}</h1>|<h2>Summary</h2><p>' || summary || '</p>' AS page FROM r""")
+def campaign_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The applications of a run: the text résumé, structured and tailored, and the headings of its page."""
+    store, _ = _campaign(spark, sf_dir)
+    listed = store.read("listings").select(F.col("id").alias("job_id"), "job_id_on_platform")
+    page = F.array_join(F.regexp_extract_all("resume_html", F.lit("<h1>[^\n]*|<h2>[^\n]*"), F.lit(0)), "|")
+    return store.applications().join(listed, "job_id").select("job_id_on_platform", "status", "resume_json", page.alias("page"))
+
+
 @query("""
 SELECT stage, count(*) AS n FROM (SELECT event_type AS stage FROM events
   QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) GROUP BY stage""")
