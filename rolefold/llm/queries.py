@@ -100,3 +100,38 @@ def op8_segment_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_bytes(table(spark, sf_dir, "documents"))
+
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+ORACLES["op5_rule_cascade"] = rf"""
+WITH t AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+lined AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines FROM t),
+win AS (SELECT k, i, w[i:i + 4] AS g FROM (SELECT k, w, unnest(range(1, len(w) - 3)) AS i FROM t)),
+dup AS (SELECT k, i FROM win QUALIFY count(*) OVER (PARTITION BY k, g) > 1),
+rep AS (SELECT k, count(DISTINCT j) AS n FROM (SELECT k, unnest(range(i, i + 5)) AS j FROM dup) GROUP BY k),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines, len(regexp_extract_all(text, '\p{{Lu}}')) AS n_capitals
+  FROM lined LEFT JOIN rep ON rep.k = lined.k)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR word_chars < 2 * n_words OR word_chars > 30 * n_words OR 4 * n_symbols > n_words
+       OR 10 * n_dup_lines > 3 * n_lines OR 2 * n_capitals > word_chars) AS kept FROM m"""
+
+ORACLES["op8_segment_bounds"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+SELECT q.vec_id AS query_id, row_number() OVER w::INTEGER AS rank, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+WINDOW w AS (PARTITION BY q.vec_id ORDER BY list_inner_product(q.v, c.v) DESC, c.vec_id)
+QUALIFY row_number() OVER w <= 10""".replace("row_number() OVER w::INTEGER", "CAST(row_number() OVER w AS INTEGER)")
+
+ORACLES["op10_near_duplicates"] = rf"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+r AS (SELECT doc_id AS d, doc_id AS top FROM t UNION SELECT e.y, r.top FROM r JOIN e ON e.x = r.d)
+SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, t.doc_id = c.component_id AS kept
+FROM t LEFT JOIN n ON n.doc_id = t.doc_id JOIN (SELECT d, min(top) AS component_id FROM r GROUP BY d) c ON c.d = t.doc_id"""
