@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 import uuid
 from collections.abc import Iterator
@@ -18,12 +19,14 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import run_dir
+from ..session import materialise, run_dir
 from .common import words
-from .lexicon import Lexicon, compile_lexicon
+from .lexicon import LONGEST, Lexicon, byte_matrix, compile_lexicon
 
 LEXICON_WORDS = 50_000     # most frequent pre-tokens in the lexicon; only speed depends on it
-WORDS_CACHED = 200_000     # of a task, forgotten together when there are more
+WORDS_CACHED = 150_000     # of a task in each of two generations; the older one is forgotten when the younger is full
+AT_ONCE = 512              # texts
+MARKS = frozenset(".,;:!?|")
 WORD_END = "</w>"
 
 # Blanks of the tokenizer's patterns; letters and numbers newer than Unicode 16, which its patterns do not know; letters
@@ -82,7 +85,12 @@ class WordBpe:
             pattern = pattern.replace(known, own)
         self.pieces = regex.compile(pattern, regex.V1)
         self.lower = _lower_table()
-        self.spaces = regex.compile(f"[{SPACE}]+")
+        self.unlike = re.compile("[" + "".join(map(chr, self.lower)) + "]")
+        self.words = re.compile(f"[^{SPACE}]+")
+        pairs = sorted((a << 32 | b, rank, new) for (a, b), (rank, new) in self.merges.items())
+        self.pair_keys, self.pair_ranks, ranked = (np.array(x, np.int64) for x in zip(*pairs))
+        self.merged = np.empty(len(pairs) + 1, np.int64)
+        self.merged[self.pair_ranks] = ranked
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.tokens = [""] * (max([*self.vocab.values(), *self.special.values()]) + 1)
         for token, i in [*self.vocab.items(), *self.special.items()]:
@@ -90,7 +98,16 @@ class WordBpe:
 
     def pre_tokens(self, word: str) -> list[bytes]:
         """Normalised pieces of a text without special tokens."""
-        text = unicodedata.normalize("NFC", word).translate(self.lower).lower()
+        text = word
+        if not word.isascii():
+            text = unicodedata.normalize("NFC", word)
+            text = text.translate(self.lower) if self.unlike.search(text) else text
+        text = text.lower()
+        # Letters make one piece, and one mark after them makes another.
+        if text.isalpha():
+            return [text.encode()]
+        if text[-1:] in MARKS and text[:-1].isalpha():
+            return [text[:-1].encode(), text[-1].encode()]
         return [p.encode("utf-8", "surrogatepass") for p in self.pieces.findall(text)]
 
     def merge(self, piece: bytes) -> list[int]:
@@ -115,32 +132,95 @@ class WordBpe:
         return [i for i in ids if i >= 0]
 
 
-class _Encoder(dict):
-    """Packed ids by blank-separated word."""
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the rule of each pair, or the number of rules."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where((self.pair_keys[at] == key) & (right >= 0), self.pair_ranks[at], len(self.pair_keys))
+
+    def merge_all(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of many pieces. All take their next merge together: each its pair of lowest rank, the leftmost first."""
+        out: list[bytes] = [b""] * len(pieces)
+        short = [k for k, p in enumerate(pieces) if len(p) <= LONGEST]
+        for k in set(range(len(pieces))) - set(short):
+            out[k] = np.array(self.merge(pieces[k]), "<u4").tobytes()
+        short.sort(key=lambda k: len(pieces[k]))
+        inner, final = np.array(self.inner, np.int64), np.array(self.final, np.int64)
+        for at in range(0, len(short), 4096):
+            group = short[at:at + 4096]
+            data, sizes = byte_matrix([pieces[k] for k in group])
+            row, column = np.arange(len(group)), np.arange(data.shape[1] + 1)
+            ids = np.full((len(group), data.shape[1] + 1), -1)
+            ids[:, :-1] = np.where(column[:-1] < sizes[:, None], inner[data], -1)
+            ids[row, sizes - 1] = final[data[row, sizes - 1]]
+            ranks = self._ranks(ids[:, :-1], ids[:, 1:])
+            live, none, width = row, len(self.pair_keys), ids.shape[1]
+            while len(live) and width > 1:
+                own, own_ranks = ids[live, :width], ranks[live, :width - 1]
+                best = own_ranks.argmin(1)
+                rank = own_ranks[np.arange(len(live)), best]
+                going = rank < none
+                live, own, own_ranks, best, rank = live[going], own[going], own_ranks[going], best[going], rank[going]
+                each = np.arange(len(live))
+                own[each, best] = self.merged[rank]
+                follow = np.minimum(column[:width] + (column[:width] > best[:, None]), width - 1)
+                own = np.take_along_axis(own, follow, 1)
+                own[:, -1] = -1
+                own_ranks = np.take_along_axis(own_ranks, np.minimum(follow[:, :-1], width - 2), 1)
+                own_ranks[:, -1] = none
+                own_ranks[each, best] = self._ranks(own[each, best], own[each, np.minimum(best + 1, width - 1)])
+                before = np.flatnonzero(best > 0)
+                own_ranks[before, best[before] - 1] = self._ranks(own[before, best[before] - 1], own[before, best[before]])
+                ids[live, :width], ranks[live, :width - 1] = own, own_ranks
+            used = ids >= 0
+            packed, ends = ids[used].astype("<u4").tobytes(), np.cumsum(used.sum(1)) * 4
+            start = 0
+            for k, end in zip(group, ends.tolist()):
+                out[k] = packed[start:end]
+                start = end
+        return out
+
+
+class _Encoder:
+    """Packed ids of texts; words are known by their packed ids once seen."""
 
     def __init__(self, bpe: WordBpe, lexicon: Lexicon):
-        super().__init__()
         self.bpe, self.lexicon = bpe, lexicon
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= WORDS_CACHED:
-            self.clear()
-        ids: list[int] = []
-        for piece in self.bpe.pre_tokens(word):
-            found = self.lexicon.ids(piece)
-            ids.extend(self.bpe.merge(piece) if found is None else found)
-        packed = np.array(ids, "<u4").tobytes()
-        if len(word) <= 64:
-            self[word] = packed
-        return packed
-
-    def encode(self, text: str) -> bytes:
-        if self.bpe.specials is None or not self.bpe.specials.search(text):
-            return b"".join(map(self.__getitem__, filter(None, self.bpe.spaces.split(text))))
-        parts = self.bpe.specials.split(text)
-        return b"".join(
-            np.array([self.bpe.special[part]], "<u4").tobytes() if k % 2 else b"".join(map(self.__getitem__, filter(None, self.bpe.spaces.split(part))))
-            for k, part in enumerate(parts))
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.young) > WORDS_CACHED:
+            self.young, self.old = {}, self.young
+        missing = []
+        for word in words - self.young.keys():
+            packed = self.old.get(word)
+            if packed is None:
+                missing.append(word)
+            else:
+                self.young[word] = packed
+        taken = [self.bpe.pre_tokens(w) for w in missing]
+        pieces = list({p for pieces in taken for p in pieces})
+        numbers = self.lexicon.numbers(pieces).tolist()
+        ids = {p: self.lexicon.packed_ids(n) for p, n in zip(pieces, numbers) if n >= 0}
+        unseen = [p for p, n in zip(pieces, numbers) if n < 0]
+        ids.update(zip(unseen, self.bpe.merge_all(unseen)))
+        for word, own in zip(missing, taken):
+            self.young[word] = ids[own[0]] if len(own) == 1 else b"".join([ids[p] for p in own])
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        split = self.bpe.specials.split if self.bpe.specials is not None else lambda text: [text]
+        parts = [split(text) for text in texts]      # every second part is a special token
+        words = [[self.bpe.words.findall(part) for part in own[::2]] for own in parts]
+        self._learn({w for own in words for part in own for w in part})
+        known = self.young.__getitem__
+        out = []
+        for own, found in zip(parts, words):
+            packed = [b"".join(map(known, part)) for part in found]
+            for k, special in enumerate(own[1::2]):
+                packed[k] += np.array([self.bpe.special[special]], "<u4").tobytes()
+            out.append(b"".join(packed))
+        return out
 
 
 def _count_pieces(batches: Iterator[pa.RecordBatch], spec) -> Iterator[pa.RecordBatch]:
@@ -158,9 +238,9 @@ def _encode_batches(batches: Iterator[pa.RecordBatch], spec, lexicon: str) -> It
     encoder = None
     for batch in batches:
         encoder = encoder or _Encoder(WordBpe(spec.value), Lexicon(SparkFiles.get(lexicon)))
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            ids = pa.array([encoder.encode(x.as_py() or "") for x in part.column("text")], pa.binary())
+        for at in range(0, batch.num_rows, AT_ONCE):
+            part = batch.slice(at, AT_ONCE)
+            ids = pa.array(encoder.encode_all([x or "" for x in part.column("text").to_pylist()]), pa.binary())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
 
 
@@ -170,7 +250,7 @@ def _decode_batches(batches: Iterator[pa.RecordBatch], spec) -> Iterator[pa.Reco
         tokens = tokens or WordBpe(spec.value).tokens
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            texts = [" ".join([tokens[i] for i in np.frombuffer(x.as_py(), "<u4").tolist()]) for x in part.column("ids")]
+            texts = [" ".join([tokens[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in part.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
 
@@ -182,19 +262,27 @@ def read_spec(path: str) -> str:
 def build_lexicon(docs: DataFrame, spec: str, size: int = LEXICON_WORDS, text_col: str = "text") -> str:
     """Name of the lexicon file of a corpus, which executors get by ``SparkFiles``.
 
-    Words are counted before any Python runs; Python sees each task's distinct words. The driver gets the ``size`` most frequent pieces.
+    Words are counted before any Python runs; Python sees each task's distinct words. The driver gets the most frequent pieces, ``size`` at most.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(spec)
     counted = docs.select(F.explode(words(F.col(text_col))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     pieces = counted.mapInArrow(lambda batches: _count_pieces(batches, sent), "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    frequent = [bytes(r["piece"]) for r in pieces.orderBy(F.desc("n"), "piece").limit(size).select("piece").collect()]
+    # Sixteen classes of frequency to an octave: about a thousand rows tell from which class on there are ``size`` pieces at most.
+    pieces = materialise(pieces.withColumn("class", F.floor(F.log2("n") * 16).cast("int")), "pieces")
+    least, room = None, size
+    for row in sorted(pieces.groupBy("class").agg(F.count(F.lit(1)).alias("pieces")).collect(), reverse=True):
+        room -= row["pieces"]
+        if room < 0:
+            break
+        least = row["class"]
+    frequent = [] if least is None else [bytes(r["piece"]) for r in pieces.where(F.col("class") >= least).select("piece").collect()]
     bpe = WordBpe(spec)
     name = f"lexicon-{uuid.uuid4().hex}"
     # Through the file system of the shared folder, from where executors fetch it, new ones after a loss as well.
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{run_dir(spark, 'lexicon')}/{name}")
     out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
-    out.write(bytearray(compile_lexicon({p: bpe.merge(p) for p in frequent})))
+    out.write(bytearray(compile_lexicon({p: bpe.merge(p) for p in frequent if len(p) <= LONGEST})))
     out.close()
     spark.sparkContext.addFile(path.toString())
     return name

@@ -111,7 +111,8 @@ def test_one_of_each_group_stays(frame):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c if n else i for (i, _), c, n in zip(docs, ids, sizes)})
 
 
-def test_crowds_are_compared_in_chunks_with_their_centres(frame, monkeypatch):
+@pytest.mark.parametrize("last, share", [(3, 2), (6, 0.5)])
+def test_crowds_are_compared_in_chunks_with_their_centres(frame, monkeypatch, last, share):
     words = prose(11, 60).split()
     docs = [(0, " ".join(words))]
     for i in range(1, 90):
@@ -120,7 +121,7 @@ def test_crowds_are_compared_in_chunks_with_their_centres(frame, monkeypatch):
         for k in random.sample(range(len(words)), len(words) // 70):
             mine[k] = f"own{i}x{k}"
         docs.append((i, " ".join(mine)))
-    for name, value in (("SMALL", 6), ("CHUNK", 20), ("LAST_DEPTH", 3)):
+    for name, value in (("SMALL", 6), ("CHUNK", 20), ("LAST_DEPTH", last), ("CROWD", share)):
         monkeypatch.setattr(near_dup, name, value)
     ids, _ = brute.near_components(docs, 3, 85)
     assert {r.doc_id: r.component_id for r in near_duplicates(frame(docs)).collect()} == {i: c for (i, _), c in zip(docs, ids)}
@@ -167,12 +168,22 @@ def test_lexicon_is_exact_and_shares_suffixes(tmp_path):
     data = compile_lexicon({w.encode(): bpe.merge(w.encode()) for w in words})
     (tmp_path / "lexicon").write_bytes(data)
     lexicon = Lexicon(str(tmp_path / "lexicon"))
-    for w in words:
-        assert list(lexicon.ids(w.encode())) == bpe.merge(w.encode())
-    assert all(lexicon.ids(w) is None for w in (b"", b"wal", b"walkin", b"zz", "é".encode()[:1]))
+    numbers = lexicon.numbers([w.encode() for w in words])
+    assert sorted(numbers) == list(range(len(words)))
+    for w, n in zip(words, numbers):
+        assert np.frombuffer(lexicon.packed_ids(n), "<u4").tolist() == bpe.merge(w.encode())
+    assert lexicon.numbers([b"", b"wal", b"walkin", b"zz", "é".encode()[:1], b"walks" * 40]).tolist() == [-1] * 6
     assert int(np.frombuffer(data[:4], np.uint32)[0]) < sum(map(len, words)) / 4
     (tmp_path / "empty").write_bytes(compile_lexicon({}))
-    assert Lexicon(str(tmp_path / "empty")).ids(b"x") is None
+    assert Lexicon(str(tmp_path / "empty")).numbers([b"x"]).tolist() == [-1]
+
+
+def test_merges_together_equal_merges_alone():
+    bpe = WordBpe(read_spec(TOKENIZER))
+    random.seed(9)
+    pieces = [bytes(random.choice(b"aabehinrstu\xc3\xa9!") for _ in range(random.randint(1, 80))) for _ in range(3000)] + [b"a" * 64, b"a" * 65]
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.merge_all(pieces)] == [bpe.merge(p) for p in pieces]
+    assert bpe.merge_all([]) == []
 
 
 def test_vector_search(frame):
