@@ -6,8 +6,8 @@ documents branch by their MinHash value there. Nodes of at most ``SMALL`` docume
 branch again. Two sets of similarity J share a path of depth d with a probability of J^d at least, and
 the trees are independent: at J = 0.85, twelve trees lose a pair that is compared at depth 2 or 3 about once in 100,000 times.
 
-What still shares a large node at the last depth is mostly one crowd of near copies. It is compared in chunks, and
-all its documents with the most central ones of every chunk, so no task sees more than a chunk and nobody is left out.
+A large node most of whose documents would go on together, or that is still large at the last depth, is a crowd of near copies. It is
+compared in chunks, and all its documents with its most central ones, so no task sees more than a chunk and nobody is left out.
 
 Candidates are confirmed on full sets. As only components are asked for, a document's most promising edge is confirmed
 first, and of the others only those between different components.
@@ -16,11 +16,12 @@ first, and of the others only those between different components.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialise
 from .components import components
@@ -32,6 +33,8 @@ FIRST_DEPTH, LAST_DEPTH = 2, 6
 SMALL = 256            # documents of a node that is compared at once
 CHUNK = 2048           # documents compared at once in nodes that stay large
 PIVOTS, NEAREST = 4, 3
+CROWD = 0.5            # share of a node that goes on together in a crowd
+CENTRES = 8            # central documents of a crowd that all others are compared with
 WORDS_CACHED = 400_000
 MEMBER_BYTES = 5       # of each shingle hash when two sets are compared
 BROADCAST_KEYS = 1_000_000
@@ -171,7 +174,7 @@ def _compare_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[
         sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, COORDINATES)
         large = table.column("large").to_numpy(zero_copy_only=False)
         nodes = table.column("node").to_numpy()
-        a, b, scores, pivots, of = [], [], [], [], []
+        a, b, scores, pivots, of, centrality = [], [], [], [], [], []
         for start, end in zip(bounds[:-1], bounds[1:]):
             if end - start < 2 and not large[start]:
                 continue
@@ -181,15 +184,18 @@ def _compare_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[
             scores.append(score)
             if large[start]:
                 pivots.append(keys[start + central])
+                own = sketches[start:end]
+                centrality.append(np.array([int(1000 * (own == own[c]).mean()) for c in central]))
                 of += [nodes[start]] * len(central)
         left, right = (np.concatenate(x) if x else np.empty(0, object) for x in (a, b))
         swap = left > right
         left, right = np.where(swap, right, left), np.where(swap, left, right)
         n = len(left)
         picked = np.concatenate(pivots) if pivots else np.empty(0, object)
+        middle = np.concatenate(centrality) if centrality else np.empty(0, np.int64)
         yield pa.RecordBatch.from_arrays([
             pa.array([*left, *picked], pa.binary()), pa.array([*right, *[None] * len(picked)], pa.binary()),
-            pa.array(np.concatenate([*scores, np.zeros(len(picked), np.int64)]) if n or len(picked) else [], pa.int64()),
+            pa.array(np.concatenate([*scores, middle]) if n or len(picked) else [], pa.int64()),
             pa.array([*[None] * n, *of], pa.int64())], ["a", "b", "score", "pivot_of"])
 
 
@@ -216,34 +222,49 @@ def _candidates(sets: DataFrame, percent: int, trees: int) -> DataFrame:
         "set_key", "sketch", F.xxhash64(F.lit("root"), "tree").alias("node"))
     for _ in range(FIRST_DEPTH):
         rows = _branch(rows, threshold)
-    rows = rows.select("set_key", "node")
+    rows = rows.select("set_key", "node", F.lit(None).cast("long").alias("parent"), F.lit(None).cast("long").alias("siblings"))
     sketches = sets.select("set_key", "sketch")
-    small = []
+    small, crowds = [], []
+
+    def as_crowd(large: DataFrame) -> DataFrame:
+        chunk = F.pmod(F.xxhash64("set_key", "node"), F.ceil(F.col("n") / CHUNK)).cast("int")
+        return large.select("set_key", "node", chunk.alias("chunk"), F.lit(True).alias("large"))
+
+    large = None
     for depth in range(FIRST_DEPTH, LAST_DEPTH + 1):
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        rows = materialise(rows.join(sizes, "node"), "paths")
+        # Written, as adaptive execution only splits a large node's rows in a join whose sides are both plain shuffles.
+        sizes = materialise(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.first("parent").alias("parent"), F.first("siblings").alias("siblings")).where(
+            "n > 1"), "node-sizes")
+        rows = rows.select("set_key", "node").join(sizes, "node")
+        if large is not None:
+            # A node most of whose documents go on together is a crowd: branching would only copy it.
+            crowd = materialise(sizes.where(F.col("n") >= CROWD * F.col("siblings")).select(F.col("parent").alias("node")).distinct(), "crowds")
+            crowds.append(as_crowd(large.join(crowd, "node", "left_semi")))
+            rows = rows.join(crowd.withColumnRenamed("node", "parent"), "parent", "left_anti")
+        rows = materialise(rows.select("set_key", "node", "n"), "paths")
         small.append(rows.where(F.col("n") <= SMALL).select("set_key", "node", F.lit(0).alias("chunk"), F.lit(False).alias("large")))
-        rows = rows.where(F.col("n") > SMALL)
-        if rows.isEmpty():
+        large = rows.where(F.col("n") > SMALL)
+        if large.isEmpty():
             break
-        if depth < LAST_DEPTH:
-            rows = _branch(rows.join(sketches, "set_key"), threshold).select("set_key", "node")
-    else:
-        chunk = F.pmod(F.xxhash64("set_key", "node"), F.ceil(F.col("n") / CHUNK)).cast("int")
-        small.append(rows.select("set_key", "node", chunk.alias("chunk"), F.lit(True).alias("large")))
-    nodes = small[0]
-    for more in small[1:]:
-        nodes = nodes.union(more)
+        if depth == LAST_DEPTH:
+            crowds.append(as_crowd(large))
+        else:
+            rows = _branch(large.join(sketches, "set_key").withColumn("parent", F.col("node")), threshold).select(
+                "set_key", "node", "parent", F.col("n").alias("siblings"))
+    crowded = reduce(DataFrame.union, crowds) if crowds else None
+    nodes = reduce(DataFrame.union, [*small, *crowds])
     compared = materialise(
         nodes.join(sketches, "set_key").repartition("node", "chunk").sortWithinPartitions("node", "chunk").select(
             "node", "chunk", "large", "set_key", "sketch").mapInArrow(
             lambda batches: _compare_batches(batches, least), "a binary, b binary, score long, pivot_of long"), "compared")
     edges = compared.where("b is not null").select("a", "b", "score")
-    pivots = compared.where("b is null").select(F.col("pivot_of").alias("node"), F.col("a").alias("pivot"))
-    if len(small) > LAST_DEPTH - FIRST_DEPTH + 1 and not pivots.isEmpty():
-        to_all = small[-1].select("node", "set_key").join(pivots, "node").where("set_key != pivot").select(
-            F.least("set_key", "pivot").alias("a"), F.greatest("set_key", "pivot").alias("b"), F.lit(1).cast("long").alias("score"))
-        edges = edges.union(to_all)
+    if crowded is not None:
+        # All documents of a crowd meet its most central ones, whatever chunk these come from.
+        rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("score"), "pivot"))
+        pivots = compared.where("b is null").select(F.col("pivot_of").alias("node"), F.col("a").alias("pivot"), "score").withColumn("rank", rank).where(
+            F.col("rank") <= CENTRES).select("node", "pivot")
+        edges = edges.union(crowded.select("node", "set_key").join(pivots, "node").where("set_key != pivot").select(
+            F.least("set_key", "pivot").alias("a"), F.greatest("set_key", "pivot").alias("b"), F.lit(1).cast("long").alias("score")))
     return materialise(edges.groupBy("a", "b").agg(F.max("score").alias("score")), "candidates")
 
 
