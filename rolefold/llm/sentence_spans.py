@@ -15,6 +15,8 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import materialise
+
 LEAST_SENTENCES, LEAST_WORDS = 2, 20
 _FACTOR = 0x9E3779B97F4A7C15
 #: A sentence ends with the blanks after a full stop, question or exclamation mark, or with a line.
@@ -92,9 +94,10 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kind = named.schema["doc_id"].dataType.simpleString()
     runs = named.mapInArrow(_run_batches, f"doc_id {kind}, text_key int, run long, at int, size int")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "at")
-    # Partial sums come first, so a passage that a third of all documents share is one row per task here, and in the join
-    # adaptive execution splits it.
-    first = runs.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("run", "first")
+    # Partial sums come first, so a passage that a third of all documents share is one row per task here. They are written, as adaptive execution
+    # only splits such a passage's rows in a join whose sides are both plain shuffles.
+    first = materialise(
+        runs.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("run", "first"), "repeated-runs")
     again = runs.join(first, "run").where(place != F.col("first"))
     spans = again.groupBy(F.col("doc_id").alias("cut_id"), F.col("text_key").alias("cut_key")).agg(F.collect_set(F.struct("at", "size")).alias("spans"))
     whole = named.join(spans, named["doc_id"].eqNullSafe(spans["cut_id"]) & (named["text_key"] == spans["cut_key"]), "left")
