@@ -95,13 +95,20 @@ BASE_RULES = (
 )
 RULES = (
     *BASE_RULES,
-    Rule("word_length", lambda m: (m("word_chars") < 2 * m("n_words")) | (m("word_chars") > 30 * m("n_words"))),
+    # Fewer than 2 or more than 30 characters a word, in one comparison.
+    Rule("word_length", lambda m: F.abs(m("word_chars") - 16 * m("n_words")) > 14 * m("n_words")),
     Rule("symbols", lambda m: 4 * m("n_symbols") > m("n_words")),
     Rule("repeated_lines", lambda m: 10 * m("n_dup_lines") > 3 * m("n_lines")),
     Rule("capitals", lambda m: 2 * m("n_capitals") > m("word_chars")),
 )
 
 
+def _from_words(text: Column, found: Column) -> Callable[[str], Column]:
+    """As ``_from_text``, for a text that is split into words already."""
+    own = {"n_words": lambda: F.size(found).cast("long"), "word_chars": lambda: _chars(found), "n_repeat_words": lambda: _repeated(found)}
+    return lambda name: own[name]() if name in own else MEASURES[name](text)
+
+
 def _from_text(text: Column) -> Callable[[str], Column]:
     return lambda name: MEASURES[name](text)
 
@@ -143,7 +150,9 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str =
 
     Null and empty texts have no words and are rejected; repeated rows share their fate. An empty table stays empty.
     """
-    return docs.where(first_rejection(cascade_order(docs, rules, text_col=text_col), _from_text(F.col(text_col))).isNull())
+    ordered, text = cascade_order(docs, rules, text_col=text_col), F.col(text_col)
+    # Words are split once; everything else is computed when a rule asks for it.
+    return docs.where(let(words(text), lambda found: first_rejection(ordered, _from_words(text, found)).isNull()))
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
