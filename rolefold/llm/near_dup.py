@@ -10,7 +10,8 @@ A large node most of whose documents would go on together, or that is still larg
 compared in chunks, and all its documents with its most central ones, so no task sees more than a chunk and nobody is left out.
 
 Candidates are confirmed on full sets. As only components are asked for, a document's most promising edge is confirmed
-first, and of the others only those between different components.
+first, and of the others only those between different components. Nodes of which the first round took a part of the pairs are then
+gone through again with the components found: of each such node all pairs between different components become candidates, so none is lost.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ CENTRES = 8            # central documents of a crowd that all others are compar
 WORDS_CACHED = 400_000
 MEMBER_BYTES = 5       # of each shingle hash when two sets are compared
 BROADCAST_KEYS = 1_000_000
+PAIRS_SENT = 50_000    # pairs in one batch
 
 
 class _WordHashes(dict):
@@ -126,28 +128,26 @@ def _branch(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.withColumn("node", F.xxhash64("node", "coordinate", F.expr("substring(sketch, coordinate * 2 + 1, 2)")))
 
 
-def _agreements(sketches: np.ndarray) -> np.ndarray:
-    """Equal coordinates of each two sketches."""
-    n = len(sketches)
-    same = np.zeros((n, n), np.uint8)
-    columns = np.ascontiguousarray(sketches.T)
-    for column in columns:
-        same += column[:, None] == column[None, :]
+def _agreements(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Equal coordinates of each sketch on the left with each on the right."""
+    same = np.zeros((len(left), len(right)), np.uint8)
+    for x, y in zip(np.ascontiguousarray(left.T), np.ascontiguousarray(right.T)):
+        same += x[:, None] == y[None, :]
     return same
 
 
-def _edges_within(sketches: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate edges (i, j, score) of one node, and its central documents.
+def _edges_within(sketches: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Candidate edges (i, j, score) of one node for the first round, its central documents, and whether other pairs are above ``least``.
 
     All pairs above ``least`` where they are few. In a crowd, where most pairs are, each document's nearest ones and its edges to
-    central documents, which lie in the middle of the crowd and so are near to more documents than others.
+    central documents, which lie in the middle of the crowd and so are near to more documents than others; ``_apart`` finds the rest.
     """
     n = len(sketches)
     if n == 2:
         same = int((sketches[0] == sketches[1]).sum())
         hit = np.zeros(int(same >= least), np.int64)
-        return hit, hit + 1, hit + same, np.array([0])
-    same = _agreements(sketches)
+        return hit, hit + 1, hit + same, np.array([0]), False
+    same = _agreements(sketches, sketches)
     np.fill_diagonal(same, 0)
     near = same >= least
     central, weight = [], np.ones(n)
@@ -158,14 +158,15 @@ def _edges_within(sketches: np.ndarray, least: int) -> tuple[np.ndarray, np.ndar
         central.append(int(gain.argmax()))
         weight = weight * (1 - 0.7 * (same[central[-1]] / COORDINATES) ** 4 * near[central[-1]])
     i, j = np.nonzero(np.triu(near))
-    if len(i) > 8 * n:
+    part = len(i) > 8 * n
+    if part:
         close = np.argpartition(-same.astype(np.int16), NEAREST, axis=1)[:, :NEAREST]
         i = np.concatenate([np.repeat(np.arange(n), NEAREST), np.tile(np.arange(n), len(central))])
         j = np.concatenate([close.ravel(), np.repeat(central, n)])
         hit = near[i, j]
         i, j = i[hit], j[hit]
     score = same[i, j].astype(np.int64) + 2 * COORDINATES * (np.isin(i, central[:1]) | np.isin(j, central[:1]))
-    return i, j, score, np.array(central)
+    return i, j, score, np.array(central), part
 
 
 def _compare_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -174,11 +175,11 @@ def _compare_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[
         sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, COORDINATES)
         large = table.column("large").to_numpy(zero_copy_only=False)
         nodes = table.column("node").to_numpy()
-        a, b, scores, pivots, of, centrality = [], [], [], [], [], []
+        a, b, scores, pivots, of, centrality, parts = [], [], [], [], [], [], []
         for start, end in zip(bounds[:-1], bounds[1:]):
             if end - start < 2 and not large[start]:
                 continue
-            i, j, score, central = _edges_within(sketches[start:end], least) if end - start > 1 else (*[np.empty(0, int)] * 3, np.array([0]))
+            i, j, score, central, part = _edges_within(sketches[start:end], least) if end - start > 1 else (*[np.empty(0, int)] * 3, np.array([0]), False)
             a.append(keys[start + i])
             b.append(keys[start + j])
             scores.append(score)
@@ -187,6 +188,8 @@ def _compare_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[
                 own = sketches[start:end]
                 centrality.append(np.array([int(1000 * (own == own[c]).mean()) for c in central]))
                 of += [nodes[start]] * len(central)
+            elif part:
+                parts.append(nodes[start])
         left, right = (np.concatenate(x) if x else np.empty(0, object) for x in (a, b))
         swap = left > right
         left, right = np.where(swap, right, left), np.where(swap, left, right)
@@ -194,9 +197,30 @@ def _compare_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[
         picked = np.concatenate(pivots) if pivots else np.empty(0, object)
         middle = np.concatenate(centrality) if centrality else np.empty(0, np.int64)
         yield pa.RecordBatch.from_arrays([
-            pa.array([*left, *picked], pa.binary()), pa.array([*right, *[None] * len(picked)], pa.binary()),
-            pa.array(np.concatenate([*scores, middle]) if n or len(picked) else [], pa.int64()),
-            pa.array([*[None] * n, *of], pa.int64())], ["a", "b", "score", "pivot_of"])
+            pa.array([*left, *picked, *[None] * len(parts)], pa.binary()), pa.array([*right, *[None] * (len(picked) + len(parts))], pa.binary()),
+            pa.array(np.concatenate([*scores, middle, np.zeros(len(parts), np.int64)]).astype(np.int64), pa.int64()),
+            pa.array([*[None] * n, *of, *parts], pa.int64())], ["a", "b", "score", "pivot_of"])
+
+
+def _cross_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """All pairs (a, b) above ``least`` with different labels, of cells (node, cell): between their sides, or within the only side."""
+    for table, bounds in whole_groups(batches, ["node", "cell"]):
+        keys = table.column("set_key").combine_chunks()
+        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, COORDINATES)
+        labels = table.column("label").combine_chunks().dictionary_encode()
+        labels = (labels.combine_chunks() if isinstance(labels, pa.ChunkedArray) else labels).indices.to_numpy()
+        side = table.column("side").to_numpy()
+        for start, end in zip(bounds[:-1], bounds[1:]):
+            left, right = (start + np.flatnonzero(side[start:end] == x) for x in (0, 1))
+            if not len(left) or len(left) < 2 and not len(right):
+                continue
+            if within := not len(right):
+                right = left
+            hit = (_agreements(sketches[left], sketches[right]) >= least) & (labels[left][:, None] != labels[right][None, :])
+            i, j = np.nonzero(np.triu(hit) if within else hit)
+            for at in range(0, len(i), PAIRS_SENT):
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(left[i[at:at + PAIRS_SENT]])).cast(pa.binary()),
+                                                  keys.take(pa.array(right[j[at:at + PAIRS_SENT]])).cast(pa.binary())], ["a", "b"])
 
 
 def _confirm_batches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -214,10 +238,15 @@ def _confirm_batches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterato
         yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
 
-def _candidates(sets: DataFrame, percent: int, trees: int) -> DataFrame:
-    """Rows (a, b, score) of candidate edges between sets (set_key, sketch), a < b."""
-    spark, threshold = sets.sparkSession, percent / 100
-    least = int(COORDINATES * (threshold - 3.5 * (threshold * (1 - threshold) / COORDINATES) ** 0.5))
+def _least(threshold: float) -> int:
+    """Equal coordinates that a candidate pair has at least."""
+    return int(COORDINATES * (threshold - 3.5 * (threshold * (1 - threshold) / COORDINATES) ** 0.5))
+
+
+def _candidates(sets: DataFrame, percent: int, trees: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (a, b, score) of candidate edges between sets (set_key, sketch), a < b, and rows (set_key, node) of the nodes with more pairs than these."""
+    threshold = percent / 100
+    least = _least(threshold)
     rows = sets.select("set_key", "sketch", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree")).select(
         "set_key", "sketch", F.xxhash64(F.lit("root"), "tree").alias("node"))
     for _ in range(FIRST_DEPTH):
@@ -261,11 +290,49 @@ def _candidates(sets: DataFrame, percent: int, trees: int) -> DataFrame:
     if crowded is not None:
         # All documents of a crowd meet its most central ones, whatever chunk these come from.
         rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("score"), "pivot"))
-        pivots = compared.where("b is null").select(F.col("pivot_of").alias("node"), F.col("a").alias("pivot"), "score").withColumn("rank", rank).where(
+        pivots = compared.where("b is null and a is not null").select(F.col("pivot_of").alias("node"), F.col("a").alias("pivot"), "score").withColumn("rank", rank).where(
             F.col("rank") <= CENTRES).select("node", "pivot")
         edges = edges.union(crowded.select("node", "set_key").join(pivots, "node").where("set_key != pivot").select(
             F.least("set_key", "pivot").alias("a"), F.greatest("set_key", "pivot").alias("b"), F.lit(1).cast("long").alias("score")))
-    return materialise(edges.groupBy("a", "b").agg(F.max("score").alias("score")), "candidates")
+    edges = materialise(edges.groupBy("a", "b").agg(F.max("score").alias("score")), "candidates")
+    parts = materialise(compared.where("a is null").select(F.col("pivot_of").alias("node")).distinct(), "part-nodes")
+    again = reduce(DataFrame.union, small).select("set_key", "node").join(parts, "node", "left_semi").select("set_key", "node")
+    return edges, materialise(again, "again")
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """Rows (set_key, node, label, cell, side) of the blocks of a node that are compared, from rows (set_key, node, label, top, n_top, rest).
+
+    Documents with the node's most frequent label ``top`` have equal labels, so only the ``rest`` meets them and itself. Both are cut
+    into blocks, and each two blocks are a cell.
+    """
+    r, c = (F.ceil(F.col(x) / CHUNK).cast("long") for x in ("rest", "n_top"))
+    own = lambda blocks: F.pmod(F.xxhash64("set_key", "node"), blocks)
+    numbers = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    cell = lambda at, side: F.struct(at.alias("cell"), side.cast("int").alias("side"))
+    among = F.transform(numbers(r), lambda k: cell(F.least(own(r), k) * r + F.greatest(own(r), k), own(r) > k))
+    with_top = F.transform(numbers(c), lambda k: cell(r * r + own(r) * c + k, F.lit(0)))
+    of_top = F.transform(numbers(r), lambda k: cell(r * r + k * c + own(c), F.lit(1)))
+    every = F.when(F.col("label") == F.col("top"), of_top).otherwise(F.concat(among, with_top))
+    return rows.select("set_key", "node", "label", F.explode(every).alias("at")).select("set_key", "node", "label", "at.cell", "at.side")
+
+
+def _apart(again: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Rows (a, b), a < b: all pairs of the nodes ``again`` above the sketch bound that lie in different components of ``found``.
+
+    Nodes within one component are dropped, as no pair of theirs can join anything.
+    """
+    marked = materialise(sets.select("set_key", "sketch").join(found.select(F.col("node").alias("set_key"), "root"), "set_key", "left").select(
+        "set_key", "sketch", F.coalesce("root", "set_key").alias("label")), "marked")
+    labelled = materialise(again.join(marked.select("set_key", "label"), "set_key"), "labelled")
+    nodes = labelled.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(
+        F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most")).where("n > most.n")
+    nodes = materialise(nodes.select("node", F.col("most.label").alias("top"), F.col("most.n").alias("n_top"), F.expr("n - most.n").alias("rest")), "mixed")
+    mixed = materialise(labelled.join(nodes, "node"), "mixed-paths")
+    cells = materialise(_cells(mixed), "cells")
+    pairs = cells.join(marked.select("set_key", "sketch"), "set_key").repartition("node", "cell").sortWithinPartitions("node", "cell").select(
+        "node", "cell", "side", "set_key", "label", "sketch").mapInArrow(lambda batches: _cross_batches(batches, _least(percent / 100)), "a binary, b binary")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _members(docs: DataFrame, keys: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -295,10 +362,10 @@ def near_components(docs: DataFrame, width: int = 3, percent: int = 85, trees: i
     rows = sketch_documents(docs, width, id_col, text_col)
     sets = materialise(rows.where("n_shingles > 0").groupBy("set_key").agg(
         F.min("doc_id").alias("first_id"), F.min("row_key").alias("row_key"), F.first("sketch").alias("sketch")), "sets")
-    edges = _candidates(sets, percent, trees)
+    edges, again = _candidates(sets, percent, trees)
     ends = edges.select(F.explode(F.array("a", "b")).alias("end"), F.struct("score", "a", "b").alias("edge"))
-    keys = materialise(ends.select(F.col("end").alias("set_key")).distinct().join(sets.select("set_key", "row_key"), "set_key").select("row_key"), "keys")
-    members = _members(docs, keys, width, id_col, text_col)
+    keys = materialise(ends.select(F.col("end").alias("set_key")).distinct().join(sets.select("set_key", "row_key"), "set_key").select("set_key", "row_key"), "keys")
+    members = _members(docs, keys.select("row_key"), width, id_col, text_col)
     best = materialise(ends.groupBy("end").agg(F.max("edge").alias("edge")).select("edge.a", "edge.b").distinct(), "best-edges")
     links = _confirmed(best, members, percent)
     found = components(links)
@@ -306,7 +373,15 @@ def near_components(docs: DataFrame, width: int = 3, percent: int = 85, trees: i
     apart = edges.join(best, ["a", "b"], "left_anti").join(left, "a", "left").join(right, "b", "left").where(
         F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
     more = _confirmed(apart, members, percent)
-    found = components(links.union(more)).select(F.col("node").alias("set_key"), "root")
+    found = components(links.union(more))
+    if not again.isEmpty():
+        pairs = materialise(_apart(again, sets, found, percent).join(edges, ["a", "b"], "left_anti"), "apart")
+        if not pairs.isEmpty():
+            others = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct().join(keys, "set_key", "left_anti")
+            others = materialise(others.join(sets.select("set_key", "row_key"), "set_key").select("row_key"), "keys")
+            late = _confirmed(pairs, members.union(_members(docs, others, width, id_col, text_col)), percent)
+            found = components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).union(late))
+    found = found.select(F.col("node").alias("set_key"), "root")
     roots = sets.select("set_key", "first_id").join(found, "set_key", "left").select(
         "set_key", "first_id", F.coalesce("root", "set_key").alias("root"))
     ids = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))

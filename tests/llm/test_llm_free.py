@@ -127,6 +127,33 @@ def test_crowds_are_compared_in_chunks_with_their_centres(frame, monkeypatch, la
     assert {r.doc_id: r.component_id for r in near_duplicates(frame(docs)).collect()} == {i: c for (i, _), c in zip(docs, ids)}
 
 
+def two_groups_with_one_bridge(each, beside=10):
+    """Two dense groups, about 0.75 similar. One document of each is linked to one of the other, and has nearer ones of its own group beside it."""
+    places = range(10, 586, 24)
+    free = [k for k in range(3, 597) if min(abs(k - p) for p in places) > 4]
+    docs = []
+    for group in (0, 1):
+        for i in range(each):
+            random.seed(1000 * group + i)
+            mine = [f"w{k}" for k in range(600)]
+            other = places if group else []
+            if i >= each - 1 - beside:
+                other = places[7:] if group else places[7:14]
+            for k in other:
+                mine[k] = f"other{k}"
+            for k in random.sample(free, 6 if each - 1 - beside <= i < each - 1 else 2):
+                mine[k] = f"own{group}x{i}x{k}"
+            docs.append((each * group + i, " ".join(mine)))
+    return docs
+
+
+def test_a_single_bridge_between_dense_groups_is_found(frame):
+    docs = two_groups_with_one_bridge(110)
+    ids, _ = brute.near_components(docs, 3, 85)
+    assert set(ids) == {0}
+    assert {r.doc_id: r.component_id for r in near_duplicates(frame(docs)).collect()} == {i: c for (i, _), c in zip(docs, ids)}
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(60)] + [(100, 100 + k) for k in range(1, 40)] + [(7, 7), (3, 2), (2, 3)]
     found = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
