@@ -7,11 +7,13 @@ branch again. Two sets of similarity J share a path of depth d with a probabilit
 the trees are independent: at J = 0.85, twelve trees lose a pair that is compared at depth 2 or 3 about once in 100,000 times.
 
 A large node most of whose documents would go on together, or that is still large at the last depth, is a crowd of near copies. It is
-compared in chunks, and all its documents with its most central ones, so no task sees more than a chunk and nobody is left out.
+compared in chunks, and all its documents with its most central ones, so no task sees more than a chunk. This is only the first round.
 
 Candidates are confirmed on full sets. As only components are asked for, a document's most promising edge is confirmed
-first, and of the others only those between different components. Nodes of which the first round took a part of the pairs are then
-gone through again with the components found: of each such node all pairs between different components become candidates, so none is lost.
+first, and of the others only those between different components. Nodes of which the first round took a part of the pairs, and all crowds,
+are then gone through again with the components found: of each such node all pairs between different components become candidates, so none is
+lost. A node within one component has no such pair. Where up to ``SMALL`` documents are outside a node's largest component, they are compared
+with all others; other nodes branch on, and at the last depth they are compared whole, in cells of two chunks.
 """
 
 from __future__ import annotations
@@ -244,7 +246,7 @@ def _least(threshold: float) -> int:
 
 
 def _candidates(sets: DataFrame, percent: int, trees: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (a, b, score) of candidate edges between sets (set_key, sketch), a < b, and rows (set_key, node) of the nodes with more pairs than these."""
+    """Rows (a, b, score) of candidate edges between sets (set_key, sketch), a < b, and rows (set_key, node, depth) of the nodes with more pairs than these."""
     threshold = percent / 100
     least = _least(threshold)
     rows = sets.select("set_key", "sketch", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree")).select(
@@ -255,9 +257,9 @@ def _candidates(sets: DataFrame, percent: int, trees: int) -> tuple[DataFrame, D
     sketches = sets.select("set_key", "sketch")
     small, crowds = [], []
 
-    def as_crowd(large: DataFrame) -> DataFrame:
+    def as_crowd(large: DataFrame, depth: int) -> DataFrame:
         chunk = F.pmod(F.xxhash64("set_key", "node"), F.ceil(F.col("n") / CHUNK)).cast("int")
-        return large.select("set_key", "node", chunk.alias("chunk"), F.lit(True).alias("large"))
+        return large.select("set_key", "node", chunk.alias("chunk"), F.lit(True).alias("large"), F.lit(depth).alias("depth"))
 
     large = None
     for depth in range(FIRST_DEPTH, LAST_DEPTH + 1):
@@ -268,15 +270,15 @@ def _candidates(sets: DataFrame, percent: int, trees: int) -> tuple[DataFrame, D
         if large is not None:
             # A node most of whose documents go on together is a crowd: branching would only copy it.
             crowd = materialise(sizes.where(F.col("n") >= CROWD * F.col("siblings")).select(F.col("parent").alias("node")).distinct(), "crowds")
-            crowds.append(as_crowd(large.join(crowd, "node", "left_semi")))
+            crowds.append(as_crowd(large.join(crowd, "node", "left_semi"), depth - 1))
             rows = rows.join(crowd.withColumnRenamed("node", "parent"), "parent", "left_anti")
         rows = materialise(rows.select("set_key", "node", "n"), "paths")
-        small.append(rows.where(F.col("n") <= SMALL).select("set_key", "node", F.lit(0).alias("chunk"), F.lit(False).alias("large")))
+        small.append(rows.where(F.col("n") <= SMALL).select("set_key", "node", F.lit(0).alias("chunk"), F.lit(False).alias("large"), F.lit(depth).alias("depth")))
         large = rows.where(F.col("n") > SMALL)
         if large.isEmpty():
             break
         if depth == LAST_DEPTH:
-            crowds.append(as_crowd(large))
+            crowds.append(as_crowd(large, depth))
         else:
             rows = _branch(large.join(sketches, "set_key").withColumn("parent", F.col("node")), threshold).select(
                 "set_key", "node", "parent", F.col("n").alias("siblings"))
@@ -296,7 +298,9 @@ def _candidates(sets: DataFrame, percent: int, trees: int) -> tuple[DataFrame, D
             F.least("set_key", "pivot").alias("a"), F.greatest("set_key", "pivot").alias("b"), F.lit(1).cast("long").alias("score")))
     edges = materialise(edges.groupBy("a", "b").agg(F.max("score").alias("score")), "candidates")
     parts = materialise(compared.where("a is null").select(F.col("pivot_of").alias("node")).distinct(), "part-nodes")
-    again = reduce(DataFrame.union, small).select("set_key", "node").join(parts, "node", "left_semi").select("set_key", "node")
+    again = reduce(DataFrame.union, small).select("set_key", "node", "depth").join(parts, "node", "left_semi").select("set_key", "node", "depth")
+    if crowded is not None:
+        again = again.union(crowded.select("set_key", "node", "depth"))
     return edges, materialise(again, "again")
 
 
@@ -324,12 +328,20 @@ def _apart(again: DataFrame, sets: DataFrame, found: DataFrame, percent: int) ->
     """
     marked = materialise(sets.select("set_key", "sketch").join(found.select(F.col("node").alias("set_key"), "root"), "set_key", "left").select(
         "set_key", "sketch", F.coalesce("root", "set_key").alias("label")), "marked")
-    labelled = materialise(again.join(marked.select("set_key", "label"), "set_key"), "labelled")
-    nodes = labelled.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(
-        F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most")).where("n > most.n")
-    nodes = materialise(nodes.select("node", F.col("most.label").alias("top"), F.col("most.n").alias("n_top"), F.expr("n - most.n").alias("rest")), "mixed")
-    mixed = materialise(labelled.join(nodes, "node"), "mixed-paths")
-    cells = materialise(_cells(mixed), "cells")
+    rows, cells = again, []
+    while True:
+        labelled = materialise(rows.join(marked.select("set_key", "label"), "set_key"), "labelled")
+        nodes = labelled.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(
+            F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most")).where("n > most.n")
+        nodes = materialise(nodes.select("node", F.col("most.label").alias("top"), F.col("most.n").alias("n_top"), F.expr("n - most.n").alias("rest")), "mixed")
+        mixed = materialise(labelled.join(nodes, "node"), "mixed-paths")
+        on = (F.col("rest") > SMALL) & (F.col("depth") < LAST_DEPTH)
+        cells.append(materialise(_cells(mixed.where(~on)), "cells"))
+        if mixed.where(on).isEmpty():
+            break
+        rows = _branch(mixed.where(on).select("set_key", "node", "depth").join(marked.select("set_key", "sketch"), "set_key"), percent / 100).select(
+            "set_key", "node", (F.col("depth") + 1).alias("depth"))
+    cells = reduce(DataFrame.union, cells)
     pairs = cells.join(marked.select("set_key", "sketch"), "set_key").repartition("node", "cell").sortWithinPartitions("node", "cell").select(
         "node", "cell", "side", "set_key", "label", "sketch").mapInArrow(lambda batches: _cross_batches(batches, _least(percent / 100)), "a binary, b binary")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -154,6 +154,31 @@ def test_a_single_bridge_between_dense_groups_is_found(frame):
     assert {r.doc_id: r.component_id for r in near_duplicates(frame(docs)).collect()} == {i: c for (i, _), c in zip(docs, ids)}
 
 
+def test_small_groups_and_a_chain_in_a_crowd_of_several_chunks_are_found(frame, monkeypatch):
+    """Around one large component: pairs, triples and a chain that are linked with each other only, in the same nodes as it."""
+    docs = []
+
+    def add(start, end, own):
+        mine = [f"other{k}" if start <= n < end else f"w{k}" for n, k in enumerate(range(600))]
+        for k in own:
+            mine[k] = f"own{len(docs)}x{k}"
+        docs.append((len(docs), " ".join(mine)))
+
+    random.seed(9)
+    for _ in range(60):
+        add(0, 0, random.sample(range(300), 3))
+    for group in range(6):
+        for _ in range(2 + group % 2):
+            add(310 + 40 * group, 346 + 40 * group, random.sample(range(300), 2))
+    for step in range(8):
+        add(10 * step, 10 * step + 110, random.sample(range(320, 600), 2))
+    for name, value in (("SMALL", 6), ("CHUNK", 6), ("FIRST_DEPTH", 0), ("LAST_DEPTH", 0), ("CENTRES", 1)):
+        monkeypatch.setattr(near_dup, name, value)
+    ids, _ = brute.near_components(docs, 3, 85)
+    assert len(set(ids)) > 4
+    assert {r.doc_id: r.component_id for r in near_duplicates(frame(docs)).collect()} == {i: c for (i, _), c in zip(docs, ids)}
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(60)] + [(100, 100 + k) for k in range(1, 40)] + [(7, 7), (3, 2), (2, 3)]
     found = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
