@@ -20,10 +20,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that are boilerplate in their source; blanks at a line's ends do not make it another line."""
+    """All documents, without the lines that are boilerplate in their source; blanks at a line's ends do not make it another line.
+
+    Equal texts count once, and the first document that has a line keeps it, so of a large group of copies one text stays.
+    """
     split = F.split(F.coalesce("text", F.lit("")), "\n")
     same = F.transform(split, lambda line: F.btrim(line, F.lit(GAPS)))
-    cleaned = drop_site_lines(docs, F.col("source"), split, same)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("text"))
+    cleaned = drop_site_lines(docs, F.col("source"), split, same, first_by=order)
     text = F.when(F.col("n_dropped") > 0, F.array_join("kept_lines", "\n")).otherwise(F.col("text"))
     renewed = {"text": text} | ({"n_chars": F.when(F.col("n_dropped") > 0, F.char_length(text)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
     return cleaned.select(*[renewed.get(c, F.col(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

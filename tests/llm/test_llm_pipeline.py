@@ -52,3 +52,20 @@ def test_stages_take_odd_rows(spark, tmp_path):
                 assert out.columns == docs.columns, name
                 docs = spark.createDataFrame(rows_out, schema)
         assert (len(rows_out) > 0) == bool(given)
+
+
+def test_a_group_with_a_third_of_a_source_keeps_one_text(spark):
+    """Copies, equal or nearly so, are not boilerplate of their source: the first one stays whole."""
+    shared = [f"line {k} of a text that many rows of this source have" for k in range(30)]
+    rows = [(100 + i, "\n".join(shared), "a") for i in range(10)]
+    rows += [(200 + i, "\n".join([*(f"{line} too" for line in shared), f"copy {i}"]), "a") for i in range(10)]
+    rows += [(i, f"menu\nown text {i} with words {i * i} of its own", "a") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    cleaned = corpus_pipeline.lines(spark, docs, SF_DIR)
+    texts = {r.doc_id: r.text for r in cleaned.collect()}
+    given = {i: text for i, text, _ in rows}
+    assert texts[100] == given[100] and texts[200] == given[200]
+    assert [i for i in range(30) if "menu" in texts[i]] == [0]
+    assert sorted({line for t in texts.values() for line in t.split("\n") if line}) == sorted({line for t in given.values() for line in t.split("\n")})
+    stay = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, cleaned, SF_DIR).where("text != ''").collect()]
+    assert 100 in stay and 200 in stay and not set(stay) & set(range(101, 110))
