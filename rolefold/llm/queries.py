@@ -12,6 +12,7 @@ from .common import table
 from .credentials import scan_secrets
 from .mixing import mix_sources
 from .near_dup import near_duplicates
+from .prefix_trie import rebuilt_trie
 from .quality import judge
 from .run_index import drop_repeated_bytes
 from .sentence_spans import drop_repeated_spans
@@ -102,6 +103,11 @@ def op9_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_bytes(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 _WORD = r"[^\x20\x09-\x0D]+"
 
 ORACLES["op5_rule_cascade"] = rf"""
@@ -135,3 +141,23 @@ e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE
 r AS (SELECT doc_id AS d, doc_id AS top FROM t UNION SELECT e.y, r.top FROM r JOIN e ON e.x = r.d)
 SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, t.doc_id = c.component_id AS kept
 FROM t LEFT JOIN n ON n.doc_id = t.doc_id JOIN (SELECT d, min(top) AS component_id FROM r GROUP BY d) c ON c.d = t.doc_id"""
+
+
+# CRC-32 is spelled out bit by bit; 3988292384 is its reversed polynomial.
+ORACLES["op11_prefix_trie"] = """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id
+    ORDER BY turn NULLS FIRST, md5(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), ':', coalesce(text, '')))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'r': r, 'x': x} ORDER BY pos) AS seq FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, seq, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, k: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295::BIGINT) % 9 AS h FROM own),
+c AS (SELECT h.conv_id, list_concat(coalesce(m.seq[1:h.h], []), h.seq[h.h + 1:]) AS seq FROM h LEFT JOIN own m ON m.conv_id = h.conv_id - h.conv_id % 5),
+p AS (SELECT conv_id, len(seq) AS n, d, seq[1:d] AS k FROM (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS d FROM c)),
+node AS (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '') AS ends,
+    (count(*) - 1) * coalesce(strlen(k[d].x), 0) AS own FROM p GROUP BY k, d),
+kids AS (SELECT k[1:d - 1] AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+full_ AS (SELECT node.*, coalesce(kids.n, 0) AS n_children FROM node LEFT JOIN kids ON kids.k = node.k),
+sub AS (SELECT k[1:a] AS k, sum(own) AS saved, count(*) FILTER (n_children = 0) AS leaves FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM full_) GROUP BY 1)
+SELECT f.conv_id, f.d::BIGINT AS depth, up.conv_id AS parent_conv_id, f.n_convs::BIGINT AS n_convs, f.n_children::BIGINT AS n_children,
+  sub.leaves::BIGINT AS n_leaves, sub.saved::BIGINT AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM full_ f JOIN sub ON sub.k = f.k LEFT JOIN node up ON f.d > 0 AND up.k = f.k[1:f.d - 1]"""

@@ -156,3 +156,29 @@ def top_products(vectors, ids, queries, k=10):
 
 def digest(text):
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def trie(rows):
+    """Sorted node rows of the trie of rebuilt (conv_id, turn, role, text) conversations."""
+    own = collections.defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            role, text = role or "", text or ""
+            told = hashlib.md5(f"{len(role.encode())}:{role}:{text}".encode()).hexdigest()
+            own[conv].append((turn is not None, turn or 0, told + str(len(text.encode())), role, text))
+    own = {c: [(r, t) for *_, r, t in sorted(v)] for c, v in own.items()}
+    rebuilt = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        rebuilt[c] = tuple(own.get(c - c % 5, [])[:h] + turns[h:])
+    members = collections.defaultdict(list)
+    for c in sorted(rebuilt):
+        for d in range(len(rebuilt[c]) + 1):
+            members[rebuilt[c][:d]].append(c)
+    children, saved, leaves = collections.Counter(k[:-1] for k in members if k), collections.Counter(), collections.Counter()
+    for k, found in members.items():
+        for d in range(len(k) + 1):
+            saved[k[:d]] += (len(found) - 1) * len(k[-1][1].encode()) if k else 0
+            leaves[k[:d]] += not children[k]
+    return sorted((v[0], len(k), members[k[:-1]][0] if k else -1, len(v), children[k], leaves[k], saved[k],
+                   digest(",".join(str(c) for c in v if rebuilt[c] == k))) for k, v in members.items())
