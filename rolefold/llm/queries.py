@@ -7,11 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .bpe import encoded_digests
+from .bpe import encoded_digests, read_spec
 from .common import table
 from .credentials import scan_secrets
 from .mixing import mix_sources
 from .near_dup import near_duplicates
+from .packing import pack_documents
 from .prefix_trie import rebuilt_trie
 from .quality import judge
 from .run_index import drop_repeated_bytes
@@ -108,6 +109,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rebuilt_trie(table(spark, sf_dir, "conversations"))
 
 
+@query
+def op12_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), read_spec(public_tokenizers.path("byte_bpe_50k.json")))
+
+
 _WORD = r"[^\x20\x09-\x0D]+"
 
 ORACLES["op5_rule_cascade"] = rf"""
