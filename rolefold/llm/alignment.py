@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import materialise
 from .byte_bpe import ByteBpe, token_bytes
 
-CHUNK_BYTES = 4 << 20    # of text; a longer text is a chunk of its own
+CHUNK_BYTES = 2 << 20    # of text; a longer text is a chunk of its own
 LANE = 256               # A tokens after which a lane may end
 PROBES = 64              # tokens among which a common end is looked for there
 BITS = 32                # of a B id in a pair's key
@@ -43,15 +43,16 @@ class Tokenisers:
         self.wide = max(len(self.a_bytes), len(self.b_bytes))
         self.shown = [f"{i}{mark}" for mark in ",|;" for i in range(self.wide)]
 
-    def ids(self, text: str | None) -> tuple[list[int], list[int]]:
+    def ids(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of both, or none where one of them does not give back a blank and the text."""
+        none = np.zeros(0, np.int32), np.zeros(0, np.int32)
         if not text:
-            return [], []
+            return none
         data = b" " + text.encode()
         a, b = self.a.encode(" " + text), self.b.encode(text)
         if b"".join([self.a_bytes[i] for i in a]) != data or b"".join([self.b_bytes[i] for i in b]) != data:
-            return [], []
-        return a, b
+            return none
+        return np.array(a, np.int32), np.array(b, np.int32)
 
 
 def _lane_starts(a_ends: np.ndarray, b_ends: np.ndarray, a_from: np.ndarray, a_to: np.ndarray) -> np.ndarray:
@@ -101,7 +102,7 @@ class Chunk:
     def __init__(self, tokenisers: Tokenisers, texts: list[str | None]):
         ids = [tokenisers.ids(t) for t in texts]
         self.n_a, self.n_b = (np.array([len(x[k]) for x in ids], np.int64) for k in (0, 1))
-        self.a, self.b = (np.concatenate([np.array(x[k], np.int64) for x in ids] or [np.zeros(0, np.int64)]) for k in (0, 1))
+        self.a, self.b = (np.concatenate([x[k] for x in ids] or [np.zeros(0, np.int32)]) for k in (0, 1))
         a_to, b_to = np.cumsum(self.n_a), np.cumsum(self.n_b)
         self.a_from, self.b_from = a_to - self.n_a, b_to - self.n_b
         a_ends, b_ends = np.cumsum(tokenisers.a_sizes[self.a]), np.cumsum(tokenisers.b_sizes[self.b])
@@ -116,7 +117,7 @@ class Chunk:
         """Ids by group of each document: A's, then B's, in the order of the text."""
         a_after, b_after = np.flatnonzero(self.a_cut) + 1, np.flatnonzero(self.b_cut) + 1
         a_group, b_group = np.cumsum(self.a_cut) - self.a_cut, np.cumsum(self.b_cut) - self.b_cut
-        wide, merged = self.tokenisers.wide, np.empty(len(self.a) + len(self.b), np.int64)
+        wide, merged = self.tokenisers.wide, np.empty(len(self.a) + len(self.b), np.int32)
         if len(self.a):
             merged[np.arange(len(self.a)) + np.append(0, b_after)[a_group]] = self.a + np.where(self.a_cut, wide, 0)
             merged[np.arange(len(self.b)) + a_after[b_group]] = self.b + np.where(self.b_cut, 2 * wide, 0)
@@ -127,7 +128,7 @@ class Chunk:
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct pairs and the number of documents with each; then each document's pairs by their place among these, how many it has, and how often it has each."""
-        found, place = np.unique(self.a[self.a_links] << BITS | self.b[self.b_links], return_inverse=True)
+        found, place = np.unique(self.a[self.a_links].astype(np.int64) << BITS | self.b[self.b_links], return_inverse=True)
         own, often = np.unique(self.document[self.a_links] << BITS | place, return_counts=True)
         place = own & ((1 << BITS) - 1)
         return found, np.bincount(place, minlength=len(found)), place, np.bincount(own >> BITS, minlength=len(self.n_a)), often
