@@ -19,6 +19,7 @@ from ..operators.coverage import (
 from ..operators.resume_text import (
     experience_entries, person_name, pick_section, sections, skill_items, structure_resumes,
 )
+from ..operators.set_matching import best_listings
 from ..operators.tailoring import STYLE, relevant_skills, render_resume, tailor, top_bullets as pick_bullets
 from ..sources.resumes import json_resumes
 from .registry import SPACE_RE, query, s_fold, s_list, s_pattern, s_skills, s_strip, s_tokens, table
@@ -129,6 +130,28 @@ def assigned_pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_pairs(pairs, listings, resumes)
 
 
+def _s_terms(text: str, words: str) -> str:
+    """Skills a text names, marked, and a list of its words."""
+    return f"list_transform({s_skills(s_fold(text), SKILL_LEXICON)}, lambda s: '+' || s) AS skills, {words} AS words"
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, CASE WHEN len(skills) > 0 THEN skills ELSE words END AS terms FROM (SELECT doc_id, {_s_terms(
+    "text", f"list_filter({s_tokens('text')}, lambda w: NOT list_contains({_STOP}, w))")} FROM documents)),
+r AS (SELECT conv_id, list_distinct(flatten(list(list_concat(skills, words)))) AS terms FROM (SELECT conv_id, {_s_terms(
+    "text", s_tokens('text'))} FROM conversations) GROUP BY conv_id),
+p AS (SELECT conv_id, doc_id, len(l.terms) AS n, len(list_intersect(l.terms, r.terms)) AS o FROM l, r WHERE len(l.terms) > 0),
+s AS (SELECT *, CAST(floor(o / n * 100) AS INTEGER) AS score FROM p),
+b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, o DESC, doc_id) AS rank FROM s WHERE score >= 30)
+SELECT conv_id AS resume_id, CAST(rank AS INTEGER) AS rank, doc_id AS listing_id, score, CAST(o AS BIGINT) AS n_matched, CAST(n AS BIGINT) AS n_required
+FROM b WHERE rank <= 10""")
+def resume_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best listings of every conversation, read as a résumé, among all documents."""
+    listings = table(spark, sf_dir, "documents", heavy=True).select(F.col("doc_id").alias("listing_id"), "text")
+    resumes = table(spark, sf_dir, "conversations", heavy=True).select(F.col("conv_id").alias("resume_id"), "text")
+    return best_listings(listings, resumes, min_score=30)
+
+
 @query("""
 SELECT event_id, CASE event_id % 4 WHEN 0 THEN greatest(0, least(100, k * 2 - 20)) WHEN 1 THEN least(100, k)
          WHEN 2 THEN -1 ELSE 0 END AS score,

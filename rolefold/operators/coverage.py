@@ -81,15 +81,19 @@ def skill_coverage(listings: DataFrame, text: str, profile: ResumeProfile) -> Da
 def match_tokens(df: DataFrame, key: str, tokens: str, vocabulary: DataFrame) -> DataFrame:
     """Reduce a token array column to ``n_matched`` and ``found`` (sorted), given a vocabulary of distinct tokens.
 
-    A listing's tokens are distinct, so rows equal in ``key`` and all other columns are one row. Spark chooses the join by the
-    vocabulary's size, and splits a frequent token's rows where adaptive execution finds skew.
+    A listing's tokens are distinct. Rows equal in all columns are counted together and come back as many as they were. A row without tokens gets one of its own that no vocabulary
+    has, so such rows are spread like others. Spark chooses the join by the vocabulary's size, and splits a frequent token's rows where adaptive execution finds skew.
     """
     kept = [c for c in df.columns if c != tokens]
-    exploded = df.select(*kept, F.explode_outer(tokens).alias("token"))
+    own = F.coalesce(F.col(tokens), F.array().cast("array<string>"))
+    single = df.select(*kept, F.greatest(F.size(own), F.lit(1)).alias("__size"), F.md5(F.array_join(own, " ").cast("binary")).alias("__set"), own.alias("__own"))
+    none = F.concat(F.lit(" "), F.xxhash64(*kept).cast("string"))
+    exploded = single.select(*kept, "__size", "__set", F.explode(F.when(F.size("__own") > 0, F.col("__own")).otherwise(F.array(none))).alias("token"))
     joined = exploded.join(vocabulary.withColumn("hit", F.lit(True)), "token", "left")
-    return joined.groupBy(*kept).agg(
-        F.sort_array(F.collect_set(F.when(F.col("hit"), F.col("token")))).alias("found")
-    ).withColumn("n_matched", F.size("found"))
+    counted = joined.groupBy(*kept, "__size", "__set").agg(
+        F.sort_array(F.collect_set(F.when(F.col("hit"), F.col("token")))).alias("found"),
+        F.floor(F.count(F.lit(1)) / F.col("__size")).cast("int").alias("__copies"))
+    return counted.select(*kept, "found", F.size("found").alias("n_matched"), F.explode(F.array_repeat(F.lit(0), F.col("__copies"))).alias("__copy")).drop("__copy")
 
 
 def token_coverage(listings: DataFrame, key: str, text: str, profile: ResumeProfile) -> DataFrame:

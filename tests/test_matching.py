@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from rolefold.functions.lexicon import SKILL_LEXICON, STOP_WORDS
-from rolefold.operators.coverage import parse_replies, prompt_text, resume_profile, score_listings, score_pairs
+from rolefold.operators.coverage import parse_replies, prompt_text, resume_profile, score_listings, score_pairs, token_coverage
 from rolefold.operators.resume_text import SECTION_HEADERS, experience_entries, person_name, sections, skill_items, structure_resumes
 from rolefold.operators.tailoring import best_bullets, rendered, tailor, top_bullets
 from rolefold.functions.text import distinct_tokens
@@ -248,3 +248,12 @@ def test_rendered_page_escapes_and_skips_empty_blocks(spark):
     assert "<h1>Ada &lt;x&gt;</h1>" in page and "Acme &amp; Co" in page and "<h2>Summary</h2>" not in page
     assert '<div class="contact">a@b.org</div>' in page and '<span class="skill">Cooking</span>' in page
     assert json.dumps(page)
+
+
+def test_repeated_rows_are_scored_each(spark):
+    resume = resume_profile(spark.createDataFrame([("alpha beta",)], "text string"), lexicon=[("Go", r"\bgo\b")])
+    rows = [(1, "alpha gamma")] * 3 + [(1, "gamma delta")] + [(2, "go")] * 2 + [(None, None)] * 2 + [(3, "")] * 2 + [(4, "go beta"), (4, "alpha")]
+    listings = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    scored = sorted((r.id or 0, r.score) for r in score_listings(listings, "id", "text", resume).collect())
+    assert scored == [(0, 0)] * 2 + [(1, 0)] + [(1, 50)] * 3 + [(2, 0)] * 2 + [(3, 0)] * 2 + [(4, 0), (4, 100)]
+    assert token_coverage(listings, "id", "text", resume).count() == len(rows)
