@@ -24,8 +24,8 @@ def _event(kind: str, **columns: Column) -> list[Column]:
 
 
 def created_events(new_jobs: DataFrame, now: Column, stage: str = READY) -> DataFrame:
-    """One event per row ``(event_id, application_id, job_id[, notes, resume_json, resume_html])``."""
-    optional = {c: F.col(c) for c in ("notes", "resume_json", "resume_html") if c in new_jobs.columns}
+    """One event per row ``(event_id, application_id, job_id[, notes, resume_json, resume_html, platform_key])``."""
+    optional = {c: F.col(c) for c in ("notes", "resume_json", "resume_html", "platform_key") if c in new_jobs.columns}
     return new_jobs.select(*_event(
         "created", event_id=F.col("event_id"), application_id=F.col("application_id"), job_id=F.col("job_id"),
         stage=F.lit(stage), note=optional.get("notes", F.lit(None)), created_at=now, **optional))
@@ -36,11 +36,17 @@ def without_application(jobs: DataFrame, events: DataFrame) -> DataFrame:
     return jobs.join(events.filter("kind = 'created'").select("job_id"), "job_id", "left_anti")
 
 
+def _known(events: DataFrame) -> DataFrame:
+    """(application_id, platform_key) of the applications that exist."""
+    platform = F.col("platform_key") if "platform_key" in events.columns else F.lit(None).cast("string")
+    return events.filter("kind = 'created'").select("application_id", platform.alias("platform_key"))
+
+
 def stage_events(requests: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split ``(event_id, application_id, stage, note, created_at)`` into events and unknown ids."""
-    known = events.filter("kind = 'created'").select("application_id")
-    accepted = requests.join(known, "application_id", "left_semi").select(*_event(
-        "stage", event_id=F.col("event_id"), application_id=F.col("application_id"), stage=F.col("stage"),
+    known = _known(events)
+    accepted = requests.drop("platform_key").join(known, "application_id").select(*_event(
+        "stage", platform_key=F.col("platform_key"), event_id=F.col("event_id"), application_id=F.col("application_id"), stage=F.col("stage"),
         note=F.col("note"), created_at=F.col("created_at")))
     return accepted, requests.join(known, "application_id", "left_anti")
 
@@ -63,9 +69,9 @@ def audit_note(interview: Column, follow_up: Column) -> Column:
 
 def notes_events(requests: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(event_id, application_id, notes, interview_date, follow_up_date, recruiter_info, created_at)``."""
-    known = events.filter("kind = 'created'").select("application_id")
-    accepted = requests.join(known, "application_id", "left_semi").select(*_event(
-        "notes", event_id=F.col("event_id"), application_id=F.col("application_id"),
+    known = _known(events)
+    accepted = requests.drop("platform_key").join(known, "application_id").select(*_event(
+        "notes", platform_key=F.col("platform_key"), event_id=F.col("event_id"), application_id=F.col("application_id"),
         notes=full_notes(F.col("notes"), F.col("recruiter_info")),
         note=audit_note(F.col("interview_date"), F.col("follow_up_date")),
         interview_text=F.col("interview_date"), follow_up_text=F.col("follow_up_date"),
@@ -73,6 +79,48 @@ def notes_events(requests: DataFrame, events: DataFrame) -> tuple[DataFrame, Dat
     return accepted, requests.join(known, "application_id", "left_anti")
 
 
+# Of each part of an application's state, the value is kept with the time and number of the event that set it; the greatest one counts.
+PARTS = {
+    "status": (("created", "stage"), "stage"), "notes": (("created", "notes"), "notes"),
+    "resume_json": (("created",), "resume_json"), "resume_html": (("created",), "resume_html"),
+}
+DATES = {"interview_date": "interview_text", "follow_up_date": "follow_up_text"}
+
+
+def partial_state(events: DataFrame) -> DataFrame:
+    """One row per application of any part of the log, to be merged with others by ``merged_state``."""
+    platform = F.max("platform_key") if "platform_key" in events.columns else F.lit(None).cast("string")
+    dated = events.withColumns({f"__{part}": tolerant_timestamp(F.col(text)) for part, text in DATES.items()})
+
+    def latest(value: Column, when: Column) -> Column:
+        return F.max(F.when(when, F.struct(*ORDER, value.alias("value"))))
+
+    created = F.col("kind") == "created"
+    return dated.groupBy("application_id").agg(
+        F.max("job_id").alias("job_id"),
+        *[latest(F.col(value), F.col("kind").isin(*kinds)).alias(part) for part, (kinds, value) in PARTS.items()],
+        *[latest(F.col(f"__{part}"), F.col(f"__{part}").isNotNull()).alias(part) for part in DATES],
+        F.min(F.when(created, F.col("created_at"))).alias("created_at"),
+        F.min(F.when(F.col("kind").isin("created", "stage") & (F.col("stage") == "Applied"), F.col("created_at"))).alias("first_applied_at"),
+        F.max("created_at").alias("updated_at"),
+        platform.alias("platform_key"))
+
+
+def merged_state(parts: DataFrame) -> DataFrame:
+    """One row per application from any number of partial states, in whatever order and however often they come."""
+    return parts.groupBy("application_id").agg(
+        *[F.max(c).alias(c) for c in ("job_id", *PARTS, *DATES)],
+        F.min("created_at").alias("created_at"), F.min("first_applied_at").alias("first_applied_at"),
+        F.max("updated_at").alias("updated_at"), F.max("platform_key").alias("platform_key"))
+
+
+def state_values(merged: DataFrame) -> DataFrame:
+    """A merged state without the events that its parts come from; columns as in ``current_state``."""
+    return merged.select(
+        "application_id", "job_id", *[F.col(f"{part}.value").alias(part) for part in ("status", "notes", *DATES, "resume_json", "resume_html")],
+        "created_at", "first_applied_at", "updated_at", F.col("created_at").alias("applied_at"))
+
+
 def current_state(events: DataFrame) -> DataFrame:
     """One row per application, by plain aggregates: partial results are combined before the
     shuffle, so an application with very many events costs no more than any other."""

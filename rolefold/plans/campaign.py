@@ -62,7 +62,7 @@ def tailor_candidates(
     first = store.next_event_id()
     shaped = queue.join(numbered, "id").select(
         F.col("id").alias("job_id"), (F.col("pos") + first).alias("event_id"), "title", "company", "description",
-        one.alias("r")).select("job_id", "event_id", "title", "company", "description", "r.*")
+        "platform_key", one.alias("r")).select("job_id", "event_id", "title", "company", "description", "platform_key", "r.*")
     shaped = shaped.withColumns({
         f.name: F.coalesce(F.col(f.name) if f.name in fields else F.lit(None), F.array()).cast(f.dataType)
         if f.dataType.typeName() == "array" else (F.col(f.name) if f.name in fields else F.lit(None)).cast(f.dataType)
@@ -71,7 +71,7 @@ def tailor_candidates(
     done = made.select(
         "job_id", "event_id", F.col("event_id").alias("application_id"),
         F.to_json(F.struct(*RESUME_FIELDS, *[c for c in fields if c == "raw_text"])).alias("resume_json"), rendered(made).alias("resume_html"),
-        F.lit(PIPELINE_NOTE).alias("notes"))
+        F.lit(PIPELINE_NOTE).alias("notes"), "platform_key")
     store.append_events(created_events(done, now))
     return numbered.count()
 

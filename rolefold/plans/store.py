@@ -1,28 +1,32 @@
-"""Stored tables as append-only Parquet under one root.
+"""Stored tables as append-only Parquet under one root, in folders by generation and platform.
 
-Each table lives in numbered snapshots. Appends go to the current snapshot; a purge or reset
-writes the next one and then names it current by adding a row to the ``versions`` table, so a
-path that is being read is never overwritten.
+Listings lie in hash buckets of their key below that, so an insert looks only into the buckets its batch touches. Scores and events lie in epochs: ``compact`` folds what
+there is into one row per listing or application and begins the next epoch, and reads take these rows and the epochs from then on.
 """
 
 from __future__ import annotations
 
-import uuid
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.stages import job_status
 from ..functions.text import blank_to_null
 from ..operators.dedup import first_wins
-from ..operators.lifecycle import current_state, latest_rows
+from ..operators.lifecycle import latest_rows, merged_state, partial_state, state_values
 from ..operators.normalize import normalize_listings, stored_form
 from ..operators.ordering import with_position
-from ..operators.purge import DEPRECATED_PLATFORMS, is_deprecated, purge_cascade
+from ..operators.purge import DEPRECATED_PLATFORMS
 from ..schemas import EVENTS, LISTINGS, SCORES
 from ..session import materialise, read_or_empty
+from .layout import Layout, log_rows, read_layout
 
-VERSIONS = "version int, folder string"
 ARRIVAL = "arrival"
 TABLES = {"listings": LISTINGS, "scores": SCORES, "events": EVENTS}
+FOLDERS = {"listings": ["gen", "platform_key", "bucket"], "scores": ["gen", "epoch", "platform_key"], "events": ["gen", "epoch", "platform_key"]}
+KEYS = ["platform_key", "job_id_on_platform"]
+SCORE_VALUES = ["match_score", "match_reasoning", "evaluation_details"]
+SCORE_ORDER = ["scored_at", "call", "ordinal"]
+BUCKETS = 8
+LEGACY = "v000000"    # files of a store without folders
 
 
 def single_requests(rows: DataFrame, keys: list[str], order: str) -> None:
@@ -31,47 +35,76 @@ def single_requests(rows: DataFrame, keys: list[str], order: str) -> None:
         raise ValueError(f"several rows for one {', '.join(keys)}: a column {order!r} must tell their order")
 
 
-class ListingStore:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+def counted(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, dict]:
+    """A written table, and metrics taken while it was written; a task that is run again may only make a count too high."""
+    seen = Observation()
+    return materialise(df.observe(seen, F.count(F.lit(1)).alias("n"), *metrics), name), seen.get
 
-    # -- snapshots -------------------------------------------------------------------------
 
-    def snapshot(self) -> tuple[int, str]:
-        """Number and folder of the current snapshot."""
-        named = read_or_empty(self.spark, f"{self.root}/versions", VERSIONS)
-        found = named.agg(F.max("version"), F.max_by("folder", "version")).first()
-        return found if found[0] is not None else (0, "v000000")
+class ListingStore:
+    """``buckets`` is fixed by the first write; about a million listings to a bucket and platform keep an insert's reads small."""
 
-    def _path(self, table: str, folder: str | None = None) -> str:
-        return f"{self.root}/{folder or self.snapshot()[1]}/{table}"
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
-    def read(self, table: str) -> DataFrame:
-        """Rows of a table; columns missing from older files read as null."""
-        schema = TABLES[table]
-        return read_or_empty(self.spark, self._path(table), schema).select(*schema.fieldNames())
+    # -- versions --------------------------------------------------------------------------
+
+    def layout(self) -> Layout:
+        found = read_layout(self.spark, self.root)
+        found.buckets = found.buckets or self.buckets
+        return found
 
-    def append(self, table: str, rows: DataFrame, folder: str | None = None) -> None:
+    def snapshot(self) -> tuple[int, str]:
+        """Number of the current version, and the root its files are under."""
+        return self.layout().version, self.root
+
+    def rows(self, table: str, layout: Layout | None = None) -> DataFrame:
+        """Visible rows with the columns of their folders; columns missing from older files read as null."""
+        layout, schema = layout or self.layout(), TABLES[table]
+        parts = [T.StructField(c, T.IntegerType()) for c in FOLDERS[table] if c != "platform_key"]
+        full = T.StructType([*schema.fields, *parts])
+        found = read_or_empty(self.spark, f"{self.root}/{table}", full).select(*full.fieldNames())
+        older = read_or_empty(self.spark, f"{self.root}/{LEGACY}/{table}", schema)
+        if older.inputFiles():
+            own = {"gen": F.lit(0), "epoch": F.lit(0), "bucket": self._bucket(layout) if table == "listings" else F.lit(0)}
+            found = found.unionByName(older.withColumns({p.name: own[p.name].cast("int") for p in parts}).select(*full.fieldNames()))
+        return found.where(layout.visible())
+
+    def read(self, table: str, layout: Layout | None = None) -> DataFrame:
+        found = self.rows(table, layout)
+        if table == "scores":
+            found = found.where(F.col("epoch") >= (layout or self.layout()).values.get("epoch", 0))
+        return found.select(*TABLES[table].fieldNames())
+
+    def _bucket(self, layout: Layout) -> Column:
+        return F.pmod(F.xxhash64(*KEYS), F.lit(layout.buckets)).cast("int")
+
+    def append(self, table: str, rows: DataFrame, folder: str | None = None, layout: Layout | None = None) -> None:
+        """Add rows to a table, or, of a given folder, to files that no read finds."""
         schema = TABLES[table]
         shaped = rows.select(*[
             (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in schema.fields])
-        shaped.write.mode("append").parquet(self._path(table, folder))
-
-    def _switch(self, tables: dict[str, DataFrame]) -> None:
-        """Write a new snapshot under a name of its own, then make it the current one.
-
-        What a failed attempt leaves behind is never named current and never added to.
-        """
-        number = self.snapshot()[0] + 1
-        folder = f"v{number:06d}-{uuid.uuid4().hex}"
-        for name, rows in tables.items():
-            self.append(name, rows, folder)
-        self.spark.createDataFrame([(number, folder)], VERSIONS).write.mode("append").parquet(f"{self.root}/versions")
+        if folder is not None:
+            return shaped.write.mode("append").parquet(f"{self.root}/{folder}/{table}")
+        layout = layout or self.layout()
+        shaped = shaped.withColumn("gen", F.lit(layout.version))
+        if table == "listings":
+            # One file for a folder, but as many as its size asks for.
+            inner = KEYS
+            shaped = shaped.withColumn("bucket", self._bucket(layout)).hint("rebalance", "platform_key", "bucket")
+        else:
+            inner = ["application_id", "created_at"] if table == "events" else ["job_id"]
+            shaped = shaped.withColumn("epoch", F.lit(layout.values.get("epoch", 0)).cast("int"))
+        # Sorted within each file, so that a look-up of one key skips row groups.
+        writer = shaped.sortWithinPartitions(*FOLDERS[table], *inner).write.mode("append").partitionBy(*FOLDERS[table])
+        for key in ("application_id",) if table == "events" else ():
+            writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
+        writer.parquet(f"{self.root}/{table}")
 
     def reset(self) -> None:
-        """Empty tables in a new snapshot; ids start at 1 again."""
-        self._switch({name: self.spark.createDataFrame([], schema) for name, schema in TABLES.items()})
+        """No rows from here on; ids start at 1 again."""
+        log_rows(self.spark, self.root, self.layout().version + 1, ("reset", None, None))
 
     # -- listings --------------------------------------------------------------------------
 
@@ -82,23 +115,39 @@ class ListingStore:
         ``arrival``; a batch without them must not repeat a key. A stored listing is left as it is. Doing the same batch twice changes nothing.
         """
         order = order or ([ARRIVAL] if ARRIVAL in batch.columns else [])
-        keys = ["platform_key", "job_id_on_platform"]
+        layout = self.layout()
         normal = normalize_listings(batch)
         unique = stored_form(first_wins(normal, order) if order else normal)
-        stored = self.read("listings").select("id", *keys)
-        # One join tells the known ones from the new ones.
-        unique = materialise(unique.drop("id").join(stored, keys, "left"), "batch")
-        known, fresh = unique.where("id is not null").select("id", *keys), unique.where("id is null").drop("id")
+        unique, seen = counted(unique.drop("id").withColumn("bucket", self._bucket(layout)), "batch",
+                               F.collect_set("platform_key").alias("platforms"), F.collect_set("bucket").alias("buckets"))
         if not order:
-            single_requests(unique, keys, ARRIVAL)
-        last = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+            single_requests(unique, KEYS, ARRIVAL)
+        stored = self.stored_keys(seen["platforms"], seen["buckets"], layout)
+        # The batch's keys are sent to the stored ones if they are the smaller side, which is then never shuffled.
+        known, found = counted(stored.join(unique.select(*KEYS), KEYS).select("id", *KEYS), "known")
+        fresh = unique.join(known.select(*KEYS), KEYS, "left_anti")
+        last = layout.values.get("listings")
+        if last is None:
+            last = self.rows("listings", layout).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         # Only the keys are sorted to get their numbers; the listings themselves are joined to them.
-        numbered = with_position(fresh.select(*keys), keys).select((F.col("pos") + 1 + F.lit(last)).alias("id"), *keys)
-        # Sorted within each file, so that a scan for one platform skips row groups.
-        rows = fresh.join(numbered, keys).sortWithinPartitions(*keys)
-        self.append("listings", rows.withColumns({"scraped_at": now, "created_at": now}))
+        numbered = with_position(fresh.select(*KEYS), KEYS).select((F.col("pos") + 1 + F.lit(last)).alias("id"), *KEYS)
+        if seen["n"] > found["n"]:
+            # Ids are taken before they are used: a run that fails leaves a gap, never two listings with one id.
+            log_rows(self.spark, self.root, layout.version, ("listings", None, last + seen["n"] - found["n"]), ("buckets", None, layout.buckets))
+            self.append("listings", fresh.drop("bucket").join(numbered, KEYS).withColumns({"scraped_at": now, "created_at": now}), layout=layout)
         return known.withColumn("is_new", F.lit(False)).unionByName(numbered.withColumn("is_new", F.lit(True)))
 
+    def stored_keys(self, platforms: list[str], buckets: list[int], layout: Layout | None = None) -> DataFrame:
+        """(id, keys) of the stored listings in the folders of these platforms and buckets; no list is longer than the store has folders or the batch platforms."""
+        stored = self.rows("listings", layout)
+        return stored.where(F.col("bucket").isin(sorted(buckets)) & F.col("platform_key").isin(sorted(platforms))).select("id", *KEYS)
+
+    def platforms_of(self, jobs: DataFrame) -> DataFrame:
+        """``jobs`` with the platform_key of their job_id, null where there is no such listing."""
+        wanted = jobs.select("job_id").distinct()
+        found = self.read("listings").select(F.col("id").alias("job_id"), "platform_key").join(wanted, "job_id")
+        return jobs.drop("platform_key").join(found, "job_id", "left")
+
     def apply_scores(self, scores: DataFrame, now: Column) -> None:
         """``job_id, match_score[, match_reasoning][, evaluation_details][, ordinal]``; the latest one counts.
 
@@ -106,7 +155,7 @@ class ListingStore:
         JSON object; without a reasoning, their ``reasoning`` is it, else the details as a whole.
         """
         names = scores.columns
-        details = F.col("evaluation_details" if "evaluation_details" in names else "match_reasoning")
+        details = next((F.col(c) for c in ("evaluation_details", "match_reasoning") if c in names), F.lit(None).cast("string"))
         if "evaluation_details" in names and scores.schema["evaluation_details"].dataType.typeName() in ("struct", "map"):
             details = F.to_json(details)
         told = blank_to_null(F.get_json_object(details, "$.reasoning"))
@@ -114,29 +163,60 @@ class ListingStore:
         if "ordinal" not in names:
             single_requests(scores, ["job_id"], "ordinal")
         ordinal = F.col("ordinal").cast("long") if "ordinal" in names else F.lit(0).cast("long")
-        call = (self.read("scores").agg(F.max("call")).first()[0] or 0) + 1
-        self.append("scores", scores.select("job_id", "match_score", F.coalesce(given, told, details).alias("match_reasoning"),
-                                            details.alias("evaluation_details"), ordinal.alias("ordinal")).withColumns(
-            {"scored_at": now, "call": F.lit(call)}))
+        layout = self.layout()
+        call = layout.values.get("scores", 0) + 1
+        log_rows(self.spark, self.root, layout.version, ("scores", None, call))
+        kept = scores if "platform_key" in names else self.platforms_of(scores)
+        self.append("scores", kept.select("job_id", "match_score", F.coalesce(given, told, details).alias("match_reasoning"),
+                                          details.alias("evaluation_details"), ordinal.alias("ordinal"), "platform_key").withColumns(
+            {"scored_at": now, "call": F.lit(call)}), layout=layout)
+
+    def state(self, layout: Layout | None = None) -> DataFrame:
+        """Merged state of every application: that of the last compaction and the events since."""
+        layout = layout or self.layout()
+        epoch = layout.values.get("epoch", 0)
+        tail = partial_state(self.rows("events", layout).where(F.col("epoch") >= epoch))
+        if not epoch:
+            return tail
+        schema = T.StructType([*tail.schema.fields, T.StructField("gen", T.IntegerType()), T.StructField("epoch", T.IntegerType())])
+        folded = read_or_empty(self.spark, f"{self.root}/state", schema).where(layout.visible() & (F.col("epoch") == epoch))
+        return merged_state(folded.select(*tail.columns).unionByName(tail))
 
     def applications(self) -> DataFrame:
-        return current_state(self.read("events")).withColumnRenamed("application_id", "id")
+        return state_values(self.state()).withColumnRenamed("application_id", "id")
+
+    def compact(self) -> int:
+        """Fold scores and events into one row per listing and application and begin the next epoch, whose number is returned.
+
+        The log of events stays as it is. What a failed attempt leaves behind belongs to an epoch that is not yet current; rows that are found twice there change nothing.
+        """
+        layout = self.layout()
+        epoch = layout.values.get("epoch", 0) + 1
+        latest = self.read("scores", layout).groupBy("job_id").agg(
+            F.max_by(F.struct(*SCORE_VALUES, *SCORE_ORDER, "platform_key"), F.struct(*SCORE_ORDER)).alias("__last")).select("job_id", "__last.*")
+        after = Layout(layout.version, layout.buckets, values={"epoch": epoch})
+        self.append("scores", latest, layout=after)
+        self.state(layout).withColumns({"gen": F.lit(layout.version), "epoch": F.lit(epoch)}).write.mode("append").partitionBy(
+            "gen", "epoch", "platform_key").parquet(f"{self.root}/state")
+        log_rows(self.spark, self.root, layout.version, ("epoch", None, epoch))
+        return epoch
 
     def listings(self) -> DataFrame:
         """Listings with their latest score and with the status that follows from both logs."""
-        base = self.read("listings")
-        scored = latest_rows(self.read("scores"), ["job_id"], ["scored_at", "call", "ordinal"],
-                             ["match_score", "match_reasoning", "evaluation_details"])
+        layout = self.layout()
+        base = self.read("listings", layout)
+        scored = latest_rows(self.read("scores", layout), ["job_id"], SCORE_ORDER, SCORE_VALUES)
         scored = scored.select(F.col("job_id").alias("id"), F.lit(True).alias("__scored"),
-                               *[F.col(c).alias(f"__{c}") for c in ("match_score", "match_reasoning", "evaluation_details")])
+                               *[F.col(c).alias(f"__{c}") for c in SCORE_VALUES])
         # The log does not keep a job from having two applications; the newest one counts.
-        staged = self.applications().groupBy(F.col("job_id").alias("id")).agg(F.max_by("status", "id").alias("status")).select(
+        applications = state_values(self.state(layout)).select(F.col("application_id").alias("app"), F.col("job_id").alias("id"), "status")
+        staged = applications.groupBy("id").agg(F.max_by("status", "app").alias("status")).select(
             "id", job_status(F.col("status")).alias("__stage"))
         joined = base.join(scored, "id", "left").join(staged, "id", "left")
         is_scored = F.coalesce("__scored", F.lit(False))
         return joined.withColumns({
             **{c: F.when(is_scored, F.col(f"__{c}")).otherwise(F.col(c))
-               for c in ("match_score", "match_reasoning", "evaluation_details")},
+               for c in SCORE_VALUES},
             "status": F.coalesce("__stage", F.when(is_scored, F.lit("evaluated")), "status"),
         }).select(*LISTINGS.fieldNames())
 
@@ -151,15 +231,12 @@ class ListingStore:
     # -- purge -----------------------------------------------------------------------------
 
     def purge(self, platforms: list[str] = DEPRECATED_PLATFORMS) -> int:
-        """Drop all listings of the given platforms with everything that refers to them."""
-        listings, events, scores = self.read("listings"), self.read("events"), self.read("scores")
-        apps = events.filter("kind = 'created'").select(F.col("application_id").alias("id"), "job_id")
-        kept = purge_cascade(listings, apps, events, is_deprecated(F.col("platform"), platforms))
-        count = kept.removed.count()
+        """Drop all listings of the given platforms with everything that refers to them.
+
+        All of it lies in the platforms' folders, which no later read opens; no file is written or copied.
+        """
+        layout, names = self.layout(), sorted({p.lower() for p in platforms})
+        count = self.rows("listings", layout).where(F.col("platform_key").isin(names)).count()
         if count:
-            gone = kept.removed.select(F.col("id").alias("job_id"))
-            self._switch({"listings": kept.listings, "events": kept.timeline,
-                          "scores": scores.join(gone, "job_id", "left_anti")})
+            log_rows(self.spark, self.root, layout.version + 1, ("purge", names, None))
         return count
-
-

@@ -49,7 +49,7 @@ class Tracker:
         kept = events.filter("kind = 'created'").select("job_id", "application_id").join(
             jobs.select("job_id").distinct(), "job_id", "left_semi")
         unique = top_n(jobs, ["job_id"], sorted(jobs.columns), 1)
-        fresh = self._numbered(without_application(unique, events), [F.col("job_id")])
+        fresh = self._numbered(self.store.platforms_of(without_application(unique, events)), [F.col("job_id")])
         fresh = fresh.withColumn("application_id", F.col("event_id"))
         known = kept.withColumn("is_new", F.lit(False))
         made = fresh.select("job_id", "application_id", F.lit(True).alias("is_new"))

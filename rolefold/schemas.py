@@ -34,6 +34,8 @@ SCORES = T.StructType([
     T.StructField("scored_at", T.TimestampType()),
     T.StructField("call", T.LongType()),
     T.StructField("ordinal", T.LongType()),
+    # The listing's platform: what refers to a listing is stored beside it, so that a purge finds it by its folder.
+    *_strings("platform_key"),
 ])
 
 # One append-only log: 'created', 'stage' and 'notes' events.
@@ -44,6 +46,7 @@ EVENTS = T.StructType([
     *_strings("kind", "stage", "note", "notes", "interview_text", "follow_up_text",
               "resume_json", "resume_html"),
     T.StructField("created_at", T.TimestampType()),
+    *_strings("platform_key"),
 ])
 
 APPLICATIONS = T.StructType([
