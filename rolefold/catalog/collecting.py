@@ -19,6 +19,7 @@ from ..sources.registry import collect_listings
 from ..sources.html import attribute, inner, joined_text, shown_text
 from ..session import run_dir
 from ..streaming.ingest import ingest_once, read_ingested, stream_files
+from ..streaming.stateful import ingest_distinct
 from .registry import query, s_collapse, s_html_text, s_strip, s_unescape, table
 
 FIRST_LINE = "split_part(text, chr(10), 1)"
@@ -487,3 +488,11 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ingested(spark, f"{target}/rows", stream.schema).select("text_key", "doc_id")
 
 
+@query("SELECT DISTINCT sha256(text) AS text_key, source FROM documents")
+def stream_dedup_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents file as a stream whose known (text, source) keys are keyed state."""
+    schema = table(spark, sf_dir, "documents").schema
+    stream = stream_files(spark, f"{sf_dir.rstrip('/')}/documents.parquet", schema).select(F.sha2("text", 256).alias("text_key"), "source")
+    target = run_dir(spark, "stream-state")
+    ingest_distinct(stream, ["text_key", "source"], f"{target}/rows", f"{target}/progress")
+    return spark.read.schema(stream.schema).parquet(f"{target}/rows")

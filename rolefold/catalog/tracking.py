@@ -21,7 +21,7 @@ from ..plans import board as boards, queues
 from ..plans.campaign import run_campaign
 from ..plans.store import ListingStore
 from ..plans.tracker import Tracker
-from ..session import run_dir
+from ..session import materialise, run_dir
 from ..sources.feeds import NESTED_SITE
 from ..streaming.ingest import append_events, live_board, stream_files
 from .collecting import _CARD_TITLE, _TEXT_ONE_LINE
@@ -453,6 +453,39 @@ def upsert_first_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read("listings").select("platform_key", "job_id_on_platform", "title", "description")
 
 
+@query("""
+SELECT doc_id, CASE WHEN toxic = 1 THEN 'Rejected' WHEN quality = 1 THEN 'Applied' ELSE 'Ready to Apply' END AS status,
+  CASE WHEN toxic = 1 THEN 5 ELSE quality * 100 END AS match_score FROM labels""")
+def compacted_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applications and scores of labelled documents, of which some change after the store was compacted."""
+    store, ids = _stored_documents(spark, sf_dir)
+    tracker, now = Tracker(store), F.lit("2026-01-02 00:00:00").cast("timestamp")
+    jobs = materialise(table(spark, sf_dir, "labels").join(ids, "doc_id").select(F.col("id").alias("job_id"), "doc_id", "quality", "toxic"), "labelled")
+    made = tracker.create(jobs.select("job_id"), now)
+    store.apply_scores(jobs.select("job_id", (F.col("quality") * 100).alias("match_score")), now)
+    moves = jobs.join(made, "job_id")
+    tracker.move(moves.where("quality = 1").select("application_id", F.lit("Applied").alias("stage")), now + F.expr("interval 1 day"))
+    store.compact()
+    tracker.move(moves.where("toxic = 1").select("application_id", F.lit("Rejected").alias("stage")), now + F.expr("interval 2 days"))
+    store.apply_scores(jobs.where("toxic = 1").select("job_id", F.lit(5).alias("match_score")), now + F.expr("interval 2 days"))
+    scored = store.listings().select(F.col("id").alias("job_id"), "match_score")
+    return store.applications().select("job_id", "status").join(scored, "job_id").join(jobs.select("job_id", "doc_id"), "job_id").select(
+        "doc_id", "status", "match_score")
+
+
+@query("""
+SELECT source AS platform, count(*) AS n, min(CASE WHEN source IN ('src3', 'src12') THEN 2 ELSE 1 END)::INTEGER AS least_visits
+FROM documents GROUP BY source""")
+def purged_and_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two platforms are purged and come back; the others' listings stay as they were."""
+    store, _ = _stored_documents(spark, sf_dir)
+    store.purge(["src3", "SRC12"])
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("platform"), F.col("lang").alias("company"), F.col("doc_id").cast("string").alias("url"))
+    store.upsert_listings(docs, F.lit("2026-01-03 00:00:00").cast("timestamp"))
+    visit = F.when(F.col("scraped_at") < F.lit("2026-01-02").cast("timestamp"), 1).otherwise(2)
+    return store.read("listings").groupBy("platform").agg(F.count(F.lit(1)).alias("n"), F.min(visit).alias("least_visits"))
+
+
 def _users_store(spark: SparkSession, sf_dir: str) -> tuple[Tracker, DataFrame]:
     """An application for each user, and the users' events with its id."""
     tracker = Tracker(ListingStore(spark, run_dir(spark, "users")))

@@ -25,7 +25,7 @@ FOLDERS = {"listings": ["gen", "platform_key", "bucket"], "scores": ["gen", "epo
 KEYS = ["platform_key", "job_id_on_platform"]
 SCORE_VALUES = ["match_score", "match_reasoning", "evaluation_details"]
 SCORE_ORDER = ["scored_at", "call", "ordinal"]
-BUCKETS = 8
+BUCKETS = 4
 LEGACY = "v000000"    # files of a store without folders
 
 
