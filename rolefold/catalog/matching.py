@@ -19,6 +19,7 @@ from ..operators.coverage import (
 from ..operators.resume_text import (
     experience_entries, person_name, pick_section, sections, skill_items, structure_resumes,
 )
+from ..operators.lexicon_join import lexicon_join as join_lexicon
 from ..operators.set_matching import best_listings
 from ..operators.tailoring import STYLE, relevant_skills, render_resume, tailor, top_bullets as pick_bullets
 from ..sources.resumes import json_resumes
@@ -107,6 +108,28 @@ def score_router_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_listings(table(spark, sf_dir, "documents", heavy=True), "doc_id", "text", profile)
 
 
+def _s_marked(x: str) -> str:
+    """Words with one blank around each, and a mark for whatever else parts them."""
+    return rf"' ' || trim(regexp_replace(regexp_replace({x}, '[^\p{{L}}\p{{N}}_{SPACE_RE[1:-1]}]+', ' ' || chr(1) || ' ', 'g'), '{SPACE_RE}+', ' ', 'g')) || ' '"
+
+
+@query(f"""
+WITH lexicon AS (SELECT 'item-' || item_id || '-' || n AS name, array_to_string(string_split(text, ' ')[1:n], ' ') AS form
+  FROM benchmark, (SELECT unnest([1, 2, 3]) AS n)),
+forms AS (SELECT name, {_s_marked(s_fold('form'))} AS form FROM lexicon),
+texts AS (SELECT doc_id, {_s_marked(s_fold('text'))} AS body FROM documents)
+SELECT doc_id, count(DISTINCT name) AS n, array_to_string(list_sort(list(DISTINCT name)), ' ') AS names
+FROM texts JOIN forms ON contains(body, form) WHERE NOT contains(form, chr(1)) GROUP BY doc_id""")
+def lexicon_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexicon is a table: the first one, two and three words of every benchmark item."""
+    words = F.split("text", " ")
+    lexicon = table(spark, sf_dir, "benchmark").select("item_id", words.alias("words"), F.explode(F.array(*[F.lit(n) for n in (1, 2, 3)])).alias("n")).select(
+        F.concat(F.lit("item-"), F.col("item_id").cast("string"), F.lit("-"), F.col("n").cast("string")).alias("name"),
+        F.array_join(F.slice("words", F.lit(1), F.col("n")), " ").alias("form"))
+    found = join_lexicon(table(spark, sf_dir, "documents", heavy=True).select("doc_id", "text"), lexicon, "doc_id")
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list("name")), " ").alias("names"))
+
+
 _PAIR_SKILLS = s_skills("lf", SKILL_LEXICON)
 
 
