@@ -30,7 +30,7 @@ MARKS = frozenset(".,;:!?|")
 WORD_END = "</w>"
 
 # Blanks of the tokenizer's patterns; letters and numbers newer than Unicode 16, which its patterns do not know; letters
-# whose lower case is newer than Unicode 15 (first, last, distance).
+# whose lower case is newer than Unicode 15 (first, last, distance); combining marks that its normaliser does not know and so never moves.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 NEW_LETTERS = (
     "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 "
@@ -40,16 +40,25 @@ NEW_LETTERS = (
     "2CEA2-2CEAD 323B0-33479 3D000-3FC3F "
 )
 NEW_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
+NEW_MARKS = (
+    "7FD 898-89F 8CA-8D3 9FE C3C D3B-D3C EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50 "
+    "10F82-10F85 11070 1133B 1145E 11839-1183A 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 "
+    "16FF0-16FF1 1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"
+)
 NEW_LOWER = (
     (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, -0xA567), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1),
     (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, -0xA641), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B),
 )
 
 
+def _spans(listed: str) -> str:
+    """The inside of a character class from listed code points and ranges."""
+    return "".join("-".join(f"\\U{int(x, 16):08x}" for x in span.split("-")) for span in listed.split())
+
+
 def _without(category: str, newer: str) -> str:
     """A category without the code points that a tokenizer of the time does not know."""
-    spans = "".join("-".join(f"\\U{int(x, 16):08x}" for x in span.split("-")) for span in newer.split())
-    return f"[{category}--[{spans}]]"
+    return f"[{category}--[{_spans(newer)}]]"
 
 
 def _lower_table() -> dict[int, int]:
@@ -87,6 +96,7 @@ class WordBpe:
         self.lower = _lower_table()
         self.unlike = re.compile("[" + "".join(map(chr, self.lower)) + "]")
         self.words = re.compile(f"[^{SPACE}]+")
+        self.marks = re.compile(f"([{_spans(NEW_MARKS)}])")
         pairs = sorted((a << 32 | b, rank, new) for (a, b), (rank, new) in self.merges.items())
         self.pair_keys, self.pair_ranks, ranked = (np.array(x, np.int64) for x in zip(*pairs))
         self.merged = np.empty(len(pairs) + 1, np.int64)
@@ -100,7 +110,8 @@ class WordBpe:
         """Normalised pieces of a text without special tokens."""
         text = word
         if not word.isascii():
-            text = unicodedata.normalize("NFC", word)
+            # A mark that the tokenizer does not know stays where it is, and nothing moves across it.
+            text = "".join([unicodedata.normalize("NFC", part) for part in self.marks.split(word)])
             text = text.translate(self.lower) if self.unlike.search(text) else text
         text = text.lower()
         # Letters make one piece, and one mark after them makes another.
