@@ -7,6 +7,8 @@ reported only if an interval join within their scope finds a part that completes
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SCOPE = 200     # characters between two parts that may belong together
@@ -21,9 +23,10 @@ KINDS = (
     ("endpoint", r"""https?://[^\x00-\x20"'<>]+""", 0, 0),
 )
 BASE = 3
-IDENTIFIERS, SECRETS = (1, 3), (0, 2, 4)
-#: Kinds of which one completes a weak kind.
-COMPLETED_BY = {3: SECRETS, 4: (*IDENTIFIERS, 5), 5: SECRETS}
+#: For each weak kind, the sets of kinds that complete it: a part of the base of another role, or weak parts of both other roles.
+COMPLETED_BY = {3: ((0,), (2,), (4, 5)), 4: ((1,), (3, 5)), 5: ((0,), (1,), (2,), (3, 4))}
+#: For each weak kind, the kinds that it yields to where it overlaps them.
+YIELDS_TO = {3: (0, 1, 2), 5: (0, 1, 2, 3), 4: (0, 1, 2, 3, 5)}
 
 
 def _matches(text: Column, kind: int) -> Column:
@@ -49,27 +52,41 @@ def credential_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def linked_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """The base parts, and the weak parts that a complementary one completes.
+    """The base parts, and the weak parts that complementary ones complete.
 
-    Two parts belong together if at most ``scope`` characters lie between them. Of all parts before a part, that with the farthest end
-    is the nearest, and of those after it, that with the first start; so running extremes find a partner without pairing parts. A weak
-    part that overlaps a base part is that part again and is not reported.
+    Two parts belong together if they do not overlap and at most ``scope`` characters lie between them. A weak part needs a part of the base that has
+    another role beside it; two weak parts need a third, so that all three roles are there. Each part is two points, its start and its end: the
+    nearest part before it has the last end up to its start, the nearest after it the first start from its end on, so running extremes over the
+    points find partners without pairing parts. A weak part that overlaps a base part, or a weak one that comes before it in ``YIELDS_TO``, is that part
+    again: it is neither reported nor a partner, so one string never completes itself.
     """
-    document = Window.partitionBy("doc_id", "text_hash").orderBy("start", "kind", "end")
-    before, after = document.rowsBetween(Window.unboundedPreceding, -1), document.rowsBetween(1, Window.unboundedFollowing)
-
-    def near(kinds: tuple[int, ...], distance: int) -> Column:
-        among = F.col("kind").isin(*kinds)
-        last = F.max(F.when(among, F.col("end"))).over(before)
-        next_ = F.min(F.when(among, F.col("start"))).over(after)
-        return F.coalesce(F.col("start") - last <= distance, F.lit(False)) | F.coalesce(next_ - F.col("end") <= distance, F.lit(False))
-
-    again = near(tuple(range(BASE)), -1)
-    partner = F.lit(False)
-    for kind, kinds in COMPLETED_BY.items():
-        partner = F.when(F.col("kind") == kind, near(kinds, scope)).otherwise(partner)
-    return parts.withColumn("again", again).withColumn("partner", partner).where(
-        (F.col("kind") < BASE) | (F.col("partner") & ~F.col("again"))).drop("again", "partner")
+    document = Window.partitionBy("doc_id", "text_hash")
+    by_start = document.orderBy("start", "kind", "end")
+    again = F.lit(False)
+    for kind, kinds in YIELDS_TO.items():
+        last_end = F.max(F.when(F.col("kind").isin(*kinds), F.col("end"))).over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+        next_start = F.min(F.when(F.col("kind").isin(*kinds), F.col("start"))).over(by_start.rowsBetween(1, Window.unboundedFollowing))
+        over = F.coalesce(last_end > F.col("start"), F.lit(False)) | F.coalesce(next_start < F.col("end"), F.lit(False))
+        again = F.when(F.col("kind") == kind, over).otherwise(again)
+    points = parts.withColumn("again", again).where("not again").withColumn("point", F.explode(F.array(
+        F.struct(F.col("start").alias("at"), F.lit(True).alias("opens")), F.struct(F.col("end").alias("at"), F.lit(False).alias("opens")))))
+    at, opens = F.col("point.at"), F.col("point.opens")
+    until = document.orderBy(at).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    since = document.orderBy(at).rangeBetween(Window.currentRow, Window.unboundedFollowing)
+
+    def near(kind: int) -> Column:
+        before = at - F.max(F.when(~opens & (F.col("kind") == kind), at)).over(until) <= scope
+        after = F.min(F.when(opens & (F.col("kind") == kind), at)).over(since) - at <= scope
+        return F.coalesce(F.when(opens, before).otherwise(after), F.lit(False))
+
+    kinds = sorted({k for sets in COMPLETED_BY.values() for kinds in sets for k in kinds})
+    seen = points.select("doc_id", "text_hash", "kind", "start", "end", *[near(k).alias(f"near_{k}") for k in kinds])
+    whole = seen.groupBy("doc_id", "text_hash", "kind", "start", "end").agg(*[F.max(f"near_{k}").alias(f"near_{k}") for k in kinds])
+    complete = F.lit(False)
+    for kind, sets in COMPLETED_BY.items():
+        one = reduce(Column.__or__, [reduce(Column.__and__, [F.col(f"near_{k}") for k in kinds]) for kinds in sets])
+        complete = F.when(F.col("kind") == kind, one).otherwise(complete)
+    return whole.where((F.col("kind") < BASE) | complete).select("doc_id", "text_hash", "kind", "start", "end")
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -43,6 +43,28 @@ def base_spans(text):
     return sorted(found)
 
 
+NAMES = ("assign", "access", "hex", "account", "key", "endpoint")
+WEAK = (
+    (3, r"""(?i)\b(?:access_?key_?id|client_?id|account|user(?:name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}"""),
+    (4, r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{32,}"),
+    (5, r"""https?://[^\x00-\x20"'<>]+"""))
+ROLE = (1, 0, 1, 0, 1, 2)      # identifiers, secrets, endpoints
+
+
+def linked_spans(text, scope=200):
+    """kind:start:end of base parts, and of weak ones beside a base part of another role or beside weak parts of both others, by all pairs."""
+    found = base_spans(text)
+    found += [(m.start(), k, m.end()) for k, pattern in WEAK for m in re.finditer(pattern, text or "", re.A)]
+    place = (0, 0, 0, 1, 3, 2)      # a weak part yields to overlapping ones of an earlier place
+    found = [(a, k, z) for a, k, z in found if k < 3 or not any(place[n] < place[k] and b < z and a < y for b, n, y in found)]
+    stay = []
+    for a, k, z in sorted(found):
+        near = [n for b, n, y in found if (0 <= a - y <= scope or 0 <= b - z <= scope) and ROLE[n] != ROLE[k]]
+        if k < 3 or min(near, default=9) < 3 or len({ROLE[n] for n in near}) == 2:
+            stay.append(f"{NAMES[k]}:{a}:{z}")
+    return ",".join(stay)
+
+
 def measures(text):
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)."""
     found = words(text)
