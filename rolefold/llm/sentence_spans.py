@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import materialise
 
 LEAST_SENTENCES, LEAST_WORDS = 2, 20
-_FACTOR = 0x9E3779B97F4A7C15
+_FACTORS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 #: A sentence ends with the blanks after a full stop, question or exclamation mark, or with a line.
 _SENTENCE = regex.compile(r"[^.!?\n]*(?:[.!?](?![\x20\x09-\x0D])[^.!?\n]*)*(?:[.!?][\x20\x09-\x0D]*|\n[\x20\x09-\x0D]*|$)")
 
@@ -28,25 +28,27 @@ def sentences(text: str | None) -> list[str]:
     return [s for s in _SENTENCE.findall(text or "") if s]
 
 
-def span_runs(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first piece and length in pieces of each run; pieces without words belong to a run but begin none."""
+def span_runs(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Both halves of the 128-bit hash, first piece and length in pieces of each run; pieces without words belong to a run but begin none."""
     parts = [p.encode("utf-8", "surrogatepass").split() for p in pieces]
     n_words = np.fromiter(map(len, parts), np.int64, len(parts))
     real = np.flatnonzero(n_words)
-    hashes = np.array([xxhash.xxh3_64_intdigest(b" ".join(parts[i])) for i in real], np.uint64)
+    hashes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(parts[i])) for i in real), np.uint64).reshape(-1, 2)
     total = np.concatenate([[0], np.cumsum(n_words[real])])
     at = np.arange(len(real))
     until = np.maximum(np.searchsorted(total, total[:-1] + LEAST_WORDS), at + LEAST_SENTENCES)
     since = np.minimum(np.searchsorted(total, total[1:] - LEAST_WORDS, "right") - 1, at + 1 - LEAST_SENTENCES)
     both = np.unique(np.concatenate([(at * (len(real) + 1) + until)[until <= len(real)], (since * (len(real) + 1) + at + 1)[since >= 0]]))
     at, last = both // (len(real) + 1), both % (len(real) + 1)
+    runs = []
     with np.errstate(over="ignore"):
-        powers = np.cumprod(np.full(len(real), _FACTOR, np.uint64))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers, dtype=np.uint64)])
-        inverse = np.cumprod(np.full(len(real), pow(_FACTOR, -1, 2**64), np.uint64))
-        run = (sums[last] - sums[at]) * (inverse[at] if len(at) else np.empty(0, np.uint64)) + (last - at).astype(np.uint64)
+        for half, factor in zip(hashes.T, _FACTORS):
+            powers = np.cumprod(np.full(len(real), factor, np.uint64))
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(half * powers, dtype=np.uint64)])
+            inverse = np.cumprod(np.full(len(real), pow(factor, -1, 2**64), np.uint64))
+            runs.append(((sums[last] - sums[at]) * (inverse[at] if len(at) else np.empty(0, np.uint64)) + (last - at).astype(np.uint64)).view(np.int64))
     first = real[at]
-    return run.view(np.int64), first, real[last - 1] - first + 1
+    return *runs, first, real[last - 1] - first + 1
 
 
 def _run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,10 +57,11 @@ def _run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, 512)
             found = [span_runs(sentences(x.as_py())) for x in part.column("text")]
             rows = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-            run, first, size = (np.concatenate([f[k] for f in found]) for k in range(3))
+            run, run_too, first, size = (np.concatenate([f[k] for f in found]) for k in range(4))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").take(rows), part.column("text_key").take(rows), pa.array(run, pa.int64()), pa.array(first, pa.int32()),
-                 pa.array(size, pa.int32())], ["doc_id", "text_key", "run", "at", "size"])
+                [part.column("doc_id").take(rows), part.column("text_key").take(rows), pa.array(run, pa.int64()),
+                 pa.array(run_too, pa.int64()), pa.array(first, pa.int32()), pa.array(size, pa.int32())],
+                ["doc_id", "text_key", "run", "run_too", "at", "size"])
 
 
 def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,15 +93,15 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     order of ids; documents with one id come in the order of a hash of their texts; rows equal in id and text are one document and have the same result. Other
     columns are ignored, and an empty table gives no rows.
     """
-    named = docs.select(F.col(id_col).alias("doc_id"), F.hash(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    named = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     kind = named.schema["doc_id"].dataType.simpleString()
-    runs = named.mapInArrow(_run_batches, f"doc_id {kind}, text_key int, run long, at int, size int")
+    runs = named.mapInArrow(_run_batches, f"doc_id {kind}, text_key long, run long, run_too long, at int, size int")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "at")
     # Partial sums come first, so a passage that a third of all documents share is one row per task here. They are written, as adaptive execution
     # only splits such a passage's rows in a join whose sides are both plain shuffles.
     first = materialise(
-        runs.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("run", "first"), "repeated-runs")
-    again = runs.join(first, "run").where(place != F.col("first"))
+        runs.groupBy("run", "run_too").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("run", "run_too", "first"), "repeated-runs")
+    again = runs.join(first, ["run", "run_too"]).where(place != F.col("first"))
     spans = again.groupBy(F.col("doc_id").alias("cut_id"), F.col("text_key").alias("cut_key")).agg(F.collect_set(F.struct("at", "size")).alias("spans"))
     whole = named.join(spans, named["doc_id"].eqNullSafe(spans["cut_id"]) & (named["text_key"] == spans["cut_key"]), "left")
     return whole.select("doc_id", "text", "spans").mapInArrow(
