@@ -141,7 +141,7 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch], kind) -> Iterator[pa.Reco
     again = (rank[owner[order]] != rank[owner[head]]) | (at[order] != at[head])
     gone, firsts = order[again], order[new]
     start, end, of = _merged(at[gone] - left[gone], at[gone] + right[gone], owner[gone])
-    doc_ids, text_keys = pa.array(ids, kind), pa.array(keys, pa.int32())
+    doc_ids, text_keys = pa.array(ids, kind), pa.array(keys, pa.int64())
 
     def rows(anchor, context, owner, at, before, after):
         who = pa.array(owner)
@@ -404,22 +404,22 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hash of their texts; rows equal in id and text are one document and have the same result. Other columns are ignored, and an empty table
     gives no rows. Strings count as equal if two 64-bit hashes of them or of their surroundings are; within an index bytes are compared.
     """
-    named = docs.select(F.col(id_col).alias("doc_id"), F.hash(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    named = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     kind = named.schema["doc_id"].dataType.simpleString()
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind)
     order = [F.col("doc_id").isNull(), "doc_id", "text_key"]
-    span = f"doc_id {kind}, text_key int, start int, end int"
+    span = f"doc_id {kind}, text_key long, start int, end int"
     found = named.mapInArrow(
-        lambda batches: _anchor_batches(batches, arrow), f"anchor long, context long, doc_id {kind}, text_key int, at int, before int, after int")
+        lambda batches: _anchor_batches(batches, arrow), f"anchor long, context long, doc_id {kind}, text_key long, at int, before int, after int")
     spans = materialise(found.repartition("anchor").sortWithinPartitions("anchor", "context", *order, "at").mapInArrow(
         _resolve_batches, f"anchor long, {span}"), "byte-spans")
     removed, compare = spans.where("anchor is null").drop("anchor"), spans.where("anchor is not null")
     hot = materialise(compare.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_CLASSES).select("anchor"), "hot-anchors")
     contexts = _joined(named, compare, "wanted", "anchor", "start", "end").select("doc_id", "text_key", "text", "wanted").mapInArrow(
-        _context_batches, f"anchor long, doc_id {kind}, text_key int, start int, context binary")
+        _context_batches, f"anchor long, doc_id {kind}, text_key long, start int, context binary")
     if not hot.isEmpty():
         strings = contexts.join(hot, "anchor", "left_semi").mapInArrow(
-            _string_batches, f"anchor long, string long, doc_id {kind}, text_key int, start int")
+            _string_batches, f"anchor long, string long, doc_id {kind}, text_key long, start int")
         place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "start")
         first = strings.groupBy("anchor", "string").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select(
             "anchor", "string", "first")
