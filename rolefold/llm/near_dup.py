@@ -11,14 +11,15 @@ compared in chunks, and all its documents with its most central ones, so no task
 
 Candidates are confirmed on full sets. As only components are asked for, a document's most promising edge is confirmed
 first, and of the others only those between different components. Nodes of which the first round took a part of the pairs, and all crowds,
-are then gone through again with the components found: of each such node all pairs between different components become candidates, so none is
-lost. A node within one component has no such pair. Where up to ``SMALL`` documents are outside a node's largest component, they are compared
-with all others; other nodes branch on, and at the last depth they are compared whole, in cells of two chunks.
+are then gone through again with the components found: of each such node all pairs between different components are compared, so none is
+lost. A node within one component has no such pair. Where at most ``CHUNK`` documents are outside a node's largest component, they meet all
+others; other nodes branch on, and at the last depth they are compared whole, in cells of two chunks. Each document goes to a cell with its full set,
+once for all its pairs there, and a cell sends no more links than connect its components.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -39,9 +40,8 @@ PIVOTS, NEAREST = 4, 3
 CROWD = 0.5            # share of a node that goes on together in a crowd
 CENTRES = 8            # central documents of a crowd that all others are compared with
 WORDS_CACHED = 400_000
-MEMBER_BYTES = 5       # of each shingle hash when two sets are compared
+CHUNK_SHINGLES = 2_000_000    # of the documents of a chunk that come with their full sets
 BROADCAST_KEYS = 1_000_000
-PAIRS_SENT = 50_000    # pairs in one batch
 
 
 class _WordHashes(dict):
@@ -105,7 +105,7 @@ def _member_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[p
             sets = [shingles(x.as_py(), width, hashes) for x in batch.column("text").slice(at, 512)]
             yield pa.RecordBatch.from_arrays([
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                pa.array([s.view(np.uint8).reshape(-1, 8)[:, :MEMBER_BYTES].tobytes() for s in sets], pa.binary())], ["set_key", "members"])
+                pa.array([s.tobytes() for s in sets], pa.binary())], ["set_key", "members"])
 
 
 def sketch_documents(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,11 +114,13 @@ def sketch_documents(docs: DataFrame, width: int, id_col: str = "doc_id", text_c
     kind = named.schema["doc_id"].dataType.simpleString()
     return materialise(named.mapInArrow(
         lambda batches: _sketch_batches(batches, width),
-        f"doc_id {kind}, row_key long, n_shingles long, set_key binary, sketch binary"), "sketches")
+        f"doc_id {kind}, row_key binary, n_shingles long, set_key binary, sketch binary"), "sketches")
 
 
 def row_key(id_: Column, text: Column) -> Column:
-    return F.xxhash64(id_, text)
+    """128-bit digest of id and text; null ids and texts differ from all others."""
+    told = [F.when(c.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.octet_length(c.cast("string")), F.lit(":"), c.cast("string"))) for c in (id_, text)]
+    return F.unhex(F.md5(F.concat(*told)))
 
 
 def _branch(rows: DataFrame, threshold: float) -> DataFrame:
@@ -204,37 +206,66 @@ def _compare_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[
             pa.array([*[None] * n, *of, *parts], pa.int64())], ["a", "b", "score", "pivot_of"])
 
 
-def _cross_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """All pairs (a, b) above ``least`` with different labels, of cells (node, cell): between their sides, or within the only side."""
+def _links(sets: list[np.ndarray], labels: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs out of (i, j), in the order of i, that are similar enough: enough of them to connect all labels that such pairs connect."""
+    sizes = np.array([len(s) for s in sets])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    numbers = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    marked = np.zeros(len(numbers), bool)
+    group = np.arange(int(labels.max()) + 1)
+    out = []
+    bounds = np.flatnonzero(np.diff(i, prepend=-1, append=-1))
+    for a, z in zip(bounds[:-1], bounds[1:]):
+        x, others = i[a], j[a:z]
+        others = others[group[labels[others]] != group[labels[x]]]
+        own = numbers[starts[x]:starts[x + 1]]
+        marked[own] = True
+        for part in np.array_split(others, len(others) // 512 + 1):
+            if len(part):
+                ends = np.cumsum(sizes[part])
+                at = np.arange(ends[-1]) + np.repeat(starts[part] - ends + sizes[part], sizes[part])
+                both = np.add.reduceat(marked[numbers[at]].astype(np.int64), ends - sizes[part])
+                for y in part[100 * both >= percent * (sizes[x] + sizes[part] - both)]:
+                    if group[labels[y]] != group[labels[x]]:
+                        group[group == group[labels[y]]] = group[labels[x]]
+                        out.append((int(x), int(y)))
+        marked[own] = False
+    return out
+
+
+def _cross_batches(batches: Iterator[pa.RecordBatch], least: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) between documents with different labels, of cells (node, cell): between their sides, or within the only side."""
     for table, bounds in whole_groups(batches, ["node", "cell"]):
-        keys = table.column("set_key").combine_chunks()
+        keys, members = (table.column(c).combine_chunks() for c in ("set_key", "members"))
         sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, COORDINATES)
         labels = table.column("label").combine_chunks().dictionary_encode()
         labels = (labels.combine_chunks() if isinstance(labels, pa.ChunkedArray) else labels).indices.to_numpy()
-        side = table.column("side").to_numpy()
+        side, sizes = table.column("side").to_numpy(), table.column("n_shingles").to_numpy()
         for start, end in zip(bounds[:-1], bounds[1:]):
             left, right = (start + np.flatnonzero(side[start:end] == x) for x in (0, 1))
             if not len(left) or len(left) < 2 and not len(right):
                 continue
             if within := not len(right):
                 right = left
-            hit = (_agreements(sketches[left], sketches[right]) >= least) & (labels[left][:, None] != labels[right][None, :])
+            x, y = sizes[left][:, None], sizes[right][None, :]
+            hit = (labels[left][:, None] != labels[right][None, :]) & (100 * x >= percent * y) & (100 * y >= percent * x)
+            if not hit.any():
+                continue
+            hit &= _agreements(sketches[left], sketches[right]) >= least
             i, j = np.nonzero(np.triu(hit) if within else hit)
-            for at in range(0, len(i), PAIRS_SENT):
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(left[i[at:at + PAIRS_SENT]])).cast(pa.binary()),
-                                                  keys.take(pa.array(right[j[at:at + PAIRS_SENT]])).cast(pa.binary())], ["a", "b"])
+            if len(i):
+                used, at = np.unique(np.concatenate([left[i], right[j]]), return_inverse=True)
+                sets = [np.frombuffer(members[int(k)].as_py(), np.uint64) for k in used]
+                told = np.unique(labels[used], return_inverse=True)[1]
+                found = used[np.array(_links(sets, told, at[:len(i)], at[len(i):], percent), np.int64).reshape(-1, 2)]
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(found[:, k])).cast(pa.binary()) for k in (0, 1)], ["a", "b"])
 
 
 def _confirm_batches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    def numbers(data: bytes) -> np.ndarray:
-        wide = np.zeros((len(data) // MEMBER_BYTES, 8), np.uint8)
-        wide[:, :MEMBER_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, MEMBER_BYTES)
-        return np.unique(wide.view(np.uint64).ravel())
-
     for batch in batches:
         linked = []
         for left, right in zip(batch.column("left"), batch.column("right")):
-            x, y = numbers(left.as_py()), numbers(right.as_py())
+            x, y = (np.frombuffer(side.as_py(), np.uint64) for side in (left, right))
             both = len(np.intersect1d(x, y, assume_unique=True))
             linked.append(100 * both >= percent * (len(x) + len(y) - both))
         yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
@@ -305,12 +336,12 @@ def _candidates(sets: DataFrame, percent: int, trees: int) -> tuple[DataFrame, D
 
 
 def _cells(rows: DataFrame) -> DataFrame:
-    """Rows (set_key, node, label, cell, side) of the blocks of a node that are compared, from rows (set_key, node, label, top, n_top, rest).
+    """Rows (set_key, node, label, cell, side) of the blocks of a node that are compared, from rows (set_key, node, label, top, r, c).
 
-    Documents with the node's most frequent label ``top`` have equal labels, so only the ``rest`` meets them and itself. Both are cut
-    into blocks, and each two blocks are a cell.
+    Documents with the node's most frequent label ``top`` have equal labels, so only the rest meets them and itself. Both are cut
+    into blocks, ``c`` and ``r`` many, and each two blocks are a cell.
     """
-    r, c = (F.ceil(F.col(x) / CHUNK).cast("long") for x in ("rest", "n_top"))
+    r, c = F.col("r"), F.col("c")
     own = lambda blocks: F.pmod(F.xxhash64("set_key", "node"), blocks)
     numbers = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     cell = lambda at, side: F.struct(at.alias("cell"), side.cast("int").alias("side"))
@@ -321,30 +352,33 @@ def _cells(rows: DataFrame) -> DataFrame:
     return rows.select("set_key", "node", "label", F.explode(every).alias("at")).select("set_key", "node", "label", "at.cell", "at.side")
 
 
-def _apart(again: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Rows (a, b), a < b: all pairs of the nodes ``again`` above the sketch bound that lie in different components of ``found``.
+def _apart(again: DataFrame, sets: DataFrame, found: DataFrame, percent: int, members_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) that connect different components of ``found`` within the nodes ``again``; all pairs above the sketch bound count.
 
-    Nodes within one component are dropped, as no pair of theirs can join anything.
+    Nodes within one component are dropped, as no pair of theirs can join anything. ``members_of`` gives the full sets of rows (set_key).
     """
-    marked = materialise(sets.select("set_key", "sketch").join(found.select(F.col("node").alias("set_key"), "root"), "set_key", "left").select(
-        "set_key", "sketch", F.coalesce("root", "set_key").alias("label")), "marked")
-    rows, cells = again, []
+    marked = materialise(sets.select("set_key", "sketch", "n_shingles").join(found.select(F.col("node").alias("set_key"), "root"), "set_key", "left").select(
+        "set_key", "sketch", "n_shingles", F.coalesce("root", "set_key").alias("label")), "marked")
+    rows, cells = again.join(marked.select("set_key", "n_shingles", "label"), "set_key"), []
+    blocks = lambda n, size: F.ceil(F.greatest(F.expr(n) / CHUNK, F.expr(size) / CHUNK_SHINGLES)).cast("long")
     while True:
-        labelled = materialise(rows.join(marked.select("set_key", "label"), "set_key"), "labelled")
-        nodes = labelled.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(
-            F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most")).where("n > most.n")
-        nodes = materialise(nodes.select("node", F.col("most.label").alias("top"), F.col("most.n").alias("n_top"), F.expr("n - most.n").alias("rest")), "mixed")
+        labelled = materialise(rows, "labelled")
+        nodes = labelled.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size")).groupBy("node").agg(
+            F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "label", "size")).alias("most")).where("n > most.n")
+        nodes = materialise(nodes.select("node", F.col("most.label").alias("top"), F.expr("n - most.n").alias("rest"),
+                                         blocks("n - most.n", "size - most.size").alias("r"), blocks("most.n", "most.size").alias("c")), "mixed")
         mixed = materialise(labelled.join(nodes, "node"), "mixed-paths")
-        on = (F.col("rest") > SMALL) & (F.col("depth") < LAST_DEPTH)
+        on = (F.col("rest") > CHUNK) & (F.col("depth") < LAST_DEPTH)
         cells.append(materialise(_cells(mixed.where(~on)), "cells"))
         if mixed.where(on).isEmpty():
             break
-        rows = _branch(mixed.where(on).select("set_key", "node", "depth").join(marked.select("set_key", "sketch"), "set_key"), percent / 100).select(
-            "set_key", "node", (F.col("depth") + 1).alias("depth"))
+        rows = _branch(mixed.where(on).join(marked.select("set_key", "sketch"), "set_key"), percent / 100).select(
+            "set_key", "node", (F.col("depth") + 1).alias("depth"), "n_shingles", "label")
     cells = reduce(DataFrame.union, cells)
-    pairs = cells.join(marked.select("set_key", "sketch"), "set_key").repartition("node", "cell").sortWithinPartitions("node", "cell").select(
-        "node", "cell", "side", "set_key", "label", "sketch").mapInArrow(lambda batches: _cross_batches(batches, _least(percent / 100)), "a binary, b binary")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    whole = marked.select("set_key", "sketch", "n_shingles").join(members_of(cells.select("set_key").distinct()), "set_key")
+    return materialise(cells.join(whole, "set_key").repartition("node", "cell").sortWithinPartitions("node", "cell").select(
+        "node", "cell", "side", "set_key", "label", "sketch", "n_shingles", "members").mapInArrow(
+            lambda batches: _cross_batches(batches, _least(percent / 100), percent), "a binary, b binary"), "apart")
 
 
 def _members(docs: DataFrame, keys: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -373,7 +407,7 @@ def near_components(docs: DataFrame, width: int = 3, percent: int = 85, trees: i
     """
     rows = sketch_documents(docs, width, id_col, text_col)
     sets = materialise(rows.where("n_shingles > 0").groupBy("set_key").agg(
-        F.min("doc_id").alias("first_id"), F.min("row_key").alias("row_key"), F.first("sketch").alias("sketch")), "sets")
+        F.min("doc_id").alias("first_id"), F.min("row_key").alias("row_key"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles")), "sets")
     edges, again = _candidates(sets, percent, trees)
     ends = edges.select(F.explode(F.array("a", "b")).alias("end"), F.struct("score", "a", "b").alias("edge"))
     keys = materialise(ends.select(F.col("end").alias("set_key")).distinct().join(sets.select("set_key", "row_key"), "set_key").select("set_key", "row_key"), "keys")
@@ -387,11 +421,13 @@ def near_components(docs: DataFrame, width: int = 3, percent: int = 85, trees: i
     more = _confirmed(apart, members, percent)
     found = components(links.union(more))
     if not again.isEmpty():
-        pairs = materialise(_apart(again, sets, found, percent).join(edges, ["a", "b"], "left_anti"), "apart")
-        if not pairs.isEmpty():
-            others = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct().join(keys, "set_key", "left_anti")
-            others = materialise(others.join(sets.select("set_key", "row_key"), "set_key").select("row_key"), "keys")
-            late = _confirmed(pairs, members.union(_members(docs, others, width, id_col, text_col)), percent)
+        def members_of(wanted: DataFrame) -> DataFrame:
+            others = wanted.join(keys, "set_key", "left_anti").join(sets.select("set_key", "row_key"), "set_key").select("row_key")
+            late = _members(docs, materialise(others, "keys"), width, id_col, text_col)
+            return members.union(late).join(wanted, "set_key", "left_semi")
+
+        late = _apart(again, sets, found, percent, members_of)
+        if not late.isEmpty():
             found = components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).union(late))
     found = found.select(F.col("node").alias("set_key"), "root")
     roots = sets.select("set_key", "first_id").join(found, "set_key", "left").select(
