@@ -5,7 +5,7 @@ A byte goes if a string of ``LENGTH`` bytes over it also starts earlier. Two equ
 
 1. In a task, and then among tasks, occurrences of an anchor with the same context (all bytes that a string with that anchor can
    have) are one class. Of each class only the first occurrence keeps its strings; the others are removed at once. Each task sends one
-   row per class at most, so a passage in a third of all documents is one row per task.
+   row per class and million classes at most, so a passage in a third of all documents is a row or a few per task.
 2. The first occurrences of classes that share an anchor differ somewhere. Their contexts, a small and very repetitive part of the corpus, get a
    run-length index: the Burrows-Wheeler transform as runs, each with the earliest place of the strings at its rows as sample. Streaming each
    context through it from its end, one step per byte, gives for each of its strings whether an earlier one is equal.
@@ -27,7 +27,8 @@ from .groups import group_bounds, whole_groups
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM              # bytes of a string before or after its anchor at most
 PIECE = 1 << 20                    # bytes of text hashed at once
-INDEX_BYTES = 2 << 20              # context bytes of one index
+FRESH, KEPT = 1 << 19, 1 << 20     # anchors compared at once at least, and first occurrences that a task holds before it sends them
+INDEX_BYTES = 256 << 10            # context bytes of one index; an anchor's contexts stay together
 HOT_CLASSES = 20_000               # classes of an anchor that are indexed; more are compared by hash
 _BASE = 0x9E3779B97F4A7C15
 _HASH_BITS = np.uint64(0xFFFFFF0000000000)
@@ -117,44 +118,80 @@ def _merged(start: np.ndarray, end: np.ndarray, owner: np.ndarray) -> tuple[np.n
     return start[first], (np.append(reach[first[1:] - 1], reach[-1]) - shift[first]), owner[first]
 
 
+class _Classes:
+    """First occurrences of the classes met so far in a task, and the bytes of later ones.
+
+    Holds ``KEPT`` first occurrences and as many rows not yet compared at most, whatever the size of the task's partition; a class met
+    again after they were sent has another row.
+    """
+
+    def __init__(self, kind):
+        self.kind, self.ids, self.keys, self.fresh, self.n_fresh = kind, [], [], [], 0
+        self.firsts = (*(np.empty(0, np.int64) for _ in range(4)), np.empty(0, np.int32), np.empty(0, np.int32))
+
+    def add(self, ids: list, keys: list, anchor: np.ndarray, context: np.ndarray, owner: np.ndarray, *places: np.ndarray) -> None:
+        """Anchors of documents; ``owner`` counts within ``ids``."""
+        self.fresh.append((anchor, context, owner + len(self.ids), *places))
+        self.n_fresh += len(anchor)
+        self.ids += ids
+        self.keys += keys
+
+    def full(self) -> bool:
+        return self.n_fresh >= max(FRESH, len(self.firsts[0]))
+
+    def _rows(self, anchor, context, owner, at, before, after) -> Iterator[pa.RecordBatch]:
+        doc_ids, text_keys = pa.array(self.ids, self.kind), pa.array(self.keys, pa.int64())
+        for k in np.array_split(np.arange(len(owner)), len(owner) // 50_000 + 1):
+            who = pa.array(owner[k])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(anchor[k]), pa.array(context[k]), doc_ids.take(who), text_keys.take(who), *(pa.array(x[k], pa.int32()) for x in (at, before, after))],
+                ["anchor", "context", "doc_id", "text_key", "at", "before", "after"])
+
+    def compared(self) -> Iterator[pa.RecordBatch]:
+        """Rows of bytes to remove; each class has one occurrence left after this."""
+        anchor, context, owner, at, left, right = (np.concatenate(x) for x in zip(self.firsts, *self.fresh))
+        self.fresh, self.n_fresh = [], 0
+        if not len(anchor):
+            return
+        rank = _ranks(self.ids, self.keys)
+        order = np.lexsort((at, rank[owner], context, anchor))
+        new = np.concatenate([[True], (anchor[order][1:] != anchor[order][:-1]) | (context[order][1:] != context[order][:-1])])
+        head = order[new][np.cumsum(new) - 1]                 # first occurrence of each row's class
+        gone = order[(rank[owner[order]] != rank[owner[head]]) | (at[order] != at[head])]
+        start, end, of = _merged(at[gone] - left[gone], at[gone] + right[gone], owner[gone])
+        # Removed bytes travel along, spread by a hash; -1 marks them.
+        spread = _mixed(of.astype(np.uint64) + _mixed(start.astype(np.uint64))).view(np.int64)
+        yield from self._rows(spread, np.zeros(len(of), np.int64), of, start, np.full(len(of), -1), end - start)
+        f = order[new]
+        used, place = np.unique(owner[f], return_inverse=True)
+        self.firsts = (anchor[f], context[f], place, at[f], left[f], right[f])
+        self.ids, self.keys = [self.ids[d] for d in used], [self.keys[d] for d in used]
+
+    def sent(self) -> Iterator[pa.RecordBatch]:
+        yield from self._rows(*self.firsts)
+        self.__init__(self.kind)
+
+
 def _anchor_batches(batches: Iterator[pa.RecordBatch], kind) -> Iterator[pa.RecordBatch]:
-    """Rows of first occurrences in the task (``context`` not null) and of bytes to remove (null)."""
+    """Rows of first occurrences in the task (``before`` not negative) and of bytes to remove (-1)."""
     powers = _Powers(2 * PIECE + 4 * LENGTH)
-    ids, keys, found = [], [], []
+    classes = _Classes(kind)
     for batch in batches:
-        base = len(ids)
-        ids += batch.column("doc_id").to_pylist()
-        keys += batch.column("text_key").to_pylist()
         for at in range(0, batch.num_rows, 256):
-            texts = [(x.as_py() or "").encode("utf-8", "surrogatepass") for x in batch.column("text").slice(at, 256)]
+            part = batch.slice(at, 256)
+            texts = [(x.as_py() or "").encode("utf-8", "surrogatepass") for x in part.column("text")]
+            ids, keys = part.column("doc_id"), part.column("text_key")
             for data, low, high, strings, owner, offset in _pieces(texts):
                 anchor, context, place, left, right = anchors(data, low, high, strings, powers)
-                found.append((anchor, context, owner[place] + base + at, offset[place], left.astype(np.int32), right.astype(np.int32)))
-    if not found:
-        return
-    anchor, context, owner, at, left, right = (np.concatenate(x) for x in zip(*found))
-    del found
-    rank = _ranks(ids, keys)
-    order = np.lexsort((at, rank[owner], context, anchor))
-    new = np.concatenate([[True], (anchor[order][1:] != anchor[order][:-1]) | (context[order][1:] != context[order][:-1])])
-    head = order[new][np.cumsum(new) - 1]                 # first occurrence of each row's class
-    again = (rank[owner[order]] != rank[owner[head]]) | (at[order] != at[head])
-    gone, firsts = order[again], order[new]
-    start, end, of = _merged(at[gone] - left[gone], at[gone] + right[gone], owner[gone])
-    doc_ids, text_keys = pa.array(ids, kind), pa.array(keys, pa.int64())
-
-    def rows(anchor, context, owner, at, before, after):
-        who = pa.array(owner)
-        return pa.RecordBatch.from_arrays([
-            pa.array(anchor), pa.array(context), doc_ids.take(who), text_keys.take(who), *(pa.array(x, pa.int32()) for x in (at, before, after))],
-            ["anchor", "context", "doc_id", "text_key", "at", "before", "after"])
-
-    for f in np.array_split(firsts, len(firsts) // 50_000 + 1):
-        yield rows(anchor[f], context[f], owner[f], at[f], left[f], right[f])
-    # Removed bytes travel along, spread by a hash; -1 marks them.
-    spread = _mixed(of.astype(np.uint64) + _mixed(start.astype(np.uint64))).view(np.int64)
-    for f in np.array_split(np.arange(len(of)), len(of) // 50_000 + 1):
-        yield rows(spread[f], np.zeros(len(f), np.int64), of[f], start[f], np.full(len(f), -1), end[f] - start[f])
+                docs, of = np.unique(owner[place], return_inverse=True)
+                classes.add(ids.take(pa.array(docs)).to_pylist(), keys.take(pa.array(docs)).to_pylist(), anchor, context, of, offset[place],
+                            left.astype(np.int32), right.astype(np.int32))
+                if classes.full():
+                    yield from classes.compared()
+                    if len(classes.firsts[0]) >= KEPT:
+                        yield from classes.sent()
+    yield from classes.compared()
+    yield from classes.sent()
 
 
 def _ranks(ids: list, keys: list) -> np.ndarray:
@@ -169,7 +206,7 @@ def _ranks(ids: list, keys: list) -> np.ndarray:
 def _resolve_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by anchor, context and place: bytes to remove (anchor null), and contexts to compare (anchor given).
 
-    A class has one row per task at most, so a class is a small group; an anchor's classes pass by one after the other.
+    A class has a row or a few per task, so a class is a small group; an anchor's classes pass by one after the other.
     """
     cuts: list[pa.RecordBatch] = []
 
@@ -251,7 +288,7 @@ def suffix_order(symbols: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray
         key = (key << bits) | padded[k:n + k]
     partial, passed = None, 0
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)          # equal keys get one rank, so their order does not matter
         ordered = key[order]
         dense = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
         rank = np.empty(n, np.int64)

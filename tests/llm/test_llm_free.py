@@ -78,6 +78,41 @@ def test_repeated_bytes_of_hot_anchors_and_long_texts(frame, monkeypatch):
         assert {r.doc_id: tuple(r)[1:] for r in drop_repeated_bytes(frame(docs)).collect()} == expected
 
 
+def test_repeated_bytes_of_tasks_that_send_often(frame, monkeypatch):
+    """Classes are compared and sent many times within a task, with a text longer than what it holds."""
+    docs = corpus() + [(None, corpus()[5][1]), (95, prose(7, 900)), (96, prose(7, 900)), (96, prose(7, 900))]
+    expected = sorted(map(tuple, drop_repeated_bytes(frame(docs)).collect()), key=str)
+    for fresh, kept in ((1, 1), (40, 70), (40, 10_000)):
+        monkeypatch.setattr(run_index, "FRESH", fresh)
+        monkeypatch.setattr(run_index, "KEPT", kept)
+        monkeypatch.setattr(run_index, "PIECE", 2_000)
+        assert sorted(map(tuple, drop_repeated_bytes(frame(docs).coalesce(1)).collect()), key=str) == expected
+
+
+def test_memory_of_a_task_does_not_grow_with_its_texts():
+    import pyarrow as pa
+
+    held = []
+    for n in (400, 1_600):
+        table = pa.table({"doc_id": range(n), "text_key": range(n), "text": [prose(20_000 + i, 12) for i in range(n)]})
+        most = 0
+        saved, run_index.FRESH, run_index.KEPT = (run_index.FRESH, run_index.KEPT), 2_000, 4_000
+        added = run_index._Classes.add
+
+        def counted(self, *args):
+            nonlocal most
+            added(self, *args)
+            most = max(most, self.n_fresh + len(self.firsts[0]))
+
+        run_index._Classes.add = counted
+        try:
+            assert sum(b.num_rows for b in run_index._anchor_batches(iter(table.to_batches(max_chunksize=64)), pa.int64())) > 0
+        finally:
+            run_index._Classes.add, (run_index.FRESH, run_index.KEPT) = added, saved
+        held.append(most)
+    assert held[1] < 1.5 * held[0]
+
+
 def test_run_index_streams_what_comparing_finds():
     random.seed(3)
     base = bytes(random.choice(b"ab") for _ in range(400))
