@@ -17,7 +17,7 @@ from .functions.text import keyword_terms
 from .plans.campaign import run_campaign
 from .plans.store import ListingStore
 from .session import build_session
-from .sources.registry import SOURCES, read_pages, read_payloads
+from .sources.registry import SOURCES, read_feed, read_pages
 from .sources.resumes import read_json_resumes, read_text_resumes, resolve_resume
 
 FEEDS = {"Himalayas", "Remotive"}
@@ -25,7 +25,7 @@ FEEDS = {"Himalayas", "Remotive"}
 
 def landed_sources(spark: SparkSession, directory: str) -> dict:
     def reader(name: str):
-        read = read_payloads if name in FEEDS else read_pages
+        read = read_feed if name in FEEDS else read_pages
         return lambda: read(spark, f"{directory.rstrip('/')}/{name}")
 
     def exists(name: str) -> bool:

@@ -15,7 +15,7 @@ from ..sources.cards import (
     anchor_cards, detail_text, guest_cards, link_cards, tuple_cards, usable_link, without_query,
 )
 from ..sources.feeds import feed_quarantine as quarantined_feed, flat_feed, nested_feed
-from ..sources.registry import collect_listings
+from ..sources.registry import collect_listings, read_item_lines
 from ..sources.html import attribute, inner, joined_text, shown_text
 from ..session import run_dir
 from ..streaming.ingest import ingest_once, read_ingested, stream_files
@@ -236,8 +236,7 @@ def keyword_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TEXT_ONE_LINE = s_html_text("'<p>' || text || '</p>'")
 
 
-@query(f"""
-SELECT doc_id AS payload_id, 2 AS pos, 'Himalayas' AS platform,
+_NESTED_FIELDS = f"""'Himalayas' AS platform,
        CASE WHEN doc_id % 2 = 0 THEN 'item-' || doc_id END AS job_id_on_platform, lang || ' Role' AS title,
        source AS company, CASE WHEN doc_id % 3 = 0 THEN 'Remote / Worldwide' ELSE 'DE, ' || lang END AS location,
        {_TEXT_ONE_LINE} AS description,
@@ -246,13 +245,33 @@ SELECT doc_id AS payload_id, 2 AS pos, 'Himalayas' AS platform,
        CASE WHEN doc_id % 4 = 0 THEN 'USD ' || format('{{:,}}', n_chars * 10) || '+'
             ELSE 'EUR ' || format('{{:,}}', n_chars * 10) || ' - ' || format('{{:,}}', n_chars * 20) END AS salary,
        'data work, ' || lang AS skills, strftime(to_timestamp(86400 * (doc_id + 1)) AT TIME ZONE 'UTC', '%Y-%m-%d') AS date_posted
-FROM documents""")
+FROM documents"""
+
+
+@query(f"SELECT doc_id AS payload_id, 2 AS pos, {_NESTED_FIELDS}")
 def nested_feed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested_feed(_nested_payloads(spark, sf_dir), description_limit=None).select(
         "payload_id", "pos", "platform", "job_id_on_platform", "title", "company", "location", "description", "url",
         "salary", "skills", "date_posted")
 
 
+@query(f"SELECT {_NESTED_FIELDS}")
+def nested_feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same feed landed as lines of items, among which blank lines and lines that are no objects lie."""
+    item = F.regexp_extract("body", r"(?s)^\{\"jobs\":\[\"x\",7,(.*),null\]\}$", 1)
+    path = run_dir(spark, "item-lines")
+    _nested_payloads(spark, sf_dir).select(F.explode(F.array(F.lit('"x"'), item, F.lit(""), F.lit("{broken"))).alias("value")).write.text(path)
+    return nested_feed(read_item_lines(spark, path, "part-*")).select(
+        "platform", "job_id_on_platform", "title", "company", "location", "description", "url", "salary", "skills", "date_posted")
+
+
+@query("SELECT count(*) AS n_listings, 'Himalayas: ' || 3 * count(*) || ' items cannot be read' AS error FROM documents")
+def collected_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings of a feed with unreadable items, and the error that tells their number."""
+    found, errors = collect_listings({"Himalayas": _nested_payloads(spark, sf_dir)}, spark)
+    return found.agg(F.count(F.lit(1)).alias("n_listings"), F.lit("; ".join(errors)).alias("error"))
+
+
 def _nested_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One payload per document, with items that are no objects around the real one."""
     key, docs = F.col("doc_id"), table(spark, sf_dir, "documents", heavy=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from ..functions.lexicon import SKILL_LEXICON, Lexicon
 from ..functions.text import keyword_terms
@@ -14,11 +14,10 @@ from ..operators.lifecycle import created_events
 from ..operators.ordering import with_position
 from ..operators.tailoring import rendered, tailor
 from ..schemas import RESUME, RUN_METRICS
-from ..session import materialise
 from ..sources.resumes import resolve_resume, with_structure
 from ..sources.registry import collect_listings
 from .queues import candidate_queue, good_matches, pending_queue, waiting_for_score
-from .store import ListingStore
+from .store import ListingStore, counted
 
 DEFAULT_KEYWORDS = "Software Engineer, Data Engineer"  # fixed value
 PIPELINE_NOTE = "Auto-tailored by pipeline"  # fixed value
@@ -41,10 +40,10 @@ def evaluate_pending(
     queue = (waiting_for_score(listings, applications) if limit is None
              else pending_queue(listings, applications, limit))
     profile = resume_profile(resume_text(resume), lexicon=lexicon)
-    scores = materialise(score_listings(queue, "id", "description", profile), "scores")
+    scores, seen = counted(score_listings(queue, "id", "description", profile), "scores")
     store.apply_scores(scores.select(
         F.col("id").alias("job_id"), F.col("score").alias("match_score"), F.col("reasoning").alias("match_reasoning")), now)
-    return scores.count()
+    return seen.get("n", 0)
 
 
 def tailor_candidates(
@@ -72,8 +71,9 @@ def tailor_candidates(
         "job_id", "event_id", F.col("event_id").alias("application_id"),
         F.to_json(F.struct(*RESUME_FIELDS, *[c for c in fields if c == "raw_text"])).alias("resume_json"), rendered(made).alias("resume_html"),
         F.lit(PIPELINE_NOTE).alias("notes"), "platform_key")
-    store.append_events(created_events(done, now))
-    return numbered.count()
+    seen = Observation()
+    store.append_events(created_events(done, now).observe(seen, F.count(F.lit(1)).alias("n")))
+    return seen.get.get("n", 0)
 
 
 def run_campaign(
@@ -90,16 +90,16 @@ def run_campaign(
     tailor_limit: int | None = None,
     lexicon: Lexicon = SKILL_LEXICON,
 ) -> DataFrame:
-    """One row of run metrics. A failing source is listed under ``errors``; the run goes on."""
+    """One row of run metrics. A failing source and the items of a source that cannot be read are listed under ``errors``; the run goes on."""
     resume = resolve_resume(spark) if resume is None else with_structure(resume)
     wanted = keyword_terms(keywords or DEFAULT_KEYWORDS)
     found, errors = collect_listings(landed, spark, wanted, limit_per_source, enabled_sources)
-    found = materialise(found, "collected")
+    found, seen = counted(found, "collected")
     stored = store.upsert_listings(found, now, ["source_no", "unit", "pos"])
     new = stored.filter("is_new").count()
     evaluated = evaluate_pending(store, resume, now, evaluate_limit, lexicon)
     ready = tailor_candidates(store, resume, now, min_score, tailor_limit)
-    row = (uuid.uuid4().hex, found.count(), new, evaluated, ready, "success", errors, None)
+    row = (uuid.uuid4().hex, seen.get("n", 0), new, evaluated, ready, "success", errors, None)
     metrics = spark.createDataFrame([row], RUN_METRICS).withColumn("finished_at", now.cast("timestamp"))
     metrics.write.mode("append").parquet(f"{store.root}/metrics")
     return metrics

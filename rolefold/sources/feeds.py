@@ -1,12 +1,13 @@
 """JSON feed payloads → raw listings.
 
 A payload row is ``(payload_id, body)`` with the response text as it was landed. A body that is
-not an object gives no rows and one bad item does not affect its neighbours.
+not an object gives no rows and one bad item does not affect its neighbours. Feeds that are landed item by
+item come as rows ``(payload_id, pos, text)``; every reader here takes both.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..functions.rows import settle
 from ..functions.text import (
@@ -34,23 +35,35 @@ def _is_object() -> Column:
     return F.coalesce(F.startswith(F.schema_of_variant("item"), F.lit("OBJECT")), F.lit(False))
 
 
-def _parsed_items(payloads: DataFrame) -> DataFrame:
-    items = _envelopes(payloads).select("payload_id", F.posexplode("jobs").alias("pos", "text"))
+def item_texts(landed: DataFrame) -> DataFrame:
+    """Rows ``payload_id, pos, text``, one per item; an unreadable body is one item without ``pos`` and text."""
+    if "text" in landed.columns:
+        return landed.select("payload_id", "pos", "text")
+    items = _envelopes(landed).select("payload_id", F.col("jobs").isNull().alias("__whole"),
+                                      F.posexplode(F.coalesce("jobs", F.array(F.lit(None).cast("string")))).alias("pos", "text"))
+    return items.select("payload_id", F.when(~F.col("__whole"), F.col("pos")).alias("pos"), "text")
+
+
+def _parsed_items(items: DataFrame) -> DataFrame:
     return items.withColumn("item", F.try_parse_json("text"))
 
 
-def feed_items(payloads: DataFrame) -> DataFrame:
-    """One row per object in the ``jobs`` array, in feed order."""
-    return _parsed_items(payloads).filter(_is_object()).drop("text")
+def feed_items(payloads: DataFrame, defects: Observation | None = None) -> DataFrame:
+    """One row per object among the items, in feed order.
+
+    ``defects`` counts, while the rows are read, the items and bodies that are left out: its metric ``defective``.
+    """
+    parsed = _parsed_items(item_texts(payloads))
+    if defects is not None:
+        parsed = parsed.observe(defects, F.count_if(~_is_object()).alias("defective"))
+    return parsed.filter(_is_object()).drop("text")
 
 
 def feed_quarantine(payloads: DataFrame) -> DataFrame:
     """What ``feed_items`` leaves out: ``payload_id, pos, reason``, without ``pos`` for a whole body."""
-    bodies = _envelopes(payloads).filter(F.col("jobs").isNull()).select(
-        "payload_id", F.lit(None).cast("int").alias("pos"), F.lit("no list of jobs can be read").alias("reason"))
-    items = _parsed_items(payloads).filter(~_is_object()).select(
-        "payload_id", "pos", F.when(F.col("item").isNull(), F.lit("cannot be read")).otherwise(F.lit("not an object")).alias("reason"))
-    return bodies.unionByName(items)
+    bad = _parsed_items(item_texts(payloads)).filter(~_is_object())
+    reason = F.when(F.col("pos").isNull(), F.lit("no list of jobs can be read")).when(F.col("item").isNull(), F.lit("cannot be read")).otherwise(F.lit("not an object"))
+    return bad.select("payload_id", "pos", reason.alias("reason"))
 
 
 def _get(path: str, kind: str = "string") -> Column:
@@ -81,9 +94,9 @@ def _listing_columns(description_limit: int | None) -> list:
     ]
 
 
-def _mapped(payloads: DataFrame, columns: list[Column]) -> DataFrame:
+def _mapped(payloads: DataFrame, columns: list[Column], defects: Observation | None) -> DataFrame:
     """Read the fields of every item once, whatever is filtered or derived from them later."""
-    return feed_items(payloads).select("payload_id", "pos", F.inline(F.array(F.struct(*columns))))
+    return feed_items(payloads, defects).select("payload_id", "pos", F.inline(F.array(F.struct(*columns))))
 
 
 def _matching(mapped: DataFrame, fields: list[str], keywords) -> DataFrame:
@@ -96,7 +109,7 @@ def _matching(mapped: DataFrame, fields: list[str], keywords) -> DataFrame:
 
 def nested_feed(
     payloads: DataFrame, keywords=None, platform: str = "Himalayas",
-    description_limit: int | None = None,
+    description_limit: int | None = None, defects: Observation | None = None,
 ) -> DataFrame:
     """Feed with camel-case fields, category and location lists and epoch dates."""
     title, slug = _text("title"), blank_to_null(_get("companySlug"))
@@ -119,13 +132,13 @@ def nested_feed(
         F.when(F.size(places) > 0, F.array_join(places, ", ")).otherwise(F.lit(ANYWHERE)).alias("location"),
         F.when(numeric_date, date_from_epoch(_get("pubDate", "double")))
         .otherwise(date_prefix(_get("pubDate"))).alias("date_posted"),
-    ])
+    ], defects)
     return _matching(mapped, ["title", "company", "description", "tags"], keywords).select(*_listing_columns(description_limit))
 
 
 def flat_feed(
     payloads: DataFrame, keywords=None, platform: str = "Remotive",
-    description_limit: int | None = None,
+    description_limit: int | None = None, defects: Observation | None = None,
 ) -> DataFrame:
     """Feed with snake-case fields, a tag list and ISO dates."""
     number = _get("id")
@@ -142,5 +155,5 @@ def flat_feed(
         F.coalesce(tags, _text("tags")).alias("tags"),
         F.coalesce(blank_to_null(_get("candidate_required_location")), F.lit(ANYWHERE)).alias("location"),
         date_before_t(_get("publication_date")).alias("date_posted"),
-    ])
+    ], defects)
     return _matching(mapped, ["title", "company", "tags", "category", "description"], keywords).select(*_listing_columns(description_limit))

@@ -9,14 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from ..operators.dedup import first_wins, top_n
 from ..operators.normalize import normalize_listings
 from ..schemas import LISTING_NORM
 from ..session import run_dir
 from .cards import anchor_cards, guest_cards, link_cards, tuple_cards
-from .feeds import flat_feed, nested_feed
+from .feeds import flat_feed, item_texts, nested_feed
 
 Reader = Callable[..., DataFrame]
 
@@ -34,6 +34,8 @@ SOURCES: dict[str, Reader] = {
     "Himalayas": nested_feed,
     "Remotive": flat_feed,
 }
+FEEDS = (nested_feed, flat_feed)     # readers that count what they leave out
+ITEM_FILES = "*.jsonl"
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
@@ -42,6 +44,25 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
         F.input_file_name().alias("payload_id"), F.col("value").alias("body"))
 
 
+def read_item_lines(spark: SparkSession, path: str, files: str = ITEM_FILES) -> DataFrame:
+    """Landed items, one JSON value a line: ``payload_id, pos, text``. Blank lines are no items.
+
+    Such a file is read by as many tasks as it has blocks, whatever its size. A block is a payload, named by its file and first byte, and
+    ``pos`` orders the lines in it, so nothing is sorted to number the items; both depend on how Spark cuts the files, their order does not.
+    """
+    block = F.concat(F.col("_metadata.file_path"), F.lit("#"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"))
+    lines = spark.read.option("pathGlobFilter", files).text(path).select(
+        block.alias("payload_id"), F.monotonically_increasing_id().alias("pos"), F.col("value").alias("text"))
+    return lines.where(F.btrim("text") != "")
+
+
+def read_feed(spark: SparkSession, path: str) -> DataFrame:
+    """Items of a folder that may hold both layouts: files of item lines (``ITEM_FILES``), and whole bodies in all others."""
+    bodies = spark.read.text(path, wholetext=True).where(~F.col("_metadata.file_path").endswith(ITEM_FILES.lstrip("*"))).select(
+        F.col("_metadata.file_path").alias("payload_id"), F.col("value").alias("body"))
+    return item_texts(bodies).withColumn("pos", F.col("pos").cast("long")).unionByName(read_item_lines(spark, path))
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PAGES).parquet(path)
 
@@ -53,9 +74,10 @@ def chosen_sources(enabled: list[str] | None, sources: dict[str, Reader] = SOURC
 
 def source_listings(
     landed: DataFrame, name: str, keywords=None, limit: int | None = None, sources: dict[str, Reader] = SOURCES,
+    defects: Observation | None = None,
 ) -> DataFrame:
     """Normalised listings of one source in reading order, cut to the first ``limit`` matches."""
-    raw = sources[name](landed, keywords)
+    raw = sources[name](landed, keywords) if defects is None else sources[name](landed, keywords, defects=defects)
     unit = "payload_id" if "payload_id" in raw.columns else "page_id"
     if limit is not None:
         raw = top_n(raw, ["platform"], [unit, "pos"], limit)
@@ -73,7 +95,8 @@ def collect_listings(
 ) -> tuple[DataFrame, list[str]]:
     """All chosen sources, deduplicated first-wins, plus the errors of those that failed.
 
-    First means: by source name, then reading order.
+    First means: by source name, then reading order. Items of a feed that cannot be read are left out and their number is one of the
+    errors; it is taken while the source is written.
     """
     base, done, errors = run_dir(spark, "raw"), [], []
     for number, name in enumerate(sorted(chosen_sources(enabled, sources))):
@@ -82,8 +105,11 @@ def collect_listings(
         try:
             frame = landed[name]() if callable(landed[name]) else landed[name]
             path = f"{base}/source={number}"
-            source_listings(frame, name, keywords, limit_per_source, sources).write.parquet(path)
+            defects = Observation() if sources[name] in FEEDS else None
+            source_listings(frame, name, keywords, limit_per_source, sources, defects).write.parquet(path)
             done.append((path, number))
+            if defects is not None and (n := defects.get.get("defective")):
+                errors.append(f"{name}: {n} items cannot be read")
         except Exception as exc:  # noqa: BLE001 - any failure only takes out its own source
             errors.append(f"{name}: {type(exc).__name__}: {exc}".splitlines()[0])
     frames = [spark.read.parquet(path).withColumn("source_no", F.lit(number)) for path, number in done]

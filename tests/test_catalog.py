@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables n
 
 
 # These run whole jobs while they are being built.
-WRITING = {"run_metrics", "upsert_is_new", "stream_dedup", "stream_board", "stored_scores", "tracked_applications", "collected_sources"}
+WRITING = {"run_metrics", "upsert_is_new", "stream_dedup", "stream_board", "stored_scores", "tracked_applications", "collected_sources", "collected_defects", "nested_feed_lines"}
 
 
 @pytest.fixture(scope="module")

@@ -9,7 +9,7 @@ from rolefold.sources.cards import detail_text, guest_cards, split_heading, tupl
 from rolefold.functions.text import html_to_text
 from rolefold.sources.feeds import feed_quarantine, flat_feed, nested_feed
 from rolefold.sources.html import balanced_inner, joined_text
-from rolefold.sources.registry import SOURCES, chosen_sources, collect_listings, read_payloads, source_listings
+from rolefold.sources.registry import SOURCES, chosen_sources, collect_listings, read_feed, read_item_lines, read_payloads, source_listings
 from rolefold.operators.filters import complete_card
 
 
@@ -181,6 +181,39 @@ def test_failing_source_leaves_the_others_alone(spark):
     assert nothing.count() == 0 and errors == []
 
 
+def test_unreadable_items_are_counted_as_errors(spark):
+    feed = payloads(spark, {"jobs": [{"title": "a", "id": 1}, 7, None, "x"]}, "{broken", {"jobs": []}, {"jobs": [{"title": "b", "id": 2}]})
+    found, errors = collect_listings({"Remotive": feed, "Himalayas": feed.limit(0)}, spark)
+    assert sorted(r["title"] for r in found.collect()) == ["a", "b"]
+    assert errors == ["Remotive: 4 items cannot be read"]
+    assert feed_quarantine(feed).count() == 4
+    nothing, errors = collect_listings({"Remotive": payloads(spark, {"jobs": []})}, spark)
+    assert nothing.count() == 0 and errors == []
+
+
+def test_item_lines_are_read_in_blocks_and_in_order(spark, tmp_path):
+    """A file of lines is read by many tasks; the first of equal keys is that of the first line, and a folder may hold both layouts."""
+    lines = [json.dumps({"title": f"t{i}", "id": i // 2, "description": "words " * (i % 40)}) for i in range(4_000)]
+    lines[10:10] = ["", "   ", "{broken", "[1]"]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.json").write_text(json.dumps({"jobs": [{"title": "last", "id": 9_999}, 5]}))
+    block = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        items = read_item_lines(spark, str(tmp_path))
+        assert items.rdd.getNumPartitions() >= 8 and items.select("payload_id").distinct().count() >= 8
+        assert [r["text"] for r in items.orderBy("payload_id", "pos").collect()] == [x for x in lines if x.strip()]
+        assert sorted(r["reason"] for r in feed_quarantine(items).collect()) == ["cannot be read", "not an object"]
+        both = read_feed(spark, str(tmp_path))
+        found, errors = collect_listings({"Remotive": both}, spark)
+        rows = {r["job_id_on_platform"]: r["title"] for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    # The number 0 is no id, so both of its items stay.
+    assert len(rows) == 2_002 and all(rows[str(i)] == f"t{2 * i}" for i in range(1, 2_000)) and rows["9999"] == "last"
+    assert errors == ["Remotive: 3 items cannot be read"]
+
+
 def test_payload_files(spark):
     path = run_dir(spark, "payloads")
     spark.createDataFrame([('{"jobs":\n[{"title":"multi\\nline"}]}',)], "value string").coalesce(1).write.text(path)
