@@ -1,23 +1,38 @@
 """The best listings of every résumé, by a set-overlap join with prefix filter.
 
 A listing asks for a set of terms: the skills it names, or its words where it names none. A résumé offers skills and words. The score is the part of the asked terms
-that is offered, as in ``coverage``. A listing can only reach the least score with a résumé that offers one of its rarest terms: with n terms of which m must be offered,
-one of the n - m + 1 rarest is among them. Only these are joined, rarest first, and sizes and places bound the overlap before any sets meet. So a term
-that a third of all rows have brings together only what is made of such terms, and nothing is cross-joined.
+that is offered, as in ``coverage``. Of n terms m must be offered for the least score; whoever offers m of them offers 1 + m // 4 of the n - m + 1 + m // 4 rarest. Only these
+prefixes are looked up, and the few pairs that have so many of them in common are compared in full.
 
+The listings that ask for least come first: they give every résumé ``k`` listings of some score, and of all other listings only those are looked for that reach it.
+
+Pairs are looked for in cells, each a part of the listings and a part of the résumés: what is looked up stays in the task, and only a cell's best pairs leave it.
 Listings that ask for the same set are one class, of which only the first ``k`` ids can be among the best; résumés that offer the same set are one class as well.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.lexicon import SKILL_LEXICON, Lexicon, with_skills
+from ..functions.rows import settle
 from ..functions.text import distinct_tokens
 from ..session import materialise
 from .coverage import required_tokens, share
 from .ordering import with_position
 
+if TYPE_CHECKING:
+    import numpy as np
+    import pyarrow as pa
+
+ASKED_TERMS, OFFERED_TERMS = 4_000_000, 8_000_000     # of a cell, at most, but for a single set; a task holds some 80 bytes for each asked term
+CELLS = 24              # at least, so that all cores have work
+STEP = 4_000_000        # numbers that a cell looks at together
+FIRST_SHARE = 0.05      # of the classes of listings, those that ask for least; any share gives the same rows
+
 
 def _marked(skills: Column) -> Column:
     """Skills apart from words, which consist of letters alone."""
@@ -29,7 +44,7 @@ def asked_terms(listings: DataFrame, lexicon: Lexicon = SKILL_LEXICON) -> DataFr
     found = with_skills(listings.select("listing_id", "text"), "text", "skills", lexicon)
     words = required_tokens(F.coalesce(F.col("text"), F.lit("")))
     terms = F.when(F.size("skills") > 0, _marked(F.col("skills"))).otherwise(words)
-    return found.select("listing_id", F.sort_array(terms).alias("terms")).where(F.size("terms") > 0)
+    return settle(found, {"terms": F.sort_array(terms)}, ["listing_id"]).where(F.size("terms") > 0)
 
 
 def offered_terms(resumes: DataFrame, lexicon: Lexicon = SKILL_LEXICON) -> DataFrame:
@@ -44,15 +59,120 @@ def _classes(sets: DataFrame, members: str) -> DataFrame:
     return sets.withColumn("key", F.md5(F.array_join(F.col(members).cast("array<string>"), " ").cast("binary")))
 
 
+def _pieces(cost: np.ndarray) -> Iterator[slice]:
+    """Slices of consecutive items that cost ``STEP`` together, or about that."""
+    import numpy as np
+    group = np.cumsum(cost) // STEP
+    ends = np.append(np.flatnonzero(np.diff(group)) + 1, len(group))
+    return (slice(a, b) for a, b in zip(np.append(0, ends[:-1]), ends) if b > a)
+
+
+def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``first``, ``first + 1``, … of every run, one run after the other."""
+    import numpy as np
+    return np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
+
+
+def _sets(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranks of all sets, where each set begins, and its size."""
+    import numpy as np
+    ranks = rows["ranks"].combine_chunks()
+    size = ranks.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return ranks.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(size) - size, size
+
+
+def _cell(asked: pa.Table, offered: pa.Table, k: int | None) -> pa.Table:
+    """Pairs of a cell that reach the résumé's least score, of each résumé the best ``k``."""
+    import numpy as np
+    import pyarrow as pa
+
+    asked = asked.sort_by("key")
+    n, least_score = asked["n"].to_numpy().astype(np.int64), offered["least_score"].to_numpy().astype(np.int64)
+    words, begin, size = _sets(asked)
+    terms, start, many = _sets(offered)
+    found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
+    if len(words) and len(terms):
+        # By term, and then by the highest score for which the term is in its set's prefix.
+        of = np.repeat(np.arange(len(n)), size)
+        left = size[of] - (np.arange(len(words)) - begin[of])
+        code = words * 128 + 100 - np.minimum(100, 100 * (left * 4 // 3) // n[of])
+        del left
+        order = np.argsort(code, kind="stable")
+        code, owner = code[order], of[order]
+        del of, order
+        wide, width = max(words.max(), terms.max()) + 1, len(n)
+        for part in _pieces(many + 1):
+            whole = slice(start[part.start], start[part.start] + many[part].sum())
+            asks, who = terms[whole], np.repeat(np.arange(part.start, part.stop), many[part])
+            low = np.searchsorted(code, asks * 128)
+            hits = np.searchsorted(code, asks * 128 + 100 - least_score[who], "right") - low
+            for some in _pieces(np.bincount(who - part.start, hits, part.stop - part.start).astype(np.int64) + width):
+                base, last = some.start + part.start, some.stop + part.start
+                own = slice(start[base] - whole.start, start[last - 1] + many[last - 1] - whole.start)
+                pair = owner[_runs(low[own], hits[own])] + np.repeat((who[own] - base) * width, hits[own])
+                common = np.bincount(pair, minlength=(last - base) * width)
+                pair = np.flatnonzero(common)
+                r, c = pair // width + base, pair % width
+                least = -(-n[c] * least_score[r] // 100)
+                near = (common[pair] > least // 4) & (least <= many[r])
+                r, c = r[near], c[near]
+                offers = asks[own] + (who[own] - base) * wide
+                for few in _pieces(size[c]):
+                    x, y = r[few], c[few]
+                    wanted = words[_runs(begin[y], size[y])] + np.repeat((x - base) * wide, size[y])
+                    held = offers[np.minimum(np.searchsorted(offers, wanted), len(offers) - 1)] == wanted
+                    matched = np.bincount(np.repeat(np.arange(len(x)), size[y]), held, len(x)).astype(np.int64)
+                    score = np.floor(matched / n[y] * 100)
+                    enough = score >= least_score[x]
+                    x, y, matched, score = x[enough], y[enough], matched[enough], score[enough]
+                    if k is not None:
+                        order = np.lexsort((y, -matched, -score, x))
+                        x, y, matched = x[order], y[order], matched[order]
+                        best = np.arange(len(x)) - np.searchsorted(x, x) < k
+                        x, y, matched = x[best], y[best], matched[best]
+                    found.append((y, x, matched))
+    y, x, matched = map(np.concatenate, zip(*found))
+    return pa.table({"asked_key": asked["key"].take(pa.array(y)), "offered_key": offered["key"].take(pa.array(x)),
+                     "n_matched": pa.array(matched), "n_required": pa.array(n[y])})
+
+
+def _in_cell(k: int | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    return lambda asked, offered: _cell(asked, offered, k)
+
+
+def meetings(asked: DataFrame, offered: DataFrame, k: int | None = None) -> DataFrame:
+    """``asked_key, offered_key, n_matched, n_required`` of pairs that reach the résumé's least score; with ``k``, all that can be among its best ``k``, smaller keys first.
+
+    From (key, n, ranks) and (key, least_score, ranks), one row for a key, ranks ascending from the rarest; ``n`` may count terms that nobody offers and that have no rank.
+    """
+    asked_terms, offered_terms = (x.agg(F.coalesce(F.sum(F.size("ranks")), F.lit(0))).first()[0] for x in (asked, offered))
+    # Every listing is sent to all parts of the résumés and every résumé to all parts of the listings: the larger side is cut into more parts.
+    rows = max(-(-asked_terms // ASKED_TERMS), round((CELLS * asked_terms / max(1, offered_terms)) ** 0.5), 1)
+    columns = max(-(-offered_terms // OFFERED_TERMS), -(-CELLS // rows))
+    place = F.xxhash64("key")
+    across = F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda i: F.pmod(place, F.lit(rows)) * columns + i)
+    down = F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda i: i * columns + F.pmod(place, F.lit(columns)))
+    left = asked.select(F.explode(across).alias("cell"), "key",
+                        F.col("n").cast("int").alias("n"), F.col("ranks").cast("array<int>").alias("ranks"))
+    right = offered.select(F.explode(down).alias("cell"), "key",
+                           F.col("least_score").cast("int").alias("least_score"), F.col("ranks").cast("array<int>").alias("ranks"))
+    # As many partitions as keep two cells from meeting in one, mostly.
+    left, right = (x.repartition(4 * rows * columns, "cell").groupBy("cell") for x in (left, right))
+    kinds = [x.schema["key"].dataType.simpleString() for x in (asked, offered)]
+    return left.cogroup(right).applyInArrow(_in_cell(k), f"asked_key {kinds[0]}, offered_key {kinds[1]}, n_matched long, n_required long")
+
+
 def candidate_pairs(asked: DataFrame, offered: DataFrame, min_score: int) -> DataFrame:
-    """Distinct (asked_key, offered_key) that can reach the score, from (key, ranks) on both sides, ranks ascending from the rarest."""
-    n, least = F.size("ranks"), F.ceil(F.size("ranks") * min_score / 100).cast("int")
-    prefixes = asked.select(F.col("key").alias("asked_key"), n.alias("n"), least.alias("least"), F.posexplode(
-        F.slice("ranks", F.lit(1), n - least + 1)).alias("asked_at", "rank"))
-    offers = offered.select(F.col("key").alias("offered_key"), n.alias("m"), F.posexplode("ranks").alias("offered_at", "rank"))
-    # From their first common term on, two sets share what is left of the shorter one at most.
-    reach = F.least(F.col("n") - F.col("asked_at"), F.col("m") - F.col("offered_at"))
-    return prefixes.join(offers, "rank").where(reach >= F.col("least")).select("asked_key", "offered_key").distinct()
+    """Distinct (asked_key, offered_key) that reach the score, from (key, ranks) on both sides, ranks ascending from the rarest."""
+    found = meetings(asked.select("key", F.size("ranks").alias("n"), "ranks"), offered.select("key", F.lit(min_score).alias("least_score"), "ranks"))
+    return found.select("asked_key", "offered_key").distinct()
+
+
+def _ranked(pairs: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` listings of every class of résumés, from its best classes of listings."""
+    order = Window.partitionBy("offered_key").orderBy(F.desc("score"), F.desc("n_matched"), "listing_id")
+    scored = pairs.withColumn("score", share(F.col("n_matched"), F.col("n_required"))).join(members, "asked_key")
+    return scored.drop("asked_key").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def best_listings(
@@ -65,22 +185,33 @@ def best_listings(
     """
     if not 1 <= min_score <= 100:
         raise ValueError("min_score must be between 1 and 100")
-    listed = materialise(_classes(asked_terms(listings, lexicon), "terms"), "asked")
-    first = Window.partitionBy("key").orderBy("listing_id")
-    members = listed.select("key", "listing_id").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k).drop("nth")
-    each = listed.select("key", "terms").dropDuplicates(["key"]).select("key", F.explode("terms").alias("term"))
-    vocabulary = with_position(each.groupBy("term").agg(F.count(F.lit(1)).alias("n")), ["n", "term"], "rank").select("term", "rank")
-    asked = materialise(each.join(vocabulary, "term").groupBy("key").agg(F.sort_array(F.collect_list("rank")).alias("ranks")), "asked-ranks")
-    people = offered_terms(resumes, lexicon).join(vocabulary, "term").groupBy("resume_id").agg(F.sort_array(F.collect_list("rank")).alias("ranks"))
+    # Rows are numbered once they are written, so that one of a class stands for it.
+    listed = materialise(_classes(asked_terms(listings, lexicon), "terms").withColumn("row", F.monotonically_increasing_id()), "asked")
+    first = Window.partitionBy("key").orderBy("listing_id", "row")
+    members = listed.select("key", "listing_id", "row").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k)
+    # Numbers of classes ascend with their first listing.
+    numbers = with_position(members.where("nth = 1").select("key", "listing_id", "row"), ["listing_id", "row"], "asked_key")
+    members = members.select("key", "listing_id").join(numbers.select("key", "asked_key"), "key").drop("key")
+    each = materialise(listed.select("row", "terms").join(numbers.select("row", "asked_key"), "row").select(
+        "asked_key", F.size("terms").alias("n"), F.explode("terms").alias("term")), "asked-terms")
+    offers = materialise(offered_terms(resumes, lexicon), "offers")
+    # A term that nobody offers counts as asked, but has no rank.
+    known = each.groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(offers.select("term").distinct(), "term", "left_semi")
+    vocabulary = with_position(known, ["n", "term"], "rank").select("term", F.col("rank").cast("int").alias("rank"))
+    asked = materialise(each.join(vocabulary, "term").groupBy("asked_key").agg(
+        F.first("n").alias("n"), F.sort_array(F.collect_list("rank")).alias("ranks")).where(F.size("ranks") * 100 >= F.col("n") * min_score).withColumnRenamed(
+        "asked_key", "key"), "asked-ranks")
+    people = offers.join(vocabulary, "term").groupBy("resume_id").agg(F.sort_array(F.collect_list("rank")).alias("ranks"))
     people = materialise(_classes(people, "ranks"), "offered")
-    offered = people.select("key", "ranks").dropDuplicates(["key"])
-    pairs = materialise(candidate_pairs(asked, offered, min_score), "pairs")
-    met = pairs.join(asked.select(F.col("key").alias("asked_key"), F.col("ranks").alias("wanted")), "asked_key").join(
-        offered.select(F.col("key").alias("offered_key"), "ranks"), "offered_key")
-    n, matched = F.size("wanted"), F.size(F.array_intersect("wanted", "ranks"))
-    scored = met.select("asked_key", "offered_key", matched.cast("long").alias("n_matched"), n.cast("long").alias("n_required")).withColumn(
-        "score", share(F.col("n_matched"), F.col("n_required"))).where(F.col("score") >= min_score)
+    offered = materialise(people.groupBy("key").agg(F.first("ranks").alias("ranks")).select(
+        F.col("key").alias("set"), F.monotonically_increasing_id().alias("key"), "ranks"), "offered-ranks")
+    few = asked.agg(F.percentile_approx("n", FIRST_SHARE)).first()[0] or 0
+    begun = materialise(_ranked(meetings(asked.where(F.col("n") <= few), offered.withColumn("least_score", F.lit(min_score)), k), members, k), "begun")
+    # A full list's last score is the least that another listing must have.
+    full = begun.where(F.col("rank") == k).select(F.col("offered_key").alias("key"), F.col("score").alias("least_score"))
+    wanted = offered.join(full, "key", "left").withColumn("least_score", F.coalesce("least_score", F.lit(min_score)))
+    others = _ranked(meetings(asked.where(F.col("n") > few), wanted, k), members, k)
     order = Window.partitionBy("offered_key").orderBy(F.desc("score"), F.desc("n_matched"), "listing_id")
-    best = scored.join(members.withColumnRenamed("key", "asked_key"), "asked_key").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.join(people.select("resume_id", F.col("key").alias("offered_key")), "offered_key").select(
-        "resume_id", "rank", "listing_id", "score", "n_matched", "n_required")
+    best = begun.unionByName(others).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ids = people.select("resume_id", F.col("key").alias("set")).join(offered.select("set", F.col("key").alias("offered_key")), "set")
+    return best.join(ids, "offered_key").select("resume_id", "rank", "listing_id", "score", "n_matched", "n_required")

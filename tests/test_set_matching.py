@@ -3,6 +3,7 @@
 import collections
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,35 @@ def test_no_cross_join(spark):
     plan = best_listings(spark.createDataFrame(listings, "listing_id long, text string"), spark.createDataFrame(resumes, "resume_id long, text string"),
                          lexicon=LEXICON)._jdf.queryExecution().optimizedPlan().toString()
     assert "Cross" not in plan and "Join Inner" in plan and set_matching
+
+
+def test_frequent_terms_make_no_pairs_that_cannot_reach_the_score(spark):
+    """All sets share their rarest term and nothing else: each pair met before, and none of them counts."""
+    def sets(side):
+        return spark.createDataFrame([(f"{side}{i}", [0, *range(1 + (2 * i + side) * 9, 10 + (2 * i + side) * 9)]) for i in range(60)], "key string, ranks array<long>")
+
+    assert candidate_pairs(sets(0), sets(1), 20).count() == 0
+    assert candidate_pairs(sets(0), sets(1), 10).count() == 3600
+
+
+@pytest.mark.parametrize("step,k", [(4_000_000, None), (500, None), (50, 3), (1, 2)])
+def test_cells_against_all_pairs(monkeypatch, step, k):
+    """Whatever a cell looks at together, it finds the pairs that reach each résumé's own least score; some terms have no rank."""
+    monkeypatch.setattr(set_matching, "STEP", step)
+    random.seed(step)
+    near = sorted(random.sample(range(90), 40))
+    asked = {i: sorted(random.sample(range(90), random.choice([1, 2, 3, 8, 40]))) for i in range(70)} | {70 + i: sorted(set(near) ^ {i}) for i in range(20)}
+    offered = {i: (sorted(random.sample(range(90), random.randint(1, 60))), random.choice([1, 30, 67, 100])) for i in range(40)} | {40 + i: (near, 20 * i + 20) for i in range(5)}
+    n = {i: len(s) + i % 3 for i, s in asked.items()}
+    shuffled = random.sample(list(asked), len(asked))
+    out = set_matching._cell(
+        pa.table({"key": shuffled, "n": [n[i] for i in shuffled], "ranks": pa.array([asked[i] for i in shuffled], pa.list_(pa.int32()))}),
+        pa.table({"key": list(offered), "least_score": [t for _, t in offered.values()], "ranks": pa.array([s for s, _ in offered.values()], pa.list_(pa.int32()))}), k)
+    wanted = []
+    for j, (terms, least) in offered.items():
+        scored = sorted((-int(len(set(s) & set(terms)) / n[i] * 100), -len(set(s) & set(terms)), i) for i, s in asked.items())
+        wanted += [(i, j, -o, n[i]) for score, o, i in scored if -score >= least][:k]
+    found = list(zip(*(out[c].to_pylist() for c in ("asked_key", "offered_key", "n_matched", "n_required"))))
+    assert len(set(found)) == len(found) and set(found) >= set(wanted)
+    if k is None:
+        assert sorted(found) == sorted(wanted)
