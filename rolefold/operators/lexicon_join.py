@@ -2,17 +2,23 @@
 
 ``functions.lexicon`` turns a lexicon into expressions, so its cost is that of the lexicon times the texts. Here the phrases of each text, of as many words as the lexicon's forms
 have, are made once and meet the forms by equality; a longer lexicon costs a larger join side and nothing per text. A regular expression is only looked at
-where the form that goes with it occurs.
+where the form that goes with it occurs. Of a lexicon of few words, a phrase is only made where each of its words occurs at that place of a form.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.rows import settle
 from ..functions.text import SPACE_RANGES, WORD_CLASS, fold_case, strip
 
 BREAK = "\x01"       # stands for whatever parts two words besides blanks
+FEW_WORDS = 4_000    # of forms, counted at each place; a longer lexicon is met by all phrases
+
+Places = dict[tuple[int, int], list[str]]
 
 
 def word_list(text: Column) -> Column:
@@ -21,15 +27,32 @@ def word_list(text: Column) -> Column:
     return F.split(strip(marked), f"[{SPACE_RANGES}]+")
 
 
-def phrases(words: Column, lengths: list[int]) -> Column:
-    """Distinct phrases of these numbers of consecutive words, none of them across a mark."""
+def phrases(words: Column, lengths: list[int], places: Places | None = None) -> Column:
+    """Distinct phrases of these numbers of consecutive words, none of them across a mark.
+
+    ``places`` has, by number of words and place, the words that count there; other phrases are left out before they are put together.
+    """
     def of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1)))
-        found = F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0)))
+        if places is not None:
+            starts = F.filter(starts, lambda i: reduce(and_, [F.get(words, i + j).isin(places[n, j]) for j in range(n)]))
+        # Word by word: a slice would copy all the words for every phrase.
+        found = F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(words, i + j) for j in range(n)]))
         return F.when(F.size(words) >= n, found).otherwise(F.array().cast("array<string>"))
 
-    joined = words if lengths == [1] else F.flatten(F.array(*[of(n) for n in lengths]))
-    return F.array_distinct(F.filter(joined, lambda p: ~F.contains(p, F.lit(BREAK)) & (p != "")))
+    joined = words if lengths == [1] and places is None else F.flatten(F.array(*[of(n) for n in lengths]))
+    return F.array_distinct(joined if places is not None else F.filter(joined, lambda p: ~F.contains(p, F.lit(BREAK)) & (p != "")))
+
+
+def few_places(forms: DataFrame) -> Places | None:
+    """The words of each place of the forms, or None where they are more than ``FEW_WORDS``."""
+    at = forms.select("n", F.posexplode(F.split("phrase", " ")).alias("place", "word")).distinct().limit(FEW_WORDS + 1).collect()
+    if len(at) > FEW_WORDS:
+        return None
+    places: Places = {}
+    for row in at:
+        places.setdefault((row["n"], row["place"]), []).append(row["word"])
+    return places
 
 
 def lexicon_join(texts: DataFrame, lexicon: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
@@ -42,15 +65,16 @@ def lexicon_join(texts: DataFrame, lexicon: DataFrame, key: str = "id", text: st
     forms = lexicon.select("name", F.array_join(word_list(F.coalesce("form", F.lit(""))), " ").alias("phrase"),
                            (F.col("pattern") if "pattern" in lexicon.columns else F.lit(None).cast("string")).alias("pattern")).where(
         (F.col("phrase") != "") & ~F.contains("phrase", F.lit(BREAK))).withColumn("n", F.size(F.split("phrase", " ")))
+    places = few_places(forms)
     # As many numbers as the longest form has words.
-    lengths = sorted(r["n"] for r in forms.select("n").distinct().collect())
+    lengths = sorted({n for n, _ in places} if places is not None else {r["n"] for r in forms.select("n").distinct().collect()})
     patterned = "pattern" in lexicon.columns
     if not lengths:
         return texts.select(key, F.lit(None).cast("string").alias("name")).limit(0)
     named = texts.select(F.col(key).alias("key"), F.col(text).alias("text"))
     # The words are made once per text; every phrase then only cuts a piece out of them.
     words = settle(named, {"words": word_list(F.coalesce("text", F.lit("")))}, ["key", "text"] if patterned else ["key"])
-    kept = settle(words, {"phrases": phrases(F.col("words"), lengths)}, [c for c in words.columns if c != "words"])
+    kept = settle(words, {"phrases": phrases(F.col("words"), lengths, places)}, [c for c in words.columns if c != "words"])
     if not patterned:
         hits = kept.select("key", F.explode("phrases").alias("phrase")).join(forms, "phrase")
         return hits.select(F.col("key").alias(key), "name").distinct()

@@ -6,7 +6,8 @@ import re
 from pyspark.sql import functions as F
 
 from rolefold.functions.lexicon import with_skills
-from rolefold.operators.lexicon_join import lexicon_join
+from rolefold.operators import lexicon_join as module
+from rolefold.operators.lexicon_join import few_places, lexicon_join, phrases, word_list
 
 
 def found(spark, texts, lexicon, patterned=False):
@@ -66,3 +67,20 @@ def test_a_longer_lexicon_costs_nothing_per_text(spark):
 
     assert len(plan(10).splitlines()) == len(plan(100_000).splitlines())
     assert "Join Inner, (phrase" in plan(10) and "RLIKE" not in plan(10)
+
+
+def test_phrases_that_equal_no_form_are_not_made(spark):
+    forms = spark.createDataFrame([("in the", 2), ("on a", 2), ("api", 1)], "phrase string, n int")
+    texts = spark.createDataFrame([("the api in the on in a on the x in, the api",)], "text string")
+    made = texts.select(phrases(word_list(F.col("text")), [1, 2], few_places(forms)).alias("made")).first()["made"]
+    assert sorted(made) == ["api", "in a", "in the", "on the"]
+
+
+def test_lexicons_of_few_and_of_many_words_find_the_same(spark, monkeypatch):
+    random.seed(8)
+    words = ["a", "b", "Rest", "api", "of", "x1", "naïve"]
+    texts = [(i, "".join(random.choice(words) + random.choice([" ", " ", ", "]) for _ in range(random.randint(0, 30)))) for i in range(40)] + [(90, None), (91, " ")]
+    lexicon = [(f"n{k}", " ".join(random.choice(words) for _ in range(random.randint(1, 3)))) for k in range(20)]
+    few = found(spark, texts, lexicon)
+    monkeypatch.setattr(module, "FEW_WORDS", 3)
+    assert few == found(spark, texts, lexicon) == plain(texts, lexicon)
