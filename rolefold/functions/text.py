@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, functions as F
 
 from .entities import unescape
@@ -17,6 +20,11 @@ SPACE_RANGES = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
 SPACE_CLASS = f"[{SPACE_RANGES}]"
+# The same, but for the blank, in a form that rules out most characters by two tests.
+NO_BLANK = (
+    r"\x{9}\x{a}\x{b}\x{c}\x{d}\x{1c}\x{1d}\x{1e}\x{1f}\x{85}\x{a0}"
+    r"[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]"
+)
 # Word characters in the Unicode sense. Java's own ``\b`` would also count combining marks.
 WORD_CLASS = r"[\p{L}\p{N}_]"
 NO_WORD_BEFORE = rf"(?<!{WORD_CLASS})"
@@ -40,12 +48,14 @@ def blank_to_null(col: Column) -> Column:
 
 def collapse_spaces(col: Column) -> Column:
     """One blank for each run of whitespace; single blanks, by far the most, are not touched."""
-    return strip(F.regexp_replace(col, f"{SPACE_CLASS}{{2,}}|[{SPACE_RANGES}&&[^ ]]", " "))
+    return strip(F.regexp_replace(col, rf"[{NO_BLANK}][\x{{20}}{NO_BLANK}]*+| [\x{{20}}{NO_BLANK}]++", " "))
 
 
 def fold_case(col: Column) -> Column:
-    """Lower case in which an ASCII letter also stands for its case-insensitive look-alikes."""
-    return F.lower(F.translate(col, "\u0130\u0131\u017f\u212a", "iisk"))
+    """Lower case in which an ASCII letter also stands for its case-insensitive look-alikes; texts without them, by far the most, are not translated."""
+    alike = "\u0130\u0131\u017f\u212a"
+    some = reduce(or_, [F.contains(col, F.lit(c)) for c in alike])
+    return F.lower(F.when(some, F.translate(col, alike, "iisk")).otherwise(col))
 
 
 def tokens(col: Column) -> Column:

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -60,13 +60,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """A Parquet table, empty while its path does not exist. Any other fault is raised."""
+    """A Parquet table, empty while its path does not exist. Any other fault is raised.
+
+    The optimizer knows that the empty one is empty: what is joined to it is not shuffled for that.
+    """
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+        return spark.range(0).where(F.lit(False)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
 
 
 def run_dir(spark: SparkSession, name: str) -> str:

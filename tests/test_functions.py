@@ -2,6 +2,7 @@
 
 import html
 import html.entities
+import random
 import re
 
 from hypothesis import HealthCheck, given, settings, strategies as st
@@ -136,3 +137,12 @@ def test_escape_and_keywords(values):
 def test_settled_columns_are_not_copied_into_filters(spark):
     df = settle(spark.range(10).selectExpr("cast(id as string) s"), {"h": F.sha2("s", 256)}).filter("h > 'a' and h < 'b'")
     assert df._jdf.queryExecution().optimizedPlan().toString().count("sha2") == 1
+
+
+def test_spaces_and_case_of_every_kind(values):
+    kinds = [*text.WHITESPACE, *" \n\t", "a", "ſ", "İ", "ı", "K", "é", "\u200b"]
+    random.seed(5)
+    rows = ["".join(random.choice(kinds) for _ in range(random.randint(0, 12))) for _ in range(400)] + [None]
+    for row, (spaces, folded) in zip(rows, values(rows, text.collapse_spaces(F.col("x")), text.fold_case(F.col("x")))):
+        assert spaces == (None if row is None else " ".join(row.split()))
+        assert folded == (None if row is None else row.translate(str.maketrans("İıſK", "iisk")).lower())

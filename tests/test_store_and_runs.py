@@ -14,7 +14,7 @@ from rolefold.plans.queues import pending_queue
 from rolefold.plans.store import ListingStore
 from rolefold.plans.tracker import Tracker
 from rolefold.schemas import RESUME
-from rolefold.session import run_dir, shared_dir
+from rolefold.session import read_or_empty, run_dir, shared_dir
 from rolefold.sources.resumes import json_resumes, read_text_resumes, resolve_resume
 from rolefold.streaming.ingest import append_events, ingest_once, live_board, merge_batch, read_ingested, stream_files
 
@@ -229,3 +229,13 @@ def test_shared_folder_is_read_from_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert named is None or shared_dir(spark) == named
     assert run_dir(spark, "x") != run_dir(spark, "x")
+
+
+def test_what_is_joined_to_a_missing_table_is_not_shuffled(spark, tmp_path):
+    missing = read_or_empty(spark, f"{tmp_path}/none", "id long, names array<string>, at struct<a: int, b: timestamp>")
+    assert missing.dtypes == [("id", "bigint"), ("names", "array<string>"), ("at", "struct<a:int,b:timestamp>")]
+    assert missing.collect() == [] and missing.inputFiles() == []
+    wide = spark.range(5).withColumn("text", F.lit("x"))
+    joined = wide.join(missing, "id", "left").join(missing.select("id"), "id", "left_anti")
+    assert "Join" not in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["id"] for r in joined.collect()) == [0, 1, 2, 3, 4] and wide.join(missing, "id").count() == 0
