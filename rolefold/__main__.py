@@ -61,7 +61,7 @@ def main(argv: list[str] | None = None) -> dict:
         keyword_terms(args.keywords), args.min_score, args.limit_per_source,
         [s.strip() for s in args.sources.split(",")] if args.sources else None, args.evaluate_limit, args.tailor_limit)
     row = metrics.first().asDict()
-    for name in ("total_scraped", "newly_stored", "evaluated", "ready", "errors"):
+    for name in ("total_scraped", "newly_stored", "evaluated", "ready", "status", "errors"):
         print(f"{name}: {row[name]}")
     return row
 

@@ -268,7 +268,7 @@ def nested_feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(*) AS n_listings, 'Himalayas: ' || 3 * count(*) || ' items cannot be read' AS error FROM documents")
 def collected_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings of a feed with unreadable items, and the error that tells their number."""
-    found, errors = collect_listings({"Himalayas": _nested_payloads(spark, sf_dir)}, spark)
+    found, errors = collect_listings({"Himalayas": _nested_payloads(spark, sf_dir)}, spark, whole=True)
     return found.agg(F.count(F.lit(1)).alias("n_listings"), F.lit("; ".join(errors)).alias("error"))
 
 
@@ -491,7 +491,8 @@ def collected_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three sources read, normalised, merged and deduplicated; repeated links collapse to one listing."""
     landed = {"Himalayas": _nested_payloads(spark, sf_dir), "Hirist": _link_pages(spark, sf_dir),
               "Wellfound": _anchor_pages(spark, sf_dir), "Remotive": _nested_payloads(spark, sf_dir)}
-    found, _errors = collect_listings(landed, spark, None, None, ["Himalayas", "Hirist", "Wellfound", "Unknown"])
+    # The errors that are left tell the unreadable items only: a source that fails is raised.
+    found, _ = collect_listings(landed, spark, None, None, ["Himalayas", "Hirist", "Wellfound", "Unknown"], whole=True)
     return found.groupBy("platform").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("job_id_on_platform").alias("n_keys"))
 

@@ -15,7 +15,7 @@ from ..operators.ordering import with_position
 from ..operators.tailoring import rendered, tailor
 from ..schemas import RESUME, RUN_METRICS
 from ..sources.resumes import resolve_resume, with_structure
-from ..sources.registry import collect_listings
+from ..sources.registry import SourcesFailed, collect_listings, no_listings
 from .queues import candidate_queue, good_matches, pending_queue, waiting_for_score
 from .store import ListingStore, counted
 
@@ -90,16 +90,22 @@ def run_campaign(
     tailor_limit: int | None = None,
     lexicon: Lexicon = SKILL_LEXICON,
 ) -> DataFrame:
-    """One row of run metrics. A failing source and the items of a source that cannot be read are listed under ``errors``; the run goes on."""
+    """One row of run metrics. A failing source and the items of a source that cannot be read are listed under ``errors``; the run goes on.
+
+    Where all sources fail, what is stored is still scored, and the status is ``failed``.
+    """
     resume = resolve_resume(spark) if resume is None else with_structure(resume)
     wanted = keyword_terms(keywords or DEFAULT_KEYWORDS)
-    found, errors = collect_listings(landed, spark, wanted, limit_per_source, enabled_sources)
+    try:
+        (found, errors), status = collect_listings(landed, spark, wanted, limit_per_source, enabled_sources), "success"
+    except SourcesFailed as failure:
+        found, errors, status = no_listings(spark), failure.errors, "failed"
     found, seen = counted(found, "collected")
     stored = store.upsert_listings(found, now, ["source_no", "unit", "pos"])
     new = stored.filter("is_new").count()
     evaluated = evaluate_pending(store, resume, now, evaluate_limit, lexicon)
     ready = tailor_candidates(store, resume, now, min_score, tailor_limit)
-    row = (uuid.uuid4().hex, seen.get("n", 0), new, evaluated, ready, "success", errors, None)
+    row = (uuid.uuid4().hex, seen.get("n", 0), new, evaluated, ready, status, errors, None)
     metrics = spark.createDataFrame([row], RUN_METRICS).withColumn("finished_at", now.cast("timestamp"))
     metrics.write.mode("append").parquet(f"{store.root}/metrics")
     return metrics

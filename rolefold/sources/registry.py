@@ -1,7 +1,8 @@
 """Which sources exist, and reading the chosen ones into one deduplicated set.
 
 Each source is a job of its own that writes its own partition of the raw zone. A source that
-fails is recorded and contributes nothing; the union reads only what was completed.
+fails is recorded and contributes nothing, or is raised where the whole is wanted; the union reads
+only what was completed, and where nothing was completed, there is no result.
 """
 
 from __future__ import annotations
@@ -38,6 +39,14 @@ FEEDS = (nested_feed, flat_feed)     # readers that count what they leave out
 ITEM_FILES = "*.jsonl"
 
 
+class SourcesFailed(RuntimeError):
+    """Sources that were to be read and could not be; ``errors`` has all that was recorded."""
+
+    def __init__(self, errors: list[str]) -> None:
+        super().__init__("; ".join(errors))
+        self.errors = errors
+
+
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """Landed responses, one file each; the file name orders them."""
     return spark.read.text(path, wholetext=True).select(
@@ -92,35 +101,45 @@ def collect_listings(
     limit_per_source: int | None = None,
     enabled: list[str] | None = None,
     sources: dict[str, Reader] = SOURCES,
+    whole: bool = False,
 ) -> tuple[DataFrame, list[str]]:
     """All chosen sources, deduplicated first-wins, plus the errors of those that failed.
 
     First means: by source name, then reading order. Items of a feed that cannot be read are left out and their number is one of the
-    errors; it is taken while the source is written.
+    errors; it is taken while the source is written. A source that is chosen by name and has not landed has failed.
+
+    Raises ``SourcesFailed`` when sources failed and none is left, as that is not the same as no listings; with ``whole`` as soon as one fails.
     """
-    base, done, errors = run_dir(spark, "raw"), [], []
+    base, done, errors, failed = run_dir(spark, "raw"), [], [], 0
     for number, name in enumerate(sorted(chosen_sources(enabled, sources))):
-        if name not in landed:
+        if name not in landed and not enabled:
             continue
         try:
+            if name not in landed:
+                raise FileNotFoundError("nothing has landed")
             frame = landed[name]() if callable(landed[name]) else landed[name]
             path = f"{base}/source={number}"
             defects = Observation() if sources[name] in FEEDS else None
             source_listings(frame, name, keywords, limit_per_source, sources, defects).write.parquet(path)
-            done.append((path, number))
             if defects is not None and (n := defects.get.get("defective")):
                 errors.append(f"{name}: {n} items cannot be read")
-        except Exception as exc:  # noqa: BLE001 - any failure only takes out its own source
+            done.append((path, number))
+        except Exception as exc:  # noqa: BLE001 - without ``whole`` any failure only takes out its own source
             errors.append(f"{name}: {type(exc).__name__}: {exc}".splitlines()[0])
+            failed += 1
+            if whole:
+                raise SourcesFailed(errors) from exc
+    if failed and not done:
+        raise SourcesFailed(errors)
     frames = [spark.read.parquet(path).withColumn("source_no", F.lit(number)) for path, number in done]
     if not frames:
-        return spark.createDataFrame([], _empty_schema()), errors
+        return no_listings(spark), errors
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     return first_wins(merged, ["source_no", "unit", "pos"]), errors
 
 
-def _empty_schema() -> T.StructType:
-    return T.StructType([
+def no_listings(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], T.StructType([
         T.StructField("pos", T.LongType()), *LISTING_NORM.fields, T.StructField("unit", T.StringType()),
         T.StructField("source_no", T.IntegerType()),
-    ])
+    ]))

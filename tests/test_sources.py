@@ -2,14 +2,16 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from rolefold.catalog import collecting
 from rolefold.session import run_dir
 from rolefold.sources.cards import detail_text, guest_cards, split_heading, tuple_cards
 from rolefold.functions.text import html_to_text
 from rolefold.sources.feeds import feed_quarantine, flat_feed, nested_feed
 from rolefold.sources.html import balanced_inner, joined_text
-from rolefold.sources.registry import SOURCES, chosen_sources, collect_listings, read_feed, read_item_lines, read_payloads, source_listings
+from rolefold.sources.registry import SOURCES, SourcesFailed, chosen_sources, collect_listings, read_feed, read_item_lines, read_payloads, source_listings
 from rolefold.operators.filters import complete_card
 
 
@@ -181,6 +183,28 @@ def test_failing_source_leaves_the_others_alone(spark):
     assert nothing.count() == 0 and errors == []
 
 
+def test_a_failure_is_no_result(spark, monkeypatch):
+    """Neither a whole with a source missing nor an empty table for sources that all failed."""
+    good, bad = payloads(spark, {"jobs": [{"title": "a", "id": 1}, 7]}), spark.range(1)
+    with pytest.raises(SourcesFailed, match="^Hirist: ") as raised:
+        collect_listings({"Remotive": good, "Hirist": bad}, spark, whole=True)
+    assert raised.value.__cause__ is not None
+    with pytest.raises(SourcesFailed) as raised:
+        collect_listings({"Hirist": bad, "Naukri": bad}, spark)
+    assert [e.split(":")[0] for e in raised.value.errors] == ["Hirist", "Naukri"]
+    with pytest.raises(SourcesFailed, match="Naukri: .*landed"):
+        collect_listings({"Remotive": good}, spark, enabled=["Naukri", "Remotive"], whole=True)
+    found, errors = collect_listings({"Remotive": good}, spark, enabled=["Naukri", "Remotive"])
+    assert found.count() == 1 and [e.split(":")[0] for e in errors] == ["Naukri", "Remotive"]
+    found, errors = collect_listings({"Remotive": good}, spark, whole=True)
+    assert found.count() == 1 and errors == ["Remotive: 1 items cannot be read"]
+    monkeypatch.setattr(collecting, "_nested_payloads", lambda spark, sf_dir: good)
+    monkeypatch.setattr(collecting, "_link_pages", lambda spark, sf_dir: bad)
+    monkeypatch.setattr(collecting, "_anchor_pages", lambda spark, sf_dir: page(spark, ""))
+    with pytest.raises(SourcesFailed, match="Hirist"):
+        collecting.collected_sources(spark, "")
+
+
 def test_unreadable_items_are_counted_as_errors(spark):
     feed = payloads(spark, {"jobs": [{"title": "a", "id": 1}, 7, None, "x"]}, "{broken", {"jobs": []}, {"jobs": [{"title": "b", "id": 2}]})
     found, errors = collect_listings({"Remotive": feed, "Himalayas": feed.limit(0)}, spark)

@@ -97,6 +97,13 @@ def test_run_and_rerun(spark, store):
     assert {r["stage"]: r["n"] for r in stage_counts(spark, store.applications()).collect()}["Applied"] == 1
 
 
+def test_a_run_of_which_all_sources_fail(spark, store):
+    store.upsert_listings(batch(spark, [("P", "1", "python")]), NOW)
+    resume = spark.createDataFrame([("python",)], "raw_text string")
+    (row,) = run_campaign(spark, store, {"Himalayas": lambda: 1 / 0}, NOW, resume, ["engineer"]).collect()
+    assert (row["total_scraped"], row["evaluated"], row["status"], len(row["errors"])) == (0, 1, "failed", 1)
+
+
 def test_command_line(spark):
     base = run_dir(spark, "cli")
     body = json.dumps({"jobs": [{"id": 5, "title": "Python Dev", "description": "python"}]})
