@@ -7,12 +7,14 @@ prefixes are looked up, and the few pairs that have so many of them in common ar
 The listings that ask for least come first: they give every résumé ``k`` listings of some score, and of all other listings only those are looked for that reach it.
 
 Pairs are looked for in cells, each a part of the listings and a part of the résumés: what is looked up stays in the task, and only a cell's best pairs leave it.
+A part is one row of a table that is written once. The tasks of all cells read it from there, so nothing is copied for a cell, on disk or in a shuffle.
 Listings that ask for the same set are one class, of which only the first ``k`` ids can be among the best; résumés that offer the same set are one class as well.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.lexicon import SKILL_LEXICON, Lexicon, with_skills
 from ..functions.rows import settle
 from ..functions.text import distinct_tokens
-from ..session import materialise
+from ..session import materialise, run_dir
 from .coverage import required_tokens, share
 from .ordering import with_position
 
@@ -29,7 +31,8 @@ if TYPE_CHECKING:
     import pyarrow as pa
 
 ASKED_TERMS, OFFERED_TERMS = 4_000_000, 8_000_000     # of a cell, at most, but for a single set; a task holds some 80 bytes for each asked term
-CELLS = 24              # at least, so that all cores have work
+CELLS = 24              # at least, so that all cores have work, as far as a part has
+LEAST_TERMS = 20_000    # terms
 STEP = 4_000_000        # numbers that a cell looks at together
 FIRST_SHARE = 0.05      # of the classes of listings, those that ask for least; any share gives the same rows
 
@@ -101,11 +104,17 @@ def _cell(asked: pa.Table, offered: pa.Table, k: int | None) -> pa.Table:
         code, owner = code[order], of[order]
         del of, order
         wide, width = max(words.max(), terms.max()) + 1, len(n)
+        first = np.searchsorted(code, np.arange(wide) * 128)
         for part in _pieces(many + 1):
             whole = slice(start[part.start], start[part.start] + many[part].sum())
             asks, who = terms[whole], np.repeat(np.arange(part.start, part.stop), many[part])
-            low = np.searchsorted(code, asks * 128)
-            hits = np.searchsorted(code, asks * 128 + 100 - least_score[who], "right") - low
+            low, reach = first[asks], asks * 128 + 100 - least_score[who]
+            # Ascending numbers are found several times faster than others.
+            order = np.argsort(reach)
+            hits = np.empty_like(low)
+            hits[order] = np.searchsorted(code, reach[order], "right")
+            hits -= low
+            del order, reach
             for some in _pieces(np.bincount(who - part.start, hits, part.stop - part.start).astype(np.int64) + width):
                 base, last = some.start + part.start, some.stop + part.start
                 own = slice(start[base] - whole.start, start[last - 1] + many[last - 1] - whole.start)
@@ -136,8 +145,63 @@ def _cell(asked: pa.Table, offered: pa.Table, k: int | None) -> pa.Table:
                      "n_matched": pa.array(matched), "n_required": pa.array(n[y])})
 
 
-def _in_cell(k: int | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    return lambda asked, offered: _cell(asked, offered, k)
+def _pack(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows of (key, number, ranks) as parts of ``most`` terms or a little less, one row for each; a larger set is a part of its own."""
+    import numpy as np
+    import pyarrow as pa
+
+    def part() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        terms, _, size = _sets(rows)
+        one = [pa.array([rows[i].to_pylist()], pa.list_(rows.schema.field(i).type)) for i in (0, 1)]
+        # Differences take less room on disk.
+        numbers = (pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (size, np.diff(terms, prepend=0)))
+        return pa.RecordBatch.from_arrays([*one, *numbers], ["key", "number", "size", "ranks"])
+
+    held, terms = [], 0
+    for batch in batches:
+        sizes = batch.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, first = np.cumsum(sizes), 0
+        while first < len(sizes):
+            done = int(ends[first - 1]) if first else 0
+            last = int(np.searchsorted(ends, done + most - terms, "right"))
+            if last <= first and not held:
+                last = first + 1
+            if last > first:
+                held.append(batch.slice(first, last - first))
+                terms += int(ends[last - 1]) - done
+                first = last
+            if first < len(sizes):
+                yield part()
+                held, terms = [], 0
+    if held:
+        yield part()
+
+
+def _unpacked(row: pa.RecordBatch, side: str, number: str) -> pa.Table:
+    import numpy as np
+    import pyarrow as pa
+    key, numbers, size, terms = (row.column(row.schema.get_field_index(f"{side}_{c}")) for c in ("key", "number", "size", "ranks"))
+    begin = np.append(0, np.cumsum(np.frombuffer(size[0].as_py(), np.int32)))
+    ranks = np.cumsum(np.frombuffer(terms[0].as_py(), np.int32), dtype=np.int32)
+    ranks = pa.LargeListArray.from_arrays(pa.array(begin, pa.int64()), pa.array(ranks))
+    return pa.table({"key": key.flatten(), number: numbers.flatten(), "ranks": ranks})
+
+
+def _cells(rows: Iterator[pa.RecordBatch], k: int | None) -> Iterator[pa.RecordBatch]:
+    for batch in rows:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            yield from _cell(_unpacked(row, "asked", "n"), _unpacked(row, "offered", "least_score"), k).combine_chunks().to_batches()
+
+
+def _parts(sets: DataFrame, side: str, parts: int, most: int) -> str:
+    """The folder of a table of parts, each in a file of its own."""
+    kind = sets.schema["key"].dataType.simpleString()
+    path = run_dir(sets.sparkSession, f"{side}-parts")
+    packed = sets.coalesce(parts).mapInArrow(partial(_pack, most=most), f"key array<{kind}>, number array<int>, size binary, ranks binary")
+    packed.select(*[F.col(c).alias(f"{side}_{c}") for c in packed.columns]).write.options(maxRecordsPerFile=1, compression="zstd").parquet(path)
+    return path
 
 
 def meetings(asked: DataFrame, offered: DataFrame, k: int | None = None) -> DataFrame:
@@ -145,21 +209,27 @@ def meetings(asked: DataFrame, offered: DataFrame, k: int | None = None) -> Data
 
     From (key, n, ranks) and (key, least_score, ranks), one row for a key, ranks ascending from the rarest; ``n`` may count terms that nobody offers and that have no rank.
     """
+    spark = asked.sparkSession
     asked_terms, offered_terms = (x.agg(F.coalesce(F.sum(F.size("ranks")), F.lit(0))).first()[0] for x in (asked, offered))
-    # Every listing is sent to all parts of the résumés and every résumé to all parts of the listings: the larger side is cut into more parts.
-    rows = max(-(-asked_terms // ASKED_TERMS), round((CELLS * asked_terms / max(1, offered_terms)) ** 0.5), 1)
-    columns = max(-(-offered_terms // OFFERED_TERMS), -(-CELLS // rows))
-    place = F.xxhash64("key")
-    across = F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda i: F.pmod(place, F.lit(rows)) * columns + i)
-    down = F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda i: i * columns + F.pmod(place, F.lit(columns)))
-    left = asked.select(F.explode(across).alias("cell"), "key",
-                        F.col("n").cast("int").alias("n"), F.col("ranks").cast("array<int>").alias("ranks"))
-    right = offered.select(F.explode(down).alias("cell"), "key",
-                           F.col("least_score").cast("int").alias("least_score"), F.col("ranks").cast("array<int>").alias("ranks"))
-    # As many partitions as keep two cells from meeting in one, mostly.
-    left, right = (x.repartition(4 * rows * columns, "cell").groupBy("cell") for x in (left, right))
+    # Every part of the listings meets every part of the résumés: the larger side is cut into more parts.
+    rows = max(-(-asked_terms // ASKED_TERMS), min(round((CELLS * asked_terms / max(1, offered_terms)) ** 0.5), asked_terms // LEAST_TERMS), 1)
+    columns = max(-(-offered_terms // OFFERED_TERMS), min(-(-CELLS // rows), offered_terms // LEAST_TERMS), 1)
+    left = asked.select("key", F.col("n").cast("int").alias("number"), F.col("ranks").cast("array<int>").alias("ranks"))
+    right = offered.select("key", F.col("least_score").cast("int").alias("number"), F.col("ranks").cast("array<int>").alias("ranks"))
+    # A fifth more than the mean, as partitions differ in size.
+    sides = [_parts(x, side, parts, min(most, -(-terms * 6 // (5 * parts)) or 1)) for x, side, parts, most, terms in (
+        (left, "asked", rows, ASKED_TERMS, asked_terms), (right, "offered", columns, OFFERED_TERMS, offered_terms))]
+    # A session of its own, in which a task reads one file of each side and hands on one row at a time.
+    apart = spark.newSession()
+    for name, value in {"spark.sql.files.maxPartitionBytes": 1 << 30, "spark.sql.files.openCostInBytes": 1 << 30, "spark.sql.execution.arrow.maxRecordsPerBatch": 1}.items():
+        apart.conf.set(name, value)
+    one, other = (apart.read.parquet(path) for path in sides)
     kinds = [x.schema["key"].dataType.simpleString() for x in (asked, offered)]
-    return left.cogroup(right).applyInArrow(_in_cell(k), f"asked_key {kinds[0]}, offered_key {kinds[1]}, n_matched long, n_required long")
+    found = one.join(other.hint("shuffle_replicate_nl")).mapInArrow(
+        partial(_cells, k=k), f"asked_key {kinds[0]}, offered_key {kinds[1]}, n_matched long, n_required long")
+    path = run_dir(spark, "met")
+    found.write.parquet(path)
+    return spark.read.schema(found.schema).parquet(path)
 
 
 def candidate_pairs(asked: DataFrame, offered: DataFrame, min_score: int) -> DataFrame:

@@ -127,3 +127,37 @@ def test_cells_against_all_pairs(monkeypatch, step, k):
     assert len(set(found)) == len(found) and set(found) >= set(wanted)
     if k is None:
         assert sorted(found) == sorted(wanted)
+
+
+def test_a_set_is_written_once_whatever_the_cells(spark, monkeypatch):
+    """No exchange copies sets for the cells, and all cells together find what a single one finds."""
+    random.seed(6)
+    asked, offered = ([(i + 100 * side, sorted(random.sample(range(300), random.choice([1, 5, 30])))) for i in range(80)] for side in (0, 1))
+    asked = spark.createDataFrame(asked, "key long, ranks array<int>").withColumn("n", F.size("ranks")).repartition(5)
+    offered = spark.createDataFrame(offered, "key long, ranks array<int>").withColumn("least_score", F.lit(30)).repartition(3)
+    paths, name_of = [], set_matching.run_dir
+    monkeypatch.setattr(set_matching, "run_dir", lambda spark, name: paths.append(name_of(spark, name)) or paths[-1])
+
+    def found():
+        out = set_matching.meetings(asked, offered)
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+        return sorted(map(tuple, out.collect()))
+
+    single = found()
+    monkeypatch.setattr(set_matching, "ASKED_TERMS", 100)
+    monkeypatch.setattr(set_matching, "OFFERED_TERMS", 200)
+    paths.clear()
+    assert found() == single and len(single) > 100
+    for side, sets, most in (("asked", asked, 100), ("offered", offered, 200)):
+        (path,) = [x for x in paths if f"{side}-parts" in x]
+        parts = spark.read.parquet(path).select((F.octet_length(f"{side}_ranks") / 4).alias("n"), F.size(f"{side}_key").alias("sets"))
+        assert parts.count() > 3 and parts.where(F.col("n") > most).isEmpty()
+        total = parts.agg(F.sum("n"), F.sum("sets")).first()
+        assert tuple(total) == (sets.agg(F.sum(F.size("ranks"))).first()[0], 80)
+
+
+def test_parts_are_filled_up_and_a_large_set_is_one_of_its_own():
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys), pa.array([7] * len(keys), pa.int32()), pa.array([list(range(s)) for s in sizes], pa.list_(pa.int32()))],
+                                          ["key", "number", "ranks"]) for keys, sizes in (([1, 2, 3], [4, 6, 1]), ([], []), ([4, 5, 6], [25, 0, 9]))]
+    assert [x.column(0)[0].as_py() for x in set_matching._pack(iter(batches), 10)] == [[1, 2], [3], [4], [5, 6]]
+    assert list(set_matching._pack(iter([]), 10)) == []
