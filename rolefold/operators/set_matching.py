@@ -76,6 +76,19 @@ def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
 
 
+def _counted(numbers: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers from 0 to ``end`` and how often each occurs."""
+    import numpy as np
+    if end <= 2 * len(numbers):
+        times = np.bincount(numbers, minlength=end)
+        found = np.flatnonzero(times)
+        return found, times[found]
+    # Few of the possible numbers occur: a sort is less than a pass over all of them.
+    numbers = np.sort(numbers)
+    begin = np.flatnonzero(np.diff(numbers, prepend=-1))
+    return numbers[begin], np.diff(begin, append=len(numbers))
+
+
 def _sets(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ranks of all sets, where each set begins, and its size."""
     import numpy as np
@@ -115,15 +128,14 @@ def _cell(asked: pa.Table, offered: pa.Table, k: int | None) -> pa.Table:
             hits[order] = np.searchsorted(code, reach[order], "right")
             hits -= low
             del order, reach
-            for some in _pieces(np.bincount(who - part.start, hits, part.stop - part.start).astype(np.int64) + width):
+            for some in _pieces(np.bincount(who - part.start, hits, part.stop - part.start).astype(np.int64) + 1):
                 base, last = some.start + part.start, some.stop + part.start
                 own = slice(start[base] - whole.start, start[last - 1] + many[last - 1] - whole.start)
                 pair = owner[_runs(low[own], hits[own])] + np.repeat((who[own] - base) * width, hits[own])
-                common = np.bincount(pair, minlength=(last - base) * width)
-                pair = np.flatnonzero(common)
+                pair, common = _counted(pair, (last - base) * width)
                 r, c = pair // width + base, pair % width
                 least = -(-n[c] * least_score[r] // 100)
-                near = (common[pair] > least // 4) & (least <= many[r])
+                near = (common > least // 4) & (least <= many[r])
                 r, c = r[near], c[near]
                 offers = asks[own] + (who[own] - base) * wide
                 for few in _pieces(size[c]):

@@ -3,6 +3,7 @@
 import collections
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -161,3 +162,11 @@ def test_parts_are_filled_up_and_a_large_set_is_one_of_its_own():
                                           ["key", "number", "ranks"]) for keys, sizes in (([1, 2, 3], [4, 6, 1]), ([], []), ([4, 5, 6], [25, 0, 9]))]
     assert [x.column(0)[0].as_py() for x in set_matching._pack(iter(batches), 10)] == [[1, 2], [3], [4], [5, 6]]
     assert list(set_matching._pack(iter([]), 10)) == []
+
+
+@pytest.mark.parametrize("end", [3, 50, 10_000])
+def test_counted(end):
+    numbers = [random.Random(end).randrange(end) for _ in range(40)]
+    for some in (numbers, []):
+        found, times = set_matching._counted(np.array(some, np.int64), end)
+        assert dict(zip(found.tolist(), times.tolist())) == collections.Counter(some) and sorted(found.tolist()) == found.tolist()
